@@ -17,7 +17,7 @@ from corpusmap.operators.filters import (
 )
 from corpusmap.operators.ignore import apply_ignore, ignored_by, rule_blocks
 from corpusmap.operators.ranking import broadcast_if_small
-from corpusmap.operators.symbols import _SPANS, file_symbols, has_symbols
+from corpusmap.operators.symbols import _SPANS, has_symbols, with_symbols
 from corpusmap.options import ScanOptions
 
 
@@ -38,12 +38,9 @@ def analyze_files(files: DataFrame, opts: ScanOptions = ScanOptions(), keep: Seq
     judged = classify_skipped(files, opts.max_file_bytes).withColumn("lang", detect_lang(F.col("path")))
     skipped, text, zero = F.col("skipped"), F.col("text"), F.lit(0).cast("bigint")
     if opts.symbols:
-        judged = judged.withColumn(
-            "lines_array", F.when(~skipped & has_symbols(F.col("lang")), split_lines(text))
-        )
-        spans = F.when(
-            F.col("lines_array").isNotNull(), file_symbols(text, F.col("lines_array"), F.col("lang"), opts)
-        ).otherwise(F.array().cast(_SPANS))
+        cut = F.when(~skipped & has_symbols(F.col("lang")), split_lines(text))
+        judged = with_symbols(judged.withColumn("lines", cut), opts)
+        spans = F.col("symbol_lines")
     else:
         spans = F.array().cast(_SPANS)
     rows = judged.select(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmap.functions.paths import detect_lang
-from corpusmap.functions.text import split_lines, tokens_of_length
+from corpusmap.functions.text import split_lines
 from corpusmap.options import ScanOptions
 
 # Patterns of declarations by language, in the order in which they are tried.
@@ -83,142 +83,123 @@ _HITS = "array<struct<name:string,line:int,pass:int>>"
 _SPANS = "array<struct<name:string,line:int,end_line:int,tokens:bigint>>"
 
 
-def _by_lang(lang: Column, table: dict, build, kind: str) -> Column:
+# The expressions below are SQL texts over the columns `lines` and `lang`: lambdas inside lambdas read better
+# so, and a text is one call to the JVM. `transform(array(x), v -> …)[0]` computes x once and names it v.
+
+
+def _by_lang(table: dict, value, default: str) -> str:
     """CASE over the languages, with one branch for all languages that share an entry."""
     branches: dict = {}
     for tag, entry in table.items():
-        branches.setdefault(entry, []).append(tag)
-    out = None
-    for entry, tags in branches.items():
-        cond = lang.isin(*tags)
-        value = build(entry)
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out.otherwise(F.array().cast(kind))
+        branches.setdefault(entry, []).append(f"'{tag}'")
+    return "CASE " + " ".join(
+        f"WHEN lang IN ({', '.join(tags)}) THEN {value(entry)}" for entry, tags in branches.items()
+    ) + f" ELSE {default} END"
 
 
-def _pattern_name(line: Column, pattern: str) -> Column:
-    """The name a pattern finds in a line, '' if none; a group that took no part gives ''."""
-    first = F.regexp_extract(line, pattern, 1)
-    return F.concat(first, F.regexp_extract(line, pattern, 2)) if pattern is _SCRIPT[0] else first
+def _name_sql(pattern: str) -> str:
+    """The name a pattern finds in the line r.text, '' if none; a group that took no part gives ''."""
+    first = f"regexp_extract(r.text, r'{pattern}', 1)"
+    return f"concat({first}, regexp_extract(r.text, r'{pattern}', 2))" if pattern is _SCRIPT[0] else first
 
 
-def symbol_hits(lines: Column, lang: Column, max_symbols: int = 16) -> Column:
-    """Declared names with line and pattern number, in pattern order, each name once, capped."""
+def _hits_sql(max_symbols: int) -> str:
+    likely = _by_lang(
+        SYMBOL_PATTERNS, lambda ps: "t RLIKE r'" + "|".join(f"(?:{p})" for p in ps) + "'", "false"
+    )
+    rows = (
+        f"filter(transform(lines, (t, i) -> IF({likely}, named_struct('text', t, 'line', i + 1), NULL)), "
+        "r -> r IS NOT NULL)"
+    )
+    passes = max(len(ps) for ps in SYMBOL_PATTERNS.values())
 
-    def build(patterns: tuple[str, ...]) -> Column:
-        likely = "|".join(f"(?:{p})" for p in patterns)
-        rows = F.filter(
-            F.transform(lines, lambda text, i: F.struct(text.alias("text"), (i + 1).cast("int").alias("line"))),
-            lambda r: r["text"].rlike(likely),
+    def hits(n: int) -> str:
+        name = _by_lang(SYMBOL_PATTERNS, lambda ps: _name_sql(ps[n]) if n < len(ps) else "''", "''")
+        return (
+            f"filter(transform(rows, r -> named_struct('name', {name}, 'line', r.line, 'pass', {n + 1})), "
+            "h -> h.name <> '')"
         )
 
-        def hits(number: int, pattern: str) -> Column:
-            named = F.transform(
-                rows,
-                lambda r: F.struct(
-                    _pattern_name(r["text"], pattern).alias("name"),
-                    r["line"].alias("line"),
-                    F.lit(number).alias("pass"),
-                ),
-            )
-            return F.filter(named, lambda h: h["name"] != "")
+    found = ", ".join(hits(n) for n in range(passes))
+    return f"""aggregate(
+      transform(array({rows}), rows -> concat({found}))[0], CAST(array() AS {_HITS}),
+      (acc, h) -> IF(size(acc) >= {max_symbols} OR exists(acc, a -> a.name = h.name), acc, concat(acc, array(h))))"""
 
-        return F.concat(*[hits(n, p) for n, p in enumerate(patterns, 1)]).cast(_HITS)
 
-    def keep_first(acc: Column, hit: Column) -> Column:
-        known = F.exists(acc, lambda a: a["name"] == hit["name"])
-        return F.when((F.size(acc) >= max_symbols) | known, acc).otherwise(F.concat(acc, F.array(hit)))
+def symbol_hits(max_symbols: int = 16) -> Column:
+    """Declared names with line and pattern number, in pattern order, each name once, capped."""
+    return F.expr(_hits_sql(max_symbols))
 
-    return F.aggregate(_by_lang(lang, SYMBOL_PATTERNS, build, _HITS), F.array().cast(_HITS), keep_first)
 
+def _tokens_sql(chars: str) -> str:
+    return f"greatest(1L, CAST(ceil(({chars}) / 4.0D) AS BIGINT))"
 
-def span_hits(hits: Column, lines: Column, total_lines: Column) -> Column:
-    """Adds end line and tokens: a symbol reaches to the line before the next one, the last to the file's end.
 
-    The spans do not overlap, so together they touch each line once.
-    """
-    ordered = F.array_sort(
-        F.transform(hits, lambda h: F.struct(h["line"].alias("line"), h["name"].alias("name")))
-    )
+def _spans_sql(max_symbols: int) -> str:
+    end = "greatest(h.line, coalesce(get(hits, i + 1).line - 1, size(lines) - 1))"
+    return f"""transform(
+      array(array_sort(transform({_hits_sql(max_symbols)}, h -> named_struct('line', h.line, 'name', h.name)))),
+      hits -> transform(transform(hits, (h, i) -> named_struct('name', h.name, 'line', h.line, 'end_line', {end})),
+        s -> named_struct('name', s.name, 'line', s.line, 'end_line', s.end_line, 'tokens',
+          {_tokens_sql("length(array_join(slice(lines, s.line, s.end_line - s.line + 1), '\\n'))")})))[0]"""
 
-    def span(h: Column, i: Column) -> Column:
-        following = F.try_element_at(ordered, i + 2)["line"]
-        end = F.greatest(h["line"], F.coalesce(following - 1, total_lines)).cast("int")
-        body = F.array_join(F.slice(lines, h["line"], end - h["line"] + 1), "\n")
-        return F.struct(
-            h["name"].alias("name"), h["line"].alias("line"), end.alias("end_line"),
-            tokens_of_length(F.length(body)).alias("tokens"),
-        )
 
-    return F.transform(ordered, span).cast(_SPANS)
+def span_hits(max_symbols: int = 16) -> Column:
+    """Symbols by pattern with end line and tokens: one reaches to the line before the next, the last to the end.
+
+    The spans do not overlap, so together they touch each line once.
+    """
+    return F.expr(_spans_sql(max_symbols)).cast(_SPANS)
 
 
-def toplevel_hits(lines: Column, lang: Column, max_symbols: int = 16) -> Column:
+def toplevel_hits(max_symbols: int = 16) -> Column:
     """Top-level declarations with exact spans, from indentation.
 
     A declaration ends at the next line on the left margin if that line only closes a bracket, else at the
     last line that is not blank before it.
     """
-
-    def build(pattern: str) -> Column:
-        solid = F.filter(
-            F.transform(lines, lambda text, i: F.struct(text.alias("text"), (i + 1).cast("int").alias("line"))),
-            lambda r: r["text"].rlike(r"\S"),
-        )
-        margin = F.filter(
-            F.transform(
-                solid,
-                lambda r, i: F.struct(
-                    r["text"].alias("text"), r["line"].alias("line"),
-                    F.try_element_at(solid, F.when(i > 0, i).otherwise(F.lit(-1)).cast("int"))["line"].alias("prev"),
-                ),
-            ),
-            lambda r: r["text"].rlike(r"^\S"),
-        )
-        last_line = F.try_element_at(solid, F.lit(-1))["line"]
-
-        def span(r: Column, i: Column) -> Column:
-            after = F.try_element_at(margin, i + 2)
-            end = (
-                F.when(after["line"].isNull(), last_line)
-                .when(after["text"].rlike(CLOSING_LINE), after["line"])
-                .otherwise(F.greatest(r["line"], after["prev"]))
-            )
-            return F.struct(
-                F.regexp_extract(r["text"], pattern, 1).alias("name"),
-                r["line"].alias("line"), end.alias("end_line"), r["text"].alias("text"),
-            )
-
-        named = F.slice(F.filter(F.transform(margin, span), lambda s: s["name"] != ""), 1, max_symbols)
-
-        def measure(s: Column) -> Column:
-            body = F.rtrim(F.array_join(F.slice(lines, s["line"], s["end_line"] - s["line"] + 1), "\n"))
-            outside = F.length(F.regexp_extract(s["text"], EXPORT_PREFIX, 0))
-            return F.struct(
-                s["name"].alias("name"), s["line"].alias("line"), s["end_line"].alias("end_line"),
-                tokens_of_length(F.length(body) - outside).alias("tokens"),
-            )
-
-        return F.transform(named, measure).cast(_SPANS)
-
-    return _by_lang(lang, SPAN_PATTERNS, build, _SPANS)
-
-
-def file_symbols(text: Column, lines: Column, lang: Column, opts: ScanOptions = ScanOptions()) -> Column:
-    """Symbols of one file by the chosen method: spans for large files of known languages, else patterns.
-
-    Spans that find nothing fall back to the patterns.
+    solid = (
+        r"filter(transform(lines, (t, i) -> IF(t RLIKE r'\S', named_struct('text', t, 'line', i + 1), NULL)), "
+        "r -> r IS NOT NULL)"
+    )
+    margin = (
+        "filter(transform(solid, (r, i) -> named_struct('text', r.text, 'line', r.line, "
+        r"'prev', get(solid, i - 1).line)), r -> r.text RLIKE r'^\S')"
+    )
+    name = _by_lang(SPAN_PATTERNS, lambda p: f"regexp_extract(r.text, r'{p}', 1)", "''")
+    end = f"""CASE WHEN get(margin, i + 1) IS NULL THEN get(solid, size(solid) - 1).line
+      WHEN get(margin, i + 1).text RLIKE r'{CLOSING_LINE}' THEN get(margin, i + 1).line
+      ELSE greatest(r.line, get(margin, i + 1).prev) END"""
+    named = f"""slice(filter(transform(margin, (r, i) -> named_struct(
+      'name', {name}, 'line', r.line, 'end_line', {end}, 'text', r.text)), s -> s.name <> ''), 1, {max_symbols})"""
+    body = "rtrim(array_join(slice(lines, s.line, s.end_line - s.line + 1), '\\n'))"
+    outside = f"length(regexp_extract(s.text, r'{EXPORT_PREFIX}', 0))"
+    measured = f"""transform({named}, s -> named_struct('name', s.name, 'line', s.line, 'end_line', s.end_line,
+      'tokens', {_tokens_sql(f"length({body}) - {outside}")}))"""
+    return F.expr(
+        f"transform(array({solid}), solid -> transform(array({margin}), margin -> {measured})[0])[0]"
+    ).cast(_SPANS)
+
+
+def with_symbols(files: DataFrame, opts: ScanOptions = ScanOptions()) -> DataFrame:
+    """Adds `symbol_lines` by the chosen method to files with `text`, `lang` and `lines`.
+
+    Spans serve large files of the languages that have them, the patterns serve the others and files in which
+    spans find nothing. Files whose `lines` is null have no symbols.
     """
-    total = F.greatest(F.size(lines) - 1, F.lit(0))
-    by_pattern = span_hits(symbol_hits(lines, lang, opts.max_symbols), lines, total)
+    none = F.array().cast(_SPANS)
     if opts.symbol_backend == "regex":
-        return by_pattern
-    wanted = lang.isin(*SPAN_PATTERNS)
-    if opts.symbol_backend == "auto":
-        wanted = wanted & (F.length(text) >= opts.symbol_threshold_tokens * 4)
-    by_span = F.when(wanted, toplevel_hits(lines, lang, opts.max_symbols))
-    found = F.filter(F.array(by_span), lambda s: F.coalesce(F.size(s), F.lit(0)) > 0)
-    return F.coalesce(F.try_element_at(found, F.lit(1)), by_pattern)
+        spans = F.lit(None).cast(_SPANS)
+    else:
+        wanted = F.col("lang").isin(*SPAN_PATTERNS)
+        if opts.symbol_backend == "auto":
+            wanted = wanted & (F.length("text") >= opts.symbol_threshold_tokens * 4)
+        spans = F.when(wanted, toplevel_hits(opts.max_symbols))
+    known = F.col("lines").isNotNull()
+    # One column per step keeps Spark from computing the spans once for the test and once for the value.
+    stepped = files.withColumn("_spans", F.when(known, spans))
+    chosen = F.when(F.size("_spans") > 0, F.col("_spans")).when(known, span_hits(opts.max_symbols)).otherwise(none)
+    return stepped.withColumn("symbol_lines", chosen).drop("_spans")
 
 
 def has_symbols(lang: Column) -> Column:
@@ -234,39 +215,35 @@ def with_lines(files: DataFrame) -> DataFrame:
 def extract_symbols(files: DataFrame, max_symbols: int = 16) -> DataFrame:
     """Names declared in each file: (repo, path, name, line, pass, pos), pos counting in pattern order."""
     found = with_lines(files).filter(F.col("lines").isNotNull()).select(
-        "repo", "path", symbol_hits(F.col("lines"), F.col("lang"), max_symbols).alias("hits")
+        "repo", "path", symbol_hits(max_symbols).alias("hits")
     )
     return found.select("repo", "path", F.posexplode("hits").alias("pos", "hit")).select(
         "repo", "path", "hit.name", "hit.line", "hit.pass", (F.col("pos") + 1).alias("pos")
     )
 
 
-def _exploded(files: DataFrame, build) -> DataFrame:
-    found = with_lines(files).filter(F.col("lines").isNotNull())
-    return (
-        found.select("repo", "path", F.explode(build(found)).alias("s"))
-        .select("repo", "path", "s.name", "s.line", "s.end_line", "s.tokens")
+def explode_symbols(files: DataFrame) -> DataFrame:
+    """Symbol rows (repo, path, name, line, end_line, tokens) of anything with `symbol_lines`."""
+    return files.select("repo", "path", F.explode("symbol_lines").alias("s")).select(
+        "repo", "path", "s.name", "s.line", "s.end_line", "s.tokens"
     )
 
 
 def symbol_spans(files: DataFrame, max_symbols: int = 16) -> DataFrame:
     """Symbols by pattern with end line and tokens."""
-    return _exploded(
-        files,
-        lambda f: span_hits(
-            symbol_hits(f["lines"], f["lang"], max_symbols), f["lines"], F.size(f["lines"]) - 1
-        ),
-    )
+    coded = with_lines(files).filter(F.col("lines").isNotNull())
+    return explode_symbols(coded.withColumn("symbol_lines", span_hits(max_symbols)))
 
 
 def toplevel_spans(files: DataFrame, max_symbols: int = 16) -> DataFrame:
     """Top-level declarations with exact spans, for the languages that have them."""
-    return _exploded(files, lambda f: toplevel_hits(f["lines"], f["lang"], max_symbols))
+    coded = with_lines(files).filter(F.col("lang").isin(*SPAN_PATTERNS))
+    return explode_symbols(coded.withColumn("symbol_lines", toplevel_hits(max_symbols)))
 
 
 def route_symbol_backend(files: DataFrame, opts: ScanOptions = ScanOptions()) -> DataFrame:
-    """Symbols by the method `file_symbols` picks for each file."""
-    return _exploded(files, lambda f: file_symbols(f["text"], f["lines"], f["lang"], opts))
+    """Symbols by the method `with_symbols` picks for each file."""
+    return explode_symbols(with_symbols(with_lines(files), opts))
 
 
 def top_symbols(symbols: DataFrame, n: int = 5) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from corpusmap.plans import scalars  # noqa: F401
+from corpusmap.plans import files, scalars  # noqa: F401
 from corpusmap.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
