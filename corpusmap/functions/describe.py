@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmap.functions.binding import let
 from corpusmap.functions.paths import base_name, detect_lang
 from corpusmap.functions.text import ellipsize, first_meaningful_line, trim_space
 
@@ -38,23 +39,36 @@ def _some(n: Column, *parts: Column | str) -> Column:
     return F.when(n > 0, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
 
+def _number(pattern: str, text: Column, one: str, many: str) -> Column:
+    """`N <noun>` for the hits of a pattern, null without hits."""
+    return let(
+        _count(text, pattern),
+        lambda n: _some(n, n.cast("string"), F.when(n > 1, many).otherwise(one)),
+    )
+
+
 def _blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    return let(text, lambda t: F.when(t != "", t))
+
+
+def _list(items: Column, shown: int) -> Column:
+    """The first items, and how many more there are."""
+    n = F.size(items)
+    return F.concat(
+        F.array_join(F.slice(items, 1, shown), ", "),
+        F.when(n > shown, F.concat(F.lit(" +"), (n - shown).cast("string"), F.lit(" more"))).otherwise(""),
+    )
 
 
 def describe_exports(text: Column) -> Column:
     """`Exports a, b, … +N more, default X`, null without exports."""
-    names = F.regexp_extract_all(text, F.lit(EXPORT), F.lit(1))
-    n = F.size(names)
-    default = F.regexp_extract(text, DEFAULT_EXPORT, 1)
-    return F.when(
-        n > 0,
-        F.concat(
-            F.lit("Exports "),
-            F.array_join(F.slice(names, 1, 5), ", "),
-            F.when(n > 5, F.concat(F.lit(" +"), (n - 5).cast("string"), F.lit(" more"))).otherwise(""),
-            F.when(default != "", F.concat(F.lit(", default "), default)).otherwise(""),
-        ),
+    default = let(
+        F.regexp_extract(text, DEFAULT_EXPORT, 1),
+        lambda d: F.when(d != "", F.concat(F.lit(", default "), d)).otherwise(""),
+    )
+    return let(
+        F.regexp_extract_all(text, F.lit(EXPORT), F.lit(1)),
+        lambda names: F.when(F.size(names) > 0, F.concat(F.lit("Exports "), _list(names, 5), default)),
     )
 
 
@@ -62,15 +76,9 @@ def describe_routes(text: Column) -> Column:
     """`Defines GET /x, …` for HTTP routes, null without routes; eight hits are looked at, four shown."""
     verbs = F.slice(F.regexp_extract_all(text, F.lit(ROUTE), F.lit(1)), 1, 8)
     targets = F.slice(F.regexp_extract_all(text, F.lit(ROUTE), F.lit(2)), 1, 8)
-    routes = F.array_distinct(F.zip_with(verbs, targets, lambda v, t: F.concat(F.upper(v), F.lit(" "), t)))
-    n = F.size(routes)
-    return F.when(
-        n > 0,
-        F.concat(
-            F.lit("Defines "),
-            F.array_join(F.slice(routes, 1, 4), ", "),
-            F.when(n > 4, F.concat(F.lit(" +"), (n - 4).cast("string"), F.lit(" more"))).otherwise(""),
-        ),
+    return let(
+        F.array_distinct(F.zip_with(verbs, targets, lambda v, t: F.concat(F.upper(v), F.lit(" "), t))),
+        lambda routes: F.when(F.size(routes) > 0, F.concat(F.lit("Defines "), _list(routes, 4))),
     )
 
 
@@ -81,8 +89,9 @@ def describe_schema(text: Column, base: Column) -> Column:
 
 def describe_class(text: Column) -> Column:
     """`Class X` for the first class."""
-    name = F.regexp_extract(text, CLASS, 1)
-    return F.when(name != "", F.concat(F.lit("Class "), name))
+    return let(
+        F.regexp_extract(text, CLASS, 1), lambda name: F.when(name != "", F.concat(F.lit("Class "), name))
+    )
 
 
 def describe_schema_or_class(text: Column, base: Column) -> Column:
@@ -92,71 +101,69 @@ def describe_schema_or_class(text: Column, base: Column) -> Column:
 
 def describe_python(text: Column) -> Column:
     """First line of the docstring, else counts of classes and functions."""
-    doc = trim_space(F.regexp_extract(text, PY_DOCSTRING, 1))
-    classes, funcs = _count(text, PY_CLASS), _count(text, PY_DEF)
     counts = F.concat_ws(
-        ", ",
-        _some(classes, classes.cast("string"), F.when(classes > 1, " classes").otherwise(" class")),
-        _some(funcs, funcs.cast("string"), " functions"),
+        ", ", _number(PY_CLASS, text, " class", " classes"), _number(PY_DEF, text, " functions", " functions")
+    )
+    return let(
+        trim_space(F.regexp_extract(text, PY_DOCSTRING, 1)),
+        lambda doc: F.when(doc != "", F.substring_index(doc, "\n", 1)).otherwise(_blank_to_null(counts)),
     )
-    return F.when(doc != "", F.substring_index(doc, "\n", 1)).otherwise(_blank_to_null(counts))
 
 
 def describe_go(text: Column) -> Column:
     """Package, handlers and functions."""
-    package = F.regexp_extract(text, GO_PACKAGE, 1)
-    handlers, funcs = _count(text, GO_HANDLER), _count(text, GO_FUNC)
+    package = let(
+        F.regexp_extract(text, GO_PACKAGE, 1), lambda p: F.when(p != "", F.concat(F.lit("package "), p))
+    )
     return _blank_to_null(
         F.concat_ws(
-            " · ",
-            F.when(package != "", F.concat(F.lit("package "), package)),
-            _some(handlers, handlers.cast("string"),
-                  F.when(handlers > 1, " HTTP handlers").otherwise(" HTTP handler")),
-            _some(funcs, funcs.cast("string"), " funcs"),
+            " · ", package, _number(GO_HANDLER, text, " HTTP handler", " HTTP handlers"),
+            _number(GO_FUNC, text, " funcs", " funcs"),
         )
     )
 
 
 def describe_rust(text: Column) -> Column:
     """Public items and modules."""
-    public, mods = _count(text, RS_PUBLIC), _count(text, RS_MOD)
     return _blank_to_null(
         F.concat_ws(
-            ", ",
-            _some(public, public.cast("string"), " public items"),
-            _some(mods, mods.cast("string"), " modules"),
+            ", ", _number(RS_PUBLIC, text, " public items", " public items"),
+            _number(RS_MOD, text, " modules", " modules"),
         )
     )
 
 
 def describe_json(text: Column) -> Column:
     """The description of a JSON document, else its name; only string values count."""
-    doc = F.try_parse_json(text)
 
-    def string_at(key: str) -> Column:
+    def string_at(doc: Column, key: str) -> Column:
         value = F.try_variant_get(doc, f"$.{key}", "variant")
         return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(doc, f"$.{key}", "string"))
 
-    return F.coalesce(string_at("description"), string_at("name"))
+    return let(
+        F.try_parse_json(text), lambda doc: F.coalesce(string_at(doc, "description"), string_at(doc, "name"))
+    )
 
 
 def describe_language(text: Column, path: Column, n: int = 140) -> Column:
     """Description by language, null when the file tells nothing special."""
-    lang = detect_lang(path)
-    base = base_name(path)
-    found = (
-        F.when(
-            lang.isin(*SCRIPT_LANGS),
-            F.coalesce(
-                describe_routes(text), describe_schema(text, base), describe_exports(text), describe_class(text)
-            ),
+
+    def by_lang(lang: Column) -> Column:
+        return (
+            F.when(
+                lang.isin(*SCRIPT_LANGS),
+                F.coalesce(
+                    describe_routes(text), describe_schema(text, base_name(path)), describe_exports(text),
+                    describe_class(text),
+                ),
+            )
+            .when(lang == "py", describe_python(text))
+            .when(lang == "go", describe_go(text))
+            .when(lang == "rs", describe_rust(text))
+            .when(lang == "json", describe_json(text))
         )
-        .when(lang == "py", describe_python(text))
-        .when(lang == "go", describe_go(text))
-        .when(lang == "rs", describe_rust(text))
-        .when(lang == "json", describe_json(text))
-    )
-    return ellipsize(found, n)
+
+    return ellipsize(let(detect_lang(path), by_lang), n)
 
 
 def describe(text: Column, path: Column, n: int = 140) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmap.functions.binding import let
+
 # File extension -> language tag.
 LANG_BY_EXT = {
     ".ts": "ts", ".tsx": "tsx", ".mts": "ts", ".cts": "ts",
@@ -39,8 +41,12 @@ def parent_dir(path: Column) -> Column:
 
 def prefixes(path: Column) -> Column:
     """A path and every directory above it, outermost first, without ''."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return let(
+        F.split(path, "/"),
+        lambda parts: F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
+        ),
+    )
 
 
 def dir_chain(directory: Column) -> Column:

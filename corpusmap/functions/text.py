@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmap.functions.binding import let
+
 # Characters per token by kind of text.
 CHARS_PER_TOKEN = {"code": 3.8, "prose": 4.2, "mixed": 4.0}
 
@@ -55,15 +57,20 @@ _MEANINGFUL = (
 
 def first_meaningful_line(text: Column, n: int) -> Column:
     """First line that is not blank, a comment or an import; cut to n characters plus an ellipsis."""
-    line = trim_space(F.regexp_extract(text, _MEANINGFUL, 1))
-    return F.when(F.length(line) > n, F.concat(F.substring(line, 1, n), F.lit("…"))).otherwise(line)
+    return let(
+        trim_space(F.regexp_extract(text, _MEANINGFUL, 1)),
+        lambda line: F.when(F.length(line) > n, F.concat(F.substring(line, 1, n), F.lit("…"))).otherwise(line),
+    )
 
 
 def ellipsize(text: Column, n: int, mark: str = "…") -> Column:
     """At most n characters; a longer text ends in the mark."""
-    return F.when(
-        F.length(text) > n, F.concat(F.substring(text, 1, n - len(mark)), F.lit(mark))
-    ).otherwise(text)
+    return let(
+        text,
+        lambda t: F.when(
+            F.length(t) > n, F.concat(F.substring(t, 1, n - len(mark)), F.lit(mark))
+        ).otherwise(t),
+    )
 
 
 def preview_length(n: int, max_file_bytes: int) -> int:

@@ -92,8 +92,9 @@ def audit_lines(files: DataFrame, rules: Sequence[AuditRule] = AUDIT_RULES) -> D
     kind = "array<struct<line_no:int,rule:string,layer:string,severity:string,line:string>>"
     none = F.array().cast(kind)
     all_found = F.concat(*[F.coalesce(f.cast(kind), none) for f in [*found, *named]])
+    # The outer form keeps Spark from testing for empty arrays first, which would scan each text twice.
     return (
-        suspect.select("repo", "path", F.explode(all_found).alias("f"))
+        suspect.select("repo", "path", F.explode_outer(all_found).alias("f")).filter(F.col("f").isNotNull())
         .select("repo", "path", "f.line_no", "f.rule", "f.layer", "f.severity", "f.line")
     )
 

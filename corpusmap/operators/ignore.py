@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmap.functions.binding import let
 from corpusmap.functions.paths import prefixes
 from corpusmap.operators.ranking import broadcast_if_small
 
@@ -85,10 +86,8 @@ def rule_blocks(rules: DataFrame) -> DataFrame:
 def candidates(path: Column, is_dir: Column | None = None) -> Column:
     """The path and the directories above it, each directory ending in a line end."""
     own = F.when(is_dir, F.lit("\n")).otherwise(F.lit("")) if is_dir is not None else F.lit("")
-    chain = prefixes(path)
-    return F.transform(
-        chain, lambda c, i: F.concat(c, F.when(i + 1 < F.size(chain), F.lit("\n")).otherwise(own))
-    )
+    last = F.concat(path, own)
+    return F.transform(prefixes(path), lambda c: F.when(c == path, last).otherwise(F.concat(c, F.lit("\n"))))
 
 
 def _any_ignored(cands: Column, blocks: Sequence[tuple[Column, Column]] | Column) -> Column:
@@ -125,11 +124,10 @@ def ignored_by(path: Column, patterns: Sequence[str], is_dir: Column | None = No
         runs[-1][1].append(parse_rule(F.lit(line)).re)
     if not runs:
         return F.lit(False)
-    cands = candidates(path, is_dir)
     if len(runs) == 1 and not runs[0][0]:
         re = F.concat_ws("|", *runs[0][1])
-        return F.exists(cands, lambda c: F.regexp_instr(c, re) > 0)
-    return _any_ignored(cands, [(F.lit(negate), F.concat_ws("|", *res)) for negate, res in runs])
+        return F.exists(candidates(path, is_dir), lambda c: F.regexp_instr(c, re) > 0)
+    return let(candidates(path, is_dir), lambda cands: _any_ignored(cands, [(F.lit(negate), F.concat_ws("|", *res)) for negate, res in runs]))
 
 
 def apply_ignore(files: DataFrame, rules: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
@@ -140,8 +138,10 @@ def apply_ignore(files: DataFrame, rules: DataFrame, limit_bytes: int = 64 << 20
     """
     blocks, _ = broadcast_if_small(rule_blocks(rules), limit_bytes)
     is_dir = F.col("is_dir") if "is_dir" in files.columns else None
-    cands = candidates(F.col("path"), is_dir)
-    ignored = F.exists("sources", lambda blocks: _any_ignored(cands, blocks))
+    ignored = let(
+        candidates(F.col("path"), is_dir),
+        lambda cands: F.exists("sources", lambda blocks: _any_ignored(cands, blocks)),
+    )
     return (
         files.join(blocks, "repo", "left")
         .filter(F.col("sources").isNull() | ~ignored)

@@ -214,24 +214,27 @@ def with_lines(files: DataFrame) -> DataFrame:
 
 def extract_symbols(files: DataFrame, max_symbols: int = 16) -> DataFrame:
     """Names declared in each file: (repo, path, name, line, pass, pos), pos counting in pattern order."""
-    found = with_lines(files).filter(F.col("lines").isNotNull()).select(
+    found = with_lines(files).filter(has_symbols(F.col("lang"))).select(
         "repo", "path", symbol_hits(max_symbols).alias("hits")
     )
-    return found.select("repo", "path", F.posexplode("hits").alias("pos", "hit")).select(
+    hits = found.select("repo", "path", F.posexplode_outer("hits").alias("pos", "hit"))
+    return hits.filter(F.col("hit").isNotNull()).select(
         "repo", "path", "hit.name", "hit.line", "hit.pass", (F.col("pos") + 1).alias("pos")
     )
 
 
 def explode_symbols(files: DataFrame) -> DataFrame:
-    """Symbol rows (repo, path, name, line, end_line, tokens) of anything with `symbol_lines`."""
-    return files.select("repo", "path", F.explode("symbol_lines").alias("s")).select(
-        "repo", "path", "s.name", "s.line", "s.end_line", "s.tokens"
-    )
+    """Symbol rows (repo, path, name, line, end_line, tokens) of anything with `symbol_lines`.
+
+    The outer form keeps Spark from testing for empty arrays first, which would compute each array twice.
+    """
+    rows = files.select("repo", "path", F.explode_outer("symbol_lines").alias("s")).filter(F.col("s").isNotNull())
+    return rows.select("repo", "path", "s.name", "s.line", "s.end_line", "s.tokens")
 
 
 def symbol_spans(files: DataFrame, max_symbols: int = 16) -> DataFrame:
     """Symbols by pattern with end line and tokens."""
-    coded = with_lines(files).filter(F.col("lines").isNotNull())
+    coded = with_lines(files).filter(has_symbols(F.col("lang")))
     return explode_symbols(coded.withColumn("symbol_lines", span_hits(max_symbols)))
 
 

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.session import checkpoint_dir
+from corpusmap.session import checkpoint_dir, spread
 
 NOW = "2024-02-01 12:30:45"
 EPOCH = "2024-01-01 00:00:00"
@@ -61,7 +61,7 @@ FILES_DOCS_SQL = f"""files_docs AS (
 
 
 def files_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("source").alias("repo"), F.expr(_DOC_PATH).alias("path"), "text", "doc_id",
         F.octet_length("text").cast("bigint").alias("size_bytes"),
         (ntz(EPOCH) + F.expr("make_dt_interval(0, 0, 0, doc_id)")).alias("mtime"),
@@ -92,7 +92,7 @@ def _orders_sql(name: str, path: str, text: str) -> str:
 
 
 def _orders_files(spark: SparkSession, sf_dir: str, path: str, text: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
         F.expr("concat('r', cast(o_custkey % 10 as string))").alias("repo"), "o_orderkey",
         F.expr(path).alias("path"), F.expr(text).alias("text"),
     ).select(

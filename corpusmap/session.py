@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +43,12 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if fallback is None:
         raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
     return fallback
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a table that comes in fewer parts than there are cores.
+
+    A small table is one file, hence one task; a large one has many parts and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmap.functions.binding import let
 from corpusmap.functions.text import split_lines, trim_space
 
 # Headings, and what separates the head of a table from its rows.
@@ -30,7 +31,7 @@ def read_documents(spark: SparkSession, root: str, name: str) -> DataFrame:
 def _records(docs: DataFrame, key: str) -> DataFrame:
     """The objects in an array of each document as (repo, seq, fields, v); broken documents give none."""
     items = F.try_variant_get(F.try_parse_json("text"), f"$.{key}", "array<variant>")
-    rows = docs.select("repo", F.posexplode(items).alias("seq", "v"))
+    rows = docs.select("repo", F.posexplode_outer(items).alias("seq", "v")).filter(F.col("v").isNotNull())
     return rows.withColumn("fields", F.from_json(F.to_json("v"), "map<string,string>"))
 
 
@@ -98,7 +99,7 @@ def is_table_row(line: Column) -> Column:
 def log_table_rows(docs: DataFrame) -> DataFrame:
     """Table rows of documents: (repo, row_no, row), verbatim."""
     rows = F.filter(numbered_lines(F.col("text")), lambda r: is_table_row(r["line"]))
-    return docs.select("repo", F.explode(rows).alias("r")).select(
+    return docs.select("repo", F.explode_outer(rows).alias("r")).filter(F.col("r").isNotNull()).select(
         "repo", F.col("r.line_no").alias("row_no"), F.col("r.line").alias("row")
     )
 
@@ -149,27 +150,27 @@ def parse_sections(docs: DataFrame) -> DataFrame:
     sections = F.concat(F.array(top), F.transform("heads", body))
     return (
         docs.withColumn("lines", numbered_lines(F.col("text"))).withColumn("heads", heads)
-        .select("repo", F.explode(sections).alias("s"))
-        .select("repo", "s.section_no", "s.heading", F.explode("s.body").alias("r"))
+        .select("repo", F.explode_outer(sections).alias("s"))
+        .select("repo", "s.section_no", "s.heading", F.explode_outer("s.body").alias("r"))
+        .filter(F.col("r").isNotNull())
         .select("repo", "section_no", "heading", "r.line_no", "r.line")
     )
 
 
 def section_of(text: Column, pattern: str) -> Column:
     """The first line that matches the pattern and what follows it up to the next `## ` or `---`; '' if none."""
-    lines = split_lines(text)
-    hits = F.filter(
-        F.transform(lines, lambda line, i: F.when(line.rlike(pattern), i + 1)), lambda n: n.isNotNull()
-    )
-    start = F.try_element_at(hits, F.lit(1))
-    ends = F.filter(
-        F.transform(lines, lambda line, i: F.when(line.rlike(SECTION_END) & (i + 1 > start), i + 1)),
-        lambda n: n.isNotNull(),
-    )
-    stop = F.coalesce(F.try_element_at(ends, F.lit(1)), F.size(lines) + 1)
-    return F.when(
-        start.isNull(), F.lit("")
-    ).otherwise(trim_space(F.array_join(F.slice(lines, start, stop - start), "\n")))
+    def cut(lines: Column) -> Column:
+        start = F.try_element_at(F.filter(lines, lambda r: r["line"].rlike(pattern)), F.lit(1))["line_no"]
+
+        def until(first: Column) -> Column:
+            rest = F.slice(lines, first + 1, F.size(lines))
+            end = F.try_element_at(F.filter(rest, lambda r: r["line"].rlike(SECTION_END)), F.lit(1))["line_no"]
+            part = F.slice(lines, first, F.coalesce(end, F.size(lines) + 1) - first)
+            return trim_space(F.array_join(F.transform(part, lambda r: r["line"]), "\n"))
+
+        return let(start, lambda first: F.when(first.isNull(), F.lit("")).otherwise(until(first)))
+
+    return let(numbered_lines(text), cut)
 
 
 def extract_section(docs: DataFrame, pattern: str) -> DataFrame:
