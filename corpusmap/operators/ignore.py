@@ -1,9 +1,10 @@
 """Ignore rules in gitignore style.
 
-A rule becomes one regular expression over a path in which a directory ends in a line end. So one search
-tells whether the rule hits a candidate, and neighbouring rules of the same sign merge into one expression.
 A file is dropped when the last matching rule of any candidate, itself or a directory above it, is not a
-negation: nothing under an ignored directory comes back.
+negation: nothing under an ignored directory comes back. A rule becomes two regular expressions. `re` tells
+whether the rule hits one candidate, in which a directory ends in a line end. `whole` tells from the path alone
+whether the rule hits any candidate; it decides where there are no negations. Neighbouring rules of the same
+sign merge into one expression.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ class Rule(NamedTuple):
     dir_only: Column
     anchored: Column
     re: Column
+    whole: Column
 
 
 def parse_rule(raw: Column) -> Rule:
@@ -48,7 +50,10 @@ def parse_rule(raw: Column) -> Rule:
     body = F.replace(body, F.lit("\x01"), F.when(anchored, F.lit(".*")).otherwise(F.lit(r"[^/\n]*")))
     head = F.when(anchored, F.lit("^")).otherwise(F.lit("(?:^|/)"))
     tail = F.when(dir_only, F.lit(r"[/\n]")).otherwise(F.lit(r"\n?\z"))
-    return Rule(keep, negate, dir_only, anchored, F.concat(head, body, tail))
+    any_tail = F.when(dir_only, F.lit("/")).otherwise(F.lit(r"(?:/|\z)"))
+    return Rule(
+        keep, negate, dir_only, anchored, F.concat(head, body, tail), F.concat(head, body, any_tail)
+    )
 
 
 def compile_rules(rule_lines: DataFrame) -> DataFrame:
@@ -57,21 +62,24 @@ def compile_rules(rule_lines: DataFrame) -> DataFrame:
     return rule_lines.filter(rule.keep).select(
         "repo", "source", "rule_no",
         rule.negate.alias("negate"), rule.dir_only.alias("dir_only"),
-        rule.anchored.alias("anchored"), rule.re.alias("re"),
+        rule.anchored.alias("anchored"), rule.re.alias("re"), rule.whole.alias("whole"),
     )
 
 
 def rule_blocks(rules: DataFrame) -> DataFrame:
     """One row per repository: for each source its rules in order, runs of one sign merged."""
     ordered = rules.groupBy("repo", "source").agg(
-        F.array_sort(F.collect_list(F.struct("rule_no", "negate", "re"))).alias("rules")
+        F.array_sort(F.collect_list(F.struct("rule_no", "negate", "re", "whole"))).alias("rules")
     )
-    kind = "array<struct<negate:boolean,re:string>>"
+    kind = "array<struct<negate:boolean,re:string,whole:string>>"
 
     def add(acc: Column, rule: Column) -> Column:
         last = F.element_at(acc, -1)
-        joined = F.struct(last["negate"].alias("negate"), F.concat(last["re"], F.lit("|"), rule["re"]).alias("re"))
-        fresh = F.struct(rule["negate"].alias("negate"), rule["re"].alias("re"))
+        joined = F.struct(
+            last["negate"].alias("negate"),
+            *[F.concat(last[c], F.lit("|"), rule[c]).alias(c) for c in ("re", "whole")],
+        )
+        fresh = F.struct(*[rule[c].alias(c) for c in ("negate", "re", "whole")])
         return F.when(
             (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["negate"] == rule["negate"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)),
@@ -90,6 +98,10 @@ def candidates(path: Column, is_dir: Column | None = None) -> Column:
     return F.transform(prefixes(path), lambda c: F.when(c == path, last).otherwise(F.concat(c, F.lit("\n"))))
 
 
+def _with_slash(path: Column, is_dir: Column | None) -> Column:
+    return path if is_dir is None else F.when(is_dir, F.concat(path, F.lit("/"))).otherwise(path)
+
+
 def _any_ignored(cands: Column, blocks: Sequence[tuple[Column, Column]] | Column) -> Column:
     """Whether some candidate's last matching block is not a negation."""
     start = F.transform(cands, lambda c: F.lit(False))
@@ -113,7 +125,7 @@ def ignored_by(path: Column, patterns: Sequence[str], is_dir: Column | None = No
 
     The patterns are literals, so Spark folds each run of them into one constant expression.
     """
-    runs: list[tuple[bool, list[Column]]] = []
+    runs: list[tuple[bool, list[Rule]]] = []
     for raw in patterns:
         line = raw.rstrip(" \t")
         if line.strip("/!\\") == "" or line.startswith("#"):
@@ -121,13 +133,12 @@ def ignored_by(path: Column, patterns: Sequence[str], is_dir: Column | None = No
         negate = line.startswith("!")
         if not runs or runs[-1][0] != negate:
             runs.append((negate, []))
-        runs[-1][1].append(parse_rule(F.lit(line)).re)
+        runs[-1][1].append(parse_rule(F.lit(line)))
     if not runs:
         return F.lit(False)
     if len(runs) == 1 and not runs[0][0]:
-        re = F.concat_ws("|", *runs[0][1])
-        return F.exists(candidates(path, is_dir), lambda c: F.regexp_instr(c, re) > 0)
-    return let(candidates(path, is_dir), lambda cands: _any_ignored(cands, [(F.lit(negate), F.concat_ws("|", *res)) for negate, res in runs]))
+        return F.rlike(_with_slash(path, is_dir), F.concat_ws("|", *[r.whole for r in runs[0][1]]))
+    return let(candidates(path, is_dir), lambda cands: _any_ignored(cands, [(F.lit(negate), F.concat_ws("|", *[r.re for r in rules])) for negate, rules in runs]))
 
 
 def apply_ignore(files: DataFrame, rules: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
@@ -138,10 +149,15 @@ def apply_ignore(files: DataFrame, rules: DataFrame, limit_bytes: int = 64 << 20
     """
     blocks, _ = broadcast_if_small(rule_blocks(rules), limit_bytes)
     is_dir = F.col("is_dir") if "is_dir" in files.columns else None
-    ignored = let(
-        candidates(F.col("path"), is_dir),
-        lambda cands: F.exists("sources", lambda blocks: _any_ignored(cands, blocks)),
-    )
+    path = F.col("path")
+
+    def by_source(blocks: Column) -> Column:
+        only_positive = (F.size(blocks) == 1) & ~blocks[0]["negate"]
+        return F.when(
+            only_positive, F.regexp_instr(_with_slash(path, is_dir), blocks[0]["whole"]) > 0
+        ).otherwise(let(candidates(path, is_dir), lambda cands: _any_ignored(cands, blocks)))
+
+    ignored = F.exists("sources", by_source)
     return (
         files.join(blocks, "repo", "left")
         .filter(F.col("sources").isNull() | ~ignored)
