@@ -76,13 +76,13 @@ def audit_lines(files: DataFrame, rules: Sequence[AuditRule] = AUDIT_RULES) -> D
             ),
         ),
     )
-    found = [
-        F.transform(
-            F.filter("hits", lambda r, rule=rule: r["text"].rlike(rule.pattern)),
-            lambda r, rule=rule: finding(rule, r["line_no"], trim_space(r["text"])),
+    def hits_of(rule: AuditRule):
+        return F.transform(
+            F.filter("hits", lambda r: r["text"].rlike(rule.pattern)),
+            lambda r: finding(rule, r["line_no"], trim_space(r["text"])),
         )
-        for rule in on_lines
-    ]
+
+    found = [hits_of(rule) for rule in on_lines]
     named = [
         F.when(
             base_name(F.col("path")).rlike(rule.pattern), F.array(finding(rule, F.lit(0), base_name(F.col("path"))))

@@ -271,7 +271,7 @@ def k9(spark, sf):
 # --- merges -----------------------------------------------------------------------------------------------
 
 # Target: the entries of even conversations, decorated. Source: all entries, so about half are known.
-_TARGET_LINE = "concat('* [2024-01-01]  ', upper(entry))"
+_TARGET_LINE = "concat('* [2024-01-01]  ', replace(replace(entry, ' ', '  '), 'e', 'E'))"
 
 
 def learned_lines(spark, sf):
