@@ -12,13 +12,23 @@ from corpusmap.streaming import activity as W
 from corpusmap.streaming import usage as U
 
 
-def as_stream(df: DataFrame, root: str, files: int = 4) -> DataFrame:
-    """The rows as a file stream of a few batches, oldest first, with TIMESTAMP event times."""
+def as_stream(df: DataFrame, root: str, batches: int = 4, files: int = 4) -> DataFrame:
+    """The rows as a file stream of a few batches in order of time, with TIMESTAMP event times.
+
+    The rows are cut at quantiles of their time, and each part is written apart as an equal number of files,
+    which the stream takes up together.
+    """
     for name, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(name, F.col(name).cast("timestamp"))
-    df.repartitionByRange(files, "ts").write.parquet(f"{root}/in")
-    stream = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    at = F.unix_micros("ts")
+    cuts = df.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)])).first()[0]
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = df if low is None else df.filter(at > low)
+        part = part if high is None else part.filter(at <= high)
+        part.repartition(files).write.mode("append").parquet(f"{root}/in")
+    stream = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files)
     return stream.parquet(f"{root}/in")
 
 

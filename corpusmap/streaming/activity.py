@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmap.functions.paths import to_posix
 from corpusmap.operators.access import action_log
@@ -30,46 +31,48 @@ def stream_change_bursts(changes: DataFrame, gap: str = "1 second", watermark: s
     )
 
 
-class RepeatedReads(StatefulProcessor):
-    """Remembers when a (session, file) was first read, and emits every later read of the next hours."""
+REPEATS = "session_id string, path string, ts timestamp, seq bigint"
 
-    def __init__(self, hours: int):
-        self.window = pd.Timedelta(hours=hours)
-        self.ttl_ms = hours * 3_600_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "ts timestamp", self.ttl_ms)
+def _later_reads(hours: int):
+    """The state function of one (session, file): its state is the time of the first read of the window."""
+    window = pd.Timedelta(hours=hours)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        reads = pd.concat(rows, ignore_index=True).sort_values(["ts", "seq"], ignore_index=True)
-        known = self.first.get()[0] if self.first.exists() else None
-        first = None if known is None else pd.Timestamp(known)
+    def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        reads = pd.concat(batches, ignore_index=True).sort_values(["ts", "seq"], ignore_index=True)
+        first = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        repeats = []
         while len(reads):
             if first is None:
-                first = reads["ts"].iloc[0]
-                self.first.update((first.to_pydatetime(),))
-                reads = reads.iloc[1:]
-            near = reads["ts"] - first < self.window
-            if near.any():
-                yield reads[near][["session_id", "path", "ts", "seq"]]
-            reads, first = reads[~near], None
+                first, reads = reads["ts"].iloc[0], reads.iloc[1:]
+            near = reads["ts"] - first < window
+            repeats.append(reads[near])
+            reads = reads[~near]
+            if len(reads):
+                first = None
+        state.update((int(first.value // 1000),))
+        end_ms = int((first + window).value // 1_000_000)
+        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.concat(repeats)[["session_id", "path", "ts", "seq"]]
 
-    def close(self) -> None:
-        pass
+    return emit
 
 
-def stream_repeated_reads(access: DataFrame, hours: int = FORGET_HOURS) -> DataFrame:
+def stream_repeated_reads(access: DataFrame, hours: int = FORGET_HOURS, watermark: str = WATERMARK) -> DataFrame:
     """Reads of a file that its session has read before, unless that is longer ago than `hours`.
 
-    The state is one time per (session, file), so a busy session is spread over many tasks. Expired state is
-    removed by its time to live.
+    The state is one time per (session, file), so a busy session is spread over many tasks. It is removed when
+    the watermark passes the end of its window.
     """
     reads = (
-        loggable_events(access).filter(F.col("op") == "read")
+        loggable_events(access).withWatermark("ts", watermark).filter(F.col("op") == "read")
         .select("session_id", to_posix(F.col("path")).alias("path"), "ts", "seq")
     )
-    return reads.groupBy("session_id", "path").transformWithStateInPandas(
-        RepeatedReads(hours), "session_id string, path string, ts timestamp, seq bigint", "append", "ProcessingTime"
+    return reads.groupBy("session_id", "path").applyInPandasWithState(
+        _later_reads(hours), REPEATS, "first_us bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
