@@ -79,8 +79,10 @@ def skip_reason(size_bytes: Column, text: Column, max_file_bytes: int) -> Column
 
 def classify_skipped(df: DataFrame, max_file_bytes: int = 65536) -> DataFrame:
     """Adds `skip_reason` and `skipped`; the file stays in the listing."""
-    if "skip_reason" not in df.columns:
-        df = df.withColumn("skip_reason", skip_reason(F.col("size_bytes"), F.col("text"), max_file_bytes))
+    reason = skip_reason(F.col("size_bytes"), F.col("text"), max_file_bytes)
+    if "skip_reason" in df.columns:
+        reason = F.coalesce("skip_reason", reason)
+    df = df.withColumn("skip_reason", reason)
     return df.withColumn("skipped", F.col("skip_reason").isNotNull())
 
 

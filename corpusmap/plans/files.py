@@ -364,7 +364,7 @@ def _export(spark, sf):
 SELECT repo, CAST(sum(length(text) + 1) AS BIGINT) AS chars,
        CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM files_docs GROUP BY repo""")
 def s2(spark, sf):
-    files = SF.read_text_files(spark, _export(spark, sf), ScanOptions(max_file_bytes=1 << 30))
+    files = SF.read_text_files(spark, _export(spark, sf), ScanOptions(max_file_bytes=1 << 30), plain=True)
     files = files.filter(F.col("path").endswith(".txt"))
     return files.groupBy(F.regexp_replace("repo", "^repo=", "").alias("repo")).agg(
         F.sum(F.length("text")).cast("bigint").alias("chars"),
