@@ -21,9 +21,7 @@ INDEX_VERSION = 1
 
 def read_documents(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The documents `<root>/<repo>/<name>` as (repo, text)."""
-    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", name
-    ).text(root)
+    docs = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
     parts = F.split(F.col("_metadata.file_path"), "/")
     return docs.select(F.element_at(parts, -2).alias("repo"), F.col("value").alias("text"))
 
