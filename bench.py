@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from corpusmap.plans import catalog
@@ -18,7 +19,7 @@ from corpusmap.session import builder
 HEADLINE = (
     "a1_build_index", "a1_build_index_docs", "a2_corpus_totals", "a3_dir_rollup", "a5_render_map", "c13_describe",
     "e1_repeated_reads", "e3_session_state", "e6_compaction_digest", "j1_drift", "j3_refresh_index", "k6_session_digest",
-    "l1_ledger_upsert", "m3_merge_bugs", "p3_apply_ignore", "q1_audit_lines", "t2_expand_schedule", "y1_extract_symbols",
+    "l1_ledger_upsert", "m3_merge_bugs", "p3_apply_ignore", "q1_audit_lines", "t3_due_tasks", "y1_extract_symbols",
     "y2_symbol_spans", "y3_toplevel_spans",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
@@ -35,6 +36,7 @@ def seconds(fn, spark, sf_dir: str) -> float:
         start = time.time()
         run(fn(spark, sf_dir))
         times.append(time.time() - start)
+    print(fn.__module__.rsplit(".", 1)[-1], fn.__name__, [round(t, 2) for t in times], file=sys.stderr, flush=True)
     return round(statistics.median(times), 3)
 
 

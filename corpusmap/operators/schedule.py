@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmap.functions.binding import let
 from corpusmap.functions.text import trim_space
 from corpusmap.operators.ranking import last_by
 
@@ -42,33 +43,46 @@ def _named(field: Column, names: dict[str, int]) -> Column:
 
 def _part_values(part: Column, low: int, high: int) -> Column:
     """Allowed values of one part, with the kind of mistake if there is one."""
-    base = F.regexp_extract(part, PART, 1)
-    step_text = F.regexp_extract(part, PART, 2)
-    step = F.when(step_text == "", 1).otherwise(F.coalesce(step_text.try_cast("int"), F.lit(1 << 20)))
     huge = F.lit(1 << 20)
-    first = F.coalesce(F.substring_index(base, "-", 1).try_cast("int"), huge)
-    last = F.coalesce(F.substring_index(base, "-", -1).try_cast("int"), huge)
-    star, is_range = base == "*", base.contains("-")
-    error = (
-        F.when(~part.rlike(PART), "invalid cron field")
-        .when(step < 1, "invalid cron step")
-        .when(is_range & ((first < low) | (last > high) | (first > last)), "invalid cron range")
-        .when(~star & ~is_range & ((first < low) | (first > high)), "cron value out of range")
-    )
-    values = (
-        F.when(error.isNotNull(), F.array().cast("array<int>"))
-        .when(star, F.sequence(F.lit(low), F.lit(high), step))
-        .when(is_range, F.sequence(first, last, step))
-        .otherwise(F.array(first))
-    )
-    return F.struct(values.alias("values"), error.alias("error"))
+
+    def number(text: Column) -> Column:
+        return F.coalesce(text.try_cast("int"), huge)
+
+    base, step_text = F.regexp_extract(part, PART, 1), F.regexp_extract(part, PART, 2)
+    read = let(base, lambda b: F.struct(
+        b.alias("base"), F.when(step_text == "", 1).otherwise(number(step_text)).alias("step"),
+        number(F.substring_index(b, "-", 1)).alias("first"), number(F.substring_index(b, "-", -1)).alias("last"),
+    ))
+
+    def judged(p: Column) -> Column:
+        star, is_range = p["base"] == "*", p["base"].contains("-")
+        return (
+            F.when(p["base"] == "", "invalid cron field")
+            .when(p["step"] < 1, "invalid cron step")
+            .when(is_range & ((p["first"] < low) | (p["last"] > high) | (p["first"] > p["last"])), "invalid cron range")
+            .when(~star & ~is_range & ((p["first"] < low) | (p["first"] > high)), "cron value out of range")
+        )
+
+    def allowed(p: Column, error: Column) -> Column:
+        return (
+            F.when(error.isNotNull(), F.array().cast("array<int>"))
+            .when(p["base"] == "*", F.sequence(F.lit(low), F.lit(high), p["step"]))
+            .when(p["base"].contains("-"), F.sequence(p["first"], p["last"], p["step"]))
+            .otherwise(F.array(p["first"]))
+        )
+
+    return let(read, lambda p: let(
+        judged(p), lambda error: F.struct(allowed(p, error).alias("values"), error.alias("error"))
+    ))
 
 
 def _field(text: Column, low: int, high: int) -> Column:
-    parts = F.transform(F.split(text, ","), lambda p: _part_values(p, low, high))
-    first_error = F.try_element_at(F.filter(parts, lambda p: p["error"].isNotNull()), F.lit(1))["error"]
-    values = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: p["values"]))))
-    return F.struct(values.alias("values"), F.concat(first_error, F.lit(": "), text).alias("error"))
+    def merged(parts: Column) -> Column:
+        first_error = F.try_element_at(F.filter(parts, lambda p: p["error"].isNotNull()), F.lit(1))["error"]
+        values = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: p["values"]))))
+        return F.struct(values.alias("values"), F.concat(first_error, F.lit(": "), text).alias("error"))
+
+    return let(F.transform(F.split(text, ","), lambda p: _part_values(p, low, high)), merged)
 
 
 def parse_schedules(tasks: DataFrame) -> DataFrame:
@@ -117,10 +131,12 @@ def expand_schedule(tasks: DataFrame, start: Column, end: Column) -> DataFrame:
     """
     days = F.sequence(start.cast("date"), end.cast("date"))
     at = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("h"), F.col("m"), F.lit(0))
+    # The outer forms keep Spark from parsing again to test for empty arrays; a valid task has none.
     return (
-        parse_schedules(tasks).filter(F.col("error").isNull())
-        .withColumn("day", F.explode(days)).filter(day_matches(F.col("day")))
-        .withColumn("h", F.explode("hour")).withColumn("m", F.explode("minute"))
+        parse_schedules(tasks)
+        .withColumn("day", F.explode_outer(F.when(F.col("error").isNull(), days)))
+        .filter(day_matches(F.col("day")))
+        .withColumn("h", F.explode_outer("hour")).withColumn("m", F.explode_outer("minute"))
         .select("repo", "id", at.alias("fire_at"))
         .filter(F.col("fire_at").between(start, end))
     )
