@@ -70,12 +70,9 @@ def usage_totals(ledger: DataFrame) -> DataFrame:
 
 def usage_report(ledger: DataFrame, n: int = 10) -> DataFrame:
     """The latest n sessions, each beside the totals of the whole ledger."""
-    totals = usage_totals(ledger).select(
-        F.col("sessions").alias("all_sessions"), F.col("measured_tokens").alias("all_measured"),
-        F.col("estimated_tokens").alias("all_estimated"), F.lit(1).alias("_one"),
-    )
-    latest = ledger_cap(ledger, n).withColumn("_one", F.lit(1))
-    return latest.join(F.broadcast(totals), "_one", "left").drop("_one")  # one row
+    totals = usage_totals(ledger)
+    names = {"sessions": "all_sessions", "measured_tokens": "all_measured", "estimated_tokens": "all_estimated"}
+    return ledger_cap(ledger, n).select("*", *[totals.select(c).scalar().alias(to) for c, to in names.items()])
 
 
 def digest_budget(agents: DataFrame, default: int | None = None, budgets: Mapping[str, int] | None = None) -> DataFrame:

@@ -386,9 +386,9 @@ def s9(spark, sf):
     for tag, keep in (("20240101-000000", "true"), ("20240102-000000", "doc_id % 3 = 0"),
                       ("20240103-000000", "doc_id % 2 = 1")):
         store.write_snapshot(docs.filter(keep), path, tag)
-    n = store.list_snapshots(spark, path).agg(F.count(F.lit(1)).cast("int").alias("n_snapshots"))
-    newest = store.read_snapshot(spark, path).select("repo", "path", "size_bytes").withColumn("k", F.lit(1))
-    return newest.join(F.broadcast(n.withColumn("k", F.lit(1))), "k").drop("k")  # one row
+    n = store.list_snapshots(spark, path).agg(F.count(F.lit(1)).cast("int"))
+    newest = store.read_snapshot(spark, path)
+    return newest.select("repo", "path", "size_bytes", n.scalar().alias("n_snapshots"))
 
 
 @query("s10_write_rendered", with_(CODE, INDEX_CODE_SQL) + """

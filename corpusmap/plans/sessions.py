@@ -189,9 +189,8 @@ SELECT session_id, measured_tokens, (SELECT count(*) FROM ledger) AS lifetime FR
 ORDER BY first_seen DESC, session_id DESC LIMIT 50""")
 def l2(spark, sf):
     whole = ledger(spark, sf)
-    lifetime = L.lifetime_sessions(whole).select(F.col("total_sessions").alias("lifetime"), F.lit(1).alias("k"))
-    kept = L.ledger_cap(whole, 50).select("session_id", "measured_tokens", F.lit(1).alias("k"))
-    return kept.join(F.broadcast(lifetime), "k").drop("k")  # one row
+    kept = L.ledger_cap(whole, 50)
+    return kept.select("session_id", "measured_tokens", L.lifetime_sessions(whole).scalar().alias("lifetime"))
 
 
 @query("l3_usage_report", with_(X.USAGE_SQL, LEDGER_SQL) + """

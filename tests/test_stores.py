@@ -175,10 +175,10 @@ def test_ledger(spark):
 
 
 def test_budget(spark):
-    agents = spark.createDataFrame([("claude",), (None,)], "agent string")
+    agents = spark.createDataFrame([("agent-a",), (None,)], "agent string")
     get = lambda df: [r.budget for r in df.orderBy(F.desc_nulls_last("agent")).collect()]
     assert get(L.digest_budget(agents)) == [1500, 1500]
-    assert get(L.digest_budget(agents, 900, {"claude": 400})) == [400, 900]
+    assert get(L.digest_budget(agents, 900, {"agent-a": 400})) == [400, 900]
 
 
 def test_prune(spark):
