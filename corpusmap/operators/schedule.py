@@ -85,43 +85,59 @@ def _field(text: Column, low: int, high: int) -> Column:
     return let(F.transform(F.split(text, ","), lambda p: _part_values(p, low, high)), merged)
 
 
+def parsed_expr(expr: Column) -> Column:
+    """An expression as one struct: minute, hour, dom, month and dow as sorted arrays, and error."""
+
+    def parts_of(text: Column) -> Column:
+        def part(i: int) -> Column:
+            raw = F.coalesce(F.try_element_at(F.split(text, r"\s+"), F.lit(i + 1)), F.lit(""))
+            return _named(raw, MONTHS) if i == 3 else _named(raw, WEEKDAYS) if i == 4 else raw
+
+        n = F.size(F.split(text, r"\s+"))
+        shape = F.when(n != 5, F.concat(F.lit("cron needs 5 fields, got "), n.cast("string"), F.lit(": "), text))
+        fields = F.array(*[_bound_field(part(i), i) for i in range(5)])
+
+        def merged(fs: Column) -> Column:
+            dow = F.array_sort(F.array_distinct(F.transform(fs[4]["values"], lambda d: F.pmod(d, F.lit(7)))))
+            return F.struct(
+                F.coalesce(shape, *[fs[i]["error"] for i in range(5)]).alias("error"),
+                *[fs[i]["values"].alias(FIELDS[i][0]) for i in range(4)], dow.alias("dow"),
+            )
+
+        return let(fields, merged)
+
+    given = trim_space(expr)
+    return let(F.coalesce(_table(SHORTHANDS)[F.lower(given)], given), parts_of)
+
+
+def _bound_field(text: Column, i: int) -> Column:
+    _, low, high = FIELDS[i]
+    return let(text, lambda t: _field(t, low, high))
+
+
 def parse_schedules(tasks: DataFrame) -> DataFrame:
     """Adds minute, hour, dom, month and dow as sorted arrays and `error`, null for a valid expression.
 
     Both 0 and 7 mean Sunday and come out as 0.
     """
-    given = trim_space(F.col("expr"))
-    expr = F.coalesce(_table(SHORTHANDS)[F.lower(given)], given)
-    split = tasks.withColumn("_f", F.split(expr, r"\s+"))
-    n = F.size("_f")
-
-    def text(i: int) -> Column:
-        raw = F.coalesce(F.try_element_at(F.col("_f"), F.lit(i + 1)), F.lit(""))
-        return _named(raw, MONTHS) if i == 3 else _named(raw, WEEKDAYS) if i == 4 else raw
-
-    for i, (name, low, high) in enumerate(FIELDS):
-        split = split.withColumn(f"_{name}", _field(text(i), low, high))
-    errors = [F.col(f"_{name}.error") for name, _, _ in FIELDS]
-    shape = F.when(n != 5, F.concat(F.lit("cron needs 5 fields, got "), n.cast("string"), F.lit(": "), expr))
-    split = split.withColumn("error", F.coalesce(shape, *errors))
-    for name, _, _ in FIELDS:
-        values = F.col(f"_{name}.values")
-        if name == "dow":
-            values = F.array_sort(F.array_distinct(F.transform(values, lambda d: F.pmod(d, F.lit(7)))))
-        split = split.withColumn(name, F.when(F.col("error").isNull(), values))
-    return split.drop("_f", *[f"_{name}" for name, _, _ in FIELDS])
-
-
-def day_matches(day: Column) -> Column:
+    parsed = tasks.withColumn("_p", parsed_expr(F.col("expr")))
+    valid = F.col("_p.error").isNull()
+    return parsed.select(
+        *tasks.columns, F.col("_p.error").alias("error"),
+        *[F.when(valid, F.col(f"_p.{name}")).alias(name) for name, _, _ in FIELDS],
+    )
+
+
+def day_matches(day: Column, dom: Column, month: Column, dow: Column) -> Column:
     """Whether a schedule allows a date. Where day of month and weekday are both limited, either is enough."""
-    dom_ok = F.array_contains("dom", F.dayofmonth(day))
-    dow_ok = F.array_contains("dow", (F.dayofweek(day) - 1).cast("int"))
-    dom_limited, dow_limited = F.size("dom") < 31, F.size("dow") < 7
+    dom_ok = F.array_contains(dom, F.dayofmonth(day))
+    dow_ok = F.array_contains(dow, (F.dayofweek(day) - 1).cast("int"))
+    dom_limited, dow_limited = F.size(dom) < 31, F.size(dow) < 7
     days = (
         F.when(dom_limited & dow_limited, dom_ok | dow_ok)
         .when(dom_limited, dom_ok).when(dow_limited, dow_ok).otherwise(F.lit(True))
     )
-    return F.array_contains("month", F.month(day)) & days
+    return F.array_contains(month, F.month(day)) & days
 
 
 def expand_schedule(tasks: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -135,7 +151,7 @@ def expand_schedule(tasks: DataFrame, start: Column, end: Column) -> DataFrame:
     return (
         parse_schedules(tasks)
         .withColumn("day", F.explode_outer(F.when(F.col("error").isNull(), days)))
-        .filter(day_matches(F.col("day")))
+        .filter(day_matches(F.col("day"), F.col("dom"), F.col("month"), F.col("dow")))
         .withColumn("h", F.explode_outer("hour")).withColumn("m", F.explode_outer("minute"))
         .select("repo", "id", at.alias("fire_at"))
         .filter(F.col("fire_at").between(start, end))
@@ -145,12 +161,16 @@ def expand_schedule(tasks: DataFrame, start: Column, end: Column) -> DataFrame:
 def due_tasks(tasks: DataFrame, now: Column) -> DataFrame:
     """Enabled tasks that fire in this minute and have not run in it."""
     minute = F.date_trunc("minute", now)
-    parsed = parse_schedules(tasks.filter("enabled")).filter(F.col("error").isNull())
-    return parsed.filter(
-        F.array_contains("minute", F.minute(now)) & F.array_contains("hour", F.hour(now))
-        & day_matches(now.cast("date"))
-        & (F.col("last_run").isNull() | (F.col("last_run") < minute))
-    ).select(*tasks.columns)
+
+    def fires(p: Column) -> Column:
+        return (
+            p["error"].isNull()
+            & F.array_contains(p["minute"], F.minute(now)) & F.array_contains(p["hour"], F.hour(now))
+            & day_matches(now.cast("date"), p["dom"], p["month"], p["dow"])
+        )
+
+    waiting = tasks.filter(F.col("enabled") & (F.col("last_run").isNull() | (F.col("last_run") < minute)))
+    return waiting.filter(let(parsed_expr(F.col("expr")), fires))
 
 
 def apply_task_changes(tasks: DataFrame, upserts: DataFrame, removals: DataFrame, runs: DataFrame) -> DataFrame:
