@@ -19,7 +19,7 @@ from corpusmap.session import builder
 HEADLINE = (
     "a1_build_index", "a1_build_index_docs", "a2_corpus_totals", "a3_dir_rollup", "a5_render_map", "c13_describe",
     "e1_repeated_reads", "e3_session_state", "e6_compaction_digest", "j1_drift", "j3_refresh_index", "k6_session_digest",
-    "l1_ledger_upsert", "m3_merge_bugs", "p3_apply_ignore", "q1_audit_lines", "t3_due_tasks", "y1_extract_symbols",
+    "l1_ledger_upsert", "m3_merge_bugs", "p3_apply_ignore", "q1_audit_lines", "y1_extract_symbols",
     "y2_symbol_spans", "y3_toplevel_spans",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "1"))
