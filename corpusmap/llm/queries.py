@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmap.llm.lines import line_dedup
+from corpusmap.llm.pii import BASE, as_text, count_of, find_pii
 from corpusmap.llm.quality import FIELDS as QUALITY
 from corpusmap.llm.quality import quality_rules
 
@@ -56,3 +57,13 @@ FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return done.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.text", 256).alias("kept_sha256"))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return found.select(
+        "doc_id", *[count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"),
+    )
