@@ -11,6 +11,7 @@ from corpusmap.llm.lines import line_dedup
 from corpusmap.llm.pii import BASE, as_text, count_of, find_pii
 from corpusmap.llm.quality import FIELDS as QUALITY
 from corpusmap.llm.quality import quality_rules
+from corpusmap.llm.toxicity import learn, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +68,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in BASE],
         F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"),
     )
+
+
+def remainder(doc_id, n: int):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    scored = toxicity(docs, learn(docs, labels)).withColumnRenamed("toxicity", "score")
+    return scored.select(
+        "doc_id", (F.coalesce(remainder("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
