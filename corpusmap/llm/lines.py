@@ -117,8 +117,10 @@ def line_dedup(
         runs.add(once.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")))
 
     found = stored.select("_k1", "_k2", F.posexplode("lines").alias("at", "h")).where(F.col("h").isNotNull())
+    # A written table: the join's side is then a plain scan, and Spark can split a hot line's rows over many tasks.
+    frequent = work.save(runs.frequent(), "frequent")
     drops = (
-        found.select("_k1", "_k2", "at", "h.h1", "h.h2").join(runs.frequent(), KEY, "left_semi")
+        found.select("_k1", "_k2", "at", "h.h1", "h.h2").join(frequent, KEY, "left_semi")
         .groupBy("_k1", "_k2").agg(F.collect_set("at").alias("_drops"))
     )
 
