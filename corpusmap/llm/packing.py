@@ -144,7 +144,9 @@ class Packer:
 
     def _pack(self, rows: pa.Table, close: bool) -> tuple[pa.Table, pa.Table]:
         sizes = rows.column("length").to_numpy()
-        bins, offsets, gaps = sum_of_squares(sizes, self.capacity)
+        order = np.argsort(-sizes, kind="stable")  # large pieces first leaves the fewest bins open
+        bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        bins[order], offsets[order], gaps = sum_of_squares(sizes[order], self.capacity)
         done = np.ones(len(gaps), bool) if close else gaps <= self.spare
         numbers = self.base + self.n + np.cumsum(done) - 1
         self.n += int(done.sum())

@@ -12,6 +12,7 @@ from corpusmap.llm.packing import pack
 from corpusmap.llm.pii import BASE, as_text, count_of, find_pii
 from corpusmap.llm.quality import FIELDS as QUALITY
 from corpusmap.llm.quality import quality_rules
+from corpusmap.llm.repeats import substring_dedup
 from corpusmap.llm.toxicity import learn, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,36 @@ def tokenizer_path() -> str:
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+REPEATS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM d WHERE len(w) >= 20
+), k AS (
+  SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 19], ' ')) AS key FROM s
+), r AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS n FROM k
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM r WHERE n > 1
+), t AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), j AS (
+  SELECT t.doc_id, t.pos, t.word, g.pos IS NOT NULL AS gone FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.pos = g.pos
+), a AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM j GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
+@query("op7_substring_dedup", REPEATS_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup(table(spark, sf_dir, "documents"), window=20)
+    return done.select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
