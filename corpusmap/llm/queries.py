@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmap.llm.hmm import score_texts
 from corpusmap.llm.lines import line_dedup
 from corpusmap.llm.packing import pack
 from corpusmap.llm.pii import BASE, as_text, count_of, find_pii
@@ -129,3 +130,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query("op1_hmm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return scored.select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
