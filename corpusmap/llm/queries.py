@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusmap.llm.hmm import score_texts
 from corpusmap.llm.lines import line_dedup
+from corpusmap.llm.near import near_duplicates
+from corpusmap.llm.neighbours import nearest
 from corpusmap.llm.packing import pack
 from corpusmap.llm.pii import BASE, as_text, count_of, find_pii
 from corpusmap.llm.quality import FIELDS as QUALITY
@@ -139,3 +141,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"),
         "n_tokens", "n_known", "train_tokens", "base_score", "score",
     )
+
+
+@query("op6_minhash_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
