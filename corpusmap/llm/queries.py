@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmap.llm.hmm import score_texts
 from corpusmap.llm.lines import line_dedup
+from corpusmap.llm.mixing import Target, mixture
 from corpusmap.llm.near import near_duplicates
 from corpusmap.llm.neighbours import nearest
 from corpusmap.llm.packing import pack
@@ -151,3 +152,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nearest_neighbours")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op3_source_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixture(docs, Target(entropy=1.0, max_repeat=4.0))
+    return mixed.select("doc_id", "source", "mix.n_tokens", "mix.copies", "mix.weight", "mix.exponent")
