@@ -27,13 +27,14 @@ FIRST = np.iinfo(np.int64).min
 
 def to_bytes(values: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed; the high planes of small numbers vanish."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def from_bytes(data: bytes, dtype) -> np.ndarray:
     dtype = np.dtype(dtype)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(dtype.itemsize, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    planes = planes.reshape(dtype.itemsize, len(planes) // dtype.itemsize)
     return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 

@@ -65,7 +65,10 @@ class Model:
 
     def table(self) -> np.ndarray:
         """Emissions of all classes and, last, of an unknown word."""
-        return np.vstack([self.emit * (1 - self.unknown), np.full((1, len(self.start)), self.unknown)])
+        known = self.emit * (1 - self.unknown)
+        if not self.n_ends:
+            known[END] = self.unknown
+        return np.vstack([known, np.full((1, len(self.start)), self.unknown)])
 
 
 # Blocks ---------------------------------------------------------------------------------------------------------

@@ -77,9 +77,9 @@ def _bisect(shares: DataFrame, good, low_is_good: bool) -> float:
 
 def exponent(shares: DataFrame, n_sources: int, target: Target) -> float:
     """1 keeps the shares, 0 makes all sources equal."""
-    x = 1.0
-    if n_sources < 2:
-        return x
+    if n_sources < 2 or target.entropy is None and target.max_repeat is None:
+        return 1.0
+    x = 0.0
     if target.entropy is not None:
         wanted = target.entropy * math.log(n_sources)
         x = _bisect(shares, lambda r: r["entropy"] >= wanted - 1e-12, low_is_good=True)
