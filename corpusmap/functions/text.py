@@ -73,17 +73,17 @@ def ellipsize(text: Column, n: int, mark: str = "…") -> Column:
     )
 
 
-def preview_length(n: int, max_file_bytes: int) -> int:
+def preview_length(n: int, max_file_bytes: int | None) -> int:
     """Length of a preview: at least 256, at most the file limit."""
-    return max(256, min(n, max_file_bytes))
+    return max(256, n if max_file_bytes is None else min(n, max_file_bytes))
 
 
-def preview(text: Column, n: int = 4096, max_file_bytes: int = 65536) -> Column:
+def preview(text: Column, n: int = 4096, max_file_bytes: int | None = None) -> Column:
     """Head of a text."""
     return F.substring(text, 1, preview_length(n, max_file_bytes))
 
 
-def preview_truncated(text: Column, n: int = 4096, max_file_bytes: int = 65536) -> Column:
+def preview_truncated(text: Column, n: int = 4096, max_file_bytes: int | None = None) -> Column:
     """Whether the preview leaves something out."""
     return F.length(text) > preview_length(n, max_file_bytes)
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.operators.filters import cap_files
+from corpusmap.operators.ignore import apply_ignore
 from corpusmap.operators.index import analyze_files, choose_files, dir_rollup
-from corpusmap.operators.ranking import broadcast_if_small, top_n
+from corpusmap.operators.ranking import top_n
 from corpusmap.options import ScanOptions
 
 KEY = ["repo", "path"]
@@ -94,17 +95,24 @@ def refresh_work(index: DataFrame, listing: DataFrame) -> DataFrame:
 
 def refresh_index(
     index: DataFrame, listing: DataFrame, files: DataFrame, opts: ScanOptions = ScanOptions(),
-    limit_bytes: int = 64 << 20,
+    gitignore: DataFrame | None = None,
 ) -> DataFrame:
     """The index of the listed files: unchanged rows reused, changed and new files analysed, deleted ones gone.
 
-    `reused` tells the two apart. The keys to analyse are broadcast to the texts when measured to be small.
+    `gitignore` holds the compiled rules of the repositories, as for `build_index`. `reused` tells the two kinds of
+    rows apart. Listing and index meet once; both kinds follow from that join.
     """
     listing = choose_files(listing, opts)
-    now = listing.select(*KEY, F.col("size_bytes").alias("new_size"), F.col("mtime").alias("new_mtime"))
-    same = _same(F.col("size_bytes"), F.col("mtime"), F.col("new_size"), F.col("new_mtime"))
-    reused = index.join(now, KEY, "inner").filter(same).select(*index.columns).withColumn("reused", F.lit(True))
-    work, _ = broadcast_if_small(refresh_work(index, listing), limit_bytes)
+    if gitignore is not None:
+        listing = apply_ignore(listing, gitignore)
+    columns = [c for c in index.columns if c != "left_out"]
+    old = index.select(*KEY, F.struct(*columns).alias("old"))
+    known = listing.select(*KEY, "size_bytes", "mtime").join(old, KEY, "left")
+    same = F.coalesce(
+        _same(F.col("old.size_bytes"), F.col("old.mtime"), F.col("size_bytes"), F.col("mtime")), F.lit(False))
+    known = known.select(*KEY, "old", same.alias("same"))
+    reused = known.filter("same").select("old.*").withColumn("reused", F.lit(True))
+    work = known.filter("NOT same").select(*KEY)
     fresh = analyze_files(files.join(work, KEY, "left_semi"), opts).withColumn("reused", F.lit(False))
     merged = reused.unionByName(fresh)
     return merged if opts.max_files is None else cap_files(merged, opts.max_files)

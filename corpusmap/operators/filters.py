@@ -20,8 +20,7 @@ SENSITIVE_BASENAMES = (
 ENV_FILE = r"^\.env(\.[A-Za-z0-9_-]+)?$"
 ENV_TEMPLATE_SUFFIXES = ("example", "sample", "template", "dist", "default")
 
-# How much of a file is looked at for a NUL byte, and the notes for files not analysed.
-SNIFF_BYTES = 8192
+# The notes for files not analysed.
 TOO_LARGE, UNREADABLE, BINARY = "[file too large]", "[unreadable]", "[binary]"
 
 STATE_DIR = ".corpusmap"
@@ -63,21 +62,21 @@ def valid_paths(df: DataFrame) -> DataFrame:
 
 
 def has_nul(text: Column) -> Column:
-    """Whether a decoded text has a NUL within its first bytes."""
-    at = F.instr(text, F.lit("\x00"))
-    return (at > 0) & (F.octet_length(F.substr(text, F.lit(1), at - 1)) < SNIFF_BYTES)
+    """Whether a decoded text has a NUL anywhere."""
+    return F.instr(text, F.lit("\x00")) > 0
 
 
-def skip_reason(size_bytes: Column, text: Column, max_file_bytes: int) -> Column:
+def skip_reason(size_bytes: Column, text: Column, max_file_bytes: int | None = None) -> Column:
     """Why a file is listed without analysis, null when it is analysed."""
+    too_large = F.lit(False) if max_file_bytes is None else size_bytes > max_file_bytes
     return (
-        F.when(size_bytes > max_file_bytes, F.lit(TOO_LARGE))
+        F.when(too_large, F.lit(TOO_LARGE))
         .when(text.isNull(), F.lit(UNREADABLE))
         .when(has_nul(text), F.lit(BINARY))
     )
 
 
-def classify_skipped(df: DataFrame, max_file_bytes: int = 65536) -> DataFrame:
+def classify_skipped(df: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
     """Adds `skip_reason` and `skipped`; the file stays in the listing."""
     reason = skip_reason(F.col("size_bytes"), F.col("text"), max_file_bytes)
     if "skip_reason" in df.columns:
@@ -87,8 +86,9 @@ def classify_skipped(df: DataFrame, max_file_bytes: int = 65536) -> DataFrame:
 
 
 def cap_files(df: DataFrame, max_files: int) -> DataFrame:
-    """The first files of each repository by path. `cap_report` counts the others."""
-    return top_n(df, ["repo"], [F.col("path")], max_files, salt_by=["path"])
+    """The first files of each repository by path, each row with the number of files `left_out` of its repository."""
+    report = cap_report(df, max_files).select("repo", F.col("skipped_files").alias("left_out"))
+    return top_n(df, ["repo"], [F.col("path")], max_files, salt_by=["path"]).join(report, "repo")
 
 
 def cap_report(df: DataFrame, max_files: int) -> DataFrame:

@@ -35,10 +35,10 @@ def update_all(
 
 def update_status(repos: DataFrame, index: DataFrame, now: Column) -> DataFrame:
     """One row per registered repository telling how its update went."""
-    totals = corpus_totals(index).select("repo", "files", "lines")
+    totals = corpus_totals(index).select("repo", "files", "lines", "truncated")
     zero = F.lit(0).cast("bigint")
-    ok = F.col("files").isNotNull()
+    ok = F.coalesce("files", zero) > 0
     return repos.select("repo", "name").join(totals, "repo", "left").select(
-        "repo", "name", F.when(ok, "ok").otherwise("no files").alias("status"),
+        "repo", "name", F.when(~ok, "no files").when(F.col("truncated"), "truncated").otherwise("ok").alias("status"),
         F.coalesce("files", zero).alias("files"), F.coalesce("lines", zero).alias("lines"), now.alias("at"),
     )

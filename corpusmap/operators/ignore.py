@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from corpusmap.functions.binding import let
 from corpusmap.functions.paths import prefixes
-from corpusmap.operators.ranking import broadcast_if_small
 
 # Signs a rule must not pass on as regular expression signs.
 REGEX_SIGNS = r"([.+^${}()|\[\]\\])"
@@ -66,6 +65,16 @@ def compile_rules(rule_lines: DataFrame) -> DataFrame:
     )
 
 
+def gitignore_lines(files: DataFrame) -> DataFrame:
+    """The rule lines (repo, source, rule_no, line) of the `.gitignore` at the root of each repository.
+
+    `files` has repo, path and text. Only the file at the root counts.
+    """
+    rules = files.filter(F.col("path") == ".gitignore").select(
+        "repo", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("at", "line"))
+    return rules.select("repo", F.lit("gitignore").alias("source"), (F.col("at") + 1).alias("rule_no"), "line")
+
+
 def rule_blocks(rules: DataFrame) -> DataFrame:
     """One row per repository: for each source its rules in order, runs of one sign merged."""
     ordered = rules.groupBy("repo", "source").agg(
@@ -141,13 +150,13 @@ def ignored_by(path: Column, patterns: Sequence[str], is_dir: Column | None = No
     return let(candidates(path, is_dir), lambda cands: _any_ignored(cands, [(F.lit(negate), F.concat_ws("|", *[r.re for r in rules])) for negate, rules in runs]))
 
 
-def apply_ignore(files: DataFrame, rules: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
+def apply_ignore(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop the paths ignored by the compiled rules of their own repository.
 
-    `files` needs repo and path, and may have is_dir. The rules are one row per repository; they are
-    broadcast only when measured to be small.
+    `files` needs repo and path, and may have is_dir. The rules are one row per repository; Spark decides by
+    their size how to join them.
     """
-    blocks, _ = broadcast_if_small(rule_blocks(rules), limit_bytes)
+    blocks = rule_blocks(rules)
     is_dir = F.col("is_dir") if "is_dir" in files.columns else None
     path = F.col("path")
 

@@ -15,8 +15,7 @@ from corpusmap.functions.text import (
 from corpusmap.operators.filters import (
     BINARY, cap_files, classify_skipped, is_hidden, is_sensitive, is_valid_path,
 )
-from corpusmap.operators.ignore import apply_ignore, ignored_by, rule_blocks
-from corpusmap.operators.ranking import broadcast_if_small
+from corpusmap.operators.ignore import apply_ignore, ignored_by
 from corpusmap.operators.symbols import _SPANS, has_symbols, with_symbols
 from corpusmap.options import ScanOptions
 
@@ -61,32 +60,31 @@ def analyze_files(files: DataFrame, opts: ScanOptions = ScanOptions(), keep: Seq
 
 def build_index(
     files: DataFrame, opts: ScanOptions = ScanOptions(), gitignore: DataFrame | None = None,
-    limit_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """The index of every repository: choose, drop ignored, analyse, cap.
+    """The index of every repository: choose, drop ignored, analyse; cap where `max_files` is given.
 
-    Texts are never shuffled. Rules of single repositories are broadcast to the texts when they are measured
-    to be small; else they are joined to the finished index rows, which are a fraction of the texts. The cap
-    also works on index rows.
+    `gitignore` holds the compiled rules of single repositories. They are one row per repository, and Spark decides
+    by their size how to join them. A capped index has the column `left_out`.
     """
     chosen = choose_files(files, opts)
-    if gitignore is None:
-        index = analyze_files(chosen, opts)
-    else:
-        _, small = broadcast_if_small(rule_blocks(gitignore), limit_bytes)
-        if small:
-            index = analyze_files(apply_ignore(chosen, gitignore, limit_bytes), opts)
-        else:
-            index = apply_ignore(analyze_files(chosen, opts), gitignore, limit_bytes)
+    if gitignore is not None:
+        chosen = apply_ignore(chosen, gitignore)
+    index = analyze_files(chosen, opts)
     return index if opts.max_files is None else cap_files(index, opts.max_files)
 
 
 def corpus_totals(index: DataFrame, max_files: int | None = None) -> DataFrame:
-    """Totals per repository. Given the rows before the cap and `max_files`, also what the cap left out."""
+    """Totals per repository, with what a cap left out of a capped index.
+
+    Given the rows before a cap and `max_files`, they tell what that cap would leave out.
+    """
     n = F.count(F.lit(1))
+    capped = "left_out" in index.columns
     over = F.greatest(n - max_files, F.lit(0)).cast("bigint") if max_files else F.lit(0).cast("bigint")
+    if capped:
+        over = F.coalesce(F.max("left_out"), F.lit(0)).cast("bigint")
     return index.groupBy("repo").agg(
-        (n - over).alias("files"),
+        (n if capped else n - over).alias("files"),
         F.sum("lines").alias("lines"),
         F.sum("size_bytes").alias("bytes"),
         F.sum("tokens").alias("tokens"),
@@ -126,9 +124,9 @@ def file_digest(
 ) -> DataFrame:
     """What is known of each requested (repo, path): existence, measures, symbols and a preview.
 
-    The wanted texts are found by a broadcast of the requests when those are measured to be small.
+    Spark decides by the size of the requests how to find the wanted texts.
     """
-    wanted, _ = broadcast_if_small(requests.select("repo", "path").filter(is_valid_path(F.col("path"))).distinct())
+    wanted = requests.select("repo", "path").filter(is_valid_path(F.col("path"))).distinct()
     found = files.join(wanted, ["repo", "path"], "left_semi")
     reason, text = F.col("skip_reason"), F.col("text")
     headed = (

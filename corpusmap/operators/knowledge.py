@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from corpusmap.functions.text import ellipsize, one_line
 from corpusmap.operators.ranking import last_by, number_rows, top_n
 
-# Default section, longest error and fix, and the sizes of the short lists.
+# Default section and the sizes of the short lists.
 DEFAULT_SECTION = "Preferences"
 DO_NOT_REPEAT = "Do-Not-Repeat"
-ERROR_CHARS, FIX_CHARS = 500, 2000
 RECENT_ENTRIES, RECENT_BUGS, SEARCH_HITS, VIEW_BUGS = 10, 5, 10, 50
 BUG_LINE_CHARS = 140
 
@@ -45,8 +44,6 @@ def number_bugs(bugs: DataFrame, new: DataFrame, slice_by: str = "hour") -> Data
     return (
         numbered.join(known, "repo", "left")
         .withColumn("id", bug_id(total, F.col("at")))
-        .withColumn("error_message", F.substring("error_message", 1, ERROR_CHARS))
-        .withColumn("fix", F.substring("fix", 1, FIX_CHARS))
         .drop("n", "known")
     )
 

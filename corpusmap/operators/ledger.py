@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from corpusmap.functions.text import usage_total
 from corpusmap.operators.ranking import top_n
 
-# Rows kept in a ledger, and the budget of a digest when nothing else is configured.
-LEDGER_ROWS = 500
+# Fixed value: the budget of a digest when nothing else is configured.
 DEFAULT_BUDGET = 1500
 
 
@@ -24,37 +23,52 @@ def measured_usage(usage: DataFrame) -> DataFrame:
     )
 
 
-def ledger_upsert(ledger: DataFrame, usage: DataFrame) -> DataFrame:
-    """The ledger after new usage: the latest value of each session wins, a missing agent keeps the known one.
-
-    One aggregate over old rows and new events; both sides combine before the shuffle.
-    """
-    first = F.lit(-1).cast("bigint")
-    old = ledger.select(
-        "session_id", "agent", "measured_tokens", "estimated_tokens", "first_seen", "at", first.alias("seq")
-    )
-    new = measured_usage(usage).select(
+def usage_rows(usage: DataFrame) -> DataFrame:
+    """Usage events as ledger rows, one per event."""
+    return measured_usage(usage).select(
         "session_id", "agent", "measured_tokens", F.lit(None).cast("bigint").alias("estimated_tokens"),
-        F.col("ts").alias("first_seen"), F.col("ts").alias("at"), "seq",
+        F.col("ts").alias("first_seen"), F.col("ts").alias("at"), F.col("seq").cast("bigint").alias("seq"),
     )
+
+
+def fold_ledger(rows: DataFrame) -> DataFrame:
+    """One row per session: its latest value by time and sequence number, the latest agent known, the earliest sight.
+
+    The result does not depend on how the rows were cut into batches.
+    """
     moment = F.struct("at", "seq")
-    return old.unionByName(new).groupBy("session_id").agg(
+    return rows.groupBy("session_id").agg(
         F.max_by("agent", F.when(F.col("agent").isNotNull(), moment)).alias("agent"),
         F.max_by("measured_tokens", moment).alias("measured_tokens"),
         F.max("estimated_tokens").alias("estimated_tokens"),
         F.min("first_seen").alias("first_seen"),
-        F.max("at").alias("at"),
+        F.max(moment).alias("last"),
+    ).select(
+        "session_id", "agent", "measured_tokens", "estimated_tokens", "first_seen",
+        F.col("last.at").alias("at"), F.col("last.seq").alias("seq"),
     )
 
 
-def ledger_cap(ledger: DataFrame, rows: int = LEDGER_ROWS, keys: Sequence[str] = ()) -> DataFrame:
-    """The newest sessions by first sight, of the whole ledger or of each group."""
+def ledger_upsert(ledger: DataFrame, usage: DataFrame) -> DataFrame:
+    """The ledger after new usage: the latest value of each session wins, a missing agent keeps the known one.
+
+    One aggregate over old rows and new events; both sides combine before the shuffle. A ledger without `seq`
+    counts as older than events of the same time.
+    """
+    seq = F.coalesce("seq", F.lit(-1)) if "seq" in ledger.columns else F.lit(-1)
+    old = ledger.withColumn("seq", seq.cast("bigint"))
+    new = usage_rows(usage)
+    return fold_ledger(old.select(*new.columns).unionByName(new))
+
+
+def ledger_cap(ledger: DataFrame, rows: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The newest sessions by first sight, of the whole ledger or of each group: for reports, not for storing."""
     order = [F.desc("first_seen"), F.desc("session_id")]
     return top_n(ledger, list(keys), order, rows, salt_by=["session_id"])
 
 
 def lifetime_sessions(ledger: DataFrame) -> DataFrame:
-    """Number of sessions ever seen, taken before the cap."""
+    """Number of sessions ever seen; the stored ledger keeps all of them."""
     return ledger.agg(F.count_distinct("session_id").alias("total_sessions"))
 
 

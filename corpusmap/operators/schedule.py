@@ -22,7 +22,6 @@ SHORTHANDS = {
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("dom", 1, 31), ("month", 1, 12), ("dow", 0, 7))
 PART = r"^(\*|\d+-\d+|\d+)(?:/(\d+))?$"
 NAME_RANGE = r"^([a-zA-Z]{3})-([a-zA-Z]{3})$"
-DETAIL_CHARS = 300
 
 
 def _table(values: dict) -> Column:
@@ -115,12 +114,18 @@ def _bound_field(text: Column, i: int) -> Column:
     return let(text, lambda t: _field(t, low, high))
 
 
+def _parsed(tasks: DataFrame) -> DataFrame:
+    """Each distinct expression, parsed once: (_expr, _p)."""
+    return tasks.select(F.col("expr").alias("_expr")).distinct().withColumn("_p", parsed_expr(F.col("_expr")))
+
+
 def parse_schedules(tasks: DataFrame) -> DataFrame:
     """Adds minute, hour, dom, month and dow as sorted arrays and `error`, null for a valid expression.
 
-    Both 0 and 7 mean Sunday and come out as 0.
+    Both 0 and 7 mean Sunday and come out as 0. Many tasks share few expressions, so these are parsed and joined.
     """
-    parsed = tasks.withColumn("_p", parsed_expr(F.col("expr")))
+    found = _parsed(tasks)
+    parsed = tasks.join(found, tasks["expr"].eqNullSafe(found["_expr"]), "left")
     valid = F.col("_p.error").isNull()
     return parsed.select(
         *tasks.columns, F.col("_p.error").alias("error"),
@@ -143,19 +148,19 @@ def day_matches(day: Column, dom: Column, month: Column, dow: Column) -> Column:
 def expand_schedule(tasks: DataFrame, start: Column, end: Column) -> DataFrame:
     """Every minute from start up to and including end at which a valid task fires: (repo, id, fire_at).
 
-    Days are tested first; only allowed days get hours and minutes, and only the allowed ones.
+    Times are found once per distinct expression: days are tested first, and only allowed days get hours and minutes.
     """
     days = F.sequence(start.cast("date"), end.cast("date"))
     at = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("h"), F.col("m"), F.lit(0))
-    # The outer forms keep Spark from parsing again to test for empty arrays; a valid task has none.
-    return (
-        parse_schedules(tasks)
-        .withColumn("day", F.explode_outer(F.when(F.col("error").isNull(), days)))
-        .filter(day_matches(F.col("day"), F.col("dom"), F.col("month"), F.col("dow")))
-        .withColumn("h", F.explode_outer("hour")).withColumn("m", F.explode_outer("minute"))
-        .select("repo", "id", at.alias("fire_at"))
+    valid = _parsed(tasks).filter(F.col("_p.error").isNull())
+    times = (
+        valid.withColumn("day", F.explode(days))
+        .filter(day_matches(F.col("day"), F.col("_p.dom"), F.col("_p.month"), F.col("_p.dow")))
+        .withColumn("h", F.explode("_p.hour")).withColumn("m", F.explode("_p.minute"))
+        .select("_expr", at.alias("fire_at"))
         .filter(F.col("fire_at").between(start, end))
     )
+    return tasks.join(times, tasks["expr"] == times["_expr"]).select("repo", "id", "fire_at")
 
 
 def due_tasks(tasks: DataFrame, now: Column) -> DataFrame:
@@ -170,7 +175,8 @@ def due_tasks(tasks: DataFrame, now: Column) -> DataFrame:
         )
 
     waiting = tasks.filter(F.col("enabled") & (F.col("last_run").isNull() | (F.col("last_run") < minute)))
-    return waiting.filter(let(parsed_expr(F.col("expr")), fires))
+    firing = _parsed(tasks).filter(fires(F.col("_p")))
+    return waiting.join(firing, waiting["expr"] == firing["_expr"], "left_semi")
 
 
 def apply_task_changes(tasks: DataFrame, upserts: DataFrame, removals: DataFrame, runs: DataFrame) -> DataFrame:
@@ -187,5 +193,5 @@ def apply_task_changes(tasks: DataFrame, upserts: DataFrame, removals: DataFrame
         *[c for c in tasks.columns if c not in ("last_run", "last_status", "last_detail")],
         F.coalesce("ran_at", "last_run").alias("last_run"),
         F.coalesce("ran_status", "last_status").alias("last_status"),
-        F.coalesce(F.substring("ran_detail", 1, DETAIL_CHARS), F.col("last_detail")).alias("last_detail"),
+        F.coalesce("ran_detail", "last_detail").alias("last_detail"),
     )

@@ -1,11 +1,11 @@
 """Symbols of source files, found inside each row: no shuffle, no per-line rows.
 
-A file is bounded by `ScanOptions.max_file_bytes`, so its lines fit an array.
+A file's lines are an array, so a file must fit in a task. All symbols are kept unless `max_symbols` is given.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.functions.paths import detect_lang
@@ -103,7 +103,7 @@ def _name_sql(pattern: str) -> str:
     return f"concat({first}, regexp_extract(r.text, r'{pattern}', 2))" if pattern is _SCRIPT[0] else first
 
 
-def _hits_sql(max_symbols: int) -> str:
+def _hits_sql(max_symbols: int | None) -> str:
     likely = _by_lang(
         SYMBOL_PATTERNS, lambda ps: "t RLIKE r'" + "|".join(f"(?:{p})" for p in ps) + "'", "false"
     )
@@ -121,13 +121,21 @@ def _hits_sql(max_symbols: int) -> str:
         )
 
     found = ", ".join(hits(n) for n in range(passes))
-    return f"""aggregate(
-      transform(array({rows}), rows -> concat({found}))[0], CAST(array() AS {_HITS}),
-      (acc, h) -> IF(size(acc) >= {max_symbols} OR exists(acc, a -> a.name = h.name), acc, concat(acc, array(h))))"""
+    every = f"transform(array({rows}), rows -> concat({found}))[0]"
+    # Each name where it is found first; positions in an array of names, so that no array grows step by step.
+    once = (
+        f"transform(array({every}), hits -> transform(array(transform(hits, h -> h.name)), "
+        "names -> filter(hits, (h, i) -> array_position(names, h.name) = i + 1))[0])[0]"
+    )
+    return f"CAST({_first_sql(once, max_symbols)} AS {_HITS})"
+
 
+def _first_sql(array: str, n: int | None) -> str:
+    return array if n is None else f"slice({array}, 1, {n})"
 
-def symbol_hits(max_symbols: int = 16) -> Column:
-    """Declared names with line and pattern number, in pattern order, each name once, capped."""
+
+def symbol_hits(max_symbols: int | None = None) -> Column:
+    """Declared names with line and pattern number, in pattern order, each name once."""
     return F.expr(_hits_sql(max_symbols))
 
 
@@ -135,7 +143,7 @@ def _tokens_sql(chars: str) -> str:
     return f"greatest(1L, CAST(ceil(({chars}) / 4.0D) AS BIGINT))"
 
 
-def _spans_sql(max_symbols: int) -> str:
+def _spans_sql(max_symbols: int | None) -> str:
     end = "greatest(h.line, coalesce(get(hits, i + 1).line - 1, size(lines) - 1))"
     return f"""transform(
       array(array_sort(transform({_hits_sql(max_symbols)}, h -> named_struct('line', h.line, 'name', h.name)))),
@@ -144,7 +152,7 @@ def _spans_sql(max_symbols: int) -> str:
           {_tokens_sql("length(array_join(slice(lines, s.line, s.end_line - s.line + 1), '\\n'))")})))[0]"""
 
 
-def span_hits(max_symbols: int = 16) -> Column:
+def span_hits(max_symbols: int | None = None) -> Column:
     """Symbols by pattern with end line and tokens: one reaches to the line before the next, the last to the end.
 
     The spans do not overlap, so together they touch each line once.
@@ -152,7 +160,7 @@ def span_hits(max_symbols: int = 16) -> Column:
     return F.expr(_spans_sql(max_symbols)).cast(_SPANS)
 
 
-def toplevel_hits(max_symbols: int = 16) -> Column:
+def toplevel_hits(max_symbols: int | None = None) -> Column:
     """Top-level declarations with exact spans, from indentation.
 
     A declaration ends at the next line on the left margin if that line only closes a bracket, else at the
@@ -170,8 +178,8 @@ def toplevel_hits(max_symbols: int = 16) -> Column:
     end = f"""CASE WHEN get(margin, i + 1) IS NULL THEN get(solid, size(solid) - 1).line
       WHEN get(margin, i + 1).text RLIKE r'{CLOSING_LINE}' THEN get(margin, i + 1).line
       ELSE greatest(r.line, get(margin, i + 1).prev) END"""
-    named = f"""slice(filter(transform(margin, (r, i) -> named_struct(
-      'name', {name}, 'line', r.line, 'end_line', {end}, 'text', r.text)), s -> s.name <> ''), 1, {max_symbols})"""
+    named = _first_sql(f"""filter(transform(margin, (r, i) -> named_struct(
+      'name', {name}, 'line', r.line, 'end_line', {end}, 'text', r.text)), s -> s.name <> '')""", max_symbols)
     body = "rtrim(array_join(slice(lines, s.line, s.end_line - s.line + 1), '\\n'))"
     outside = f"length(regexp_extract(s.text, r'{EXPORT_PREFIX}', 0))"
     measured = f"""transform({named}, s -> named_struct('name', s.name, 'line', s.line, 'end_line', s.end_line,
@@ -184,17 +192,14 @@ def toplevel_hits(max_symbols: int = 16) -> Column:
 def with_symbols(files: DataFrame, opts: ScanOptions = ScanOptions()) -> DataFrame:
     """Adds `symbol_lines` by the chosen method to files with `text`, `lang` and `lines`.
 
-    Spans serve large files of the languages that have them, the patterns serve the others and files in which
-    spans find nothing. Files whose `lines` is null have no symbols.
+    Spans serve the languages that have them, the patterns serve the others and files in which spans find
+    nothing. Files whose `lines` is null have no symbols.
     """
     none = F.array().cast(_SPANS)
     if opts.symbol_backend == "regex":
         spans = F.lit(None).cast(_SPANS)
     else:
-        wanted = F.col("lang").isin(*SPAN_PATTERNS)
-        if opts.symbol_backend == "auto":
-            wanted = wanted & (F.length("text") >= opts.symbol_threshold_tokens * 4)
-        spans = F.when(wanted, toplevel_hits(opts.max_symbols))
+        spans = F.when(F.col("lang").isin(*SPAN_PATTERNS), toplevel_hits(opts.max_symbols))
     known = F.col("lines").isNotNull()
     # One column per step keeps Spark from computing the spans once for the test and once for the value.
     stepped = files.withColumn("_spans", F.when(known, spans))
@@ -212,7 +217,7 @@ def with_lines(files: DataFrame) -> DataFrame:
     return files.withColumn("lines", F.when(has_symbols(F.col("lang")), split_lines(F.col("text"))))
 
 
-def extract_symbols(files: DataFrame, max_symbols: int = 16) -> DataFrame:
+def extract_symbols(files: DataFrame, max_symbols: int | None = None) -> DataFrame:
     """Names declared in each file: (repo, path, name, line, pass, pos), pos counting in pattern order."""
     found = with_lines(files).filter(has_symbols(F.col("lang"))).select(
         "repo", "path", symbol_hits(max_symbols).alias("hits")
@@ -232,13 +237,18 @@ def explode_symbols(files: DataFrame) -> DataFrame:
     return rows.select("repo", "path", "s.name", "s.line", "s.end_line", "s.tokens")
 
 
-def symbol_spans(files: DataFrame, max_symbols: int = 16) -> DataFrame:
-    """Symbols by pattern with end line and tokens."""
+def with_symbol_spans(files: DataFrame, max_symbols: int | None = None) -> DataFrame:
+    """The files whose language has patterns, with `symbol_lines`, their symbols by pattern."""
     coded = with_lines(files).filter(has_symbols(F.col("lang")))
-    return explode_symbols(coded.withColumn("symbol_lines", span_hits(max_symbols)))
+    return coded.withColumn("symbol_lines", span_hits(max_symbols))
 
 
-def toplevel_spans(files: DataFrame, max_symbols: int = 16) -> DataFrame:
+def symbol_spans(files: DataFrame, max_symbols: int | None = None) -> DataFrame:
+    """Symbols by pattern with end line and tokens."""
+    return explode_symbols(with_symbol_spans(files, max_symbols))
+
+
+def toplevel_spans(files: DataFrame, max_symbols: int | None = None) -> DataFrame:
     """Top-level declarations with exact spans, for the languages that have them."""
     coded = with_lines(files).filter(F.col("lang").isin(*SPAN_PATTERNS))
     return explode_symbols(coded.withColumn("symbol_lines", toplevel_hits(max_symbols)))
@@ -249,15 +259,18 @@ def route_symbol_backend(files: DataFrame, opts: ScanOptions = ScanOptions()) ->
     return explode_symbols(with_symbols(with_lines(files), opts))
 
 
-def top_symbols(symbols: DataFrame, n: int = 5) -> DataFrame:
-    """The largest symbols of each file, ties by line. A file's symbols are few, see `max_symbols`."""
-    w = Window.partitionBy("repo", "path").orderBy(F.desc("tokens"), "line", "name")
-    return symbols.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+def top_symbols(files: DataFrame, n: int = 5) -> DataFrame:
+    """The n largest symbols of each file with their `rank`, ties by line: picked inside the row of the file."""
+    largest = F.slice(F.array_sort(F.transform("symbol_lines", lambda s: F.struct(
+        (-s["tokens"]).alias("less"), s["line"].alias("line"), s["name"].alias("name"),
+        s["end_line"].alias("end_line"), s["tokens"].alias("tokens")))), 1, n)
+    rows = files.select("repo", "path", F.posexplode_outer(largest).alias("at", "s")).filter(F.col("s").isNotNull())
+    return rows.select("repo", "path", "s.name", "s.line", "s.end_line", "s.tokens", (F.col("at") + 1).alias("rank"))
 
 
-def symbol_lists(symbols: DataFrame, n: int) -> DataFrame:
-    """The names of each file in line order, the first n."""
-    ordered = F.array_sort(F.collect_list(F.struct("line", "name")))
-    return symbols.groupBy("repo", "path").agg(
-        F.transform(F.slice(ordered, 1, n), lambda s: s["name"]).alias("symbols")
-    )
+def symbol_lists(files: DataFrame, n: int | None = None) -> DataFrame:
+    """The names of each file that has symbols, in line order, all or the first n."""
+    ordered = F.array_sort(F.transform("symbol_lines", lambda s: F.struct(s["line"].alias("line"), s["name"].alias("name"))))
+    names = F.transform(ordered, lambda s: s["name"])
+    named = files.select("repo", "path", (names if n is None else F.slice(names, 1, n)).alias("symbols"))
+    return named.filter(F.size("symbols") > 0)

@@ -13,15 +13,17 @@ DEFAULT_IGNORE = (
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """How files are chosen and analysed; one instance serves every repository of a job."""
+    """How files are chosen and analysed; one instance serves every repository of a job.
 
-    max_files: int | None = 4000
-    max_file_bytes: int = 65536
+    Nothing is cut unless a limit is given: all files, whole texts, all symbols.
+    """
+
+    max_files: int | None = None
+    max_file_bytes: int | None = None
     ignore: tuple[str, ...] = DEFAULT_IGNORE
     hidden: bool = False
     symbols: bool = True
     symbol_backend: str = "auto"  # 'auto' | 'regex' | 'spans'
-    symbol_threshold_tokens: int = 500
-    max_symbols: int = 16
+    max_symbols: int | None = None
     summary_chars: int = 140
     sort_by: str = "path"  # 'path' | 'size'

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from corpusmap import ScanOptions
 from corpusmap.operators import drift as J
+from corpusmap.operators import ignore as I
 from corpusmap.operators.index import analyze_files, dir_rollup
 from corpusmap.plans import inputs as X
 from corpusmap.plans.registry import query, with_
 
-ALL = ScanOptions(ignore=(), max_files=None, max_file_bytes=1 << 24, hidden=True, symbols=False)
+ALL = ScanOptions(ignore=(), hidden=True, symbols=False)
 
 DRIFT_SQL = f"""{X.LISTING_SQL}, drifted AS (
   SELECT coalesce(m.repo, l.repo) AS repo, coalesce(m.path, l.path) AS path,
@@ -59,6 +60,23 @@ def j3(spark, sf):
     return fresh.select("repo", "path", "reused", "sha256", "n_chars", "lines", "tokens")
 
 
+# The rules of each repository stand in a `.gitignore` at its root; they differ by the number in its name.
+_RULES = "concat('# rules', chr(10), '*.log', chr(10), 'd', substr(repo, 4), '/', chr(10), '!d', substr(repo, 4), '/m1/', chr(10))"
+
+
+@query("j3_refresh_rules", with_(_STATES_SQL) + f"""
+SELECT repo, path, reused, {_MEASURES_SQL} FROM state
+WHERE path NOT LIKE '%.log' AND split_part(path, '/', 1) <> concat('d', substr(repo, 4))""")
+def j3_rules(spark, sf):
+    """Ignored files neither stay in the index nor come back with a refresh."""
+    repos = X.heads(spark, sf).select("repo")
+    rule_files = repos.select("repo", F.lit(".gitignore").alias("path"), F.expr(_RULES).alias("text"))
+    rules = I.compile_rules(I.gitignore_lines(rule_files))
+    old = I.apply_ignore(old_index(spark, sf), rules)
+    fresh = J.refresh_index(old, X.listing_docs(spark, sf), X.changed_docs(spark, sf), ALL, rules)
+    return fresh.select("repo", "path", "reused", "sha256", "n_chars", "lines", "tokens")
+
+
 @query("j3_refresh_report", with_(_STATES_SQL) + """
 SELECT repo, count_if(reused) AS reused, count_if(NOT reused) AS analyzed FROM state GROUP BY repo""")
 def j3_report(spark, sf):

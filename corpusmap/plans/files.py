@@ -15,7 +15,7 @@ from corpusmap.sources import files as SF
 from corpusmap.sources import store
 
 CODE, DOCS = X.FILES_CODE_SQL, X.FILES_DOCS_SQL
-ALL = ScanOptions(ignore=(), max_files=None, max_file_bytes=1 << 20, hidden=True)
+ALL = ScanOptions(ignore=(), hidden=True)
 
 # --- symbols --------------------------------------------------------------------------------------------
 
@@ -48,7 +48,7 @@ symbols_raw AS (
 
 @query("y1_extract_symbols", with_(CODE, HITS_SQL) + """
 SELECT repo, path, name, CAST(line AS BIGINT) AS line, CAST(pass AS BIGINT) AS pass, pos
-FROM symbols_raw WHERE pos <= 16""")
+FROM symbols_raw""")
 def y1(spark, sf):
     found = Y.extract_symbols(X.files_code(spark, sf))
     return found.select("repo", "path", "name", *[F.col(c).cast("bigint").alias(c) for c in ("line", "pass", "pos")])
@@ -103,36 +103,32 @@ def y3(spark, sf):
     return _spans_out(Y.toplevel_spans(X.files_code(spark, sf)))
 
 
-@query("y4_route_symbol_backend", with_(CODE, SPANS_SQL, _tops_sql()) + """, choice AS (
-  SELECT repo, path, length(text) >= 60 AS large FROM files_code)
-SELECT s.* FROM symbols s JOIN choice c ON s.repo = c.repo AND s.path = c.path WHERE NOT large UNION ALL
-SELECT t.repo, t.path, t.name, CAST(t.line AS BIGINT), CAST(t.end_line AS BIGINT), t.tokens
-FROM tops t JOIN choice c ON t.repo = c.repo AND t.path = c.path WHERE large""")
+@query("y4_route_symbol_backend", with_(CODE, SPANS_SQL, _tops_sql()) + """
+SELECT repo, path, name, CAST(line AS BIGINT) AS line, CAST(end_line AS BIGINT) AS end_line, tokens FROM tops UNION ALL
+SELECT * FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM tops t WHERE t.repo = s.repo AND t.path = s.path)""")
 def y4(spark, sf):
-    return _spans_out(Y.route_symbol_backend(X.files_code(spark, sf), ScanOptions(symbol_threshold_tokens=15)))
+    return _spans_out(Y.route_symbol_backend(X.files_code(spark, sf)))
 
 
 @query("y5_top_symbols", with_(CODE, SPANS_SQL) + """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY tokens DESC, line, name) AS rank
   FROM symbols) WHERE rank <= 2""")
 def y5(spark, sf):
-    top = Y.top_symbols(Y.symbol_spans(X.files_code(spark, sf)), 2)
-    return _spans_out(top.drop("rank")).join(
-        top.select("repo", "path", "name", F.col("rank").cast("bigint").alias("rank")), ["repo", "path", "name"])
+    top = Y.top_symbols(Y.with_symbol_spans(X.files_code(spark, sf)), 2)
+    return top.select("repo", "path", "name", *[F.col(c).cast("bigint").alias(c) for c in ("line", "end_line", "tokens", "rank")])
 
 
 @query("y6_symbol_lists", with_(CODE, SPANS_SQL) + """
-SELECT repo, path, array_to_string(list(name ORDER BY line, name)[1:2], ',') AS names FROM symbols
+SELECT repo, path, array_to_string(list(name ORDER BY line, name), ',') AS names FROM symbols
 GROUP BY repo, path""")
 def y6(spark, sf):
-    lists = Y.symbol_lists(Y.symbol_spans(X.files_code(spark, sf)), 2)
+    lists = Y.symbol_lists(Y.with_symbol_spans(X.files_code(spark, sf)))
     return lists.select("repo", "path", F.array_join("symbols", ",").alias("names"))
 
 
 # --- index ----------------------------------------------------------------------------------------------
 
-# The index of the code-shaped files, cap and rules included.
-_IGNORED_SQL = "f.path LIKE 'src/p7/%' OR f.path LIKE '%1.go'"
+# The index of all code-shaped files.
 INDEX_CODE_SQL = f"""{SPANS_SQL}, about AS ({S.DESCRIBE_CODE_SQL}), sym AS (
   SELECT repo, path, array_to_string(list(name ORDER BY line, name), ',') AS symbols,
          array_to_string(list(concat(name, ' ', CAST(line AS varchar), '-', CAST(end_line AS varchar), ' ',
@@ -142,10 +138,10 @@ INDEX_CODE_SQL = f"""{SPANS_SQL}, about AS ({S.DESCRIBE_CODE_SQL}), sym AS (
          size_bytes, CAST(length(text) AS BIGINT) AS n_chars,
          CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS lines,
          greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tokens, about AS summary, sha256(text) AS sha256,
-         symbols, spans, mtime, row_number() OVER (PARTITION BY f.repo ORDER BY f.path) AS rn
+         symbols, spans, mtime
   FROM files_code f JOIN about a ON f.repo = a.repo AND f.path = a.path
-  JOIN sym s ON f.repo = s.repo AND f.path = s.path WHERE NOT ({_IGNORED_SQL}))"""
-CODE_OPTS = ScanOptions(ignore=("p7", "*1.go"), max_files=1000, symbol_backend="regex")
+  JOIN sym s ON f.repo = s.repo AND f.path = s.path)"""
+CODE_OPTS = ScanOptions(symbol_backend="regex")
 
 
 def index_code(spark, sf, opts=CODE_OPTS):
@@ -166,18 +162,18 @@ def flat_index(index):
 _INDEX_OUT = "repo, path, lang, size_bytes, n_chars, lines, tokens, summary, sha256, symbols, spans"
 
 
-@query("a1_build_index", with_(CODE, INDEX_CODE_SQL) + f"SELECT {_INDEX_OUT} FROM full_index WHERE rn <= 1000")
+@query("a1_build_index", with_(CODE, INDEX_CODE_SQL) + f"SELECT {_INDEX_OUT} FROM full_index")
 def a1(spark, sf):
     return flat_index(index_code(spark, sf))
 
 
-# Every text of the documents, whole, with the default choice of files.
+# Every text of the documents, whole.
 _DOC_INDEX_SQL = f"""docs_index AS (
   SELECT repo, path, doc_id, size_bytes, mtime, text, CAST(length(text) AS BIGINT) AS n_chars,
          CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS lines,
-         greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tokens, size_bytes > 16000 AS skipped
-  FROM files_docs WHERE path NOT LIKE '%.log')"""
-DOC_OPTS = ScanOptions(max_files=None, max_file_bytes=16000, symbols=False)
+         greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tokens, false AS skipped
+  FROM files_docs)"""
+DOC_OPTS = ScanOptions(ignore=(), symbols=False)
 
 
 def index_docs(spark, sf):
@@ -249,7 +245,7 @@ _MAP_SQL = f"""m AS (
     CASE WHEN n_dirs > 40 THEN concat(chr(10), chr(10), '… ', CAST(n_dirs - 40 AS varchar),
       CASE WHEN n_dirs = 41 THEN ' more directory not shown' ELSE ' more directories not shown' END) ELSE '' END) AS body
   FROM totals t)"""
-MAP_OPTS = ScanOptions(ignore=("p7", "*1.go"), max_files=None, symbol_backend="regex")
+MAP_OPTS = CODE_OPTS
 
 
 def _cut_sql(n: int) -> str:
@@ -297,25 +293,25 @@ def bodies(spark, sf):
 
 
 @query("a7_splice_block", with_(CODE, INDEX_CODE_SQL, _MAP_SQL, DOCS_OF_REPOS_SQL) + f""", blocks AS (
-  SELECT repo, concat('<!-- corpusmap:start -->', chr(10), {_cut_sql(4096)}, chr(10), '<!-- corpusmap:end -->') AS block
+  SELECT repo, concat('<!-- corpusmap:start -->', chr(10), {_cut_sql(1 << 24)}, chr(10), '<!-- corpusmap:end -->') AS block
   FROM maps)
 SELECT k.repo, CASE WHEN b.body LIKE 'top%' THEN concat('top', chr(10), block, chr(10), 'tail', chr(10))
     ELSE concat(rtrim(coalesce(b.body, ''), chr(10) || ' '), chr(10), chr(10), block, chr(10)) END AS text,
   true AS changed, CAST(length(block) AS BIGINT) AS block_chars
 FROM blocks k LEFT JOIN bodies b ON k.repo = b.repo""")
 def a7(spark, sf):
-    return R.splice_block(bodies(spark, sf), R.render_block(index_code(spark, sf, MAP_OPTS), X.now(), 4096))
+    return R.splice_block(bodies(spark, sf), R.render_block(index_code(spark, sf, MAP_OPTS), X.now(), 1 << 24))
 
 
 @query("a8_absorb_edits", with_(CODE, INDEX_CODE_SQL, _MAP_SQL, DOCS_OF_REPOS_SQL) + f""", fresh AS (
-  SELECT repo, {_cut_sql(4096)} AS fresh FROM maps)
+  SELECT repo, {_cut_sql(1 << 24)} AS fresh FROM maps)
 SELECT f.repo, CASE WHEN b.body LIKE 'top%' THEN 'absorbed' ELSE 'replaced' END AS action,
   CASE WHEN b.body LIKE 'top%' THEN concat(rtrim(b.body, chr(10)), chr(10), chr(10),
     '## Auto-generated index (updated)', chr(10), chr(10), fresh) ELSE fresh END AS text
 FROM fresh f LEFT JOIN bodies b ON f.repo = b.repo""")
 def a8(spark, sf):
     existing = bodies(spark, sf)
-    fresh = R.render_map(index_code(spark, sf, MAP_OPTS), X.now(), 4096).select("repo", F.col("text").alias("body"))
+    fresh = R.render_map(index_code(spark, sf, MAP_OPTS), X.now(), 1 << 24).select("repo", F.col("text").alias("body"))
     written = existing.select(
         "repo", F.when(F.col("body").startswith("top"), F.sha2(F.lit("other"), 256))
         .otherwise(F.sha2("body", 256)).alias("hash"))
@@ -327,11 +323,9 @@ def a8(spark, sf):
   SELECT repo, concat('../', path), 'outside' FROM files_docs UNION ALL
   SELECT repo, concat(path, '.gone'), 'missing' FROM files_docs)
 SELECT r.repo, r.path, r.kind, f.path IS NOT NULL AS exists, size_bytes,
-  CASE WHEN size_bytes > 9000 THEN 0 ELSE CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) END * size_bytes // size_bytes AS lines,
-  CASE WHEN size_bytes > 9000 THEN CAST(ceil(size_bytes / 4.0) AS BIGINT)
-       WHEN text IS NOT NULL THEN greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) END AS tokens,
-  CASE WHEN size_bytes > 9000 THEN '[file too large]' ELSE substr(text, 1, 300) END AS preview,
-  CASE WHEN size_bytes > 9000 THEN true ELSE length(text) > 300 END AS preview_truncated
+  CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS lines,
+  CASE WHEN text IS NOT NULL THEN greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) END AS tokens,
+  substr(text, 1, 300) AS preview, length(text) > 300 AS preview_truncated
 FROM req r LEFT JOIN files_docs f ON r.repo = f.repo AND r.path = f.path""")
 def a9(spark, sf):
     docs = X.files_docs(spark, sf)
@@ -340,38 +334,44 @@ def a9(spark, sf):
         F.struct(F.concat(F.lit("../"), F.col("path")).alias("path"), F.lit("outside").alias("kind")),
         F.struct(F.concat(F.col("path"), F.lit(".gone")).alias("path"), F.lit("missing").alias("kind")),
     )).alias("r")).select("repo", "r.path", "r.kind")
-    digest = A.file_digest(wanted, docs, ScanOptions(max_file_bytes=9000), 300)
+    digest = A.file_digest(wanted, docs, ScanOptions(), 300)
     return digest.select(
         "repo", "path", "kind", "exists", "size_bytes", "lines", "tokens", "preview", "preview_truncated")
 
 
 # --- sources and sinks: written to a new folder, then read back -----------------------------------------
 
-@query("s1_list_files")
-def s1(spark, sf):
-    return SF.list_files(spark, sf, repo="tables")
-
-
-def _export(spark, sf):
-    """The documents as a tree of text files, one folder per repository."""
-    root = X.work_dir(spark)
-    lines = X.files_docs(spark, sf).select("repo", "path", F.col("text").alias("body"))
-    store.write_rendered(lines, root)
-    return root
+# One file per document; some hold Latin-1 bytes, some a NUL, and some that the inventory names are not there.
+_FILE_BYTES = (
+    "CASE WHEN doc_id % 50 = 1 THEN encode(text, 'ISO-8859-1') WHEN doc_id % 50 = 2 THEN concat(encode(text, 'UTF-8'), X'00') "
+    "ELSE encode(text, 'UTF-8') END"
+)
 
 
-@query("s2_read_text_files", with_(DOCS) + """
-SELECT repo, CAST(sum(length(text) + 1) AS BIGINT) AS chars,
-       CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM files_docs GROUP BY repo""")
+@query("s2_read_text_files", with_(DOCS) + """, f AS (
+  SELECT repo, path, doc_id, CASE WHEN doc_id % 50 = 1 THEN regexp_replace(text, '[^\x00-\xFF]', '?', 'g') ELSE text END AS text
+  FROM files_docs), t AS (
+  SELECT repo, path, doc_id, CASE WHEN doc_id % 50 = 1 THEN regexp_replace(text, '[^\x00-\x7F]', chr(65533), 'g') ELSE text END AS text
+  FROM f)
+SELECT repo, path, CASE doc_id % 50 WHEN 2 THEN '[binary]' WHEN 3 THEN '[unreadable]' END AS skip_reason,
+       CASE WHEN doc_id % 50 NOT IN (2, 3) THEN CAST(length(text) AS BIGINT) END AS chars,
+       CASE WHEN doc_id % 50 NOT IN (2, 3) THEN CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) END AS lines,
+       CASE WHEN doc_id % 50 NOT IN (2, 3) THEN sha256(text) END AS sha256 FROM t""")
 def s2(spark, sf):
-    files = SF.read_text_files(spark, _export(spark, sf), ScanOptions(max_file_bytes=1 << 30), plain=True)
-    files = files.filter(F.col("path").endswith(".txt"))
-    return files.groupBy(F.regexp_replace("repo", "^repo=", "").alias("repo")).agg(
-        F.sum(F.length("text")).cast("bigint").alias("chars"),
-        F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("bigint").alias("lines"))
-
-
-@query("s3_write_read_index", with_(CODE, INDEX_CODE_SQL) + f"SELECT {_INDEX_OUT} FROM full_index WHERE rn <= 1000")
+    root = X.work_dir(spark)
+    docs = X.files_docs(spark, sf)
+    raw = docs.filter("doc_id % 50 <> 3").select("repo", "path", F.expr(_FILE_BYTES).cast("string").alias("value"))
+    raw.write.partitionBy("repo", "path").option("lineSep", "\x01").text(root)
+    part = F.split("below", "/")
+    key = tuple(F.url_decode(F.regexp_replace(part[i], "^[a-z]+=", "")) for i in (0, 1))
+    files = SF.read_text_files(spark, root, docs.select("repo", "path", "size_bytes", "mtime"), key=key)
+    text = F.regexp_replace("text", "\x01$", "")  # Spark's text files end their lines
+    return files.select(
+        "repo", "path", "skip_reason", F.length(text).cast("bigint").alias("chars"),
+        F.length(F.regexp_replace(text, "[^\n]", "")).cast("bigint").alias("lines"), F.sha2(text, 256).alias("sha256"))
+
+
+@query("s3_write_read_index", with_(CODE, INDEX_CODE_SQL) + f"SELECT {_INDEX_OUT} FROM full_index")
 def s3(spark, sf):
     path = X.work_dir(spark)
     store.write_index(index_code(spark, sf), path)

@@ -239,6 +239,21 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The same log with paths that must not be counted, and with every fifth event in a second repository of equal paths.
+_ODD_PATH = (
+    "CASE WHEN seq % 23 = 0 THEN 'a/.env' WHEN seq % 29 = 0 THEN '' WHEN seq % 31 = 0 THEN NULL "
+    "WHEN seq % 37 = 0 THEN '.corpusmap/state.json' ELSE path END"
+)
+_ODD_REPO = "CASE WHEN seq % 5 = 0 THEN concat(repo, 'b') ELSE repo END"
+ODD_ACCESS_SQL = ACCESS_SQL.replace("access_log AS (", "access_plain AS (") + f""", access_raw AS (
+  SELECT session_id, ts, seq, op, {_ODD_REPO} AS repo, {_ODD_PATH} AS path, is_error FROM access_plain), access_log AS (
+  SELECT * FROM access_raw WHERE path <> '' AND path <> 'a/.env' AND path NOT LIKE '.corpusmap/%')"""
+
+
+def odd_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access_log(spark, sf_dir).withColumns({"repo": F.expr(_ODD_REPO), "path": F.expr(_ODD_PATH)})
+
+
 # Half of the files are in the index the hints use, so that some reads miss it.
 INDEX_SQL = """idx AS (
   SELECT repo, path, doc_id, size_bytes, mtime, greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tokens,
@@ -281,9 +296,9 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 
 # --- knowledge --------------------------------------------------------------------------------------------
 
-BUGS_SQL = f"""all_bugs AS (
-  SELECT source AS repo, doc_id AS seq, doc_id, trim(substr(text, 1, 60)) AS error_message,
-         trim(substr(text, 61, 60)) AS fix, source AS file,
+BUGS_SQL = rf"""all_bugs AS (
+  SELECT source AS repo, doc_id AS seq, doc_id, trim(split_part(text, chr(10), 1)) AS error_message,
+         regexp_replace(text, '^[^\n]*\n', '') AS fix, source AS file,
          TIMESTAMP '{EPOCH}' + to_minutes(doc_id) AS "at" FROM documents), bugs AS (
   SELECT repo, concat('bug-', CAST(doc_id AS varchar)) AS id, error_message, fix, file, "at" FROM all_bugs
   WHERE doc_id % 2 = 0)"""
@@ -292,8 +307,8 @@ BUGS_SQL = f"""all_bugs AS (
 def all_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("repo"), F.col("doc_id").alias("seq"), "doc_id",
-        F.expr("trim(substr(text, 1, 60))").alias("error_message"),
-        F.expr("trim(substr(text, 61, 60))").alias("fix"), F.col("source").alias("file"),
+        F.expr("trim(split_part(text, chr(10), 1))").alias("error_message"),
+        F.regexp_replace("text", r"^[^\n]*\n", "").alias("fix"), F.col("source").alias("file"),
         F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(0, 0, cast(doc_id as int), 0)").alias("at"),
     )
 
@@ -307,7 +322,7 @@ def bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SECTION = "CASE turn % 3 WHEN 0 THEN 'Preferences' WHEN 1 THEN 'Do-Not-Repeat' ELSE 'Conventions' END"
 LEARNED_SQL = f"""learned AS (
   SELECT concat('src', CAST(conv_id % 20 AS varchar)) AS repo, {_SECTION} AS section, conv_id * 10 + turn AS seq,
-         replace(substr(text, 1, 80), chr(10), ' ') AS entry,
+         replace(text, chr(10), ' ') AS entry,
          TIMESTAMP '{EPOCH}' + to_minutes(conv_id * 10 + turn) AS "at"
   FROM conversations), handoff AS (
   SELECT concat('src', CAST(conv_id % 20 AS varchar)) AS repo,
@@ -321,7 +336,7 @@ def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.expr("concat('src', cast(conv_id % 20 as string))").alias("repo"), F.expr(_SECTION).alias("section"),
         F.expr("conv_id * 10 + turn").alias("seq"),
-        F.expr("replace(substr(text, 1, 80), '\n', ' ')").alias("entry"),
+        F.expr("replace(text, '\n', ' ')").alias("entry"),
         F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(0, 0, cast(conv_id * 10 + turn as int), 0)").alias("at"),
     )
 

@@ -59,24 +59,24 @@ def _changes(spark, sf):
 
 # Bursts are emitted once the watermark, one hour behind the last change, has passed their end.
 @query("w1_stream_change_bursts", with_(X.ACCESS_SQL) + f""", c AS (
-  SELECT repo, ts, lag(ts) OVER (PARTITION BY repo ORDER BY ts) AS prev FROM access_log WHERE op IN ('write', 'edit')), m AS (
+  SELECT repo, path, ts, lag(ts) OVER (PARTITION BY repo ORDER BY ts) AS prev FROM access_log WHERE op IN ('write', 'edit')), m AS (
   SELECT *, count_if(prev IS NULL OR ts >= prev + INTERVAL 1 HOUR) OVER (PARTITION BY repo ORDER BY ts) AS burst FROM c), b AS (
-  SELECT repo, min(ts) AS s, max(ts) + INTERVAL 1 HOUR AS e, count(*) AS changes FROM m GROUP BY repo, burst)
-SELECT repo, {X.sql_ts('s')} AS burst_start, {X.sql_ts('e')} AS burst_end, changes FROM b
+  SELECT repo, min(ts) AS s, max(ts) + INTERVAL 1 HOUR AS e, count(*) AS changes, count(DISTINCT path) AS files FROM m GROUP BY repo, burst)
+SELECT repo, {X.sql_ts('s')} AS burst_start, {X.sql_ts('e')} AS burst_end, changes, files FROM b
 WHERE e <= date_trunc('milliseconds', (SELECT max(ts) FROM c)) - INTERVAL 1 HOUR""")
 def w1(spark, sf):
     root = X.work_dir(spark)
     bursts = W.stream_change_bursts(as_stream(_changes(spark, sf), root), "1 hour")
     return drain(bursts, root).select(
-        "repo", X.show_ts("start").alias("burst_start"), X.show_ts("end").alias("burst_end"), "changes")
+        "repo", X.show_ts("start").alias("burst_start"), X.show_ts("end").alias("burst_end"), "changes", "files")
 
 
-@query("w2_stream_repeated_reads", with_(X.ACCESS_SQL) + f""", r AS (
-  SELECT *, row_number() OVER (PARTITION BY session_id, path ORDER BY ts, seq) AS rn FROM access_log WHERE op = 'read')
-SELECT session_id, path, {X.sql_ts('ts')} AS ts, seq FROM r WHERE rn > 1""")
+@query("w2_stream_repeated_reads", with_(X.ODD_ACCESS_SQL) + f""", r AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id, repo, path ORDER BY ts, seq) AS rn FROM access_log WHERE op = 'read')
+SELECT session_id, repo, path, {X.sql_ts('ts')} AS ts, seq FROM r WHERE rn > 1""")
 def w2(spark, sf):
     root = X.work_dir(spark)
-    repeats = W.stream_repeated_reads(as_stream(X.access_log(spark, sf), root))
+    repeats = W.stream_repeated_reads(as_stream(X.odd_access_log(spark, sf), root))
     return drain(repeats, root).withColumn("ts", X.show_ts("ts"))
 
 
@@ -92,11 +92,11 @@ def w3(spark, sf):
         X.show_ts("at").alias("at"))
 
 
-@query("w4_stream_action_log", with_(X.ACCESS_SQL, PS.LOG_ROWS_SQL) + "SELECT session_id, seq, row FROM log_rows")
+@query("w4_stream_action_log", with_(X.ODD_ACCESS_SQL, PS.LOG_ROWS_SQL) + "SELECT session_id, seq, row FROM log_rows")
 def w4(spark, sf):
     root = X.work_dir(spark)
     W.stream_action_log(
-        as_stream(X.access_log(spark, sf), root), f"{root}/log", f"{root}/ckpt", once=True
+        as_stream(X.odd_access_log(spark, sf), root), f"{root}/log", f"{root}/ckpt", once=True
     ).awaitTermination()
     return spark.read.parquet(f"{root}/log").select("session_id", "seq", "row")
 
@@ -111,12 +111,22 @@ def w5(spark, sf):
     return drain(W.stream_state_changes(listing), root).withColumn("mtime", X.show_ts("mtime"))
 
 
-@query("w6_stream_session_counters", with_(X.ACCESS_SQL) + """
+@query("w6_stream_session_counters", with_(X.ODD_ACCESS_SQL) + """
 SELECT session_id, count_if(op = 'read') AS reads, count_if(op = 'write') AS writes, count_if(op = 'edit') AS edits
 FROM access_log GROUP BY session_id""")
 def w6(spark, sf):
-    """The last state each session was updated to."""
+    """The last state of each session and day, summed by session."""
     root = X.work_dir(spark)
-    updates = drain(W.stream_session_counters(as_stream(X.access_log(spark, sf), root)), root, "update")
+    updates = drain(W.stream_session_counters(as_stream(X.odd_access_log(spark, sf), root)), root, "update")
     last = F.max_by(F.struct("reads", "writes", "edits"), "batch_id").alias("c")
-    return updates.groupBy("session_id").agg(last).select("session_id", "c.*")
+    days = updates.groupBy("session_id", "day").agg(last)
+    return days.groupBy("session_id").agg(*[F.sum(f"c.{n}").alias(n) for n in ("reads", "writes", "edits")])
+
+
+@query("w5_watch_tables", with_(X.FILES_DOCS_SQL) + """
+SELECT DISTINCT concat('repo=', repo) AS "table" FROM files_docs""")
+def w5_watch(spark, sf):
+    """The stream of state changes from its real source: a folder of tables, one folder per table."""
+    root = X.work_dir(spark)
+    X.files_docs(spark, sf).select("repo", "path", "size_bytes").write.partitionBy("repo").parquet(f"{root}/tables")
+    return drain(W.stream_state_changes(W.watch_tables(spark, f"{root}/tables")), root).select("table").distinct()

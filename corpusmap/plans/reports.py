@@ -81,7 +81,7 @@ def t3(spark, sf):
   SELECT repo, concat(id, '-new'), o_orderkey, 'renamed', last_run, last_status, last_detail FROM tasks WHERE o_orderkey % 10 = 5)
 SELECT repo, id, name, {X.sql_ts(f"CASE WHEN o_orderkey % 6 = 0 AND id NOT LIKE '%-new' THEN TIMESTAMP '{X.NOW}' ELSE last_run END")} AS last_run,
   CASE WHEN o_orderkey % 6 = 0 AND id NOT LIKE '%-new' THEN 'error' ELSE last_status END AS last_status,
-  CASE WHEN o_orderkey % 6 = 0 AND id NOT LIKE '%-new' THEN repeat('x', 300) ELSE last_detail END AS last_detail
+  CASE WHEN o_orderkey % 6 = 0 AND id NOT LIKE '%-new' THEN repeat('x', 400) ELSE last_detail END AS last_detail
 FROM changed""")
 def t4(spark, sf):
     tasks = X.tasks(spark, sf)
@@ -196,11 +196,11 @@ SOME_SQL = f"""some_repos AS (SELECT repo FROM (SELECT DISTINCT source AS repo F
 
 def some_repos(spark, sf):
     repos = X.heads(spark, sf).filter(_SOME_REPOS).select("repo")
-    gone = X.table(spark, sf, "region").limit(1).select(F.lit("gone").alias("repo"))
+    gone = spark.createDataFrame([("gone",)], "repo string")
     return repos.unionByName(gone).withColumn("name", F.col("repo"))
 
 
-_UPDATE_OPTS = ScanOptions(ignore=(), max_files=None, max_file_bytes=1 << 24, symbols=False)
+_UPDATE_OPTS = ScanOptions(ignore=(), symbols=False)
 
 
 @query("r2_update_all", with_(X.FILES_DOCS_SQL, SOME_SQL) + f"""

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from corpusmap import ScanOptions
 from corpusmap.operators import access as E
 from corpusmap.operators import ledger as L
+from corpusmap.operators.filters import loggable_events
 from corpusmap.operators.index import analyze_files
 from corpusmap.plans import files as PF
 from corpusmap.plans import inputs as X
 from corpusmap.plans import scalars as S
 from corpusmap.plans.registry import query, with_
 
-ALL = ScanOptions(ignore=(), max_files=None, max_file_bytes=1 << 24, hidden=True, symbols=False)
-LOG = with_(X.ACCESS_SQL, X.INDEX_SQL)
+ALL = ScanOptions(ignore=(), hidden=True, symbols=False)
+LOG = with_(X.ODD_ACCESS_SQL, X.INDEX_SQL)
 
 
 def half_index(spark, sf):
@@ -33,7 +34,7 @@ SELECT r.session_id, r.repo, r.path, r.seq, {X.sql_ts('r.ts')} AS ts, coalesce(t
     ' tokens). Consider using your existing knowledge of this file.') AS warning
 FROM repeats r LEFT JOIN idx i ON r.repo = i.repo AND r.path = i.path WHERE rn > 1""")
 def e1(spark, sf):
-    return E.repeated_reads(X.access_log(spark, sf), half_index(spark, sf)).withColumn("ts", X.show_ts("ts"))
+    return E.repeated_reads(X.odd_access_log(spark, sf), half_index(spark, sf)).withColumn("ts", X.show_ts("ts"))
 
 
 # Reads of the code-shaped files, which have symbols: one file in three changed since it was indexed.
@@ -41,13 +42,13 @@ _HINT_EVENTS = "concat('u', cast(user_id as string))"
 ACCESS_CODE_SQL = f"""access_code AS (
   SELECT concat('u', CAST(user_id AS varchar)) AS session_id, f.repo, f.path, f.o_orderkey, e.ts, e.event_id AS seq,
          {X._OP} AS op
-  FROM events e JOIN files_code f ON f.o_orderkey = e.event_id % 500)"""
+  FROM events e JOIN files_code f ON f.o_orderkey = e.event_id // 3)"""
 
 
 def access_code(spark, sf):
     events = X.table(spark, sf, "events").alias("e")
     files = X.files_code(spark, sf).select("repo", "path", "o_orderkey")
-    return events.join(files, F.expr("o_orderkey = e.event_id % 500")).select(
+    return events.join(files, F.expr("o_orderkey = e.event_id div 3")).select(
         F.expr(_HINT_EVENTS).alias("session_id"), "repo", "path", "e.ts", F.col("e.event_id").alias("seq"),
         F.expr(X._OP).alias("op"))
 
@@ -68,7 +69,7 @@ first_seen AS (
   WHERE op = 'read')
 SELECT r.session_id, r.repo, r.path, r.seq, {X.sql_ts('r.ts')} AS ts, f.path IS NOT NULL AS hit,
   CASE WHEN f.path IS NOT NULL THEN concat('📋 anatomy: ', r.path, ' — ', summary, ' (~', CAST(tokens AS varchar), ' tok)',
-    CASE WHEN tokens < 14 THEN '' WHEN fresh THEN concat(chr(10), '   ↳ symbols: ', label,
+    CASE WHEN fresh THEN concat(chr(10), '   ↳ symbols: ', label,
         '. Use read offset/limit starting at the relevant line to fetch just what you need.')
       ELSE concat(chr(10), '   ↳ file changed since index — refresh it before trusting this range.') END) END AS hint
 FROM first_seen r LEFT JOIN facts f ON r.repo = f.repo AND r.path = f.path WHERE rn = 1""")
@@ -78,7 +79,7 @@ def e2(spark, sf):
     listing = files.select(
         "repo", "path", "size_bytes",
         F.expr("CASE WHEN o_orderkey % 3 = 0 THEN mtime + make_dt_interval(1) ELSE mtime END").alias("mtime"))
-    return E.read_hints(access_code(spark, sf), index, listing, 14).withColumn("ts", X.show_ts("ts"))
+    return E.read_hints(access_code(spark, sf), index, listing).withColumn("ts", X.show_ts("ts"))
 
 
 SESSION_FILES_SQL = """session_files AS (
@@ -93,7 +94,7 @@ SESSION_FILES_SQL = """session_files AS (
 SELECT session_id, repo, path, reads, {X.sql_ts('first_read')} AS first_read, edits, tokens, indexed
 FROM session_files""")
 def e3_files(spark, sf):
-    out = E.session_files(X.access_log(spark, sf), half_index(spark, sf))
+    out = E.session_files(X.odd_access_log(spark, sf), half_index(spark, sf))
     return out.withColumn("first_read", X.show_ts("first_read"))
 
 
@@ -103,30 +104,30 @@ SELECT session_id, count_if(reads > 0 AND indexed) AS index_hits, count_if(reads
        CAST(sum(edits) AS BIGINT) AS writes, count_if(reads > 0) AS files_read, count_if(edits > 0) AS files_written
 FROM session_files GROUP BY session_id""")
 def e3(spark, sf):
-    return E.session_state(X.access_log(spark, sf), half_index(spark, sf))
+    return E.session_state(X.odd_access_log(spark, sf), half_index(spark, sf))
 
 
 @query("e4_prune_session", LOG + f""", reads AS (
-  SELECT session_id, path, count(*) AS n, min(ts) AS first_ts, min(seq) % 9 = 0 AS broken FROM access_log WHERE op = 'read'
-  GROUP BY session_id, path), kept AS (
+  SELECT session_id, repo, path, count(*) AS n, min(ts) AS first_ts, min(seq) % 9 = 0 AS broken FROM access_log WHERE op = 'read'
+  GROUP BY session_id, repo, path), kept AS (
   SELECT * FROM reads WHERE NOT broken AND first_ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 24 HOURS), w AS (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC) AS rn FROM access_log
   WHERE op IN ('write', 'edit') AND seq % 3 = 0), ed AS (
-  SELECT session_id, path, count(*) AS n FROM access_log WHERE op = 'edit' GROUP BY session_id, path)
-SELECT 'read' AS kind, session_id, path, n FROM kept UNION ALL
-SELECT 'write', session_id, path, seq FROM w WHERE rn <= 2 UNION ALL
-SELECT 'edit', session_id, path, n FROM ed WHERE (session_id, path) IN (SELECT session_id, path FROM kept)
-  OR (session_id, path) IN (SELECT session_id, path FROM w)""")
+  SELECT session_id, repo, path, count(*) AS n FROM access_log WHERE op = 'edit' GROUP BY session_id, repo, path)
+SELECT 'read' AS kind, session_id, repo, path, n FROM kept UNION ALL
+SELECT 'write', session_id, repo, path, seq FROM w UNION ALL
+SELECT 'edit', session_id, repo, path, n FROM ed WHERE (session_id, repo, path) IN (SELECT session_id, repo, path FROM kept)
+  OR (session_id, repo, path) IN (SELECT session_id, repo, path FROM w)""")
 def e4(spark, sf):
-    log = X.access_log(spark, sf)
-    reads = log.filter("op = 'read'").groupBy("session_id", "path").agg(
+    log = loggable_events(X.odd_access_log(spark, sf))
+    reads = log.filter("op = 'read'").groupBy("session_id", "repo", "path").agg(
         F.count(F.lit(1)).alias("n"),
         F.when(F.min("seq") % 9 == 0, "not-a-date").otherwise(F.min("ts").cast("string")).alias("first_read"))
     writes = log.filter("op IN ('write', 'edit') AND seq % 3 = 0").select(
-        "session_id", "path", F.col("ts").alias("at"), "seq")
-    edits = log.filter("op = 'edit'").groupBy("session_id", "path").agg(F.count(F.lit(1)).alias("n"))
-    r, w, e = E.prune_session(reads, writes, edits, X.ntz("2024-01-20 12:00:00"), keep_writes=2)
-    columns = ["kind", "session_id", "path", "n"]
+        "session_id", "repo", "path", F.col("ts").alias("at"), "seq")
+    edits = log.filter("op = 'edit'").groupBy("session_id", "repo", "path").agg(F.count(F.lit(1)).alias("n"))
+    r, w, e = E.prune_session(reads, writes, edits, X.ntz("2024-01-20 12:00:00"))
+    columns = ["kind", "session_id", "repo", "path", "n"]
     return (
         r.withColumn("kind", F.lit("read")).select(columns)
         .unionByName(w.withColumn("kind", F.lit("write")).withColumn("n", F.col("seq")).select(columns))
@@ -143,23 +144,24 @@ LOG_ROWS_SQL = """log_rows AS (
 @query("e5_action_log", LOG + f""", {LOG_ROWS_SQL}
 SELECT session_id, repo, seq, action, path AS files, outcome, row FROM log_rows""")
 def e5(spark, sf):
-    return E.action_log(X.access_log(spark, sf)).select(
+    return E.action_log(X.odd_access_log(spark, sf)).select(
         "session_id", "repo", "seq", "action", F.array_join("files", ",").alias("files"), "outcome", "row")
 
 
 @query("e6_compaction_digest", LOG + f""", firsts AS (
-  SELECT session_id, path, min(struct_pack(ts := ts, seq := seq)) AS f FROM access_log
-  WHERE op IN ('write', 'edit') GROUP BY session_id, path), before AS (
+  SELECT session_id, repo, path, min(struct_pack(ts := ts, seq := seq)) AS f FROM access_log
+  WHERE op IN ('write', 'edit') GROUP BY session_id, repo, path), before AS (
   SELECT c.session_id, c.ts, c.seq, f.path, f.f,
-         row_number() OVER (PARTITION BY c.seq ORDER BY f.f DESC) AS back
-  FROM access_log c JOIN firsts f ON c.session_id = f.session_id AND f.f <= struct_pack(ts := c.ts, seq := c.seq)
+         row_number() OVER (PARTITION BY c.seq ORDER BY f.f DESC) AS back, count(*) OVER (PARTITION BY c.seq) AS n_all
+  FROM access_raw c JOIN firsts f ON c.session_id = f.session_id AND f.f <= struct_pack(ts := c.ts, seq := c.seq)
   WHERE c.op = 'compact')
-SELECT session_id, seq, {X.sql_ts('ts')} AS ts, count(*) AS n_files, string_agg(path, ', ' ORDER BY f) AS files,
+SELECT session_id, seq, {X.sql_ts('ts')} AS ts, count(*) AS n_files, any_value(n_all) AS n_all, string_agg(path, ', ' ORDER BY f) AS files,
   concat('## Session in progress (context was just compacted)', chr(10), 'Files already modified this session: ',
-    string_agg(path, ', ' ORDER BY f), '. Do not re-read them wholesale — check the action log for what was done.') AS message
+    string_agg(path, ', ' ORDER BY f), CASE WHEN any_value(n_all) > 2 THEN concat(' and ',
+      CAST(any_value(n_all) - 2 AS varchar), ' earlier') ELSE '' END, '. Do not re-read them wholesale — check the action log for what was done.') AS message
 FROM before WHERE back <= 2 GROUP BY session_id, seq, ts""")
 def e6(spark, sf):
-    return E.compaction_digest(X.access_log(spark, sf), shown=2).withColumn("ts", X.show_ts("ts"))
+    return E.compaction_digest(X.odd_access_log(spark, sf), shown=2).withColumn("ts", X.show_ts("ts"))
 
 
 # --- ledger -----------------------------------------------------------------------------------------------

@@ -65,8 +65,10 @@ def s5(spark, sf):
 
 
 def log_docs(spark, sf):
-    """One log document per session: a table of its writes, in order."""
-    rows = PS.E.action_log(X.access_log(spark, sf)).groupBy("session_id").agg(
+    """One log document per session and hour: a table of its writes, in order."""
+    log = PS.E.action_log(X.access_log(spark, sf))
+    hour = F.concat_ws("@", "session_id", F.date_format("at", "yyyy-MM-dd HH"))
+    rows = log.groupBy(hour.alias("session_id")).agg(
         F.array_sort(F.collect_list(F.struct("seq", "row"))).alias("rows"))
     head = "# Log\n\n| Time | Action | Files | Outcome | Tokens |\n| --- | :---: | --- | --- | --- |\n"
     return rows.select(
@@ -74,7 +76,8 @@ def log_docs(spark, sf):
         F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\n")).alias("text"))
 
 
-PARSED_LOG_SQL = f"""{PS.LOG_ROWS_SQL}, parsed_log AS (
+PARSED_LOG_SQL = f"""{PS.LOG_ROWS_SQL.replace("log_rows AS (", "whole_log AS (")}, log_rows AS (
+  SELECT * REPLACE (concat(session_id, '@', strftime(ts, '%Y-%m-%d %H')) AS session_id) FROM whole_log), parsed_log AS (
   SELECT session_id AS repo, 4 + row_number() OVER (PARTITION BY session_id ORDER BY seq) AS row_no, row,
          strftime(ts, '%Y-%m-%d %H:%M') AS time, action, path AS files, outcome, '0' AS tokens
   FROM log_rows UNION ALL
@@ -143,7 +146,7 @@ def k1(spark, sf):
     old = X.learned(spark, sf).filter("seq % 10 < 3")
     new = X.table(spark, sf, "conversations").filter("turn >= 3").select(
         F.expr("concat('src', cast(conv_id % 20 as string))").alias("repo"), F.expr(_RAW_SECTION).alias("section"),
-        F.expr("substr(text, 1, 80)").alias("entry"),
+        F.col("text").alias("entry"),
         F.expr(f"timestamp_ntz'{X.EPOCH}' + make_dt_interval(0, 0, cast(conv_id * 10 + turn as int), 0)").alias("at"))
     return K.append_learned(old, new).select("repo", "section", "seq", "entry")
 
@@ -249,17 +252,19 @@ def k7(spark, sf):
 
 
 @query("k8_housekeeping", with_(X.LEARNED_SQL, X.BUGS_SQL) + """, r AS (
-  SELECT repo, (SELECT count(*) FROM learned l WHERE l.repo = r.repo AND seq % 10 = 7) AS n,
-         (SELECT count(*) FROM bugs b WHERE b.repo = r.repo AND length(fix) > 58) AS bugs
-  FROM (SELECT DISTINCT source AS repo FROM documents) r)
+  SELECT repo, (SELECT count(*) FROM learned l WHERE l.repo = r.repo) AS n,
+         (SELECT count(*) FROM bugs b WHERE b.repo = r.repo) AS bugs
+  FROM (SELECT DISTINCT source AS repo FROM documents UNION SELECT concat('new', source) FROM documents) r)
 SELECT repo, concat_ws(chr(10), CASE WHEN n < 3 THEN concat('💡 only ', CAST(n AS varchar),
     CASE WHEN n = 1 THEN ' entry' ELSE ' entries' END,
     ' learned so far. Record preferences, conventions, and mistakes this session.') END,
   CASE WHEN bugs = 0 THEN '📋 the bug log is empty. Log any bugs you find or fix.' END) AS reminders
 FROM r WHERE n < 3 OR bugs = 0""")
 def k8(spark, sf):
-    return K.housekeeping(
-        X.learned(spark, sf).filter("seq % 10 = 7"), X.bugs(spark, sf).filter("length(fix) > 58"), X.heads(spark, sf))
+    """Each repository, and for each one without any record."""
+    repos = X.heads(spark, sf).select("repo")
+    every = repos.unionByName(repos.select(F.concat(F.lit("new"), "repo").alias("repo")))
+    return K.housekeeping(X.learned(spark, sf), X.bugs(spark, sf), every)
 
 
 @query("k9_latest_handoff", with_(X.LEARNED_SQL) + f"""

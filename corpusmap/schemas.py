@@ -23,7 +23,7 @@ USAGE_EVENTS = (
 
 LEDGER = (
     "session_id string, agent string, measured_tokens bigint, estimated_tokens bigint, "
-    "first_seen timestamp_ntz, at timestamp_ntz"
+    "first_seen timestamp_ntz, at timestamp_ntz, seq bigint"
 )
 
 BUGS = (

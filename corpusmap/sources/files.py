@@ -1,101 +1,26 @@
-"""File trees as tables.
+"""Files as tables.
 
-Spark's own file listing leaves out every name that starts with `_` or `.`, so it would miss `__init__.py`.
-The default way lists directories level by level in tasks, which also lets it skip ignored directories without
-opening them. `plain=True` uses Spark's listing, for trees without such names.
+What there is to read comes as an inventory table (repo, path, size_bytes, mtime), as version control and object
+stores give it. The bytes are read by Spark's binary file source; what the inventory names and the source does not
+deliver is reported as unreadable. Spark leaves out names that begin with `_` or `.`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.operators.filters import BINARY, SNIFF_BYTES, TOO_LARGE, is_hidden
-from corpusmap.operators.ignore import ignored_by
+from corpusmap.operators.filters import BINARY, TOO_LARGE, UNREADABLE
 from corpusmap.options import ScanOptions
 
-_ENTRY = "path string, is_dir boolean, size_bytes bigint, mtime timestamp"
-READ_BATCH_BYTES = 32 << 20
-
-
-def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The entries of each directory; one that cannot be listed has none."""
-    from pyarrow import fs
-
-    for batch in batches:
-        rows = []
-        for directory in batch["path"]:
-            store, path = fs.FileSystem.from_uri(directory)
-            scheme = directory[: len(directory) - len(path)] if directory.endswith(path) else ""
-            try:
-                infos = store.get_file_info(fs.FileSelector(path))
-            except OSError:
-                continue
-            for info in infos:
-                rows.append((
-                    scheme + info.path, info.type == fs.FileType.Directory, info.size or 0,
-                    info.mtime.replace(tzinfo=None) if info.mtime else None,
-                ))
-        yield pd.DataFrame(rows, columns=["path", "is_dir", "size_bytes", "mtime"])
-
-
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds the bytes of each file, null when it cannot be read; output batches are bounded by size."""
-    from pyarrow import fs
-
-    def content(path: str) -> bytes | None:
-        try:
-            store, inner = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(inner) as stream:
-                return stream.read()
-        except OSError:
-            return None
-
-    for batch in batches:
-        part = batch["size_bytes"].cumsum() // READ_BATCH_BYTES
-        for _, rows in batch.groupby(part):
-            yield rows.assign(content=[content(p) for p in rows["full_path"]])
-
 
-def _walk(spark: SparkSession, root: str, opts: ScanOptions | None) -> DataFrame:
-    """Every file below the root as (below, full_path, size_bytes, mtime), one Spark job per level of depth."""
-    cores = spark.sparkContext.defaultParallelism
-    base = root.rstrip("/")
-    below = F.substring("path", len(base) + 2, 1 << 20)
-    level = spark.createDataFrame([(base,)], "path string")
-    levels = []
-    while True:
-        found = (
-            level.mapInPandas(_list_directories, _ENTRY).withColumn("below", below)
-            .persist(StorageLevel.DISK_ONLY)
-        )
-        levels.append(found.filter(~F.col("is_dir")))
-        dirs = found.filter(F.col("is_dir") & ~is_hidden(F.col("below"), opts.hidden if opts else True))
-        if opts and opts.ignore:
-            dirs = dirs.filter(~ignored_by(F.col("below"), opts.ignore, F.lit(True)))
-        n = dirs.count()
-        if n == 0:
-            break
-        level = dirs.select("path").repartition(max(cores, min(n // 100, 10_000)))
-    files = levels[0]
-    for more in levels[1:]:
-        files = files.unionByName(more)
-    return files.select(
-        "below", F.col("path").alias("full_path"), "size_bytes", F.col("mtime").cast("timestamp_ntz").alias("mtime")
-    )
-
-
-def _plain(spark: SparkSession, root: str) -> DataFrame:
-    """The same from Spark's own listing; `content` is read only where it is used."""
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below the root; `content` is read only where it is used."""
     tree = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
     path = F.col("path")
     return tree.select(
-        F.substr(path, F.instr(path, F.lit(base)) + len(base)).alias("below"), path.alias("full_path"),
+        F.substr(path, F.instr(path, F.lit(base)) + len(base)).alias("below"),
         F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), "content",
     )
 
@@ -108,38 +33,38 @@ def _key(below: Column, repo: str | None) -> tuple[Column, Column]:
     return name, F.substr(below, F.length(name) + 2)
 
 
-def list_files(
-    spark: SparkSession, root: str, repo: str | None = None, opts: ScanOptions | None = None, plain: bool = False
-) -> DataFrame:
-    """(repo, path, size_bytes, mtime) of every file below the root; no file is opened.
-
-    With `opts`, hidden and ignored directories are not entered.
-    """
-    tree = _plain(spark, root) if plain else _walk(spark, root, opts)
+def list_files(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+    """An inventory (repo, path, size_bytes, mtime) from Spark's own listing of a folder; no file is opened."""
     name, path = _key(F.col("below"), repo)
-    return tree.select(name.alias("repo"), path.alias("path"), "size_bytes", "mtime")
+    return _tree(spark, root).select(name.alias("repo"), path.alias("path"), "size_bytes", "mtime")
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text; bytes that are none become replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def read_text_files(
-    spark: SparkSession, root: str, opts: ScanOptions = ScanOptions(), repo: str | None = None, plain: bool = False
+    spark: SparkSession, root: str, inventory: DataFrame | None = None, opts: ScanOptions = ScanOptions(),
+    repo: str | None = None, key: tuple[Column, Column] | None = None,
 ) -> DataFrame:
-    """The files below the root with their text: (repo, path, size_bytes, mtime, text, skip_reason).
+    """The files of the inventory with their text: (repo, path, size_bytes, mtime, text, skip_reason).
 
-    Files above the size limit are listed but not opened; a NUL near the start marks a binary file.
+    Without an inventory all files below the root are taken. A NUL byte marks a binary file; files above
+    `opts.max_file_bytes`, where it is given, are listed but not decoded; a file that is in the inventory only is
+    unreadable. `key` gives repository and path from the column `below`, the path below the root.
     """
-    name, path = _key(F.col("below"), repo)
-    keys = [name.alias("repo"), path.alias("path"), "size_bytes", "mtime"]
-    tree = _plain(spark, root) if plain else _walk(spark, root, opts)
-    small = tree.filter(F.col("size_bytes") <= opts.max_file_bytes)
-    if not plain:
-        spread = small.repartition(spark.sparkContext.defaultParallelism)
-        small = spread.mapInPandas(_read_files, small.schema.add("content", "binary"))
-    head = F.substring("content", 1, SNIFF_BYTES)
-    binary = F.coalesce(F.position(F.lit(b"\x00"), head) > 0, F.lit(False))
-    read = small.select(
-        *keys, F.when(~binary, F.decode("content", "UTF-8")).alias("text"), F.when(binary, F.lit(BINARY)).alias("skip_reason")
+    name, path = key or _key(F.col("below"), repo)
+    found = _tree(spark, root).select(name.alias("repo"), path.alias("path"), "size_bytes", "mtime", "content")
+    if inventory is not None:
+        listed = inventory.select("repo", "path", "size_bytes", "mtime")
+        found = listed.join(found.select("repo", "path", "content"), ["repo", "path"], "left")
+    large = F.lit(False) if opts.max_file_bytes is None else F.col("size_bytes") > opts.max_file_bytes
+    reason = (
+        F.when(large, F.lit(TOO_LARGE)).when(F.col("content").isNull(), F.lit(UNREADABLE))
+        .when(F.position(F.lit(b"\x00"), F.col("content")) > 0, F.lit(BINARY))
     )
-    large = tree.filter(F.col("size_bytes") > opts.max_file_bytes).select(
-        *keys, F.lit(None).cast("string").alias("text"), F.lit(TOO_LARGE).alias("skip_reason")
+    return found.withColumn("skip_reason", reason).select(
+        "repo", "path", "size_bytes", "mtime",
+        F.when(F.col("skip_reason").isNull(), decoded(F.col("content"))).alias("text"), "skip_reason",
     )
-    return read.unionByName(large)

@@ -26,16 +26,16 @@ def stream_change_bursts(changes: DataFrame, gap: str = "1 second", watermark: s
     return (
         changes.withWatermark("ts", watermark)
         .groupBy("repo", F.session_window("ts", gap).alias("burst"))
-        .agg(F.count(F.lit(1)).alias("changes"), F.approx_count_distinct("path").alias("files_about"))
-        .select("repo", F.col("burst.start").alias("start"), F.col("burst.end").alias("end"), "changes", "files_about")
+        .agg(F.count(F.lit(1)).alias("changes"), F.size(F.collect_set("path")).cast("bigint").alias("files"))
+        .select("repo", F.col("burst.start").alias("start"), F.col("burst.end").alias("end"), "changes", "files")
     )
 
 
-REPEATS = "session_id string, path string, ts timestamp, seq bigint"
+REPEATS = "session_id string, repo string, path string, ts timestamp, seq bigint"
 
 
 def _later_reads(hours: int):
-    """The state function of one (session, file): its state is the time of the first read of the window."""
+    """The state function of one (session, repo, path): its state is the time of the first read of the window."""
     window = pd.Timedelta(hours=hours)
 
     def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,7 +56,7 @@ def _later_reads(hours: int):
         state.update((int(first.value // 1000),))
         end_ms = int((first + window).value // 1_000_000)
         state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.concat(repeats)[["session_id", "path", "ts", "seq"]]
+        yield pd.concat(repeats)[["session_id", "repo", "path", "ts", "seq"]]
 
     return emit
 
@@ -64,14 +64,14 @@ def _later_reads(hours: int):
 def stream_repeated_reads(access: DataFrame, hours: int = FORGET_HOURS, watermark: str = WATERMARK) -> DataFrame:
     """Reads of a file that its session has read before, unless that is longer ago than `hours`.
 
-    The state is one time per (session, file), so a busy session is spread over many tasks. It is removed when
+    The state is one time per (session, repo, path), so a busy session is spread over many tasks. It is removed when
     the watermark passes the end of its window.
     """
     reads = (
         loggable_events(access).withWatermark("ts", watermark).filter(F.col("op") == "read")
-        .select("session_id", to_posix(F.col("path")).alias("path"), "ts", "seq")
+        .select("session_id", "repo", to_posix(F.col("path")).alias("path"), "ts", "seq")
     )
-    return reads.groupBy("session_id", "path").applyInPandasWithState(
+    return reads.groupBy("session_id", "repo", "path").applyInPandasWithState(
         _later_reads(hours), REPEATS, "first_us bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
@@ -88,7 +88,9 @@ def stream_action_log(access: DataFrame, path: str, checkpoint: str, once: bool
 
 def watch_tables(spark: SparkSession, root: str) -> DataFrame:
     """The files that appear below a folder of tables, one folder per table: (table, mtime)."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/*")
+    files = spark.readStream.schema(
+        "path string, modificationTime timestamp, length bigint, content binary"
+    ).format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/*")
     table = F.element_at(F.split("path", "/"), -2)
     return files.select(table.alias("table"), F.col("modificationTime").alias("mtime"))
 
@@ -98,10 +100,15 @@ def stream_state_changes(listing: DataFrame, watermark: str = WATERMARK) -> Data
     return listing.withWatermark("mtime", watermark).dropDuplicatesWithinWatermark(["table", "mtime"])
 
 
-def stream_session_counters(access: DataFrame) -> DataFrame:
-    """Running counts per session; for update mode. Counts combine before the shuffle."""
-    return loggable_events(access).groupBy("session_id").agg(
+def stream_session_counters(access: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Running counts per session and day (UTC); for update mode. Counts combine before the shuffle.
+
+    A day's state leaves when the watermark has passed its end; the counts of a session are the sums of its days.
+    """
+    return loggable_events(access).withWatermark("ts", watermark).groupBy(
+        "session_id", F.window("ts", "1 day").alias("day")
+    ).agg(
         F.count_if(F.col("op") == "read").alias("reads"),
         F.count_if(F.col("op") == "write").alias("writes"),
         F.count_if(F.col("op") == "edit").alias("edits"),
-    )
+    ).select("session_id", F.col("day.start").alias("day"), "reads", "writes", "edits")

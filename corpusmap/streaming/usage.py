@@ -1,49 +1,53 @@
-"""The ledger as a stream of versions."""
+"""The ledger as a stream: each batch adds its own part, readers fold the parts."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmap.operators.ledger import ledger_upsert
+from corpusmap.operators.ledger import fold_ledger, usage_rows
 from corpusmap.schemas import LEDGER
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{LEDGER}, version bigint").parquet(path)
+def _finished(spark: SparkSession, path: str) -> list[str]:
+    """The parts that were written to their end: Spark marks them with a _SUCCESS file."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    parts = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
+    return sorted(p.toString() for p in parts if fs.exists(fs_path(p, "_SUCCESS")))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of all finished parts; empty when there is none."""
+    parts = _finished(spark, path)
+    if not parts:
+        return spark.createDataFrame([], LEDGER)
+    return fold_ledger(spark.read.schema(LEDGER).parquet(*parts))
 
 
-def read_ledger(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
-    """The newest version of the ledger, or the newest below a version; empty when there is none."""
-    empty = spark.createDataFrame([], LEDGER)
-    if not _exists(spark, path):
-        return empty
-    stored = _stored(spark, path)
-    if below is not None:
-        stored = stored.filter(F.col("version") < below)
-    newest = stored.agg(F.max("version").alias("v")).first()["v"]
-    return empty if newest is None else _stored(spark, path).filter(F.col("version") == newest).drop("version")
+def compact_ledger(spark: SparkSession, path: str, target: str) -> None:
+    """Write the folded ledger as the first part of a new folder, for a stream with a new checkpoint to go on with."""
+    read_ledger(spark, path).write.parquet(f"{target}/part-compacted")
 
 
 def stream_ledger(usage: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Upsert usage into the ledger under `path`, one version per batch.
+    """Add usage to the ledger under `path`, one part per batch: the sums of the batch, not of the whole ledger.
 
-    A batch reads the version before its own and overwrites its own, so running it again changes nothing.
+    A part is named by the checkpoint folder and the batch, so a batch that runs again replaces its own part, and a
+    stream with a new checkpoint folder adds to what is there.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        merged = ledger_upsert(read_ledger(spark, path, below=batch_id), batch)
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        fold_ledger(usage_rows(batch)).write.mode("overwrite").parquet(f"{path}/part-{run}-{batch_id}")
 
     trigger = {"availableNow": True} if once else {"processingTime": "2 seconds"}
     return (
-        usage.writeStream.foreachBatch(upsert).outputMode("append")
+        usage.writeStream.foreachBatch(add).outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )

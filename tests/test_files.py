@@ -98,9 +98,7 @@ def test_ignore(spark):
     kept = [("keep.log", False), ("sub/anchored.txt", False), ("readme.md", False), ("src/index.ts", False),
             ("build", False), ("temp/z.txt", False)]
     paths = spark.createDataFrame([("r", p, d) for p, d in dropped + kept], "repo string, path string, is_dir boolean")
-    for limit in (64 << 20, -1):  # rules broadcast, rules joined
-        left = {(r.path, r.is_dir) for r in I.apply_ignore(paths, compiled, limit).collect()}
-        assert left == set(kept)
+    assert {(r.path, r.is_dir) for r in I.apply_ignore(paths, compiled).collect()} == set(kept)
     # The same rules as literals, one source at a time.
     ignored = I.ignored_by(F.col("path"), rules, F.col("is_dir")) | I.ignored_by(F.col("path"), extra, F.col("is_dir"))
     assert {(r.path, r.is_dir) for r in paths.filter(~ignored).collect()} == set(kept)
@@ -194,10 +192,10 @@ def test_backends_agree_and_fall_back(spark):
         index = A.build_index(tree, ScanOptions(**kw))
         return {r.path: r.symbols for r in index.select("path", "symbols").collect()}
 
-    assert names(symbol_threshold_tokens=0) == names(symbol_backend="regex")
+    assert names() == names(symbol_backend="regex")
     indented = files(spark, ("a.ts", "  function inner() {}\n"))
     for backend in ("spans", "auto", "regex"):
-        opts = ScanOptions(symbol_backend=backend, symbol_threshold_tokens=0)
+        opts = ScanOptions(symbol_backend=backend)
         assert A.build_index(indented, opts).first().symbols == ["inner"]
 
 
@@ -211,48 +209,73 @@ def tree(tmp_path_factory):
     }.items():
         os.makedirs(os.path.dirname(root / path), exist_ok=True)
         (root / path).write_text(body)
+    (root / "latin.md").write_bytes("café noir\n".encode("latin-1"))
     return str(root)
 
 
 def test_scan_tree(spark, tree):
     opts = ScanOptions(max_file_bytes=1024)
-    index = A.build_index(SF.read_text_files(spark, tree, opts, repo="r"), opts).cache()
+    index = A.build_index(SF.read_text_files(spark, tree, opts=opts, repo="r"), opts).cache()
     rows = {r.path: r for r in index.collect()}
-    assert set(rows) == {
-        "src/index.ts", "src/server.go", "src/__init__.py", "README.md", "bin.dat", "big.txt"}
+    # Spark's source leaves out names that begin with an underscore or a dot.
+    assert set(rows) == {"src/index.ts", "src/server.go", "README.md", "latin.md", "bin.dat", "big.txt"}
+    whole = A.build_index(SF.read_text_files(spark, tree, repo="r"))
+    assert {r.path: r.tokens for r in whole.collect()}["big.txt"] == 500 and whole.filter("skipped").count() == 1
     ts = rows["src/index.ts"]
     assert (ts.lang, ts.lines, ts.summary) == ("ts", 5, "Exports version, createApp")
     assert ts.symbols == ["version", "createApp", "Server"]
     assert (rows["bin.dat"].summary, rows["bin.dat"].lang, rows["bin.dat"].skipped) == ("[binary]", "binary", True)
     assert (rows["big.txt"].summary, rows["big.txt"].lines, rows["big.txt"].tokens) == ("[file too large]", 0, 500)
     assert rows["README.md"].size_bytes == rows["README.md"].n_chars + 1
-    assert "src/index.ts" in {r.path for r in SF.list_files(spark, tree, "r", plain=True).collect()}
-    every = ScanOptions(hidden=True)
-    hidden = A.build_index(SF.read_text_files(spark, tree, every, repo="r"), every)
-    assert ".hidden-dir/secret.txt" in {r.path for r in hidden.collect()}
-    capped = A.build_index(SF.read_text_files(spark, tree, opts, repo="r"), ScanOptions(max_files=2))
+    assert rows["latin.md"].summary == "caf\ufffd noir"
+    assert "src/index.ts" in {r.path for r in SF.list_files(spark, tree, "r").collect()}
+    capped = A.build_index(SF.read_text_files(spark, tree, repo="r"), ScanOptions(max_files=2))
     assert sorted(r.path for r in capped.collect()) == ["README.md", "big.txt"]
-    totals = A.corpus_totals(index, max_files=2).first()
-    assert (totals.files, totals.truncated) == (2, True)
+    for totals in (A.corpus_totals(index, max_files=2).first(), A.corpus_totals(capped).first()):
+        assert (totals.files, totals.truncated, totals.skipped_files >= 4) == (2, True, True)
+
+
+def test_inventory_tells_what_cannot_be_read(spark, tree):
+    inventory = spark.createDataFrame(
+        [("r", "README.md", 21), ("r", "gone.md", 5), ("r", "src/__init__.py", 0)], "repo string, path string, size_bytes bigint"
+    ).withColumn("mtime", now())
+    got = {r.path: (r.text, r.skip_reason) for r in SF.read_text_files(spark, tree, inventory, repo="r").collect()}
+    assert got == {"README.md": ("# Demo\n\nHello wörld\n", None), "gone.md": (None, "[unreadable]"),
+                   "src/__init__.py": (None, "[unreadable]")}
+
+
+def test_nothing_drifts_between_two_listings(spark, tree):
+    index = A.build_index(SF.read_text_files(spark, tree, repo="r"))
     # Nothing drifted between two listings, although a file holds more bytes than characters.
     assert J.drift(A.manifest(index), SF.list_files(spark, tree, "r").join(index, ["repo", "path"], "left_semi")).count() == 0
 
 
-def test_gitignore_before_or_after_analysis(spark, tree):
-    texts = SF.read_text_files(spark, tree, repo="r")
-    rules = I.compile_rules(spark.createDataFrame(
-        [("r", "gitignore", 0, "src/"), ("r", "gitignore", 1, "*.dat")],
-        "repo string, source string, rule_no int, line string"))
-    small = A.build_index(texts, gitignore=rules)
-    large = A.build_index(texts, gitignore=rules, limit_bytes=-1)
-    assert sorted(r.path for r in small.collect()) == sorted(r.path for r in large.collect()) == ["README.md", "big.txt"]
+def test_rules_from_the_tree(spark):
+    texts = files(spark, (".gitignore", "# rules\r\ngen/\n*.dat\n!keep.dat\n"), ("sub/.gitignore", "*"), ("a.py", "x = 1\n"),
+                  ("gen/b.py", "y = 1\n"), ("c.dat", "c"), ("keep.dat", "k"))
+    rules = I.compile_rules(I.gitignore_lines(texts))
+    index = A.build_index(texts, gitignore=rules)
+    assert sorted(r.path for r in index.collect()) == ["a.py", "keep.dat"]
+    # A refresh does not bring ignored files back, and takes newly ignored ones out.
+    listing = texts.drop("text")
+    assert sorted(r.path for r in J.refresh_index(index, listing, texts, gitignore=rules).collect()) == ["a.py", "keep.dat"]
+    every = A.build_index(texts)
+    assert sorted(r.path for r in J.refresh_index(every, listing, texts, gitignore=rules).collect()) == ["a.py", "keep.dat"]
+
+
+def test_nothing_is_cut_by_default(spark):
+    many = files(spark, *[(f"d/f{i:04}.md", "x\n") for i in range(5000)])
+    index = A.build_index(many)
+    totals = A.corpus_totals(index).first()
+    assert (index.count(), totals.files, totals.truncated) == (5000, 5000, False)
+    long = files(spark, ("long.py", "".join(f"def f{i}():\n    pass\n" for i in range(3000))), ("nul.md", "x" * 20_000 + "\0"))
+    rows = {r.path: r for r in A.build_index(long).collect()}
+    assert len(rows["long.py"].symbols) == 3000 and rows["long.py"].lines == 6000 and rows["nul.md"].skipped
 
 
 def test_repo_per_folder(spark, tree):
     listed = SF.list_files(spark, tree)
-    assert {r.path for r in listed.filter("repo = 'src'").collect()} == {"index.ts", "server.go", "__init__.py"}
-    walked = {r.repo for r in SF.list_files(spark, tree, opts=ScanOptions()).collect()}
-    assert "node_modules" not in walked and ".hidden-dir" not in walked
+    assert {r.path for r in listed.filter("repo = 'src'").collect()} == {"index.ts", "server.go"}
 
 
 def test_dir_rollup(spark):
@@ -299,7 +322,7 @@ def test_anatomy_and_edits(spark):
     index = A.build_index(files(spark, ("src/a.ts", "export function main() {\n  go()\n}\n")))
     rows = {r.path: r.body for r in R.render_anatomy(index, now()).collect()}
     assert rows[""].startswith("# Anatomy") and "Files: 1 tracked" in rows[""]
-    assert rows["src/a.ts"] == "- `src/a.ts` (~9 tok) — Exports main\n  symbols: main L1-3 ~9 tok"
+    assert rows["src/a.ts"] == "- `src/a.ts` (~9 tok) — Exports main\n  symbols: main L1-3 ~7 tok"
     fresh = spark.createDataFrame([("r", "new")], "repo string, body string")
     digest = lambda s: T.content_hash(F.lit(s))
 
@@ -319,7 +342,7 @@ def test_file_digest(spark):
     tree = files(spark, ("a.ts", "const x = 1\n" * 100), ("big.txt", "x" * 3000))
     wanted = spark.createDataFrame([("r", p) for p in ("a.ts", "big.txt", "../a.ts", "gone")], "repo string, path string")
     got = {r.path: r for r in A.file_digest(wanted, tree, ScanOptions(max_file_bytes=2000), 300).collect()}
-    assert got["a.ts"].exists and got["a.ts"].symbols == ["x"] and got["a.ts"].tokens == 300
+    assert got["a.ts"].exists and got["a.ts"].symbols[0] == "x" and got["a.ts"].tokens == 300
     assert len(got["a.ts"].preview) == 300 and got["a.ts"].preview_truncated
     assert got["big.txt"].preview == "[file too large]" and got["big.txt"].preview_truncated
     assert not got["../a.ts"].exists and not got["gone"].exists
@@ -347,7 +370,6 @@ def test_refresh(spark):
     out = {r.path: r.reused for r in J.refresh_index(old, new.drop("text"), new).collect()}
     assert out == {"a.md": True, "b.md": False, "c.md": False}
     assert J.refresh_index(old, new.drop("text"), new, opts).count() == 2
-    assert J.refresh_index(old, new.drop("text"), new, limit_bytes=-1).count() == 3
     patched = {r.path: r.n_chars for r in J.patch_files(old, A.build_index(new)).collect()}
     assert patched == {"a.md": 2, "b.md": 10, "gone.md": 2}
 

@@ -34,4 +34,4 @@ def test_entry(spark):
 
 
 def test_only_known_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == {"s1_list_files"}
+    assert set(QUERIES) == set(SQL)

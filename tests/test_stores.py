@@ -16,6 +16,7 @@ from corpusmap.operators import schedule as T
 from corpusmap.operators import views as V
 from corpusmap.schemas import BUGS, HANDOFF, LEARNED, LEDGER, SCAN_STATE, TASKS, USAGE_EVENTS
 from corpusmap.sources import documents as D
+from corpusmap.streaming import usage as U
 
 DAY = dt.datetime(2026, 8, 15, 2, 30, 45)
 
@@ -85,7 +86,7 @@ def test_bugs(spark):
     assert rows[0].id.startswith("bug-1-") and rows[1].id.startswith("bug-2-")
     millis = int(rows[0].id.split("-")[2], 36)
     assert millis == int(DAY.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-    assert (len(rows[1].error_message), len(rows[1].fix)) == (500, 2000)
+    assert (len(rows[1].error_message), len(rows[1].fix)) == (600, 3000)
     assert K.search_bugs(log, "typeerror").count() == 1 and K.search_bugs(log, "").count() == 2
     assert K.search_bugs(log, "INDEX.TS").count() == 1 and K.search_bugs(log, "nothing").count() == 0
     assert [r["rank"] for r in V.bug_view(log).collect()] == [1, 2]
@@ -170,7 +171,7 @@ def test_ledger(spark):
     assert got == {"sess-1": ("a", 2500), "sess-2": (None, 500)}
     assert L.ledger_upsert(second, later).exceptAll(second).count() == 0
     many = L.ledger_upsert(none, usage(spark, *[(f"s{i:03}", None, 1) for i in range(520)]))
-    assert L.ledger_cap(many).agg(F.min("session_id")).first()[0] == "s020" and L.ledger_cap(many).count() == 500
+    assert L.ledger_cap(many, 500).agg(F.min("session_id")).first()[0] == "s020" and L.ledger_cap(many, 500).count() == 500
     assert L.lifetime_sessions(many).first()[0] == 520
 
 
@@ -183,16 +184,19 @@ def test_budget(spark):
 
 def test_prune(spark):
     now, old = "2026-08-15 12:00:00", "2026-08-13 12:00:00"
-    reads = spark.createDataFrame([("s", "old.ts", old), ("s", "recent.ts", now), ("s", "bad.ts", "not-a-date")],
-                                  "session_id string, path string, first_read string")
-    writes = spark.createDataFrame([("s", f"w{i}.ts", DAY, i) for i in range(520)],
-                                   "session_id string, path string, at timestamp_ntz, seq int")
-    edits = spark.createDataFrame([("s", "old.ts", 3), ("s", "recent.ts", 1), ("s", "w3.ts", 2)],
-                                  "session_id string, path string, n int")
+    reads = spark.createDataFrame(
+        [("s", "r", "old.ts", old), ("s", "r", "recent.ts", now), ("s", "r", "bad.ts", "not-a-date")],
+        "session_id string, repo string, path string, first_read string")
+    writes = spark.createDataFrame([("s", "r", f"w{i}.ts", DAY, i) for i in range(520)],
+                                   "session_id string, repo string, path string, at timestamp_ntz, seq int")
+    edits = spark.createDataFrame(
+        [("s", "r", "old.ts", 3), ("s", "r", "recent.ts", 1), ("s", "r", "w3.ts", 2), ("s", "other", "recent.ts", 4)],
+        "session_id string, repo string, path string, n int")
     r, w, e = E.prune_session(reads, writes, edits, at(now))
-    assert [x.path for x in r.collect()] == ["recent.ts"]
-    assert w.count() == 500 and w.agg(F.min("seq")).first()[0] == 20
-    assert {x.path for x in e.collect()} == {"recent.ts", "w3.ts"}
+    assert [x.path for x in r.collect()] == ["recent.ts"] and w.count() == 520
+    assert {(x.repo, x.path) for x in e.collect()} == {("r", "recent.ts"), ("r", "w3.ts")}
+    _, newest, _ = E.prune_session(reads, writes, edits, at(now), keep_writes=500)
+    assert newest.count() == 500 and newest.agg(F.min("seq")).first()[0] == 20
 
 
 def test_compaction_keeps_the_last_distinct_files(spark):
@@ -204,6 +208,41 @@ def test_compaction_keeps_the_last_distinct_files(spark):
     assert got == {100: [f"f{i:02}" for i in range(6)], 101: [f"f{i:02}" for i in range(5, 20)]}
 
 
+def test_events_that_must_not_count(spark):
+    rows = [("s", "r", DAY + dt.timedelta(minutes=i), i, op, path) for i, (op, path) in enumerate([
+        ("read", ".env"), ("read", ".env"), ("write", ".env"), ("write", None), ("read", ""), ("write", ".corpusmap/log.md"),
+        ("write", "a.ts"), ("compact", None)])]
+    rows += [("s", "q", DAY, 50, "write", "a.ts"), ("s", "r", DAY + dt.timedelta(days=1), 51, "compact", None)]
+    log = spark.createDataFrame(rows, "session_id string, repo string, ts timestamp_ntz, seq long, op string, path string")
+    index = spark.createDataFrame([], "repo string, path string, tokens bigint")
+    assert E.repeated_reads(log, index).count() == 0 and E.first_reads(log).count() == 0
+    assert [(r.writes, r.files_written) for r in E.session_state(log, index).collect()] == [(2, 2)]
+    assert {(r.repo, r.files[0]) for r in E.action_log(log).collect()} == {("r", "a.ts"), ("q", "a.ts")}
+    # One path in two repositories is two files.
+    assert {r.seq: r.n_files for r in E.compaction_digest(log).collect()} == {7: 2, 51: 2}
+    short = {r.seq: r.message for r in E.compaction_digest(log, shown=1).collect()}
+    assert "a.ts and 1 earlier." in short[51] and ".env" not in short[51]
+
+
+def test_ledger_stream_goes_on_with_a_new_checkpoint(spark, tmp_path):
+    def events(name, *rows):
+        usage(spark, *rows).withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(f"{tmp_path}/{name}")
+        schema = spark.read.parquet(f"{tmp_path}/{name}").schema
+        return spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+
+    ledger = f"{tmp_path}/ledger"
+    U.stream_ledger(events("one", ("a", "x", 100), ("b", None, 50)), ledger, f"{tmp_path}/c1", once=True).awaitTermination()
+    U.stream_ledger(events("two", ("c", "y", 7)), ledger, f"{tmp_path}/c2", once=True).awaitTermination()
+    U.stream_ledger(events("one", ("d", "y", 9)), ledger, f"{tmp_path}/c1", once=True).awaitTermination()
+    # A part that was not finished does not count.
+    U.fold_ledger(U.usage_rows(usage(spark, ("e", "z", 1)))).write.parquet(f"{ledger}/part-broken")
+    (tmp_path / "ledger" / "part-broken" / "_SUCCESS").unlink()
+    got = {r.session_id: r.measured_tokens for r in U.read_ledger(spark, ledger).collect()}
+    assert got == {"a": 100, "b": 50, "c": 7, "d": 9}
+    U.compact_ledger(spark, ledger, f"{tmp_path}/next")
+    assert {r.session_id: r.measured_tokens for r in U.read_ledger(spark, f"{tmp_path}/next").collect()} == got
+
+
 def test_log_row(spark):
     row = spark.range(1).select(E.log_row(
         at("2026-08-15 02:30:45"), F.lit("a|b"), F.array(*[F.lit(f"f{i}") for i in range(6)]), F.lit("ok"), F.lit(3)).alias("x"))
