@@ -40,6 +40,30 @@ def merge_log(target: DataFrame, source: DataFrame) -> DataFrame:
     return _not_known(rows, known, on, ["row_no"]).select("repo", "row_no", "row")
 
 
+def merged_learned(target: DataFrame, source: DataFrame) -> DataFrame:
+    """The target's lines and the new ones, with their place: (repo, heading, place, line_no, line, added).
+
+    `place` is (new_section, section_at, added); ordered by it and line_no, the rows of a repository make up the merged
+    document: new lines stand behind their section, new sections behind all others.
+    """
+    key = ["repo", "heading"]
+    old = target.groupBy(*key).agg(F.min("line_no").alias("old_at"))
+    new = merge_learned(target, source)
+    first = new.groupBy(*key).agg(F.min("line_no").alias("new_at"))
+    sections = old.join(first, key, "full_outer").select(
+        *key, F.col("old_at").isNull().alias("new_section"), F.coalesce("old_at", "new_at").alias("section_at"))
+    rows = target.select(*key, "line_no", "line", F.lit(False).alias("added")).unionByName(
+        new.withColumn("added", F.lit(True)))
+    return rows.join(sections, key).select(
+        *key, F.struct("new_section", "section_at", "added").alias("place"), "line_no", "line", "added")
+
+
+def merged_log(target: DataFrame, source: DataFrame) -> DataFrame:
+    """The target's rows and, behind them, the new ones: ordered by (added, row_no) they make up the merged log."""
+    new = merge_log(target, source).withColumn("added", F.lit(True))
+    return target.select("repo", "row_no", "row", F.lit(False).alias("added")).unionByName(new)
+
+
 def normalize_bugs(source: DataFrame, now: Column) -> DataFrame:
     """Imported records in the shape of the bug table. `source` has (repo, seq, fields MAP<STRING,STRING>)."""
     field = F.col("fields")

@@ -228,6 +228,28 @@ def extract_symbols(files: DataFrame, max_symbols: int | None = None) -> DataFra
     )
 
 
+def extract_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Names found by rules given as a table: (repo, path, name, line, pass, pos), as `extract_symbols` gives them.
+
+    `rules` has (extension, pass, pattern); an extension starts with a dot, a pattern's first group is the name, and
+    passes are tried in order. Rules are few, so Spark sends them to the files; each rule works inside the row of its
+    file, and a name counts where it is found first.
+    """
+    extension = F.concat(F.lit("."), F.substring_index("path", ".", -1))
+    hit = """filter(transform(split(text, '\\\\n'), (t, i) -> named_struct(
+      'name', regexp_extract(t, pattern, 1), 'line', i + 1)), h -> h.name <> '')"""
+    found = (
+        files.withColumn("extension", extension).join(rules.select("extension", "pass", "pattern"), "extension")
+        .select("repo", "path", "pass", F.explode_outer(F.expr(hit)).alias("h")).filter(F.col("h").isNotNull())
+    )
+    first = found.groupBy("repo", "path", F.col("h.name").alias("name")).agg(
+        F.min(F.struct("pass", "h.line")).alias("first"))
+    listed = first.groupBy("repo", "path").agg(
+        F.array_sort(F.collect_list(F.struct("first.pass", "first.line", "name"))).alias("hits"))
+    return listed.select("repo", "path", F.posexplode("hits").alias("at", "h")).select(
+        "repo", "path", "h.name", "h.line", "h.pass", (F.col("at") + 1).alias("pos"))
+
+
 def explode_symbols(files: DataFrame) -> DataFrame:
     """Symbol rows (repo, path, name, line, end_line, tokens) of anything with `symbol_lines`.
 

@@ -126,6 +126,29 @@ def y6(spark, sf):
     return lists.select("repo", "path", F.array_join("symbols", ",").alias("names"))
 
 
+# Patterns written out, as a user would add them.
+_USER_RULES = (
+    (".py", 1, r"^import\s+(\w+)"), (".go", 1, r"^type\s+(\w+)"), (".go", 2, r"^(package|func)\b"),
+    (".ts", 1, r"^class\s+(\w+)"),
+)
+
+
+def _user_rules_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT repo, path, {n} AS pass, line_no, regexp_extract(line, '{p}', 1) AS name FROM code_lines "
+        f"WHERE path LIKE '%{ext}'" for ext, n, p in _USER_RULES)
+
+
+@query("u2_symbol_rules", with_(CODE, LINES_SQL) + f""", hits AS ({_user_rules_sql()}), firsts AS (
+  SELECT repo, path, name, min(pass * 1000000 + line_no) AS k FROM hits WHERE name <> '' GROUP BY repo, path, name)
+SELECT repo, path, name, k % 1000000 AS line, k // 1000000 AS pass,
+       row_number() OVER (PARTITION BY repo, path ORDER BY k) AS pos FROM firsts""")
+def u2(spark, sf):
+    rules = spark.createDataFrame(_USER_RULES, 'extension string, pass int, pattern string')
+    found = Y.extract_by_rules(X.files_code(spark, sf), rules)
+    return found.select("repo", "path", "name", *[F.col(c).cast("bigint").alias(c) for c in ("line", "pass", "pos")])
+
+
 # --- index ----------------------------------------------------------------------------------------------
 
 # The index of all code-shaped files.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmap.operators import digest as G
@@ -301,6 +302,20 @@ def m1(spark, sf):
     return M.merge_learned(*learned_lines(spark, sf))
 
 
+@query("m1_merged_target", with_(X.LEARNED_SQL, MERGE_LEARNED_SQL) + """, old AS (
+  SELECT repo, section AS heading, seq AS line_no, line FROM (SELECT *, """ + _TARGET_LINE + """ AS line FROM learned)
+  WHERE (seq // 10) % 2 = 0), every AS (
+  SELECT *, false AS added FROM old UNION ALL SELECT repo, heading, line_no, line, true FROM new_lines), sections AS (
+  SELECT repo, heading, min(line_no) FILTER (NOT added) AS old_at, min(line_no) FILTER (added) AS new_at FROM every
+  GROUP BY repo, heading)
+SELECT e.repo, row_number() OVER (PARTITION BY e.repo ORDER BY old_at IS NULL, coalesce(old_at, new_at), added, line_no) AS n,
+       e.heading, line, added FROM every e JOIN sections s ON e.repo = s.repo AND e.heading = s.heading""")
+def m1_target(spark, sf):
+    merged = M.merged_learned(*learned_lines(spark, sf))
+    n = F.row_number().over(Window.partitionBy("repo").orderBy("place", "line_no")).cast("bigint")
+    return merged.select("repo", n.alias("n"), "heading", "line", "added")
+
+
 def table_rows(spark, sf):
     rows = PS.E.action_log(X.access_log(spark, sf)).select("repo", F.col("seq").alias("row_no"), "row")
     return rows.filter("row_no % 3 = 0").withColumn("row", F.concat(F.lit("  "), F.col("row"))), rows
@@ -316,6 +331,13 @@ def m2(spark, sf):
     return M.merge_log(*table_rows(spark, sf))
 
 
+@query("m2_merged_target", with_(X.ACCESS_SQL, MERGE_LOG_SQL) + """
+SELECT repo, seq AS row_no, concat('  ', row) AS row, false AS added FROM log_rows WHERE seq % 3 = 0 UNION ALL
+SELECT repo, row_no, row, true FROM new_rows""")
+def m2_target(spark, sf):
+    return M.merged_log(*table_rows(spark, sf))
+
+
 MERGE_BUGS_SQL = """keyed AS (
   SELECT *, lower(trim(error_message, chr(10) || chr(13) || chr(9) || ' ')) AS e FROM all_bugs), fresh_bugs AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, e ORDER BY seq) AS rn FROM keyed
