@@ -2,7 +2,7 @@
 
 Vectors are projected by independent normal (2-stable) directions. If two vectors are d apart, the squared distance of
 their projections is d squared times a chi-square variable with as many degrees of freedom as there are directions. A
-kd-tree over the projections hands out projected neighbours in growing distance r; each is verified on the original
+kd-tree over the projections hands out its leaves in growing distance r; their entries are verified on the original
 vectors. Let d be the distance of the k-th best so far: the search ends when a nearer vector would lie within r with
 probability `confidence` or more, that is when the chi-square distribution of (r / d) squared reaches it.
 
@@ -13,7 +13,6 @@ box passes the same test. Equal vectors are one entry with their smallest ids, s
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -62,53 +61,36 @@ def directions(dim: int, options: Options) -> np.ndarray:
 
 
 class Tree:
-    """A kd-tree as arrays: leaves are runs of `order`, with their boxes."""
+    """A kd-tree whose leaves are runs of `order`, with the boxes of the leaves."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.order = np.arange(len(points))
-        self.low, self.high, self.child, self.run = [], [], [], []
-        self._build(points, 0, len(points), leaf)
-        self.low, self.high = np.array(self.low), np.array(self.high)
-
-    def _build(self, points: np.ndarray, a: int, b: int, leaf: int) -> int:
-        node, own = len(self.run), points[self.order[a:b]]
-        self.low.append(own.min(axis=0))
-        self.high.append(own.max(axis=0))
-        self.child.append(None)
-        self.run.append((a, b))
-        axis = int(np.argmax(self.high[node] - self.low[node]))
-        if b - a > leaf and self.high[node][axis] > self.low[node][axis]:
-            middle = (b - a) // 2
-            self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], middle)]
-            self.child[node] = (self._build(points, a, a + middle, leaf), self._build(points, a + middle, b, leaf))
-        return node
-
-    def far(self, node: int, q: np.ndarray) -> float:
-        away = np.maximum(np.maximum(self.low[node] - q, q - self.high[node]), 0)
-        return float(away @ away)
-
-    def neighbours(self, points: np.ndarray, q: np.ndarray):
-        """Batches (squared projected distances, rows) so that no row of a later batch is nearer than the batch's bound."""
-        todo, found = [(self.far(0, q), 0)], []
-        while todo or found:
-            # Everything nearer than the next box is certain now.
-            bound = todo[0][0] if todo else math.inf
-            ready = []
-            while found and found[0][0] <= bound:
-                ready.append(heapq.heappop(found))
-            if ready:
-                yield ready[-1][0], [i for _, i in ready]
-            if todo:
-                _, node = heapq.heappop(todo)
-                if self.child[node] is None:
-                    a, b = self.run[node]
-                    rows = self.order[a:b]
-                    away = ((points[rows] - q) ** 2).sum(axis=1)
-                    for r, i in zip(away.tolist(), rows.tolist()):
-                        heapq.heappush(found, (r, i))
-                else:
-                    for c in self.child[node]:
-                        heapq.heappush(todo, (self.far(c, q), c))
+        self.order, runs = np.arange(len(points)), []
+        todo = [(0, len(points))]
+        while todo:
+            a, b = todo.pop()
+            own = points[self.order[a:b]]
+            spread = own.max(axis=0) - own.min(axis=0)
+            axis = int(np.argmax(spread))
+            if b - a > leaf and spread[axis] > 0:
+                middle = (b - a) // 2
+                self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], middle)]
+                todo += [(a, a + middle), (a + middle, b)]
+            else:
+                runs.append((a, b))
+        self.runs = sorted(runs)
+        starts = [a for a, _ in self.runs]
+        self.low = np.minimum.reduceat(points[self.order], starts, axis=0)
+        self.high = np.maximum.reduceat(points[self.order], starts, axis=0)
+
+    def leaves(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves in growing distance of their boxes, and these squared distances."""
+        away = np.maximum(np.maximum(self.low - q, q - self.high), 0)
+        far = (away ** 2).sum(axis=1)
+        order = np.argsort(far, kind="stable")
+        return order, far[order]
+
+    def rows(self, leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.order[self.runs[i][0]:self.runs[i][1]] for i in leaves])
 
 
 class Best:
@@ -117,12 +99,16 @@ class Best:
     def __init__(self, k: int, own: int, bound: float = math.inf):
         self.k, self.own, self.pairs, self.bound = k, own, [], bound
 
-    def add(self, distance: float, ids) -> None:
-        if distance > self.reach:
-            return
-        self.pairs += [(distance, i) for i in ids if i != self.own]
-        self.pairs.sort()
-        del self.pairs[self.k:]
+    def add(self, distances: np.ndarray, ids: list) -> None:
+        """Entries with their lists of ids; only the k nearest can matter, one more as the query may be among them."""
+        near = np.flatnonzero(distances <= self.reach)
+        if len(near) > self.k + 1:
+            last = np.partition(distances[near], self.k)[self.k]
+            near = near[distances[near] <= last]
+        if len(near):
+            self.pairs += [(d, i) for d, n in zip(distances[near].tolist(), near.tolist()) for i in ids[n] if i != self.own]
+            self.pairs.sort()
+            del self.pairs[self.k:]
 
     @property
     def reach(self) -> float:
@@ -131,12 +117,18 @@ class Best:
 
 def search(tree: Tree, low: np.ndarray, vectors: np.ndarray, ids: list, query: np.ndarray, projected: np.ndarray,
            best: Best, stop: float) -> None:
-    """Verify projected neighbours until the stopping test holds. Equal distances are all verified."""
-    for r, rows in tree.neighbours(low, projected):
-        for i, d in zip(rows, np.sqrt(((vectors[rows] - query) ** 2).sum(axis=1)).tolist()):
-            best.add(d, ids[i])
-        if r > stop * best.reach ** 2:
-            return
+    """Verify projected neighbours, a few leaves at a time, until the stopping test holds for all that are left.
+
+    The test is strict, so entries at equal distances are all verified.
+    """
+    leaves, far = tree.leaves(projected)
+    a, step = 0, 2
+    while a < len(leaves) and far[a] <= stop * best.reach ** 2:
+        rows = tree.rows(leaves[a:a + step])
+        rows = rows[((low[rows] - projected) ** 2).sum(axis=1) <= stop * best.reach ** 2]
+        distances = np.sqrt(((vectors[rows] - query) ** 2).sum(axis=1))
+        best.add(distances, [ids[i] for i in rows.tolist()])
+        a, step = a + step, min(2 * step, 32)
 
 
 def _cells(sample: np.ndarray, count: int) -> list[tuple]:
@@ -251,8 +243,6 @@ def _search_part(options: Options, dim: int):
             wanted = _matrix(queries.column("vec"), dim)
             for q, number, bound in zip(wanted, queries.column("query_id").to_pylist(), queries.column("bound").to_pylist()):
                 best = Best(options.k, number, math.inf if bound is None else bound)
-                if tree.far(0, q @ matrix) > stop * best.reach ** 2:
-                    continue
                 search(tree, low, vectors, ids, q, q @ matrix, best, stop)
                 out += [(number, i, d) for d, i in best.pairs]
         return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()),

@@ -80,11 +80,16 @@ def test_chi_square():
     assert chi_square_bound(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 
 
-def test_tree_hands_out_growing_distances():
+def test_tree_hands_out_leaves_in_growing_distance():
     points = np.random.default_rng(3).normal(size=(500, 4))
-    q, last, seen = np.zeros(4), -1.0, []
-    away = (points ** 2).sum(axis=1)
-    for r, rows in Tree(points, leaf=8).neighbours(points, q):
-        assert all(last <= away[i] <= r for i in rows)
-        last, seen = r, seen + rows
+    q, seen = np.zeros(4), []
+    tree, away = Tree(points, leaf=8), (points ** 2).sum(axis=1)
+    leaves, far = tree.leaves(q)
+    assert (np.diff(far) >= 0).all() and len(leaves) >= 500 / 8
+    for leaf, distance in zip(leaves, far):
+        rows = tree.rows(np.array([leaf])).tolist()
+        assert len(rows) <= 8 and all(away[i] >= distance - 1e-12 for i in rows)
+        seen += rows
     assert sorted(seen) == list(range(500))
+    same = Tree(np.ones((300, 3)), leaf=8)
+    assert len(same.runs) == 1
