@@ -115,8 +115,12 @@ def _bound_field(text: Column, i: int) -> Column:
 
 
 def _parsed(tasks: DataFrame) -> DataFrame:
-    """Each distinct expression, parsed once: (_expr, _p)."""
-    return tasks.select(F.col("expr").alias("_expr")).distinct().withColumn("_p", parsed_expr(F.col("_expr")))
+    """Each distinct expression, parsed once: (_expr, _p).
+
+    The explode of one value keeps Spark from copying the parser into every later mention of its result.
+    """
+    each = tasks.select(F.col("expr").alias("_expr")).distinct()
+    return each.select("_expr", F.explode_outer(F.array(parsed_expr(F.col("_expr")))).alias("_p"))
 
 
 def parse_schedules(tasks: DataFrame) -> DataFrame:
