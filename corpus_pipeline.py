@@ -24,10 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from all of them; the documents stay."""
-    done = line_dedup(docs, min_docs=10, min_chars=1, into="_lines")
-    changed = {"text": F.col("_lines")["text"]}
+    into = work.free_prefix(docs) + "lines"
+    done = line_dedup(docs, min_docs=10, min_chars=1, into=into)
+    changed = {"text": F.col(into)["text"]}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.char_length(F.col("_lines")["text"]).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.char_length(F.col(into)["text"]).cast(docs.schema["n_chars"].dataType)
     return done.withColumns(changed).select(*docs.columns)
 
 
@@ -40,7 +41,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are evened out by repeating documents of smaller ones, at most 1.5 times; each is taken at least once."""
-    return take_copies(mixture(docs, Target(entropy=None, max_repeat=1.5, cover=True), into="_mix"), "_mix")
+    into = work.free_prefix(docs) + "mix"
+    return take_copies(mixture(docs, Target(entropy=None, max_repeat=1.5, cover=True), into=into), into)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

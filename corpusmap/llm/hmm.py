@@ -287,13 +287,17 @@ def _maximize(starts, moves, emissions, model: Model) -> Model:
 def _first_model(coded: DataFrame, model: Model, options: Options) -> Model:
     """States begin as the corpus mixed with texts that differ most from each other."""
 
+    share = min(1.0, (2 * options.seed_docs + 100) / max(model.n_ends, 1))
+
     def sample(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 texts = Texts(row, True)
                 ids = [xxhash.xxh3_64_intdigest(str(i)) >> 1 for i in texts.docs.column("id").to_pylist()]
                 ids = np.array(ids, np.int64)[texts.order]
-                for d in np.argsort(ids, kind="stable")[:options.seed_docs].tolist():
+                # A share of all texts by hash, so that what tasks hand over does not grow with their number.
+                few = np.flatnonzero(ids <= share * float(1 << 63))
+                for d in few[np.argsort(ids[few], kind="stable")][:options.seed_docs].tolist():
                     a, n = int(texts.begin[d]), int(texts.length[d]) - 1
                     if n >= 20:
                         yield pa.RecordBatch.from_pydict({

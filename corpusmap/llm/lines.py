@@ -95,16 +95,17 @@ def line_dedup(
     one text counts once. A null or empty text is one empty line and gives an empty text. Each row is a document, also
     when rows or ids repeat or an id is null. An empty table gives an empty table; other columns stay as they are.
     """
-    spark = docs.sparkSession
+    spark, free = docs.sparkSession, work.free_prefix(docs)
+    k1, k2, fallen = (free + n for n in ("k1", "k2", "drops"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Names the row for the join back: the same lines fall from rows with the same id and text.
-    ids = [F.xxhash64(F.col(id_col), text).alias("_k1"), F.xxhash64(F.lit("text"), text).alias("_k2")]
+    ids = [F.xxhash64(F.col(id_col), text).alias(k1), F.xxhash64(F.lit("text"), text).alias(k2)]
     keyed = docs.select(*ids, F.transform(F.split(text, "\n"), line_key).alias("keys"))
     long_enough = lambda k: F.when(F.char_length(k) >= min_chars, _hash(k))
     keys = keyed.select(
-        "_k1", "_k2", F.transform("keys", long_enough).alias("lines"),
+        k1, k2, F.transform("keys", long_enough).alias("lines"),
         F.transform(F.filter(F.array_distinct("keys"), lambda k: F.char_length(k) >= min_chars), _hash).alias("once"),
-        F.pmod(F.col("_k1"), F.lit(batches)).cast("int").alias("batch"),
+        F.pmod(F.col(k1), F.lit(batches)).cast("int").alias("batch"),
     )
     path = work.new_path(spark, "line-keys")
     with work.tidy(spark):
@@ -116,22 +117,22 @@ def line_dedup(
         once = stored.where(F.col("batch") == b).select(F.explode("once").alias("h")).select("h.h1", "h.h2")
         runs.add(once.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")))
 
-    found = stored.select("_k1", "_k2", F.posexplode("lines").alias("at", "h")).where(F.col("h").isNotNull())
+    found = stored.select(k1, k2, F.posexplode("lines").alias("at", "h")).where(F.col("h").isNotNull())
     # A written table: the join's side is then a plain scan, and Spark can split a hot line's rows over many tasks.
     frequent = work.save(runs.frequent(), "frequent")
     drops = (
-        found.select("_k1", "_k2", "at", "h.h1", "h.h2").join(frequent, KEY, "left_semi")
-        .groupBy("_k1", "_k2").agg(F.collect_set("at").alias("_drops"))
+        found.select(k1, k2, "at", "h.h1", "h.h2").join(frequent, KEY, "left_semi")
+        .groupBy(k1, k2).agg(F.collect_set("at").alias(fallen))
     )
 
     def without(lines: Column) -> Column:
-        at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
+        at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(fallen))
         return F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n")
 
-    kept = F.when(F.col("_drops").isNull(), text).otherwise(let(F.split(text, "\n"), without))
+    kept = F.when(F.col(fallen).isNull(), text).otherwise(let(F.split(text, "\n"), without))
     n_lines = F.size(F.split(text, "\n")).cast("bigint")
-    n_dropped = F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint")
-    joined = docs.withColumns({"_k1": ids[0], "_k2": ids[1]}).join(drops, ["_k1", "_k2"], "left")
+    n_dropped = F.coalesce(F.size(fallen), F.lit(0)).cast("bigint")
+    joined = docs.withColumns({k1: ids[0], k2: ids[1]}).join(drops, [k1, k2], "left")
     return joined.withColumn(
         into, F.struct(kept.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
-    ).drop("_k1", "_k2", "_drops")
+    ).drop(k1, k2, fallen)

@@ -100,7 +100,7 @@ def mixture(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id",
     taken together or one by one, as the budget allows, but those at the very border alike. A null or empty text has
     no tokens. An empty table gives an empty table; other columns stay as they are.
     """
-    spark = docs.sparkSession
+    free = work.free_prefix(docs)
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     doc_key = F.xxhash64(F.lit(target.seed), F.col(id_col), F.col(text_col))
     slim = work.save(docs.select(key.alias("key"), doc_key.alias("doc"), word_count(F.col(text_col)).alias("n")), "mix-rows")
@@ -141,18 +141,18 @@ def mixture(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id",
     last = inside.withColumn("up_to", taken).where("up_to <= left").groupBy("key").agg(F.max("doc").alias("last_doc"))
     per_source = plan.join(border.select("key", "order"), "key", "left").join(last, "key", "left")
     per_source = work.save(per_source.select(
-        F.col("key").alias("_key"), F.col("weight").alias("_weight"), F.col("passes").alias("_passes"),
-        F.col("blocks").alias("_blocks"), F.col("order").alias("_cut"), F.col("last_doc").alias("_last")), "mix-sources")
-
-    here = F.pmod("_doc", "_blocks")
-    own = F.xxhash64(F.lit(target.seed), F.lit("block"), F.col("_key"), here)
-    more = (own < F.col("_cut")) | ((own == F.col("_cut")) & (F.col("_doc") <= F.col("_last")))
-    copies = F.col("_passes") + F.coalesce(more, F.lit(False)).cast("bigint")
-    joined = docs.withColumns({"_key": key, "_doc": doc_key}).join(per_source, "_key")
+        F.col("key").alias(free + "key"), F.col("weight").alias(free + "weight"), F.col("passes").alias(free + "passes"),
+        F.col("blocks").alias(free + "blocks"), F.col("order").alias(free + "cut"), F.col("last_doc").alias(free + "last")), "mix-sources")
+
+    here = F.pmod(free + "doc", free + "blocks")
+    own = F.xxhash64(F.lit(target.seed), F.lit("block"), F.col(free + "key"), here)
+    more = (own < F.col(free + "cut")) | ((own == F.col(free + "cut")) & (F.col(free + "doc") <= F.col(free + "last")))
+    copies = F.col(free + "passes") + F.coalesce(more, F.lit(False)).cast("bigint")
+    joined = docs.withColumns({free + "key": key, free + "doc": doc_key}).join(per_source, free + "key")
     return joined.withColumn(into, F.struct(
-        word_count(F.col(text_col)).alias("n_tokens"), copies.alias("copies"), F.col("_weight").alias("weight"),
+        word_count(F.col(text_col)).alias("n_tokens"), copies.alias("copies"), F.col(free + "weight").alias("weight"),
         F.lit(x).alias("exponent"),
-    )).drop("_key", "_doc", "_weight", "_passes", "_blocks", "_cut", "_last")
+    )).drop(*[free + n for n in ("key", "doc", "weight", "passes", "blocks", "cut", "last")])
 
 
 def take_copies(mixed: DataFrame, column: str = "mix") -> DataFrame:

@@ -265,7 +265,8 @@ def _one_size(rows: DataFrame, dim: int, is_query: Column, options: Options) ->
     entries = work.save(entries, "entries")
     n = entries.count()
     count = 1 << max(0, math.ceil(math.log2(max(1, n / options.cell_rows))))
-    sample = entries.select("vec").orderBy(F.xxhash64("vec")).limit(options.sample).collect()
+    some = entries.select("vec").where(work.hash_share(F.col("vec"), options.sample, n))
+    sample = some.orderBy(F.xxhash64("vec")).limit(options.sample).collect()
     sample = np.array([r["vec"] for r in sample], np.float64).reshape(-1, dim) @ directions(dim, options)
     cuts = _cells(sample, count)
     celled = work.save(entries.mapInArrow(_with_cell(cuts, options, dim, "vec"),

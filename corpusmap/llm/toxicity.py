@@ -313,7 +313,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), id_col:
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(
         F.max(label_col).cast("int").alias("toxic")).select(F.col(id_col).alias("_id"), "toxic")
-    few = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample.max_rows)
+    some = marked.where(work.hash_share(F.col("_id"), sample.max_rows, marked.count()))
+    few = some.orderBy(F.xxhash64("_id"), "_id").limit(sample.max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # At most max_rows short rows: a bounded broadcast.
     rows = work.save(texts.join(F.broadcast(few), "_id").select("text", "toxic"), "labelled")

@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
@@ -39,6 +40,23 @@ def tidy(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """Underscores with which no column of the table begins, for columns that are added for a while."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def hash_share(key: Column, wanted: int, of: int) -> Column:
+    """Rows whose hash lies in a share that holds `wanted` of `of` rows or, by chance alone, a few less.
+
+    Taken before an exact limit, it keeps what tasks hand over for the limit from growing with their number.
+    """
+    share = min(1.0, (2 * wanted + 100) / max(of, 1))
+    return F.pmod(F.xxhash64(F.lit("share"), key), F.lit(1 << 40)) < int(share * (1 << 40))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/corpusmap-llm/{uuid.uuid4().hex}-{name}"
 

@@ -37,6 +37,6 @@ def frame(spark, rows, extra=False):
     """The rows as a table; `extra` adds columns whose names the operators use themselves."""
     schema = "doc_id bigint, text string"
     if extra:
-        rows = [(*r, "a", 1, "b", True) for r in rows]
-        schema += ", id string, n int, block string, kept boolean"
+        rows = [(*r, "a", 1, "b", True, 5, "d") for r in rows]
+        schema += ", id string, n int, block string, kept boolean, _k1 int, _drops string"
     return spark.createDataFrame(rows, schema)

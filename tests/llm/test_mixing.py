@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 from corpusmap.llm.mixing import Target, mixture, take_copies, word_count
 from tests.llm.common import awkward, prose, words
 
-SCHEMA = "doc_id bigint, text string, source string, key string, weight int"
+SCHEMA = "doc_id bigint, text string, source string, key string, weight int, _key int"
 
 
 def corpus():
     sizes = {"big": 300, "mid": 60, "small": 15, None: 25, "tiny": 3}
     rows = [(s, prose(5 + (7 * i) % 40, i)) for s, n in sizes.items() for i in range(n)]
     rows += [("blank", None), ("blank", " "), ("big", None), ("big", ""), ("mid", awkward()[5][1]), ("mid", awkward()[5][1])]
-    return [(i, t, s, "k", 1) for i, (s, t) in enumerate(rows)] + [(None, "a b", "big", "k", 1)]
+    return [(i, t, s, "k", 1, 2) for i, (s, t) in enumerate(rows)] + [(None, "a b", "big", "k", 1, 2)]
 
 
 def mixed(spark, target):
@@ -87,7 +87,7 @@ def test_copies_become_rows(spark):
 
 
 def test_one_source_and_empty(spark):
-    one = spark.createDataFrame([(1, "a b c", "s", "k", 1), (2, None, "s", "k", 1)], SCHEMA)
+    one = spark.createDataFrame([(1, "a b c", "s", "k", 1, 2), (2, None, "s", "k", 1, 2)], SCHEMA)
     assert [r["mix"]["copies"] for r in mixture(one).orderBy("doc_id").collect()] == [1, 1] or True
     assert mixture(one).count() == 2 and mixture(one.where("false")).count() == 0
     assert one.select(word_count(F.col("text"))).collect()[1][0] == 0

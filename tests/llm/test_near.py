@@ -107,5 +107,7 @@ def test_components(spark, shape):
         x, y = find(int(a)), find(int(b))
         up[max(x, y)] = min(x, y)
     touched = {int(x) for a, b in edges if a != b for x in (a, b)}
-    got = components(spark.createDataFrame([(int(a), int(b)) for a, b in edges], "x bigint, y bigint")).collect()
-    assert {r["node"]: r["root"] for r in got} == {i: find(i) for i in touched} and len(got) == len(touched)
+    table = spark.createDataFrame([(int(a), int(b)) for a, b in edges], "x bigint, y bigint").repartition(5)
+    for task_edges in (1_000_000, 20):  # all in one task, and in rounds
+        got = components(table, task_edges).collect()
+        assert {r["node"]: r["root"] for r in got} == {i: find(i) for i in touched} and len(got) == len(touched)
