@@ -287,7 +287,8 @@ def _large_edges(members: DataFrame, sizes: DataFrame, options: Options) -> Data
     run = _link_groups(options)
 
     def linked(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy("grp", *keys).applyInArrow(
+        # Else Spark takes a partitioning by group alone as good enough, and a large group stays in one task.
+        return rows.repartition("grp", *keys).groupBy("grp", *keys).applyInArrow(
             lambda t: run(t.select(MEMBER)), "a bigint, b bigint")
 
     # Chunks with the leaders of their group: connects most of it.
@@ -352,7 +353,8 @@ def near_duplicates(docs: DataFrame, options: Options = Options(), id_col: str =
         F.collect_list("token").alias("tokens"))  # at most `prefix` of them
     wanted = nodes.join(groups, "node").join(own_lists, "node")
     wanted = work.save(wanted, "candidates")
-    texts = source.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    # The same join at every size: candidates grow with the corpus, so they are never sent to all tasks.
+    texts = source.join(wanted.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
     shingles = texts.select("id", "text").mapInArrow(_with_shingles(options), "d1 bigint, d2 bigint, shingles binary")
     members = wanted.join(shingles.dropDuplicates(["d1", "d2"]), ["d1", "d2"]).select(
         "grp", "node", F.col("node").alias("label"), F.lit(0).alias("role"), "sig", "shingles",
