@@ -48,14 +48,14 @@ def digest_sections(
         F.concat(F.lit("- "), F.col("entry")),
     )
     fixed = listing(
-        recent_bug_lines(bugs), 3, "## Known bugs already fixed (check the bug log before re-debugging)",
+        recent_bug_lines(bugs), 3, "## Bugs with a known fix",
         -F.col("rank"), F.col("line"),
     )
     pointer = scan_state.filter(F.col("total_files") > 0).select(
         "repo", F.lit(4).alias("prio"),
         F.concat(
             F.lit("the index tracks "), F.col("total_files").cast("string"),
-            F.lit(" files with descriptions + token sizes — consult it before reading whole files."),
+            F.lit(" files with what they hold and how long they are."),
         ).alias("text"),
     )
     return (
@@ -107,7 +107,7 @@ def digest_with_warning(
     reasons = staleness(scan_state, heads, hours, now)
     body = F.coalesce("digest", F.lit(""))
     warned = F.concat(
-        F.lit("⚠ index may be stale ("), F.col("reason"), F.lit("). Refresh it before relying on it.\n\n"), body
+        F.lit("⚠ the index is out of date ("), F.col("reason"), F.lit("); a refresh is due.\n\n"), body
     )
     return digest.select("repo", "digest").join(reasons, "repo", "full_outer").select(
         "repo", F.when(F.col("reason").isNotNull(), warned).otherwise(body).alias("digest")

@@ -99,10 +99,10 @@ def housekeeping(learned: DataFrame, bugs: DataFrame, repos: DataFrame) -> DataF
         n < 3,
         F.concat(
             F.lit("💡 only "), n.cast("string"), F.when(n == 1, " entry").otherwise(" entries"),
-            F.lit(" learned so far. Record preferences, conventions, and mistakes this session."),
+            F.lit(" learned yet; add what this session shows."),
         ),
     )
-    none = F.when(F.col("bugs").isNull(), "📋 the bug log is empty. Log any bugs you find or fix.")
+    none = F.when(F.col("bugs").isNull(), "📋 no bug is on record yet.")
     return (
         repos.select("repo").join(entries, "repo", "left").join(logged, "repo", "left")
         .select("repo", F.concat_ws("\n", few, none).alias("reminders"))

@@ -260,7 +260,7 @@ _MAP_SQL = f"""m AS (
          row_number() OVER (PARTITION BY repo, dir ORDER BY path) AS fr,
          count(*) OVER (PARTITION BY repo, dir) AS n FROM m), dirs AS (
   SELECT repo, dir, concat(chr(10), chr(10), '## ', dir, chr(10), string_agg(line, chr(10) ORDER BY path),
-    CASE WHEN any_value(n) > 60 THEN concat(chr(10), '- … ', CAST(any_value(n) - 60 AS varchar), ' more file(s)') ELSE '' END) AS body
+    CASE WHEN any_value(n) > 60 THEN concat(chr(10), '- … ', CAST(any_value(n) - 60 AS varchar), ' files more') ELSE '' END) AS body
   FROM ranked WHERE dr <= 40 AND fr <= 60 GROUP BY repo, dir), totals AS (
   SELECT repo, count(*) AS files, sum(lines) AS lines, count(DISTINCT dir) AS n_dirs FROM m GROUP BY repo), maps AS (
   SELECT t.repo, concat('# Code Map', chr(10), 'Generated 2024-02-01T12:30:45Z · ', CAST(files AS varchar), ' files · ',
@@ -273,7 +273,7 @@ MAP_OPTS = CODE_OPTS
 
 def _cut_sql(n: int) -> str:
     return (f"CASE WHEN length(body) > {n} THEN concat(substr(body, 1, {n}), '…', chr(10), "
-            f"'(rendered map truncated at {n} characters)') ELSE body END")
+            f"'(map cut after {n} characters)') ELSE body END")
 
 
 @query("a5_render_map", with_(CODE, INDEX_CODE_SQL, _MAP_SQL) + f"""
@@ -330,7 +330,7 @@ def a7(spark, sf):
   SELECT repo, {_cut_sql(1 << 24)} AS fresh FROM maps)
 SELECT f.repo, CASE WHEN b.body LIKE 'top%' THEN 'absorbed' ELSE 'replaced' END AS action,
   CASE WHEN b.body LIKE 'top%' THEN concat(rtrim(b.body, chr(10)), chr(10), chr(10),
-    '## Auto-generated index (updated)', chr(10), chr(10), fresh) ELSE fresh END AS text
+    '## Index as of now', chr(10), chr(10), fresh) ELSE fresh END AS text
 FROM fresh f LEFT JOIN bodies b ON f.repo = b.repo""")
 def a8(spark, sf):
     existing = bodies(spark, sf)

@@ -30,8 +30,8 @@ REPEATS_SQL = """repeats AS (
 
 @query("e1_repeated_reads", LOG + f""", {REPEATS_SQL}
 SELECT r.session_id, r.repo, r.path, r.seq, {X.sql_ts('r.ts')} AS ts, coalesce(tokens, 0) AS tokens,
-  concat('⚡ ', r.path, ' was already read this session (~', CAST(greatest(1, coalesce(tokens, 0)) AS varchar),
-    ' tokens). Consider using your existing knowledge of this file.') AS warning
+  concat('⚡ ', r.path, ' has been read before in this session (~', CAST(greatest(1, coalesce(tokens, 0)) AS varchar),
+    ' tokens); what is known of it may do.') AS warning
 FROM repeats r LEFT JOIN idx i ON r.repo = i.repo AND r.path = i.path WHERE rn > 1""")
 def e1(spark, sf):
     return E.repeated_reads(X.odd_access_log(spark, sf), half_index(spark, sf)).withColumn("ts", X.show_ts("ts"))
@@ -68,10 +68,10 @@ first_seen AS (
   SELECT *, row_number() OVER (PARTITION BY session_id, repo, path ORDER BY ts, seq) AS rn FROM access_code
   WHERE op = 'read')
 SELECT r.session_id, r.repo, r.path, r.seq, {X.sql_ts('r.ts')} AS ts, f.path IS NOT NULL AS hit,
-  CASE WHEN f.path IS NOT NULL THEN concat('📋 anatomy: ', r.path, ' — ', summary, ' (~', CAST(tokens AS varchar), ' tok)',
-    CASE WHEN fresh THEN concat(chr(10), '   ↳ symbols: ', label,
-        '. Use read offset/limit starting at the relevant line to fetch just what you need.')
-      ELSE concat(chr(10), '   ↳ file changed since index — refresh it before trusting this range.') END) END AS hint
+  CASE WHEN f.path IS NOT NULL THEN concat('📋 indexed: ', r.path, ' — ', summary, ' (~', CAST(tokens AS varchar), ' tok)',
+    CASE WHEN fresh THEN concat(chr(10), '   ↳ parts: ', label,
+        '. Reading can begin at the line that is wanted.')
+      ELSE concat(chr(10), '   ↳ changed after it was indexed, so its line ranges may be off.') END) END AS hint
 FROM first_seen r LEFT JOIN facts f ON r.repo = f.repo AND r.path = f.path WHERE rn = 1""")
 def e2(spark, sf):
     files = X.files_code(spark, sf)
@@ -156,9 +156,9 @@ def e5(spark, sf):
   FROM access_raw c JOIN firsts f ON c.session_id = f.session_id AND f.f <= struct_pack(ts := c.ts, seq := c.seq)
   WHERE c.op = 'compact')
 SELECT session_id, seq, {X.sql_ts('ts')} AS ts, count(*) AS n_files, any_value(n_all) AS n_all, string_agg(path, ', ' ORDER BY f) AS files,
-  concat('## Session in progress (context was just compacted)', chr(10), 'Files already modified this session: ',
+  concat('## After a compaction', chr(10), 'Written so far in this session: ',
     string_agg(path, ', ' ORDER BY f), CASE WHEN any_value(n_all) > 2 THEN concat(' and ',
-      CAST(any_value(n_all) - 2 AS varchar), ' earlier') ELSE '' END, '. Do not re-read them wholesale — check the action log for what was done.') AS message
+      CAST(any_value(n_all) - 2 AS varchar), ' earlier') ELSE '' END, '. The action log tells what was done to them.') AS message
 FROM before WHERE back <= 2 GROUP BY session_id, seq, ts""")
 def e6(spark, sf):
     return E.compaction_digest(X.odd_access_log(spark, sf), shown=2).withColumn("ts", X.show_ts("ts"))

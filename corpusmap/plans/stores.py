@@ -200,10 +200,10 @@ def _digest_sql(budget: str, cost: str) -> str:
   SELECT r.repo, (SELECT {PHASE.format('body')} FROM notes n WHERE n.repo = r.repo) AS t1,
     (SELECT concat('## Do-Not-Repeat', chr(10), string_agg(concat('- ', entry), chr(10) ORDER BY rank)) FROM dnr d
       WHERE d.repo = r.repo HAVING count(*) > 0) AS t2,
-    (SELECT concat('## Known bugs already fixed (check the bug log before re-debugging)', chr(10),
+    (SELECT concat('## Bugs with a known fix', chr(10),
         string_agg(line, chr(10) ORDER BY rank DESC)) FROM bug_lines b WHERE b.repo = r.repo HAVING count(*) > 0) AS t3,
     (SELECT concat('the index tracks ', CAST(total_files AS varchar),
-        ' files with descriptions + token sizes — consult it before reading whole files.') FROM scan_state s
+        ' files with what they hold and how long they are.') FROM scan_state s
       WHERE s.repo = r.repo) AS t4
   FROM (SELECT repo FROM handoff UNION SELECT repo FROM learned UNION SELECT repo FROM bugs UNION SELECT repo FROM scan_state) r),
 priced AS (SELECT *, {price('t1')} AS c1, {price('t2')} AS c2, {price('t3')} AS c3, {price('t4')} AS c4, {budget} AS b FROM parts),
@@ -244,8 +244,8 @@ def u1(spark, sf):
 
 
 @query("k7_digest_with_warning", DIGEST_IN + ", " + _digest_sql("300", _PROSE) + """
-SELECT d.repo, CASE WHEN reason IS NOT NULL THEN concat('⚠ index may be stale (', reason,
-  '). Refresh it before relying on it.', chr(10), chr(10), digest) ELSE digest END AS digest
+SELECT d.repo, CASE WHEN reason IS NOT NULL THEN concat('⚠ the index is out of date (', reason,
+  '); a refresh is due.', chr(10), chr(10), digest) ELSE digest END AS digest
 FROM digests d LEFT JOIN stale s ON d.repo = s.repo""")
 def k7(spark, sf):
     return G.digest_with_warning(
@@ -258,8 +258,8 @@ def k7(spark, sf):
   FROM (SELECT DISTINCT source AS repo FROM documents UNION SELECT concat('new', source) FROM documents) r)
 SELECT repo, concat_ws(chr(10), CASE WHEN n < 3 THEN concat('💡 only ', CAST(n AS varchar),
     CASE WHEN n = 1 THEN ' entry' ELSE ' entries' END,
-    ' learned so far. Record preferences, conventions, and mistakes this session.') END,
-  CASE WHEN bugs = 0 THEN '📋 the bug log is empty. Log any bugs you find or fix.' END) AS reminders
+    ' learned yet; add what this session shows.') END,
+  CASE WHEN bugs = 0 THEN '📋 no bug is on record yet.' END) AS reminders
 FROM r WHERE n < 3 OR bugs = 0""")
 def k8(spark, sf):
     """Each repository, and for each one without any record."""

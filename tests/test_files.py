@@ -315,7 +315,7 @@ def test_map_limits(spark):
     df = spark.createDataFrame(rows, "repo string, path string, text string")
     df = df.withColumn("size_bytes", F.lit(2).cast("bigint")).withColumn("mtime", now())
     text = R.render_map(A.build_index(df), now(), 1 << 20).first().text
-    assert text.count("## d") == 40 and "… 1 more file(s)" in text and text.endswith("… 1 more directory not shown")
+    assert text.count("## d") == 40 and "… 1 files more" in text and text.endswith("… 1 more directory not shown")
 
 
 def test_anatomy_and_edits(spark):
@@ -335,7 +335,7 @@ def test_anatomy_and_edits(spark):
     assert run("old", "old").action == "replaced" and run(None, None).action == "replaced"
     edited = run("old\n\nkeep this\n", "old")
     assert edited.action == "absorbed"
-    assert edited.text == "old\n\nkeep this\n\n## Auto-generated index (updated)\n\nnew"
+    assert edited.text == "old\n\nkeep this\n\n## Index as of now\n\nnew"
 
 
 def test_file_digest(spark):

@@ -72,7 +72,7 @@ def test_digest_warning(spark):
     heads = spark.createDataFrame([("r", "abc")], "repo string, git_head string")
     none = spark.createDataFrame([], "repo string, digest string")
     out = G.digest_with_warning(none, state, heads, 6, at("2026-08-16 02:30:45")).first()
-    assert out.digest == "⚠ index may be stale (last scanned 24h ago). Refresh it before relying on it.\n\n"
+    assert out.digest == "⚠ the index is out of date (last scanned 24h ago); a refresh is due.\n\n"
 
 
 def test_bugs(spark):
