@@ -7,10 +7,13 @@ next window of the task, then to a smaller number of tasks, until one window hol
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,57 +29,76 @@ from corpusmap.llm.texts import one_array, slices, words
 END_ID = 1
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """Token ids of texts. Each distinct word of a slice is encoded once.
 
-    White space never enters a token, so a text's ids are those of its words one after the other. Words of letters
-    are encoded together, joined by blanks; each gives one token with an end mark, which tells them apart again.
+    White space never enters a token, so a text's ids are those of its words one after the other; and marks behind
+    letters are tokens of their own, so a word's ids are those of its letters and of its last marks. Words of Latin
+    letters, whose lower case and composed form are plain, go to the tokenizer's model directly.
     """
 
+    SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+    LOWER = {c: c + 32 for c in range(0xC0, 0xDF) if c != 0xD7}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallel work
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _each(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
-
-    def _letters(self, texts: list[str], step: int = 20_000) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for a in range(0, len(texts), step):
-            part = texts[a:a + step]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            out += np.split(ids, ends[:-1]) if len(ends) == len(part) and ends[-1] == len(ids) else self._each(part)
-        return out
+        model = json.loads(self.tokenizer.to_str())["model"]
+        if model["type"] != "BPE" or not model["end_of_word_suffix"]:
+            raise ValueError("a BPE vocabulary with word ends is needed")
+        # The letters that stand for the bytes of the letters above.
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        return [[t.id for t in tokenize(w if w.isascii() else w.translate(letters))] for w in texts]
+
+    def _any(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _table(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        lowered = [t.translate(self.LOWER) for t in texts]
+        simple = [self.SIMPLE.fullmatch(t) is not None for t in lowered]
+        fast, slow = iter(self._plain([t for t, s in zip(lowered, simple) if s])), iter(
+            self._any([t for t, s in zip(texts, simple) if not s]))
+        found = [next(fast) if s else next(slow) for s in simple]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks in a row, and how many each has."""
-        cores = pc.ascii_rtrim(chunks, ".,")
-        core_list, chunk_list = cores.to_pylist(), chunks.to_pylist()
-        letters = np.array([c.isalpha() for c in core_list], bool)
-        ids: list[np.ndarray | None] = [None] * len(chunk_list)
-        lowered = pc.ascii_lower(cores.filter(pa.array(letters))).dictionary_encode()
-        known = self._letters(lowered.dictionary.to_pylist())
-        tails = {}
-        for at, code in zip(np.flatnonzero(letters).tolist(), lowered.indices.to_numpy(zero_copy_only=False).tolist()):
-            tail = chunk_list[at][len(core_list[at]):]
-            if tail:
-                if tail not in tails:
-                    tails[tail] = self._each([tail])[0]
-                ids[at] = np.concatenate([known[code], tails[tail]])
-            else:
-                ids[at] = known[code]
-        other = np.flatnonzero(~letters).tolist()
-        for at, found in zip(other, self._each([chunk_list[i] for i in other])):
-            ids[at] = found
-        sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), sizes
+        """The ids of all words in a row, and how many each has."""
+        lowered = pc.ascii_lower(chunks)
+        cores = pc.ascii_rtrim(lowered, ".,")
+        # Marks are cut off where only letters stand before them; other words are taken whole, as they are.
+        whole = np.array([not c.isalpha() for c in cores.to_pylist()], bool)
+        cores = pc.if_else(pa.array(whole), chunks, cores)
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(cores), pc.binary_length(chunks)).to_numpy(zero_copy_only=False))
+        some = chunks.take(pa.array(marked)).to_pylist()
+        cut = pc.binary_length(cores.take(pa.array(marked))).to_pylist()
+        ends = [t.encode()[n:].decode() for t, n in zip(some, cut)]
+        coded = cores.dictionary_encode()
+        ids, sizes = self._table([*coded.dictionary.to_pylist(), *(kinds := sorted(set(ends)))])
+        starts = np.cumsum(sizes) - sizes
+        core = coded.indices.to_numpy(zero_copy_only=False)
+        number = {k: len(coded.dictionary) + i for i, k in enumerate(kinds)}
+        tail = np.array([number[e] for e in ends], np.int64)
+        total = sizes[core]
+        total[marked] += sizes[tail]
+        begin = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), np.uint32)
+        out[ragged(begin, sizes[core])] = ids[ragged(starts[core], sizes[core])]
+        out[ragged(begin[marked] + sizes[core[marked]], sizes[tail])] = ids[ragged(starts[tail], sizes[tail])]
+        return out, total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by END_ID, and how many each has with it."""
@@ -84,11 +106,8 @@ class Encoder:
         coded = flat.dictionary_encode()
         table, sizes = self.distinct(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
-        per_word = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-        ends = np.cumsum(per_word)
-        ids = table[np.repeat(starts[codes] - (ends - per_word), per_word) + np.arange(int(per_word.sum()))] \
-            if len(codes) else np.zeros(0, np.uint32)
+        starts, per_word = np.cumsum(sizes) - sizes, sizes[codes]
+        ids, ends = table[ragged(starts[codes], per_word)], np.cumsum(per_word)
         total = np.concatenate([[0], ends])
         last = np.cumsum(counts)
         lengths = total[last] - total[last - counts]
@@ -251,18 +270,20 @@ def pack(
     arrow = to_arrow_schema(schema)
     source = docs.select(F.col(id_col), F.col(text_col))
     rows = work.save(source.mapInArrow(_tokenized(tokenizer, capacity, window, spare, with_ids, arrow), schema), "pieces")
-    done, left, level = [], rows, 0
+    done, left, level, before = [], rows, 0, None
     while True:
         done.append(left.where(F.col("sequence_id").isNotNull()))
         waiting = left.where(F.col("sequence_id").isNull())
-        groups = -(-waiting.count() // window)
-        if not groups:
+        n = waiting.count()
+        if not n:
             break
-        level += 1
+        groups, level = -(-n // window), level + 1
+        last = groups == 1 or before is not None and 2 * n > before  # or what is left hardly fits
+        before = n
         # At each level a task gets a window of pieces, of which most bins close; the last window closes all.
-        repacked = _repacked(capacity, 2 * window, level, spare, groups == 1, arrow)
+        repacked = _repacked(capacity, 2 * window, level, spare, last, arrow)
         left = work.save(waiting.repartition(groups).mapInArrow(repacked, schema), f"pieces{level}")
-        if groups == 1:
+        if last:
             done.append(left)
             break
     return reduce(DataFrame.unionAll, done)
