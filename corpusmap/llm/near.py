@@ -29,7 +29,7 @@ from corpusmap.llm.blocks import block_numbers, column, from_bytes, table_from_b
 from corpusmap.llm.graph import components
 from corpusmap.llm.texts import mix, one_array, slices, window_keys, windows, word_keys, words
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 VALUE_BITS = 32
 MESSAGE = "part int, block bigint, data binary"
 MEMBER = ["grp", "node", "label", "role", "sig", "shingles", "posted"]
@@ -46,7 +46,7 @@ class Options:
     chunk: int = 1024  # classes in a chunk of a large group
     chunk_shingles: int = 2_000_000
     leaders: int = 32
-    block_tokens: int = 1_000_000
+    block_tokens: int = 500_000
 
     @property
     def prefix(self) -> int:
@@ -302,10 +302,12 @@ def _large_edges(members: DataFrame, sizes: DataFrame, options: Options) -> Data
     labelled = dealt.drop("label").join(roots, "node", "left").withColumn(
         "label", F.coalesce("root", "node")).drop("root")
     labelled = work.save(labelled, "labelled-groups")
-    main = labelled.groupBy("grp", "label").count().groupBy("grp").agg(
-        F.max_by("label", F.struct("count", F.col("label"))).alias("main"))
+    # A row per large group, written so that Spark knows how small the table is and leaves the classes where they are.
+    main = work.save(labelled.groupBy("grp", "label").count().groupBy("grp").agg(
+        F.max_by("label", F.struct("count", F.col("label"))).alias("main")), "main-labels")
     rest = labelled.join(main, "grp").where("label <> main").drop("main")
-    rest_chunks = rest.groupBy("grp").agg(F.ceil(F.count("*") / options.chunk).cast("int").alias("rests"))
+    rest_chunks = work.save(
+        rest.groupBy("grp").agg(F.ceil(F.count("*") / options.chunk).cast("int").alias("rests")), "rests")
     rest = rest.join(rest_chunks, "grp").withColumn("rest", F.pmod(F.xxhash64("node"), F.col("rests")).cast("int"))
     asking = rest.withColumn("role", F.lit(1)).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))

@@ -11,7 +11,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While this module writes: shuffle files go with their query, and Python tasks get their rows in small batches.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 _local: dict[str, str] = {}
 
 
@@ -31,13 +35,15 @@ def folder(spark: SparkSession) -> str:
 
 @contextmanager
 def tidy(spark: SparkSession):
-    """Within it, Spark removes the shuffle files of each query as soon as the query has ended."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Within it, the settings above hold."""
+    before = {key: spark.conf.get(key) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def free_prefix(df: DataFrame) -> str:
