@@ -34,14 +34,17 @@ class Bands:
     `whole` holds (texts shorter than so many bytes, least ratio, greatest ratio). Zstandard's frame and tables cost
     some 20 to 100 bytes, so short prose hardly shrinks, while long prose shrinks to a third or less.
     A text falls if its whole ratio is outside its band, or if more than `chunk_share` of its chunks of `chunk_bytes`
-    are outside `chunk`. A last chunk below half the size joins the one before.
+    are outside `chunk`, which has limits by the length of a chunk in the same way. A last chunk below half the size
+    joins the one before, so a text has chunks from 1.5 times the size on; a shorter one is its only chunk.
     """
 
     whole: tuple[tuple[float, float, float], ...] = (
         (128, 0.4, 2.5), (512, 0.8, 2.75), (2048, 1.15, 3.0), (8192, 1.35, 3.5), (float("inf"), 1.4, 4.25),
     )
-    chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (1.3, 3.5)
+    chunk_bytes: int = 1024
+    chunk: tuple[tuple[float, float, float], ...] = (
+        (640, 1.34, 3.0), (768, 1.37, 3.0), (1024, 1.43, 3.0), (2048, 1.5, 3.0), (8192, 1.6, 3.5), (float("inf"), 1.6, 4.25),
+    )
     chunk_share: float = 0.2
     level: int = 3
     min_words: int = 10
@@ -72,20 +75,26 @@ def _repeated(flat: pa.Array, counts: np.ndarray) -> np.ndarray:
     return per_text(covered(len(flat), starts[times[group] >= 2], WINDOW), counts)
 
 
+def _inside(limits: tuple, sizes: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Which ratios lie in the band of their length."""
+    edges, low, high = np.array(limits).T
+    band = np.searchsorted(edges, sizes, side="right").clip(max=len(edges) - 1)
+    return (ratios >= low[band]) & (ratios <= high[band])
+
+
 def _ratios(data: bytes, bands: Bands, zstd) -> tuple[float, float]:
     if not data:
         return 1.0, 0.0
     ratio = len(data) / len(zstd.compress(data))
-    size, low, high = bands.chunk_bytes, *bands.chunk
-    if len(data) < 2 * size:
-        return ratio, 0.0
-    cuts = list(range(0, len(data), size))
-    if len(data) - cuts[-1] < size // 2:
+    cuts = list(range(0, len(data), bands.chunk_bytes))
+    if len(data) - cuts[-1] < bands.chunk_bytes // 2:
         cuts.pop()
-    odd = 0
-    for a, b in zip(cuts, [*cuts[1:], len(data)]):
-        odd += not low <= (b - a) / len(zstd.compress(data[a:b])) <= high
-    return ratio, odd / len(cuts)
+    if len(cuts) < 2:
+        return ratio, 0.0
+    ends = [*cuts[1:], len(data)]
+    sizes = np.subtract(ends, cuts)
+    chunks = sizes / [len(zstd.compress(data[a:b])) for a, b in zip(cuts, ends)]
+    return ratio, float((~_inside(bands.chunk, sizes, chunks)).mean())
 
 
 def _judge(texts: pa.Array, bands: Bands, zstd) -> dict[str, np.ndarray]:
@@ -103,10 +112,7 @@ def _judge(texts: pa.Array, bands: Bands, zstd) -> dict[str, np.ndarray]:
     }
     failed = (counts < bands.min_words) | (100 * out["n_repeat_words"] > bands.repeat_percent * counts)
     ratios = np.array([_ratios(t, bands, zstd) for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, 2)
-    edges = np.array([b[0] for b in bands.whole])
-    band = np.searchsorted(edges, sizes, side="right").clip(max=len(edges) - 1)
-    low, high = (np.array([b[k] for b in bands.whole])[band] for k in (1, 2))
-    good = (ratios[:, 0] >= low) & (ratios[:, 0] <= high) & (ratios[:, 1] <= bands.chunk_share)
+    good = _inside(bands.whole, sizes, ratios[:, 0]) & (ratios[:, 1] <= bands.chunk_share)
     return out | {"base_failed": failed, "kept": ~failed & good, "ratio": ratios[:, 0], "odd_chunks": ratios[:, 1]}
 
 

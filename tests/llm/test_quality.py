@@ -1,6 +1,26 @@
+import random
+import string
+
 from corpusmap.llm.quality import Bands, keep_good, quality_rules
 from tests.llm.common import awkward, frame, words
 
+LETTERS = "eeeeeeeeeeeetttttttttaaaaaaaaooooooooiiiiiiinnnnnnnsssssshhhhhhrrrrrrddddllllcccuuummmwwffggyyppbbvk"
+BASE64 = string.ascii_letters + string.digits + "+/"
+ASCII = "".join(map(chr, range(33, 127)))
+
+
+def sentences(size, rng):
+    """Prose of `size` bytes: a vocabulary of 3000 words by letter frequencies, short words more often."""
+    spell = random.Random(11)
+    vocabulary = ["".join(spell.choices(LETTERS, k=1 + round(i ** 0.25) + spell.randint(0, 2))) for i in range(3000)]
+    weights = [1 / (i + 2) for i in range(3000)]
+    return " ".join(rng.choices(vocabulary, weights, k=size))[:size].strip()
+
+
+def noise(size, alphabet, rng, longest=12):
+    found = " ".join("".join(rng.choices(alphabet, k=rng.randint(2, longest))) for _ in range(size // 3))
+    return found[:size].strip()
+
 
 def brute(text):
     found = words(text)
@@ -52,3 +72,17 @@ def test_other_columns_stay_and_empty_tables(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert quality_rules(docs, into="n").columns == docs.columns
     assert keep_good(docs.where("false")).count() == 0
+
+
+def test_half_junk_of_two_chunks_and_more_falls(spark):
+    rng = random.Random(8)
+    rows = [(i, sentences(1500 + 500 * i, rng)) for i in range(14)]
+    for i in range(12):
+        half = 1600 + 200 * i  # texts of 3 to 8 KB
+        rows.append((100 + i, sentences(half, rng) + " " + noise(half, ASCII, rng)))
+        rows.append((200 + i, noise(half, BASE64, rng) + " " + sentences(half, rng)))
+        rows.append((300 + i, sentences(half, rng) + " " + "".join(rng.choices(ASCII, k=1100 + 50 * i)) + " " + sentences(500, rng)))
+    rows += [(400, sentences(4096, rng) + " " + noise(3900, ASCII, rng)), (401, sentences(4096, rng) + " " + "x" * 2500)]
+    got = {r["doc_id"]: r["quality"] for r in quality_rules(frame(spark, rows)).collect()}
+    assert all(q["kept"] == (doc < 100) for doc, q in got.items()), [d for d, q in got.items() if q["kept"] != (d < 100)]
+    assert got[0]["odd_chunks"] == 0 and got[400]["odd_chunks"] >= 0.4
