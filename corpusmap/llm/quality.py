@@ -31,20 +31,21 @@ FIELDS = (
 class Bands:
     """Limits of the ratio of plain to compressed bytes.
 
-    `whole` holds (texts shorter than so many bytes, least ratio, greatest ratio). Zstandard's frame and tables cost
-    some 20 to 100 bytes, so short prose hardly shrinks, while long prose shrinks to a third or less.
+    `limits` holds (texts shorter than so many bytes, least ratio, greatest ratio). Zstandard's frame and tables cost
+    some 20 to 100 bytes, so short prose hardly shrinks, while long prose shrinks to a third or less. The least ratios
+    lie between random characters of the base64 alphabet and prose of the same length; below 112 bytes both come out
+    alike, so random characters are kept there. Random hexadecimal digits shrink like prose.
     A text falls if its whole ratio is outside its band, or if more than `chunk_share` of its chunks of `chunk_bytes`
-    are outside `chunk`, which has limits by the length of a chunk in the same way. A last chunk below half the size
-    joins the one before, so a text has chunks from 1.5 times the size on; a shorter one is its only chunk.
+    are outside theirs, by the same limits. A last chunk below half the size joins the one before, so a text has chunks
+    from 1.5 times the size on; a shorter one is its only chunk.
     """
 
-    whole: tuple[tuple[float, float, float], ...] = (
-        (128, 0.4, 2.5), (512, 0.8, 2.75), (2048, 1.15, 3.0), (8192, 1.35, 3.5), (float("inf"), 1.4, 4.25),
+    limits: tuple[tuple[float, float, float], ...] = (
+        (112, 0.4, 2.5), (128, 1.01, 2.5), (160, 1.075, 2.75), (192, 1.1, 2.75), (224, 1.13, 2.75), (256, 1.17, 2.75),
+        (320, 1.22, 2.75), (384, 1.26, 2.75), (512, 1.3, 2.75), (640, 1.34, 3.0), (768, 1.37, 3.0),
+        (1024, 1.43, 3.0), (2048, 1.5, 3.0), (8192, 1.6, 3.5), (float("inf"), 1.6, 4.25),
     )
     chunk_bytes: int = 1024
-    chunk: tuple[tuple[float, float, float], ...] = (
-        (640, 1.34, 3.0), (768, 1.37, 3.0), (1024, 1.43, 3.0), (2048, 1.5, 3.0), (8192, 1.6, 3.5), (float("inf"), 1.6, 4.25),
-    )
     chunk_share: float = 0.2
     level: int = 3
     min_words: int = 10
@@ -94,7 +95,7 @@ def _ratios(data: bytes, bands: Bands, zstd) -> tuple[float, float]:
     ends = [*cuts[1:], len(data)]
     sizes = np.subtract(ends, cuts)
     chunks = sizes / [len(zstd.compress(data[a:b])) for a, b in zip(cuts, ends)]
-    return ratio, float((~_inside(bands.chunk, sizes, chunks)).mean())
+    return ratio, float((~_inside(bands.limits, sizes, chunks)).mean())
 
 
 def _judge(texts: pa.Array, bands: Bands, zstd) -> dict[str, np.ndarray]:
@@ -112,7 +113,7 @@ def _judge(texts: pa.Array, bands: Bands, zstd) -> dict[str, np.ndarray]:
     }
     failed = (counts < bands.min_words) | (100 * out["n_repeat_words"] > bands.repeat_percent * counts)
     ratios = np.array([_ratios(t, bands, zstd) for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, 2)
-    good = _inside(bands.whole, sizes, ratios[:, 0]) & (ratios[:, 1] <= bands.chunk_share)
+    good = _inside(bands.limits, sizes, ratios[:, 0]) & (ratios[:, 1] <= bands.chunk_share)
     return out | {"base_failed": failed, "kept": ~failed & good, "ratio": ratios[:, 0], "odd_chunks": ratios[:, 1]}
 
 

@@ -86,3 +86,22 @@ def test_half_junk_of_two_chunks_and_more_falls(spark):
     got = {r["doc_id"]: r["quality"] for r in quality_rules(frame(spark, rows)).collect()}
     assert all(q["kept"] == (doc < 100) for doc, q in got.items()), [d for d, q in got.items() if q["kept"] != (d < 100)]
     assert got[0]["odd_chunks"] == 0 and got[400]["odd_chunks"] >= 0.4
+
+
+def test_random_text_falls_in_every_band_and_prose_stays(spark):
+    rng, rows = random.Random(9), []
+    edges = [*(int(b[0]) for b in Bands().limits[:-1]), 20_000]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        for k in range(8):
+            size = rng.randint(low, high - 1)
+            rows.append((1000 * i + k, sentences(size, rng)))
+            rows += [(1000 * i + 100 + 10 * k + j, noise(size, alphabet, rng, longest))
+                     for j, (alphabet, longest) in enumerate([(BASE64, 8), (ASCII, 8), (BASE64, 12), (ASCII, 12)])]
+    # A blob inside a long text: a third of its chunks.
+    rows += [(90_000, sentences(20_000, rng) + " " + noise(10_000, BASE64, rng) + " " + sentences(1000, rng))]
+    rows += [(90_001, sentences(20_000, rng) + " " + "".join(rng.choices(BASE64, k=10_000)))]
+    limits = Bands(min_words=1)
+    got = {r["doc_id"]: r["quality"] for r in quality_rules(frame(spark, rows), limits).collect()}
+    wrong = {d: (q["ratio"], q["n_words"]) for d, q in got.items() if q["kept"] != (d < 90_000 and d % 1000 < 100)}
+    assert not wrong
+    assert got[90_000]["odd_chunks"] > 0.25 and got[90_001]["odd_chunks"] > 0.25
