@@ -118,11 +118,28 @@ def _class_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 {"block": pa.array([number], pa.int64()), "data": pa.array([table_to_bytes(part)], pa.binary())})
 
 
+def _scatter(x: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers below 2 ** bits to others, one to one, so that their upper bits are even."""
+    mask, factor = np.uint64((1 << bits) - 1), np.uint64(0x9E3779B97F4A7C15)
+    for _ in range(2):
+        x = (x * factor) & mask
+        x ^= x >> np.uint64(bits // 2)
+    return x
+
+
 def _tokens(table: pa.Table, options: Options) -> np.ndarray:
-    """A row of (coordinate, value) pairs for each class, each pair as one number."""
+    """A row of (coordinate, value) pairs for each class, each pair as one number.
+
+    Values are minima and crowd near 0, so the numbers are scattered: parts are cut by their upper bits.
+    """
     sig = np.frombuffer(b"".join(column(table, "sig").to_pylist()), np.uint32).reshape(len(table), -1)
     shift = np.uint64(options.token_bits - VALUE_BITS)
-    return (sig.astype(np.uint64) << shift) | np.arange(options.coordinates, dtype=np.uint64)
+    pairs = (sig.astype(np.uint64) << shift) | np.arange(options.coordinates, dtype=np.uint64)
+    return _scatter(pairs, options.token_bits)
+
+
+def _part_bits(n_tokens: int, options: Options) -> int:
+    return max(1, math.ceil(math.log2(max(1, n_tokens / options.block_tokens))))
 
 
 def _edges(tokens: np.ndarray, bits: int, options: Options) -> np.ndarray:
@@ -341,7 +358,7 @@ def near_duplicates(docs: DataFrame, options: Options = Options(), id_col: str =
 
     nodes = blocks.mapInArrow(flat, "node bigint, rep bigint, n bigint, d1 bigint, d2 bigint, sig binary")
     n_tokens = blocks.count() * BLOCK_ROWS * options.coordinates
-    bits = max(1, math.ceil(math.log2(max(1, n_tokens / options.block_tokens))))
+    bits = _part_bits(n_tokens, options)
     answers = work.save(blocks.mapInArrow(_send_tokens(bits, options), MESSAGE).groupBy("part").applyInArrow(
         _count_tokens, MESSAGE), "token-counts")
     both = blocks.groupBy("block").cogroup(answers.groupBy("block"))

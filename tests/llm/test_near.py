@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from corpusmap.llm import near
 from corpusmap.llm.graph import components
 from corpusmap.llm.near import Options, near_duplicates
 from tests.llm.common import awkward, frame, lower, prose, words
@@ -90,6 +92,23 @@ def test_columns_and_empty(spark):
     assert sorted((str(r["id"]), r["kept"]) for r in got) == [("1", True), ("2", True), ("None", True)]
 
 
+def test_parts_of_tokens_are_even():
+    """Minima over 300 to 3000 shingles crowd near 0; each part still gets about `block_tokens` pairs."""
+    rng, options = np.random.default_rng(2), Options(block_tokens=4096)
+    multipliers = near._multipliers(options.coordinates)
+    sigs = [near.signature(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2), multipliers)
+            for n in rng.integers(300, 3000, 2048)]
+    tokens = near._tokens(pa.table({"sig": pa.array([x.tobytes() for x in sigs], pa.binary())}), options)
+    flat = np.sort(tokens.ravel())
+    sizes = np.diff(near._edges(flat, near._part_bits(len(flat), options), options))
+    assert len(sizes) == 32 and sizes.sum() == len(flat)
+    assert sizes.max() < 1.2 * options.block_tokens
+    # Equal pairs, and only these, have equal numbers.
+    plain = np.array(sigs).astype(np.int64) * options.coordinates + np.arange(options.coordinates)
+    assert len(np.unique(np.column_stack([plain.ravel(), tokens.ravel().astype(np.int64)]), axis=0)) \
+        == len(np.unique(plain)) == len(np.unique(flat))
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
 def test_components(spark, shape):
     rng = np.random.default_rng(1)
