@@ -90,21 +90,8 @@ def exponent(shares: DataFrame, n_sources: int, target: Target) -> float:
     return x
 
 
-def mixture(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text_col: str = "text",
-            source_col: str = "source", into: str = "mix") -> DataFrame:
-    """Every row with a struct (n_tokens, copies, weight, exponent) in the column `into`, which replaces one of that name.
-
-    Tokens are words, runs without ASCII white space. `copies` says how often the mixture takes the row; 0 leaves it
-    out. The tokens taken of a source fall short of weight * budget by less than its next document. A null source is
-    a source; one without tokens has weight 0 and gives one copy of each row under `cover`, else none. Equal rows are
-    taken together or one by one, as the budget allows, but those at the very border alike. A null or empty text has
-    no tokens. An empty table gives an empty table; other columns stay as they are.
-    """
-    free = work.free_prefix(docs)
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    doc_key = F.xxhash64(F.lit(target.seed), F.col(id_col), F.col(text_col))
-    slim = work.save(docs.select(key.alias("key"), doc_key.alias("doc"), word_count(F.col(text_col)).alias("n")), "mix-rows")
-    totals = work.save(slim.groupBy("key").agg(F.sum("n").alias("tokens")), "sources")
+def _plan(totals: DataFrame, target: Target) -> tuple[DataFrame, float]:
+    """A row (key, tokens, weight, passes, rest, blocks) for each source of (key, tokens), and the exponent."""
     everything, n_sources = totals.where("tokens > 0").agg(F.sum("tokens"), F.count("*")).first()
     everything = everything or 0
     log_p = F.log(F.col("tokens") / F.lit(float(max(everything, 1))))
@@ -120,12 +107,33 @@ def mixture(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id",
     weight = F.when(F.col("tokens") > 0, F.exp(F.lit(x) * log_p) / F.lit(z)).otherwise(F.lit(0.0))
     # A hair more, so that a source whose budget is whole passes is not short of one by rounding.
     wanted = F.floor(F.col("weight") * F.lit(budget) + 1e-6)
+    if target.cover:  # a hair is too little for sources of billions of tokens
+        wanted = F.greatest(wanted, F.col("tokens"))
     plan = totals.withColumn("weight", weight).withColumn("wanted", wanted).select(
         "key", "tokens", "weight",
         F.when(F.col("tokens") > 0, F.floor(F.col("wanted") / F.col("tokens"))).otherwise(int(target.cover)).alias("passes"),
         F.when(F.col("tokens") > 0, F.col("wanted") % F.col("tokens")).otherwise(0).alias("rest"),
         F.greatest(F.lit(1), F.ceil(F.col("tokens") / target.block_tokens)).cast("bigint").alias("blocks"),
     )
+    return plan, x
+
+
+def mixture(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text_col: str = "text",
+            source_col: str = "source", into: str = "mix") -> DataFrame:
+    """Every row with a struct (n_tokens, copies, weight, exponent) in the column `into`, which replaces one of that name.
+
+    Tokens are words, runs without ASCII white space. `copies` says how often the mixture takes the row; 0 leaves it
+    out. The tokens taken of a source fall short of weight * budget by less than its next document. A null source is
+    a source; one without tokens has weight 0 and gives one copy of each row under `cover`, else none. Equal rows are
+    taken together or one by one, as the budget allows, but those at the very border alike. A null or empty text has
+    no tokens. An empty table gives an empty table; other columns stay as they are.
+    """
+    free = work.free_prefix(docs)
+    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+    doc_key = F.xxhash64(F.lit(target.seed), F.col(id_col), F.col(text_col))
+    slim = work.save(docs.select(key.alias("key"), doc_key.alias("doc"), word_count(F.col(text_col)).alias("n")), "mix-rows")
+    totals = work.save(slim.groupBy("key").agg(F.sum("n").alias("tokens")), "sources")
+    plan, x = _plan(totals, target)
     plan = work.save(plan, "mix-plan")
     order = F.xxhash64(F.lit(target.seed), F.lit("block"), F.col("key"), F.col("block"))
     # The last pass: blocks in pseudo-random order, up to the one in which the budget ends.

@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmap.llm.mixing import Target, mixture, take_copies, word_count
+from corpusmap.llm.mixing import Target, _plan, mixture, take_copies, word_count
 from tests.llm.common import awkward, prose, words
 
 SCHEMA = "doc_id bigint, text string, source string, key string, weight int, _key int"
@@ -73,6 +74,16 @@ def test_cover_takes_every_document(spark):
     assert all(min(s["copies"]) >= 1 for s in by.values())
 
 
+def test_cover_holds_for_sources_of_more_than_1e10_tokens(spark):
+    rng, target = random.Random(4), Target(entropy=None, max_repeat=1.5, cover=True)
+    for _ in range(6):
+        rows = [(f"s{i}", rng.randint(10 ** 10, 10 ** 14)) for i in range(7)]
+        plan, _ = _plan(spark.createDataFrame(rows, "key string, tokens bigint").coalesce(1), target)
+        for r in plan.collect():
+            assert r["passes"] >= 1, rows
+            assert r["tokens"] <= r["passes"] * r["tokens"] + r["rest"] <= 1.5 * r["tokens"] * (1 + 1e-11)
+
+
 def test_budget(spark):
     by = mixed(spark, Target(entropy=0.8, max_repeat=None, budget=1000, block_tokens=50))
     check(by, budget=1000)
