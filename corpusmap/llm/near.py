@@ -37,12 +37,12 @@ MEMBER = ["grp", "node", "label", "role", "sig", "shingles", "posted"]
 
 @dataclass(frozen=True)
 class Options:
-    """`matches` lies 4 deviations below what texts at the threshold agree in on average."""
+    """`matches` lies 5 deviations below what texts at the threshold agree in on average."""
 
     size: int = 4  # words in a shingle
     percent: int = 80  # least 100 * intersection / union
     coordinates: int = 64
-    matches: int = 38
+    matches: int = 35
     chunk: int = 1024  # classes in a chunk of a large group
     chunk_shingles: int = 2_000_000
     leaders: int = 32

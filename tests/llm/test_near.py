@@ -92,6 +92,15 @@ def test_columns_and_empty(spark):
     assert sorted((str(r["id"]), r["kept"]) for r in got) == [("1", True), ("2", True), ("None", True)]
 
 
+def test_pairs_with_few_equal_coordinates_are_linked(spark):
+    """Pairs at similarity 0.8, 80 of 100 shingles, whose signatures agree in 37 and 36 coordinates only."""
+    rows = []
+    for pair in (33208, 80501):
+        base = [f"{pair}x{i}" for i in range(93)]
+        rows += [(pair, " ".join(base)), (pair + 1, " ".join(base[:83] + [f"{pair}y{i}" for i in range(10)]))]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_parts_of_tokens_are_even():
     """Minima over 300 to 3000 shingles crowd near 0; each part still gets about `block_tokens` pairs."""
     rng, options = np.random.default_rng(2), Options(block_tokens=4096)
