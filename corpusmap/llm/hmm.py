@@ -154,6 +154,21 @@ def _count_words(least: float):
     return count
 
 
+def _class_totals(answers: DataFrame) -> DataFrame:
+    """A row (class, tokens, words) per class, summed over the shards, so that its size does not grow with the corpus."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("data"):
+                found = from_bytes(data.as_py(), np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_pydict(
+                    {n: pa.array(found[:, i], pa.int64()) for i, n in enumerate(("class", "tokens", "words"))})
+
+    rows = answers.where("block = -1 AND data IS NOT NULL").select("data").mapInArrow(
+        run, "class bigint, tokens bigint, words bigint")
+    return rows.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
+
+
 def _code(least: float):
     """Blocks with the corpus counts and classes of their words."""
 
@@ -394,11 +409,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     least = max(2.0, options.frequent * n_train)
     messages = blocks.select("block", "words").mapInArrow(_send_words(bits), MESSAGE)
     answers = work.save(messages.groupBy("part").applyInArrow(_count_words(least), MESSAGE), "word-counts")
-    # Class totals: a few numbers per class and part.
     totals = np.zeros((END, 2), np.int64)
-    for r in answers.where("block = -1 AND data IS NOT NULL").select("data").collect():
-        found = from_bytes(r["data"], np.int64).reshape(-1, 3)
-        totals[found[:, 0]] += found[:, 1:]
+    for r in _class_totals(answers).collect():
+        totals[r["class"]] = r["tokens"], r["words"]
     model = Model(None, None, None, np.append(totals[:, 0], 0)[:END], totals[:, 1], int(n_train),
                   int(totals[:, 1].sum()) + (n_ends > 0), int(n_ends))
     back = blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))

@@ -103,6 +103,13 @@ def test_probabilities_of_one_word_texts_sum_to_less_than_one(spark):
     assert 0.3 < sum(10 ** score[t] for t in ("a", "b", "c", "", "zzz")) <= 1 + 1e-9
 
 
+def test_class_totals_are_summed_before_they_are_collected(spark):
+    shards = [[(1, 5, 2), (7, 1, 1)], [(1, 4, 1)], [(7, 2, 2), (9, 3, 1)], []]
+    rows = [(p, -1, to_bytes(np.array(t, np.int64).reshape(-1)) if t else None) for p, t in enumerate(shards)]
+    answers = spark.createDataFrame([*rows, (0, 3, b"an answer")], hmm.MESSAGE).repartition(3)
+    assert sorted(map(tuple, hmm._class_totals(answers).collect())) == [(1, 9, 3), (7, 3, 3), (9, 3, 1)]
+
+
 def test_nothing_to_learn_from(spark):
     got = hmm.score_texts(frame(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got] == [(0, 0, 0.0, 0.0)] * 2
