@@ -31,6 +31,7 @@ END = OWN_CLASSES + ENDING_CLASSES  # the class of the end of a text
 UNKNOWN = END + 1
 N_CLASSES = END + 1
 ADD = 0.1
+SEED = np.dtype([("class", "<u2"), ("n", "<u4")])
 WORD = np.dtype([("h", "<u8"), ("n", "<u4"), ("ending", "<u2")])
 BLOCK = "block bigint, n_words bigint, n_train bigint, n_train_docs bigint, docs binary, codes binary, words binary"
 MESSAGE = "part int, block bigint, data binary"
@@ -45,6 +46,7 @@ class Options:
     frequent: float = 1e-5
     stay: float = 0.9  # first probability of staying in a state
     seed_docs: int = 400  # texts among which the states' first emissions are chosen; training covers all texts
+    seed_words: int = 20  # least words of such a text
     shard_words: int = 1_000_000
 
 
@@ -314,15 +316,18 @@ def _first_model(coded: DataFrame, model: Model, options: Options) -> Model:
                 few = np.flatnonzero(ids <= share * float(1 << 63))
                 for d in few[np.argsort(ids[few], kind="stable")][:options.seed_docs].tolist():
                     a, n = int(texts.begin[d]), int(texts.length[d]) - 1
-                    if n >= 20:
-                        yield pa.RecordBatch.from_pydict({
-                            "key": pa.array([ids[d]], pa.int64()),
-                            "classes": pa.array([texts.classes[texts.codes[a:a + min(n, 2000)]].tolist()],
-                                                pa.list_(pa.int64()))})
-
-    rows = coded.mapInArrow(sample, "key bigint, classes array<bigint>").orderBy("key", "classes").limit(options.seed_docs)
+                    if n >= options.seed_words:
+                        counts = np.bincount(texts.classes[texts.codes[a:a + n]])
+                        found = np.zeros(np.count_nonzero(counts), SEED)
+                        found["class"] = np.flatnonzero(counts)
+                        found["n"] = counts[found["class"]]
+                        yield pa.RecordBatch.from_pydict({"key": pa.array([ids[d]], pa.int64()),
+                                                          "counts": pa.array([to_bytes(found)], pa.binary())})
+
+    rows = coded.mapInArrow(sample, "key bigint, counts binary").orderBy("key", "counts").limit(options.seed_docs)
     shares, k = _shares(model), options.states
-    found = [np.bincount(r["classes"], minlength=N_CLASSES)[:N_CLASSES].astype(float) for r in rows.collect()]
+    seeds = [from_bytes(r["counts"], SEED) for r in rows.collect()]
+    found = [np.bincount(s["class"], s["n"], N_CLASSES)[:N_CLASSES] for s in seeds]
     points = [np.sqrt(f / f.sum()) for f in found if f.sum()]
     chosen: list[np.ndarray] = []
     if points:

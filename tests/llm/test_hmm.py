@@ -110,6 +110,15 @@ def test_class_totals_are_summed_before_they_are_collected(spark):
     assert sorted(map(tuple, hmm._class_totals(answers).collect())) == [(1, 9, 3), (7, 3, 3), (9, 3, 1)]
 
 
+def test_first_emissions_come_from_whole_texts(spark, monkeypatch):
+    first, models = hmm._first_model, []
+    monkeypatch.setattr(hmm, "_first_model", lambda *given: models.append(first(*given)) or models[-1])
+    hmm.score_texts(frame(spark, [(1, "a " * 2000 + "b " * 500)]), F.lit(True), options=hmm.Options(states=1, rounds=0))
+    emit = models[0].emit[:, 0]
+    want = [0.7 * 500 / 2501 + 0.3 * 0.2, 0.7 * 2000 / 2501 + 0.3 * 0.8]
+    assert sorted(emit[emit > 0.01].tolist()) == pytest.approx(want)
+
+
 def test_nothing_to_learn_from(spark):
     got = hmm.score_texts(frame(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got] == [(0, 0, 0.0, 0.0)] * 2
