@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmap.functions.binding import let
 from corpusmap.llm.hmm import score_texts
 from corpusmap.llm.lines import line_dedup
 from corpusmap.llm.mixing import Target, mixture
@@ -17,6 +18,8 @@ from corpusmap.llm.pii import BASE, as_text, count_of, find_pii
 from corpusmap.llm.quality import FIELDS as QUALITY
 from corpusmap.llm.quality import quality_rules
 from corpusmap.llm.repeats import substring_dedup
+from corpusmap.llm.runs import as_text as runs_text
+from corpusmap.llm.runs import periodic_runs, strongest
 from corpusmap.llm.toxicity import learn, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +162,35 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixture(docs, Target(entropy=1.0, max_repeat=4.0))
     return mixed.select("doc_id", "source", "mix.n_tokens", "mix.copies", "mix.weight", "mix.exponent")
+
+
+WORDS = r"([^\x20\x09-\x0D]+)"
+
+
+def with_planted_runs(doc_id, text):
+    """Texts of every tenth id, by a hash, repeat what stands at a place that the hash gives; others stay."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda word, i: F.when(i < a, word).otherwise(
+            F.get(w, (a + (i - a) % p).cast("int")))), " ")
+
+    return F.when(h % 10 == 0, let(F.regexp_extract_all(F.col(text), F.lit(WORDS)), repeated)).otherwise(F.col(text))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Spark hands no expression with a lambda to Python; behind a generator the text is a plain column.
+    planted = F.explode(F.array(with_planted_runs("doc_id", "text"))).alias("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted)
+    found = periodic_runs(docs).select("doc_id", "periodic", strongest(F.col("periodic.runs")).alias("best"))
+    return found.select(
+        "doc_id", F.size("periodic.runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(runs_text(F.col("periodic.runs")), 256).alias("runs_sha256"),
+        F.sha2("periodic.text", 256).alias("collapsed_sha256"), F.col("periodic.n_words"),
+    )
