@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmap.functions.binding import let
+from corpusmap.llm.alignment import align
 from corpusmap.llm.hmm import score_texts
 from corpusmap.llm.lines import line_dedup
 from corpusmap.llm.mixing import Target, mixture
@@ -94,10 +95,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op2_best_fit_packing")
@@ -164,6 +165,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.n_tokens", "mix.copies", "mix.weight", "mix.exponent")
 
 
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"), "n_group_links",
+    )
+
+
 WORDS = r"([^\x20\x09-\x0D]+)"
 
 
