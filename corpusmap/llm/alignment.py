@@ -30,7 +30,7 @@ from corpusmap.llm.csr import Csr, ragged
 from corpusmap.llm.segments import Lookup, segments
 from corpusmap.llm.texts import one_array, per_text, slices
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 LOW = np.int64((1 << 32) - 1)
 ROW = "id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_group_links bigint, n_best bigint, " \
       "count_sum bigint, groups string"
