@@ -32,6 +32,7 @@ from corpusmap.llm.texts import one_array, per_text, slices
 
 BLOCK_BYTES = 2 << 20
 LOW = np.int64((1 << 32) - 1)
+Lengths = tuple[np.ndarray, np.ndarray]
 ROW = "id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_group_links bigint, n_best bigint, " \
       "count_sum bigint, groups string"
 LINKS = "id bigint, a_place bigint, b_place bigint, a int, b int, shared bigint"
@@ -113,25 +114,23 @@ class Pieces:
         return self.model.encode(found, num_threads=1)
 
 
-class Vocabulary:
-    """Tokens of distinct segments, with a check that their bytes are those of blank + segment."""
+class Spelling:
+    """The bytes of the tokens of a vocabulary, to check that tokens spell blank + segment."""
 
     def __init__(self, encoder: ByteLevel | Pieces):
-        self.lookup = Lookup(encoder.encode)
         self.bytes = np.frombuffer(b"".join(encoder.pieces), np.uint8)
         self.sizes = np.array([len(p) for p in encoder.pieces], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def tokens(self, found: list[str], wanted: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids in a row, how many each segment has, and whether its tokens spell its bytes (`wanted`, in a row)."""
-        ids, sizes = self.lookup(found)
+    def good(self, ids: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which segments have tokens (`sizes` of them, in a row) that spell their bytes (`lengths`, in a row)."""
         n_bytes = per_text(self.sizes[ids], sizes)
         good = n_bytes == lengths
         use = np.repeat(good, sizes)
         spelled = self.bytes[ragged(self.starts[ids[use]], self.sizes[ids[use]])]
         differs = spelled != wanted[np.repeat(good, lengths)]
         good[good] = per_text(differs, lengths[good]) == 0
-        return ids, sizes, good
+        return good
 
 
 @dataclass
@@ -198,7 +197,13 @@ class Both:
     """Both tokenizers, as a task uses them."""
 
     def __init__(self, a: str, b: str):
-        self.a, self.b = Vocabulary(ByteLevel(a)), Vocabulary(Pieces(b))
+        encoders = ByteLevel(a), Pieces(b)
+        self.lookup = Lookup([e.encode for e in encoders])
+        self.a, self.b = map(Spelling, encoders)
+
+    @property
+    def lengths(self) -> Lengths:
+        return self.a.sizes, self.b.sizes
 
     def tokenized(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Table]:
         """Segment numbers of all texts in a row, how many each has, and the table of segments: tokens a, b, good."""
@@ -206,30 +211,30 @@ class Both:
         spaced = pc.binary_join_element_wise("", coded.dictionary, " ")
         lengths = pc.binary_length(spaced).to_numpy(zero_copy_only=False).astype(np.int64)
         wanted = np.frombuffer(b"".join(spaced.cast(pa.binary()).to_pylist()), np.uint8)
-        found = coded.dictionary.to_pylist()
-        a, sizes_a, good_a = self.a.tokens(found, wanted, lengths)
-        b, sizes_b, good_b = self.b.tokens(found, wanted, lengths)
-        good = good_a & good_b
+        (a, sizes_a), (b, sizes_b) = self.lookup(coded.dictionary.to_pylist())
+        good = self.a.good(a, sizes_a, wanted, lengths) & self.b.good(b, sizes_b, wanted, lengths)
         table = pa.table({
             "a": _lists(a[np.repeat(good, sizes_a)], sizes_a * good),
             "b": _lists(b[np.repeat(good, sizes_b)], sizes_b * good), "good": good,
         })
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes, table
 
-    def aligned(self, table: pa.Table) -> Aligned:
-        (a, sizes_a), (b, sizes_b) = _flat(column(table, "a")), _flat(column(table, "b"))
-        return Aligned.of(a, sizes_a, self.a.sizes[a], b, sizes_b, self.b.sizes[b])
+
+def aligned(table: pa.Table, lengths: Lengths) -> Aligned:
+    """The alignment of a table of segments, given how many bytes each token of both vocabularies has."""
+    (a, sizes_a), (b, sizes_b) = _flat(column(table, "a")), _flat(column(table, "b"))
+    return Aligned.of(a, sizes_a, lengths[0][a], b, sizes_b, lengths[1][b])
 
 
 class Block:
     """A written block: the documents as segment numbers, and the alignment of its segments."""
 
-    def __init__(self, docs: bytes, table: bytes, both: Both):
+    def __init__(self, docs: bytes, table: bytes, lengths: Lengths):
         documents, found = table_from_bytes(docs), table_from_bytes(table)
         self.ids, (self.codes, self.sizes) = column(documents, "id"), _flat(column(documents, "codes"))
         good = column(found, "good").to_numpy(zero_copy_only=False)
         self.good = (per_text(~good[self.codes], self.sizes) == 0) & (self.sizes > 0)
-        self.aligned = both.aligned(found)
+        self.aligned = aligned(found, lengths)
         rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for row, col, _ in self.aligned.links():
             rows.append(row)
@@ -283,26 +288,21 @@ def _write_blocks(a: str, b: str, max_bytes: int):
     return run
 
 
-def _pairs(a: str, b: str):
+def _pairs(lengths: Lengths):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Both(a, b)
         for batch in batches:
             for number, docs, tokens in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "tokens"))):
-                keys, counts = Block(docs, tokens, both).pair_counts()
+                keys, counts = Block(docs, tokens, lengths).pair_counts()
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array(np.full(len(keys), number)), "pair": pa.array(keys), "n": pa.array(counts)})
 
     return run
 
 
-def _finish(a: str, b: str):
-    both: list[Both] = []
-
+def _finish(lengths: Lengths):
     def finish(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        if not both:  # once per task
-            both.append(Both(a, b))
         keys, counts, best = (answers.column(c).to_numpy() for c in ("pair", "count", "best"))
-        parts = [Block(d, t, both[0]).rows(keys, counts, best)
+        parts = [Block(d, t, lengths).rows(keys, counts, best)
                  for d, t in zip(blocks.column("docs").to_pylist(), blocks.column("tokens").to_pylist())]
         return pa.concat_tables(parts)
 
@@ -315,7 +315,7 @@ def align(
     """A row (id, n_a, n_b, n_groups, n_links, n_group_links, n_best, count_sum, groups) for each row of `docs`.
 
     `a` is the path of a byte-level BPE vocabulary, which encodes blank + text, `b` that of a sentencepiece vocabulary,
-    which adds the blank itself; executors must see both. `n_links` counts pairs of tokens of a and b that share bytes,
+    which adds the blank itself; driver and executors must see both. `n_links` counts pairs of tokens of a and b that share bytes,
     `n_group_links` pairs in the same group. A pair of ids counts as often as it is linked in the corpus; `count_sum`
     adds these counts up over the links, `n_best` counts links whose pair counts highest for its id of b, ties
     included. `groups` lists the ids of a and b of each group.
@@ -325,10 +325,11 @@ def align(
     columns only id and text are read. A text is taken whole, a block of its own if it is longer than `block_bytes`.
     """
     spark = docs.sparkSession
+    lengths = Both(a, b).lengths  # a number for each id of both vocabularies goes to the tasks
     source = docs.select(F.col(id_col).cast("bigint"), F.col(text_col))
     blocks = work.save(
         source.mapInArrow(_write_blocks(a, b, block_bytes), "block bigint, docs binary, tokens binary"), "aligned")
-    pairs = work.save(blocks.mapInArrow(_pairs(a, b), "block bigint, pair bigint, n bigint"), "pairs")
+    pairs = work.save(blocks.mapInArrow(_pairs(lengths), "block bigint, pair bigint, n bigint"), "pairs")
     counts = work.save(pairs.groupBy("pair").agg(F.sum("n").alias("count")), "pair-counts")
     b_id = F.col("pair").bitwiseAND(F.lit(int(LOW)))
     # A row for each id of b: never more than its vocabulary holds.
@@ -338,7 +339,7 @@ def align(
         known.select("pair", "count", (F.col("count") == F.col("peak")).cast("int").alias("best")), "pair")
     answers = work.load(spark, work.write(answers.select("block", "pair", "count", "best"), "pair-answers"),
                         "block bigint, pair bigint, count bigint, best int")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(a, b), ROW)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(lengths), ROW)
 
 
 def links(docs: DataFrame, a: str, b: str, shared_groups: bool = False, id_col: str = "doc_id",
@@ -357,7 +358,7 @@ def links(docs: DataFrame, a: str, b: str, shared_groups: bool = False, id_col:
                 codes, _, table = both.tokenized(texts.slice(i, 1))
                 if not len(codes) or not pc.all(column(table, "good")).as_py():
                     continue
-                found = both.aligned(table.take(pa.array(codes)).combine_chunks())
+                found = aligned(table.take(pa.array(codes)).combine_chunks(), both.lengths)
                 for row, col, shared in found.group_links() if shared_groups else found.links():
                     yield pa.RecordBatch.from_pydict({
                         "id": pa.array([batch.column(0)[i].as_py()] * len(row), pa.int64()), "a_place": pa.array(row),

@@ -38,28 +38,35 @@ def segments(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 class Lookup:
-    """The ids of words, kept from one call to the next until `limit` characters of words are held."""
+    """The ids of words by some encoders, kept from one call to the next until `limit` characters of words are held."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 4 << 20):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encoders: list[Callable[[list[str]], list[list[int]]]], limit: int = 3 << 20):
+        self.encoders, self.limit = encoders, limit
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.held, self.ids, self.sizes = 0, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.held = 0
+        self.ids = [np.zeros(0, np.uint32) for _ in self.encoders]
+        self.sizes = [np.zeros(0, np.int32) for _ in self.encoders]
 
-    def __call__(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words (distinct ones) in a row, and how many each has."""
+    def __call__(self, found: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By each encoder the ids of all words (distinct ones) in a row, and how many each has."""
         if self.held > self.limit:
             self._clear()
         new = [w for w in found if w not in self.place]
         if new:
-            rows = self.encode(new)
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            more = np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum()))
-            self.place.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-            self.ids, self.sizes = np.concatenate([self.ids, more]), np.concatenate([self.sizes, sizes])
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.held += sum(map(len, new))
+            for i, encode in enumerate(self.encoders):
+                rows = encode(new)
+                sizes = np.fromiter(map(len, rows), np.int32, len(rows))
+                more = np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum()))
+                self.ids[i] = np.concatenate([self.ids[i], more])
+                self.sizes[i] = np.concatenate([self.sizes[i], sizes])
         at = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
-        starts = np.cumsum(self.sizes) - self.sizes
-        return self.ids[ragged(starts[at], self.sizes[at])], self.sizes[at]
+        out = []
+        for ids, sizes in zip(self.ids, self.sizes):
+            starts, n = np.cumsum(sizes, dtype=np.int64) - sizes, sizes[at].astype(np.int64)
+            out.append((ids[ragged(starts[at], n)], n))
+        return out

@@ -121,10 +121,12 @@ def test_long_runs_of_blanks_are_one_segment():
 
 def test_lookup_forgets():
     calls = []
-    lookup = Lookup(lambda found: calls.append(found) or [[len(w)] * len(w) for w in found], limit=5)
+    encoders = [lambda found: calls.append(found) or [[len(w)] * len(w) for w in found], lambda found: [[7]] * len(found)]
+    lookup = Lookup(encoders, limit=5)
     for found in (["a", "bb"], ["bb", "cccc"], ["a"], ["cccc", "a"]):
-        ids, sizes = lookup(found)
-        assert sizes.tolist() == [len(w) for w in found] and ids.tolist() == [len(w) for w in found for _ in w]
+        (ids, sizes), (other, ones) = lookup(found)
+        assert sizes.tolist() == [len(w) for w in found] and ids.tolist() == [len(w) for w in found for _ in range(len(w))]
+        assert other.tolist() == [7] * len(found) and ones.tolist() == [1] * len(found)
     assert calls == [["a", "bb"], ["cccc"], ["a"], ["cccc"]]
 
 
