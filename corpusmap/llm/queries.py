@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmap.functions.binding import let
+from corpusmap.llm import work
 from corpusmap.llm.alignment import align
 from corpusmap.llm.hmm import score_texts
 from corpusmap.llm.lines import line_dedup
@@ -21,6 +22,7 @@ from corpusmap.llm.quality import quality_rules
 from corpusmap.llm.repeats import substring_dedup
 from corpusmap.llm.runs import as_text as runs_text
 from corpusmap.llm.runs import periodic_runs, strongest
+from corpusmap.llm.simhash import edits, likeness, with_near
 from corpusmap.llm.toxicity import learn, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +167,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.n_tokens", "mix.copies", "mix.weight", "mix.exponent")
 
 
+@query("op11_simhash_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_near(work.save(edits(table(spark, sf_dir, "documents")), "edits"))
+    near = {f"near_{side}": likeness(F.col("fingerprint"), F.col(f"{side}_fingerprint")) for side in ("edited", "next")}
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        *[value.alias(name) for name, value in near.items()], "n_same", "n_near",
+    )
+
+
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
