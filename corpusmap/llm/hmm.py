@@ -383,7 +383,8 @@ def _score(model: Model):
                     return sums[ends] - sums[ends - n_words]
 
                 score = np.zeros(len(n_words))
-                score[texts.order] = forward(texts, start, move, table)
+                if n_tokens:  # else there is nothing that a state could know: every token has probability 1
+                    score[texts.order] = forward(texts, start, move, table)
                 yield pa.RecordBatch.from_pydict({
                     "id": pa.array(texts.docs.column("id").combine_chunks()),
                     "train": pa.array(texts.docs.column("train").combine_chunks()),

@@ -13,7 +13,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,27 +23,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmap.llm import work
+from corpusmap.llm.csr import ragged
+from corpusmap.llm.segments import Lookup
 from corpusmap.llm.texts import one_array, slices, words
 
 END_ID = 1
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The indices start, start + 1, ... of each run, one run after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 class Encoder:
-    """Token ids of texts. Each distinct word of a slice is encoded once.
+    """Token ids of texts. Each distinct word is encoded once, while a table of words lasts.
 
-    White space never enters a token, so a text's ids are those of its words one after the other; and marks behind
-    letters are tokens of their own, so a word's ids are those of its letters and of its last marks. Words of Latin
-    letters, whose lower case and composed form are plain, go to the tokenizer's model directly.
+    White space never enters a token, so a text's ids are those of its words one after the other. Full stops and commas
+    behind a plain letter are tokens of their own, so such a word's ids are those of what stands before and of its last
+    marks; behind any other character, which may be taken apart or joined with them, the word is taken whole. Words of
+    Latin letters, whose lower case and composed form are plain, go to the tokenizer's model directly.
     """
 
     SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
     LOWER = {c: c + 32 for c in range(0xC0, 0xDF) if c != 0xD7}
+    #: Words from here on, in lower case as far as ASCII goes, let go of their last marks.
+    PLAIN_END = r"[a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallel work
@@ -57,47 +55,38 @@ class Encoder:
         # The letters that stand for the bytes of the letters above.
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
-
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        return [[t.id for t in tokenize(w if w.isascii() else w.translate(letters))] for w in texts]
-
-    def _any(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _table(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has."""
-        lowered = [t.translate(self.LOWER) for t in texts]
-        simple = [self.SIMPLE.fullmatch(t) is not None for t in lowered]
-        fast, slow = iter(self._plain([t for t, s in zip(lowered, simple) if s])), iter(
-            self._any([t for t, s in zip(texts, simple) if not s]))
-        found = [next(fast) if s else next(slow) for s in simple]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+        self.lookup = Lookup([self._encode])
+
+    def _encode(self, found: list[str]) -> list[list[int]]:
+        tokenize, rows = self.tokenizer.model.tokenize, []
+        for w in found:
+            low = w.lower() if w.isascii() else w.translate(self.LOWER)
+            if self.SIMPLE.fullmatch(low):
+                rows.append([t.id for t in tokenize(low if low.isascii() else low.translate(self.letters))])
+            else:
+                rows.append(None)
+        other = [w for w, r in zip(found, rows) if r is None]
+        rest = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        return [next(rest).ids if r is None else r for r in rows]
 
     def distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each has."""
-        lowered = pc.ascii_lower(chunks)
-        cores = pc.ascii_rtrim(lowered, ".,")
-        # Marks are cut off where only letters stand before them; other words are taken whole, as they are.
-        whole = np.array([not c.isalpha() for c in cores.to_pylist()], bool)
-        cores = pc.if_else(pa.array(whole), chunks, cores)
-        marked = np.flatnonzero(pc.not_equal(pc.binary_length(cores), pc.binary_length(chunks)).to_numpy(zero_copy_only=False))
-        some = chunks.take(pa.array(marked)).to_pylist()
-        cut = pc.binary_length(cores.take(pa.array(marked))).to_pylist()
-        ends = [t.encode()[n:].decode() for t, n in zip(some, cut)]
+        cores = pc.ascii_rtrim(pc.ascii_lower(chunks), ".,")
+        cores = pc.if_else(pc.match_substring_regex(cores, self.PLAIN_END), cores, chunks)
+        cut = pc.not_equal(pc.binary_length(cores), pc.binary_length(chunks))
+        marked = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        tails = pc.replace_substring_regex(chunks.filter(cut), "(?s)^.*[^.,]", "").dictionary_encode()
         coded = cores.dictionary_encode()
-        ids, sizes = self._table([*coded.dictionary.to_pylist(), *(kinds := sorted(set(ends)))])
-        starts = np.cumsum(sizes) - sizes
-        core = coded.indices.to_numpy(zero_copy_only=False)
-        number = {k: len(coded.dictionary) + i for i, k in enumerate(kinds)}
-        tail = np.array([number[e] for e in ends], np.int64)
+        (ids, sizes), = self.lookup(coded.dictionary.to_pylist())
+        (tail_ids, tail_sizes), = self.lookup(tails.dictionary.to_pylist())
+        core, tail = (x.indices.to_numpy(zero_copy_only=False) for x in (coded, tails))
         total = sizes[core]
-        total[marked] += sizes[tail]
+        total[marked] += tail_sizes[tail]
         begin = np.cumsum(total) - total
         out = np.empty(int(total.sum()), np.uint32)
-        out[ragged(begin, sizes[core])] = ids[ragged(starts[core], sizes[core])]
-        out[ragged(begin[marked] + sizes[core[marked]], sizes[tail])] = ids[ragged(starts[tail], sizes[tail])]
+        out[ragged(begin, sizes[core])] = ids[ragged((np.cumsum(sizes) - sizes)[core], sizes[core])]
+        out[ragged(begin[marked] + sizes[core[marked]], tail_sizes[tail])] = tail_ids[
+            ragged((np.cumsum(tail_sizes) - tail_sizes)[tail], tail_sizes[tail])]
         return out, total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

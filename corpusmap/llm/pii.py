@@ -27,7 +27,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+SCHEME = LETTERS | frozenset("0123456789+.-")
 USERINFO = re.compile(r"://[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s<>\"']*")
 IBAN = re.compile(r"[ :#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:no|number|num|id)\b)?[.:#= ]{1,4}([A-Z0-9][A-Z0-9-]{4,22}[0-9])(?![A-Za-z0-9])")
@@ -113,8 +114,12 @@ def parse(text: str, low: str, automaton: ahocorasick.Automaton) -> list[tuple[i
                     spans.add((at, 3, m.end()))
         elif what == "scheme":
             if m := USERINFO.match(text, at):
-                head = SCHEME.search(text[max(0, at - 20):at])
-                spans.add((at - len(head.group()) if head else at, 4, m.end()))
+                start = at
+                while start and text[start - 1] in SCHEME:
+                    start -= 1
+                while start < at and text[start] not in LETTERS:
+                    start += 1
+                spans.add((start, 4, m.end()))
         elif found := _cue(text, at, last + 1, CUES[what]):
             spans.add(found)
     return sorted(spans)

@@ -38,6 +38,21 @@ def test_encoder_on_any_text(texts):
     check_encoder([t.encode("utf-8", "ignore").decode() for t in texts])
 
 
+def test_encoder_on_every_letter_before_marks():
+    """Whatever normal forms and lower case make of a letter, marks behind it are the tokenizer's."""
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not 0xD800 <= c < 0xE000]
+    few = letters if len(letters) < 8_000 else [c for c in letters if ord(c) < 0x3000 or 0xF900 <= ord(c) < 0x11000]
+    for end in (".", ",", "a.", ".,"):
+        words = [c + end for c in few] + ["x" + c + end for c in few]
+        ids, sizes = Encoder(PATH).encode(pa.array(words))
+        want = [e.ids + [END_ID] for e in TOKENIZER.encode_batch(words, add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_encoder_on_words_of_many_scripts():
+    check_encoder(["ALİ. İKİ, bir", "\u0958. \u05e9\u05c1, \ufb2a.", "CAFÉ. Été, ÞÓR. straße, STRASSE.", "a-. ½. 7, x9. ...", "ΟΔΟΣ. ΟΔΟΣa, ᾳ."])
+
+
 def test_sum_of_squares_takes_the_best_place():
     """Against the definition: try every open bin and a new one."""
     rng = random.Random(2)

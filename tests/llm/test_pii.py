@@ -49,6 +49,14 @@ def test_added_kinds():
     assert found == [("DE89 3704 0044 0532 0130 00", 5), ("12345678", 6), ("4d44c79e8bf7c557", 7), ("https://u:pw@h.com/x", 4)]
 
 
+@pytest.mark.parametrize("scheme", ["abcdefghij" * 4, "x" * 5000, "git+ssh", "a.b-c"])
+def test_schemes_of_any_length(scheme):
+    for before in ("", " ", "(", "7.", "é"):
+        text = f"{before}{scheme}://u:pw@h.com"
+        assert [s for s in parse(text, lower(text), anchors()) if s[1] == 4] == [(len(before), 4, len(text))]
+    assert [s for s in parse("://u:p@h.com", "://u:p@h.com", anchors()) if s[1] == 4] == [(0, 4, 12)]
+
+
 def test_table(spark):
     rows = [*awkward(), (90, "mail é@x a@b.co and 1.2.3.4"), (91, "x " * 50_000 + "a@b.co")]
     docs = frame(spark, rows, extra=True)
