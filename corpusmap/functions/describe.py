@@ -73,9 +73,9 @@ def describe_exports(text: Column) -> Column:
 
 
 def describe_routes(text: Column) -> Column:
-    """`Defines GET /x, …` for HTTP routes, null without routes; eight hits are looked at, four shown."""
-    verbs = F.slice(F.regexp_extract_all(text, F.lit(ROUTE), F.lit(1)), 1, 8)
-    targets = F.slice(F.regexp_extract_all(text, F.lit(ROUTE), F.lit(2)), 1, 8)
+    """`Defines GET /x, …` for HTTP routes, null without routes; four are shown and all others counted."""
+    verbs = F.regexp_extract_all(text, F.lit(ROUTE), F.lit(1))
+    targets = F.regexp_extract_all(text, F.lit(ROUTE), F.lit(2))
     return let(
         F.array_distinct(F.zip_with(verbs, targets, lambda v, t: F.concat(F.upper(v), F.lit(" "), t))),
         lambda routes: F.when(F.size(routes) > 0, F.concat(F.lit("Defines "), _list(routes, 4))),

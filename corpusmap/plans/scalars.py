@@ -97,8 +97,8 @@ def c6(spark, sf):
 
 
 @query("c7_describe_routes", with_(X.FILES_WEB_SQL) + f""", hits AS (
-  SELECT repo, path, regexp_extract_all(text, {_q(D.ROUTE)}, 1)[1:8] AS verbs,
-         regexp_extract_all(text, {_q(D.ROUTE)}, 2)[1:8] AS targets FROM files_web), one AS (
+  SELECT repo, path, regexp_extract_all(text, {_q(D.ROUTE)}, 1) AS verbs,
+         regexp_extract_all(text, {_q(D.ROUTE)}, 2) AS targets FROM files_web), one AS (
   SELECT repo, path, generate_subscripts(verbs, 1) AS i, concat(upper(unnest(verbs)), ' ', unnest(targets)) AS r
   FROM hits), once AS (SELECT repo, path, r, min(i) AS i FROM one GROUP BY repo, path, r), told AS (
   SELECT repo, path, list(r ORDER BY i) AS rs FROM once GROUP BY repo, path)

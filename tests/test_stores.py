@@ -49,7 +49,7 @@ def test_digest(spark):
     parts = text.split("\n\n## ")
     assert text.startswith("## 🚀 Next phase\n\nship v0.2") and "tracks 7 files" in text
     assert "entry 11" in text and "entry 1\n" not in text and text.count("- entry") == 10
-    lines = [p for p in parts if p.startswith("Known bugs")][0].split("\n")[1:6]
+    lines = [p for p in parts if p.startswith("Bugs with a known fix")][0].split("\n")[1:6]
     assert [x[:7] for x in lines] == [f"error {i}" for i in range(1, 6)]
     assert all(len(x) == 140 and x.endswith("...") for x in lines)
 
