@@ -75,9 +75,31 @@ SPAN_PATTERNS: dict[str, str] = {
     ),
     "java": _JVM_TOP, "kt": _JVM_TOP,
 }
-# What may stand before a declaration without belonging to it.
+# What may stand before a declaration without belonging to it, and lines that go on with the one before.
 EXPORT_PREFIX = r"^(?:export\s+)?(?:default\s+)?"
-CLOSING_LINE = r"^[})\]]"
+GOES_ON = r"^[{})\]]"
+
+# Stretches of text that are no code, by language: comments, then literals. Loops are possessive, so that the length of
+# a stretch costs no stack; a stretch that nothing closes reaches to the end of the text.
+_C_COMMENT = r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)"
+_ONE_LINE = r"\x22[^\x22\\\n]*+(?:\\.[^\x22\\\n]*+)*+\x22"
+_ONE_LINE_TICK = _ONE_LINE.replace("x22", "x27")
+_ONE_CHAR = r"\x27(?:\\[^\x27\n]{1,9}|[^\x27\\\n])\x27|\x27\\\x27\x27"
+_TEXT_BLOCK = r"\x22{3}[^\x22\\]*+(?:(?:\\[\s\S]|\x22(?!\x22\x22))[^\x22\\]*+)*+(?:\x22{3}|\z)"
+# A template may hold ${...} with literals, braces and further templates one level down.
+_INNER_TEMPLATE = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+_HOLE = rf"\$\{{(?:[^{{}}`]|\{{[^{{}}`]*+\}}|{_INNER_TEMPLATE})*+\}}"
+_TEMPLATE = rf"`(?:[^`\\$]++|\\[\s\S]|{_HOLE}|\$)*+(?:`|\z)"
+_PATTERN = r"(?<=[=(,:!&|?;{}\[]\s{0,2})/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/"
+_SCRIPT_ASIDE = "|".join((_C_COMMENT, _TEMPLATE, _ONE_LINE, _ONE_LINE_TICK, _PATTERN))
+_JVM_ASIDE = "|".join((_C_COMMENT, _TEXT_BLOCK, _ONE_LINE, _ONE_CHAR))
+ASIDES: dict[str, str] = {
+    **dict.fromkeys(("ts", "tsx", "js", "jsx"), _SCRIPT_ASIDE),
+    "py": "|".join((r"#[^\n]*+", _TEXT_BLOCK, _TEXT_BLOCK.replace("x22", "x27"), _ONE_LINE, _ONE_LINE_TICK)),
+    "go": "|".join((_C_COMMENT, r"`[^`]*+(?:`|\z)", _ONE_LINE, _ONE_CHAR)),
+    "rs": "|".join((_C_COMMENT, r"\br(#*+)\x22[\s\S]*?(?:\x22\1|\z)", _ONE_LINE.replace(r"\n", ""), _ONE_CHAR)),
+    "java": _JVM_ASIDE, "kt": _JVM_ASIDE,
+}
 
 _HITS = "array<struct<name:string,line:int,pass:int>>"
 _SPANS = "array<struct<name:string,line:int,end_line:int,tokens:bigint>>"
@@ -122,10 +144,15 @@ def _hits_sql(max_symbols: int | None) -> str:
 
     found = ", ".join(hits(n) for n in range(passes))
     every = f"transform(array({rows}), rows -> concat({found}))[0]"
-    # Each name where it is found first; positions in an array of names, so that no array grows step by step.
+    # Each name where it is found first: equal names stand side by side once sorted, the first one in front.
+    firsts = (
+        "sort_array(filter(transform(named, (r, j) -> IF(j > 0 AND get(named, j - 1).name = r.name, NULL, r.at)), "
+        "a -> a IS NOT NULL))"
+    )
+    named = "sort_array(transform(hits, (h, i) -> named_struct('name', h.name, 'at', i)))"
     once = (
-        f"transform(array({every}), hits -> transform(array(transform(hits, h -> h.name)), "
-        "names -> filter(hits, (h, i) -> array_position(names, h.name) = i + 1))[0])[0]"
+        f"transform(array({every}), hits -> transform(transform(array({named}), named -> {firsts})[0], "
+        "a -> get(hits, a)))[0]"
     )
     return f"CAST({_first_sql(once, max_symbols)} AS {_HITS})"
 
@@ -160,33 +187,61 @@ def span_hits(max_symbols: int | None = None) -> Column:
     return F.expr(_spans_sql(max_symbols)).cast(_SPANS)
 
 
+def _code_sql() -> str:
+    """The text of `lines` with its comments blank and its literals as empty brackets, each as long as before."""
+    aside = lambda fn: _by_lang(ASIDES, fn, "NULL")
+    comment = "t LIKE '//%' OR t LIKE '/*%' OR t LIKE '#%'"
+    blank = lambda t: f"IF(instr({t}, '\n') = 0, repeat(' ', length({t})), regexp_replace({t}, r'[^\n]', ' '))"
+    inside = blank("substring(t, 2, length(t) - 2)")
+    shown = f"CASE WHEN t IS NULL THEN '' WHEN {comment} OR length(t) < 2 THEN {blank('t')} ELSE concat('(', {inside}, ')') END"
+    between = aside(lambda p: f"split(text, r'{p}', -1)")
+    found = aside(lambda p: f"regexp_extract_all(text, r'{p}', 0)")
+    return f"""transform(array(array_join(lines, '\n')), text ->
+      array_join(zip_with({between}, {found}, (code, t) -> concat(code, {shown})), ''))[0]"""
+
+
+def _depths_sql() -> str:
+    """How many brackets are open before each line of `code`, and after the last.
+
+    Running sums in pieces of about the square root of all lines, so that no array grows line by line to full length.
+    """
+    opened = r"length(translate(t, ')]}', '')) - length(translate(t, '([{', ''))"
+    running = lambda array, start: f"""aggregate({array}, named_struct('sum', {start}, 'before', CAST(array() AS array<int>)),
+      (a, n) -> named_struct('sum', a.sum + n, 'before', concat(a.before, array(a.sum))))"""
+    sums = "transform(pieces, piece -> aggregate(piece, 0, (a, n) -> a + n))"
+    inside = running("piece", "get(starts.before, c)") + ".before"
+    return f"""transform(array(transform(code, t -> {opened})), opened -> transform(array(
+        CAST(ceil(sqrt(size(opened))) AS int)), width -> transform(array(transform(
+          sequence(0, CAST((size(opened) - 1) DIV width AS int)), c -> slice(opened, c * width + 1, width))),
+        pieces -> transform(array({running(sums, "0")}), starts -> named_struct('last', starts.sum, 'before',
+          flatten(transform(pieces, (piece, c) -> {inside}))))[0])[0])[0])[0]"""
+
+
 def toplevel_hits(max_symbols: int | None = None) -> Column:
-    """Top-level declarations with exact spans, from indentation.
+    """Top-level declarations with exact spans, from a lexer's view of the text.
 
-    A declaration ends at the next line on the left margin if that line only closes a bracket, else at the
-    last line that is not blank before it.
+    Comments and the insides of literals are no code. A line on the left margin outside all brackets begins a
+    statement, unless it opens with a brace or closes a bracket; a statement ends at the last line with code before the
+    next one. In a file whose brackets do not balance, every such line on the margin begins a statement.
     """
     solid = (
-        r"filter(transform(lines, (t, i) -> IF(t RLIKE r'\S', named_struct('text', t, 'line', i + 1), NULL)), "
-        "r -> r IS NOT NULL)"
+        r"filter(transform(code, (t, i) -> IF(t RLIKE r'\S', named_struct('text', t, 'line', i + 1, 'depth', "
+        "IF(depths.last = 0, get(depths.before, i), 0)), NULL)), r -> r IS NOT NULL)"
     )
     margin = (
-        "filter(transform(solid, (r, i) -> named_struct('text', r.text, 'line', r.line, "
-        r"'prev', get(solid, i - 1).line)), r -> r.text RLIKE r'^\S')"
+        "filter(transform(solid, (r, i) -> named_struct('text', r.text, 'line', r.line, 'depth', r.depth, "
+        rf"'prev', get(solid, i - 1).line)), r -> r.depth <= 0 AND r.text RLIKE r'^\S' AND NOT r.text RLIKE r'{GOES_ON}')"
     )
     name = _by_lang(SPAN_PATTERNS, lambda p: f"regexp_extract(r.text, r'{p}', 1)", "''")
-    end = f"""CASE WHEN get(margin, i + 1) IS NULL THEN get(solid, size(solid) - 1).line
-      WHEN get(margin, i + 1).text RLIKE r'{CLOSING_LINE}' THEN get(margin, i + 1).line
-      ELSE greatest(r.line, get(margin, i + 1).prev) END"""
+    end = "coalesce(get(margin, i + 1).prev, get(solid, size(solid) - 1).line)"
     named = _first_sql(f"""filter(transform(margin, (r, i) -> named_struct(
       'name', {name}, 'line', r.line, 'end_line', {end}, 'text', r.text)), s -> s.name <> '')""", max_symbols)
-    body = "rtrim(array_join(slice(lines, s.line, s.end_line - s.line + 1), '\\n'))"
+    body = "rtrim(array_join(slice(code, s.line, s.end_line - s.line + 1), '\n'))"
     outside = f"length(regexp_extract(s.text, r'{EXPORT_PREFIX}', 0))"
     measured = f"""transform({named}, s -> named_struct('name', s.name, 'line', s.line, 'end_line', s.end_line,
       'tokens', {_tokens_sql(f"length({body}) - {outside}")}))"""
-    return F.expr(
-        f"transform(array({solid}), solid -> transform(array({margin}), margin -> {measured})[0])[0]"
-    ).cast(_SPANS)
+    return F.expr(f"""transform(array(split({_code_sql()}, '\n', -1)), code -> transform(array({_depths_sql()}), depths ->
+      transform(array({solid}), solid -> transform(array({margin}), margin -> {measured})[0])[0])[0])[0]""").cast(_SPANS)
 
 
 def with_symbols(files: DataFrame, opts: ScanOptions = ScanOptions()) -> DataFrame:

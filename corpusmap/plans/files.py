@@ -103,6 +103,30 @@ def y3(spark, sf):
     return _spans_out(Y.toplevel_spans(X.files_code(spark, sf)))
 
 
+def _hard_sql() -> str:
+    """The spans written by hand: for each kind where both declarations begin and end, with n lines in the first."""
+    lines = {"java": ("B", 2, "4 + n", "S", "7 + n", "9 + n"), "ts": ("f", 1, "4 + n", "c", "5 + n", "5 + n"),
+             "py": ("f", 4, "7 + n", "K", "10 + n", "11 + n"), "go": ("F", 2, "6 + n", "T", "7 + n", "8 + n")}
+    rows = []
+    for i, (kind, _, first, _, second, _) in enumerate(X.HARD_CODE):
+        a, a_line, a_end, b, b_line, b_end = lines[kind]
+        for name, x, at, end, text, off in ((a, "o_orderkey % 97", a_line, a_end, first, 7 if kind == "ts" else 0),
+                                            (b, "o_custkey % 13", b_line, b_end, second, 0)):
+            text = text.replace("as string", "as varchar").replace("as int", "as bigint")
+            rows.append(f"""SELECT repo, path, concat('{name}', CAST({x} AS varchar)) AS name, CAST({at} AS BIGINT) AS line,
+              CAST({end} AS BIGINT) AS end_line, CAST(ceil((length({text}) - {off}) / 4.0) AS BIGINT) AS tokens
+              FROM hard WHERE o_orderkey % 4 = {i}""")
+    return " UNION ALL ".join(rows)
+
+
+@query("y3_spans_of_hard_code", with_(X.FILES_HARD_SQL) + f""", hard AS (
+  SELECT f.repo, f.path, o.o_orderkey, o.o_custkey, o.o_orderkey % 6 AS n
+  FROM files_hard f JOIN orders o ON f.o_orderkey = o.o_orderkey)
+{_hard_sql()}""")
+def y3_hard(spark, sf):
+    return _spans_out(Y.toplevel_spans(X.files_hard(spark, sf)))
+
+
 @query("y4_route_symbol_backend", with_(CODE, SPANS_SQL, _tops_sql()) + """
 SELECT repo, path, name, CAST(line AS BIGINT) AS line, CAST(end_line AS BIGINT) AS end_line, tokens FROM tops UNION ALL
 SELECT * FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM tops t WHERE t.repo = s.repo AND t.path = s.path)""")

@@ -108,13 +108,49 @@ def files_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_files(spark, sf_dir, _CODE_PATH, _CODE_TEXT)
 
 
+# Code that only a lexer reads right: for each kind the extension, what stands before a first declaration, that
+# declaration, what stands between, a second declaration, and the end. n lines inside are none of the file's own.
+_N = "cast(o_orderkey % 6 as int)"
+_X, _Y = "cast(o_orderkey % 97 as string)", "cast(o_custkey % 13 as string)"
+HARD_CODE = (
+    ("java", "concat('package x;', chr(10))",
+     f"concat('public class B', {_X}, chr(10), chr(123), chr(10), repeat(concat('  int a;', chr(10)), {_N}), '}}')",
+     "concat(chr(10), '/* class Ghost {', chr(10), '*/', chr(10))",
+     f"concat('interface S', {_Y}, chr(10), chr(123), chr(10), '}}')", "chr(10)"),
+    ("ts", "''",
+     f"concat('export function f', {_X}, '() {{', chr(10), '  return `', chr(10), "
+     f"repeat(concat('function inside() {{', chr(10)), {_N}), '`', chr(10), '}}')",
+     "chr(10)", f"concat('const c', {_Y}, ' = /[{{\"]/')", "concat(' // }', chr(10))"),
+    ("py", "concat('\"\"\"about', chr(10), 'def no(): pass', chr(10), '\"\"\"', chr(10))",
+     f"concat('def f', {_X}, '():', chr(10), '    \"\"\"', chr(10), repeat(concat('class Inside:', chr(10)), {_N}), "
+     "'    \"\"\"', chr(10), '    return 1')",
+     "concat(chr(10), chr(10), '# class Ghost:', chr(10))",
+     f"concat('class K', {_Y}, ':', chr(10), '    pass')", "chr(10)"),
+    ("go", "concat('package main', chr(10))",
+     f"concat('func F', {_X}, '() {{', chr(10), '  s := `', chr(10), repeat(concat('func G() {{', chr(10)), {_N}), '`', "
+     "chr(10), '  r := ', chr(39), '{', chr(39), chr(10), '}')",
+     "chr(10)", f"concat('type T', {_Y}, ' struct {{', chr(10), '}}')", "chr(10)"),
+)
+_HARD_PATH = "concat('hard/o', cast(o_orderkey as string), CASE o_orderkey % 4 " + " ".join(
+    f"WHEN {i} THEN '.{kind[0]}'" for i, kind in enumerate(HARD_CODE)) + " END)"
+_HARD_TEXT = "CASE o_orderkey % 4 " + " ".join(
+    f"WHEN {i} THEN concat({', '.join(kind[1:])})" for i, kind in enumerate(HARD_CODE)) + " END"
+FILES_HARD_SQL = _orders_sql("files_hard", _HARD_PATH, _HARD_TEXT)
+
+
+def files_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_files(spark, sf_dir, _HARD_PATH, _HARD_TEXT)
+
+
 _WEB_PATH = "concat('web/o', cast(o_orderkey as string), '.ts')"
 _WEB_TEXT = r"""concat(
   CASE WHEN o_orderkey % 4 = 0 THEN concat(
     'router.get("/c/', cast(o_custkey as string), '", list)', chr(10),
     'app.post("/o", create)', chr(10), 'router.get("/c/', cast(o_custkey as string), '", again)', chr(10),
     'server.Delete("/o/', cast(o_orderkey % 9 as string), '", drop)', chr(10),
-    CASE WHEN o_orderkey % 8 = 0 THEN concat('app.put("/a", a)', chr(10), 'app.put("/b", b)', chr(10)) ELSE '' END)
+    CASE WHEN o_orderkey % 8 = 0 THEN concat('app.put("/a", a)', chr(10), 'app.put("/b", b)', chr(10)) ELSE '' END,
+    CASE WHEN o_orderkey % 16 = 0 THEN concat('app.get("/a", a)', chr(10), 'app.get("/b", b)', chr(10),
+      'app.get("/d", d)', chr(10), 'app.patch("/a", a)', chr(10), 'app.post("/b", b)', chr(10)) ELSE '' END)
    ELSE '' END,
   CASE WHEN o_orderkey % 4 = 1 THEN concat('const S = z.object({})', chr(10)) ELSE '' END,
   CASE WHEN o_orderkey % 4 <= 2 THEN concat('export const a', cast(o_custkey as string), ' = 1', chr(10),

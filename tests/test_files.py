@@ -175,6 +175,45 @@ def test_span_languages(spark, path, text, names):
     assert [r.name for r in rows] == names
 
 
+@pytest.mark.parametrize("path, text, spans", [
+    ("a.java", "package p;\npublic class Box\n{\n  void go()\n  {\n  }\n}\n// class No\nclass Lid { }\n",
+     [("Box", 2, 7), ("Lid", 9, 9)]),
+    ("b.java", 'class T {\n  String s = """\nclass No {\n""";\n  char c = \'}\', q = \'\\\'\';\n}\nclass U {}\n',
+     [("T", 1, 6), ("U", 7, 7)]),
+    ("a.ts", "export function view() {\n  return `\nfunction no() {\n${a ? `x}` : \"}\"}\n`\n}\nconst low = 1 // }\n/*\n"
+     "function ghost() {}\n*/\nfunction last() {}\n", [("view", 1, 6), ("low", 7, 7), ("last", 11, 11)]),
+    ("b.js", 'const mark = /[{"]/g\nfunction swap(x) {\n  return x.replace(/\\/}/, "{")\n}\n', [("mark", 1, 1), ("swap", 2, 4)]),
+    ("a.py", '"""about\ndef no(): pass\n"""\ndef f(x):\n    """\nat the margin\ndef ghost(): pass\n    """\n    return """\n'
+     'class G:\n"""\n\n# note\nclass K:\n    pass\nx = {\n}\ndef g(): pass\n', [("f", 4, 11), ("K", 14, 15), ("g", 18, 18)]),
+    ("a.go", "package m\nfunc F() {\n s := `\nfunc G() {\n`\n r := '{'\n}\ntype T struct {\n}\n", [("F", 2, 7), ("T", 8, 9)]),
+    ("a.rs", "pub fn a<'a>(x: &'a str) {\n    let s = r#\"\nfn ghost() {\n\"#;\n    let t = \"\nstruct No;\n\";\n}\nstruct S;\n",
+     [("a", 1, 8), ("S", 9, 9)]),
+    ("a.kt", "class A(\n  val x: Int,\n)\n{\n}\n\nclass B\n", [("A", 1, 5), ("B", 7, 7)]),
+    # Brackets that do not balance: the margin decides. Texts that end inside a literal, and none at all.
+    ("bad.ts", "function a() {\n}}\nfunction b() {\n}\n", [("a", 1, 2), ("b", 3, 4)]),
+    ("open.ts", "function a() {}\nconst s = `\nfunction no() {}\n", [("a", 1, 1), ("s", 2, 3)]), ("tick.ts", "`", []), ("none.ts", "", []),
+    ("crlf.ts", "function a()\r\n{\r\n}\r\nclass B {}\r\n", [("a", 1, 3), ("B", 4, 4)]),
+])
+def test_exact_spans(spark, path, text, spans):
+    rows = Y.toplevel_spans(files(spark, (path, text))).orderBy("line").collect()
+    assert [(r.name, r.line, r.end_line) for r in rows] == spans
+
+
+def test_large_files(spark):
+    """Long literals cost no stack, and many declarations no square of their number."""
+    long = "const a = `" + "x\n$ {" * 50_000 + "`\nconst b = \"" + '\\"' * 50_000 + '"\n/*' + "*" * 90_000 + "*/\nlet d = 2"
+    many = "".join(f"export function f{i}(a) {{\n  return a\n}}\n" for i in range(30_000))
+    rows = Y.toplevel_spans(files(spark, ("a.ts", long), ("b.ts", many))).groupBy("path").agg(
+        F.count("*").alias("n"), F.max("end_line").alias("end"), F.sum(F.col("end_line") - F.col("line")).alias("inside"))
+    assert {tuple(r) for r in rows.collect()} == {("a.ts", 3, 50_004, 50_000), ("b.ts", 30_000, 90_000, 60_000)}
+    assert Y.extract_symbols(files(spark, ("b.ts", many + "function f7() {}\n"))).count() == 30_000
+
+
+def test_routes_are_all_counted(spark):
+    text = "".join(f'app.get("/r{i % 10}", f)\n' for i in range(13))
+    assert one(spark, D.describe_routes(F.col("t")), t=text, p="a.ts") == "Defines GET /r0, GET /r1, GET /r2, GET /r3 +6 more"
+
+
 def test_spans_never_end_before_they_start(spark):
     # Pattern order differs from line order here, and the last line is not terminated.
     rows = Y.symbol_spans(files(spark, ("a.ts", "const a = 1\nfunction b() {}\nconst c = 3"))).orderBy("line").collect()
