@@ -15,13 +15,11 @@ RECENT_ENTRIES, RECENT_BUGS, SEARCH_HITS, VIEW_BUGS = 10, 5, 10, 50
 BUG_LINE_CHARS = 140
 
 
-def append_learned(learned: DataFrame, new: DataFrame, slice_by: str = "hour") -> DataFrame:
+def append_learned(learned: DataFrame, new: DataFrame) -> DataFrame:
     """Add entries (repo, section, entry, at) behind the known ones; each becomes a single line."""
     section = F.coalesce("section", F.lit(DEFAULT_SECTION))
     lines = new.select("repo", section.alias("section"), one_line(F.col("entry")).alias("entry"), "at")
-    numbered = number_rows(
-        lines, ["repo", "section"], [F.col("at"), F.col("entry")], F.date_trunc(slice_by, F.col("at")), "n"
-    )
+    numbered = number_rows(lines, ["repo", "section"], [F.col("at"), F.col("entry")], "n")
     last = learned.groupBy("repo", "section").agg(F.max("seq").alias("last_seq"))
     placed = numbered.join(last, ["repo", "section"], "left").select(
         "repo", "section", (F.col("n") + F.coalesce("last_seq", F.lit(0).cast("bigint"))).alias("seq"), "entry", "at"
@@ -35,10 +33,10 @@ def bug_id(number: Column, at: Column) -> Column:
     return F.concat(F.lit("bug-"), number.cast("string"), F.lit("-"), F.lower(F.conv(millis, 10, 36)))
 
 
-def number_bugs(bugs: DataFrame, new: DataFrame, slice_by: str = "hour") -> DataFrame:
+def number_bugs(bugs: DataFrame, new: DataFrame) -> DataFrame:
     """New records (repo, error_message, fix, file, at, …) with ids that continue each repository's count."""
     order = [F.col("at"), F.col("error_message"), F.coalesce("fix", F.lit("")), F.coalesce("file", F.lit(""))]
-    numbered = number_rows(new, ["repo"], order, F.date_trunc(slice_by, F.col("at")), "n")
+    numbered = number_rows(new, ["repo"], order, "n")
     known = bugs.groupBy("repo").agg(F.count(F.lit(1)).alias("known"))
     total = F.col("n") + F.coalesce("known", F.lit(0).cast("bigint"))
     return (
@@ -48,9 +46,9 @@ def number_bugs(bugs: DataFrame, new: DataFrame, slice_by: str = "hour") -> Data
     )
 
 
-def log_bugs(bugs: DataFrame, new: DataFrame, slice_by: str = "hour") -> DataFrame:
+def log_bugs(bugs: DataFrame, new: DataFrame) -> DataFrame:
     """The bug table with the new records."""
-    return bugs.unionByName(number_bugs(bugs, new, slice_by), allowMissingColumns=True)
+    return bugs.unionByName(number_bugs(bugs, new), allowMissingColumns=True)
 
 
 def latest_bugs(bugs: DataFrame, n: int) -> DataFrame:

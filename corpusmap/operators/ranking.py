@@ -54,16 +54,43 @@ def later_rows(
     return sure.unionByName(contested.filter(F.col("_pos") > 1)).drop("_salt", "_pos")
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, out: str
-) -> DataFrame:
-    """Numbers 1, 2, 3 … inside each group, in the given order.
+def range_slices(df: DataFrame, key: Column, slices: int = 256, sampled: int = 8192) -> Column:
+    """A number from 0 that never falls as `key`, a struct, grows: about as many different keys for each number.
 
-    `slice_by` must not decrease along the order; it cuts a group into runs that are numbered apart and
-    shifted by the sizes of the runs before them.
+    Bounds are picked from a sample of at most about `sampled` different keys, chosen by hash; they go through the
+    driver and become a constant. Any bounds give a right order, so neither the sample nor its rounding matters to it.
+    """
+    n = df.count()
+    wanted = int(min(1.0, sampled / max(n, 1)) * (1 << 40))
+    chosen = df.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < wanted).distinct()
+    place = lambda i: (i * F.size("ks") / slices).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.get("ks", place(i)))
+    found = chosen.agg(F.array_sort(F.collect_list("k")).alias("ks")).select(F.array_distinct(F.array_compact(picked)).alias("b"))
+    count, text = found.select(F.size("b"), F.to_json(F.struct("b"))).first()
+    if not count:
+        return F.lit(0)
+    bounds = F.from_json(F.lit(text), found.schema)["b"]
+    # Bisection: how many bounds are not above the key.
+    both = F.struct(F.lit(0).alias("low"), F.lit(count).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        right = (acc["low"] < acc["high"]) & (F.get(bounds, middle) <= key)
+        left = (acc["low"] < acc["high"]) & ~right
+        return F.struct(F.when(right, middle + 1).otherwise(acc["low"]).alias("low"),
+                        F.when(left, middle).otherwise(acc["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(count.bit_length())), both, halve, lambda acc: acc["low"])
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Numbers 1, 2, 3 … inside each group, in the given rising order.
+
+    Ranges of (group, whole order) are numbered apart and shifted by the sizes of the ranges before them, so a group of
+    any size, also one with a single time, spreads over tasks. Only rows that are equal in the whole order stay together.
     """
-    counted = running_count(df, keys, order, slice_by, F.lit(True), out)
-    return counted
+    key = F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*map(F.col, keys), *order])])
+    return running_count(df, keys, order, range_slices(df, key), F.lit(True), out)
 
 
 def running_count(
@@ -127,15 +154,3 @@ def spread_join(
         "_salt", F.explode(F.sequence(one, F.when(F.col("_hot"), F.lit(spread)).otherwise(one)))
     ).drop("_hot")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
-    """Mark a table for broadcast when its measured size is below the limit.
-
-    Measures strings by their bytes and other columns by 16 bytes, in one distributed aggregate.
-    """
-    width = sum(
-        (F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(16)) for c in df.columns), F.lit(16)
-    )
-    size = df.agg(F.sum(width.cast("bigint")).alias("n")).first()["n"] or 0
-    return (F.broadcast(df), True) if size <= limit_bytes else (df, False)

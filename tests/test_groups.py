@@ -40,8 +40,38 @@ def test_running_count(rows):
     plain = rows.withColumn("n", F.sum(odd.cast("bigint")).over(w))
     mine = K.running_count(rows, ["g"], [F.col("t"), F.col("i")], F.floor(F.col("t") / 50), odd, "n")
     assert as_set(mine, "g", "i", "n") == as_set(plain, "g", "i", "n")
-    numbered = K.number_rows(rows, ["g"], [F.col("t"), F.col("i")], F.floor(F.col("t") / 50), "n")
-    assert numbered.groupBy("g").agg((F.max("n") == F.count("n")).alias("ok")).filter("not ok").count() == 0
+
+
+def numbers_are_plain(df, keys, order):
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    mine = K.number_rows(df, keys, [F.col(c) for c in order], "n")
+    assert as_set(mine, *keys, *order, "n") == as_set(plain, *keys, *order, "n") and mine.columns == plain.columns
+
+
+def test_number_rows(spark, rows):
+    numbers_are_plain(rows, ["g"], ["t", "i"])
+    numbers_are_plain(rows.withColumn("t", F.lit(1)), ["g"], ["t", "i"])  # one time for all
+    at = rows.withColumn("at", F.expr("timestamp_ntz'2026-01-01 00:00:00.123456' + make_dt_interval(0, 0, 0, t / 7)"))
+    numbers_are_plain(at.withColumn("s", F.concat(F.lit('"é\n'), F.col("i").cast("string"))), ["g"], ["at", "s"])
+    numbers_are_plain(rows.limit(1), ["g"], ["t", "i"])
+    assert K.number_rows(rows.where("false"), ["g"], [F.col("t")], "n").count() == 0
+    some = rows.withColumn("t", F.when(F.col("i") % 3 > 0, F.col("t")))
+    mine = K.number_rows(some, ["g"], [F.col("t"), F.col("i")], "n")
+    plain = some.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("t", "i")))
+    assert sorted((r.g, r.i, r.n) for r in mine.collect()) == sorted((r.g, r.i, r.n) for r in plain.collect())
+    equal = rows.where("g = 0").select("g", F.lit(1).alias("t"))  # equal in the whole order: any of them comes first
+    assert [r.n for r in K.number_rows(equal, ["g"], [F.col("t")], "n").orderBy("n").collect()] == list(range(1, equal.count() + 1))
+
+
+def test_one_time_spreads_evenly(spark):
+    """100,000 records of one group at one time: no range holds much more than its share."""
+    df = spark.range(100_000).select(F.lit("r").alias("g"), F.lit(1).alias("t"), F.sha1(F.col("id").cast("string")).alias("s"))
+    key = F.struct("g", "t", "s")
+    sizes = [r["count"] for r in df.groupBy(K.range_slices(df, key).alias("k")).count().collect()]
+    assert len(sizes) == 256 and max(sizes) < 3 * 100_000 / 256
+    small = K.range_slices(df, key, slices=4, sampled=64)
+    assert df.select(small.alias("k"), "s").groupBy("k").agg(F.min("s").alias("a"), F.max("s").alias("b")).orderBy("k").selectExpr(
+        "a > lag(b) OVER (ORDER BY k) OR k = 0 AS rises").where("NOT rises").count() == 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -62,8 +92,3 @@ def test_spread_splits_the_hot_group(rows):
     salted = rows.filter("g = 0").withColumn("s", F.pmod(F.xxhash64("i"), F.lit(K.SPREAD)))
     largest = salted.groupBy("s").count().agg(F.max("count")).first()[0]
     assert largest < rows.filter("g = 0").count() / 8
-
-
-def test_broadcast_if_small(spark):
-    df = spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("s"))
-    assert K.broadcast_if_small(df)[1] and not K.broadcast_if_small(df, 1000)[1]
