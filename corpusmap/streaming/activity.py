@@ -34,45 +34,57 @@ def stream_change_bursts(changes: DataFrame, gap: str = "1 second", watermark: s
 REPEATS = "session_id string, repo string, path string, ts timestamp, seq bigint"
 
 
+FIRSTS = "paths array<string>, first_us array<bigint>"
+
+
 def _later_reads(hours: int):
-    """The state function of one (session, repo, path): its state is the time of the first read of the window."""
+    """The state function of one bucket of files of a (session, repo): for each file the first read of its window."""
     window = pd.Timedelta(hours=hours)
 
     def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        paths, times = state.get if state.exists else ((), ())
+        firsts = pd.Series(pd.to_datetime(list(times), unit="us"), index=pd.Index(list(paths), dtype=object))
         if state.hasTimedOut:
+            mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            firsts = firsts[firsts + window > mark]
+        else:
+            reads = pd.concat(batches, ignore_index=True).sort_values(["path", "ts", "seq"], ignore_index=True)
+            repeats = []
+            while len(reads):
+                # Files without a window begin one with their first read; what lies beyond a window begins the next.
+                opening = ~reads["path"].isin(firsts.index) & ~reads["path"].duplicated()
+                firsts = pd.concat([firsts, reads[opening].set_index("path")["ts"]])
+                near = reads["ts"] - reads["path"].map(firsts) < window
+                repeats.append(reads[near & ~opening])
+                reads = reads[~near]
+                firsts = firsts.drop(reads["path"].unique())
+            yield pd.concat(repeats)[["session_id", "repo", "path", "ts", "seq"]]
+        if not len(firsts):
             state.remove()
             return
-        reads = pd.concat(batches, ignore_index=True).sort_values(["ts", "seq"], ignore_index=True)
-        first = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        repeats = []
-        while len(reads):
-            if first is None:
-                first, reads = reads["ts"].iloc[0], reads.iloc[1:]
-            near = reads["ts"] - first < window
-            repeats.append(reads[near])
-            reads = reads[~near]
-            if len(reads):
-                first = None
-        state.update((int(first.value // 1000),))
-        end_ms = int((first + window).value // 1_000_000)
+        state.update((list(firsts.index), [int(t.value // 1000) for t in firsts]))
+        end_ms = int((firsts.min() + window).value // 1_000_000)
         state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.concat(repeats)[["session_id", "repo", "path", "ts", "seq"]]
 
     return emit
 
 
-def stream_repeated_reads(access: DataFrame, hours: int = FORGET_HOURS, watermark: str = WATERMARK) -> DataFrame:
+def stream_repeated_reads(
+    access: DataFrame, hours: int = FORGET_HOURS, watermark: str = WATERMARK, buckets: int = 16
+) -> DataFrame:
     """Reads of a file that its session has read before, unless that is longer ago than `hours`.
 
-    The state is one time per (session, repo, path), so a busy session is spread over many tasks. It is removed when
-    the watermark passes the end of its window.
+    A state row holds the first reads of one of `buckets` shares of the files of a (session, repo), so a busy session is
+    spread over tasks and Python is called once per share and batch, not per file. A file leaves the state when the
+    watermark has passed the end of its window. `buckets` must stay the same for the life of a checkpoint.
     """
     reads = (
         loggable_events(access).withWatermark("ts", watermark).filter(F.col("op") == "read")
         .select("session_id", "repo", to_posix(F.col("path")).alias("path"), "ts", "seq")
     )
-    return reads.groupBy("session_id", "repo", "path").applyInPandasWithState(
-        _later_reads(hours), REPEATS, "first_us bigint", "append", GroupStateTimeout.EventTimeTimeout
+    dealt = reads.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("session_id", "repo", "bucket").applyInPandasWithState(
+        _later_reads(hours), REPEATS, FIRSTS, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
