@@ -402,6 +402,44 @@ def test_store(spark, tmp_path):
         store.read_snapshot(spark, path, "x")
 
 
+def test_snapshots_store_what_changed(spark, tmp_path):
+    path = str(tmp_path / "history")
+    with pytest.raises(ValueError, match="no snapshots found"):
+        store.read_snapshot(spark, path)
+    made = {}
+    for day in range(10):
+        tag = f"0{day}"  # not a number to the store
+        df = spark.range(3000).select("id", F.when(F.col("id") % 100 == day, F.lit(day)).alias("v"), (F.col("id") % 7).alias("g"))
+        store.write_snapshot(df, path, tag)
+        made[tag] = df
+    sizes = {r.snapshot_id: (r.n_rows, r.n_changes) for r in store.list_snapshots(spark, path).collect()}
+    assert sizes["00"] == (3000, 3000) and all(n == (3000, 120) for tag, n in sizes.items() if tag != "00")
+    for tag in ("00", "04", "09"):
+        back = store.read_snapshot(spark, path, tag)
+        assert back.columns == made[tag].columns and sorted(map(str, back.collect())) == sorted(map(str, made[tag].collect()))
+    with pytest.raises(ValueError, match="a later snapshot"):
+        store.write_snapshot(made["03"], path, "03")
+
+
+def test_snapshots_keep_copies_and_returns(spark, tmp_path):
+    """Equal rows are counted, a row may go and come back, a table may be empty, columns may be added."""
+    path, schema = str(tmp_path / "bag"), "a int, m map<string,int>, s struct<x:string>"
+    x, y, none = (1, {"k": 1}, ("é\n",)), (2, None, (None,)), (None, None, None)
+    tables = {"a": [x, x, y, none], "b": [x, none, none], "c": [], "d": [x, x, y]}
+    for tag, rows in tables.items():
+        store.write_snapshot(spark.createDataFrame(rows, schema), path, tag)
+    store.write_snapshot(spark.createDataFrame([x], schema).withColumn("new", F.lit(5)), path, "e")
+    store.write_snapshot(spark.createDataFrame([y], schema).withColumn("new", F.lit(6)), path, "e")
+    as_text = lambda rows: sorted(str(tuple(r)) for r in rows)
+    for tag, rows in tables.items():
+        want = spark.createDataFrame(rows, schema).collect()
+        assert as_text(store.read_snapshot(spark, path, tag).collect()) == as_text(want)
+    assert as_text(store.read_snapshot(spark, path).collect()) == as_text(
+        spark.createDataFrame([(*y, 6)], schema + ", new int").collect())
+    with pytest.raises(ValueError, match="names that the store uses"):
+        store.write_snapshot(spark.range(1).withColumnRenamed("id", "_key"), path, "f")
+
+
 def test_refresh(spark):
     opts = ScanOptions(max_files=2)
     old = A.build_index(files(spark, ("a.md", "a\n"), ("b.md", "b\n"), ("gone.md", "g\n")), ScanOptions())
