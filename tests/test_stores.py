@@ -78,7 +78,7 @@ def test_digest_warning(spark):
 def test_bugs(spark):
     none = spark.createDataFrame([], BUGS)
     new = spark.createDataFrame(
-        [("r", "TypeError: x is not a function", "added a guard", "src/index.ts", DAY),
+        [("r", "Rudder: no answer at the helm", "took up the slack", "sea/helm.py", DAY),
          ("r", "E" * 600, "F" * 3000, None, DAY + dt.timedelta(hours=3))],
         "repo string, error_message string, fix string, file string, at timestamp_ntz")
     log = K.log_bugs(none, new).cache()
@@ -87,8 +87,8 @@ def test_bugs(spark):
     millis = int(rows[0].id.split("-")[2], 36)
     assert millis == int(DAY.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
     assert (len(rows[1].error_message), len(rows[1].fix)) == (600, 3000)
-    assert K.search_bugs(log, "typeerror").count() == 1 and K.search_bugs(log, "").count() == 2
-    assert K.search_bugs(log, "INDEX.TS").count() == 1 and K.search_bugs(log, "nothing").count() == 0
+    assert K.search_bugs(log, "rudder: NO").count() == 1 and K.search_bugs(log, "").count() == 2
+    assert K.search_bugs(log, "HELM.PY").count() == 1 and K.search_bugs(log, "nothing").count() == 0
     assert [r["rank"] for r in V.bug_view(log).collect()] == [1, 2]
 
 
@@ -101,10 +101,11 @@ def test_append_learned(spark):
     assert got == {("Preferences", 4, "old"), ("Preferences", 5, "two lines"), ("Conventions", 1, "use 2-space indent")}
 
 
-LEARNED_MD = "# Notes\n\n## Preferences\n- Use strict mode\n- [2026-08-01] Prefer functions\n\n## Do-Not-Repeat\n- never use `any`\n"
-LOG_MD = "| 2026-08-01 10:00 | Edited src/app.ts | refactored | ~120 |\n| --- | --- | --- | --- |\n| 2026-08-02 09:30 | Created a \\| b | — | ~80 |\n"
-BUG = {"id": "bug-001", "timestamp": "2026-08-01T10:00:00.000Z", "error_message": "Missing handling", "file": "src/app.ts",
-       "root_cause": "no try/catch", "fix": "Added try", "tags": ["auto", "ts"], "occurrences": 1}
+LEARNED_MD = ("# The yard\n\n## Conventions\n- paint hulls in spring\n- [2025-04-11] sand before paint\n- [2025-04-12] two coats\n\n"
+              "## Do-Not-Repeat\n- launching at low tide\n")
+LOG_MD = "| 2025-05-04 07:15 | Edited yard/slip.py | widened | ~45 |\n| --- | --- | --- | --- |\n| 2025-05-05 18:40 | Moved x \\| y | — | ~9 |\n"
+BUG = {"file": "yard/winch.py", "fix": "Greased the drum", "tags": ["metal"], "id": "b7", "error_message": "Winch jams",
+       "timestamp": "2025-05-04T07:15:30.000Z", "root_cause": "rust", "occurrences": 3}
 
 
 def store(spark, text, path, name):
@@ -116,24 +117,24 @@ def store(spark, text, path, name):
 def test_merge_is_idempotent(spark, tmp_path):
     learned = D.parse_sections(store(spark, LEARNED_MD, tmp_path, "learned.md")).filter("section_no > 0")
     rows = D.log_table_rows(store(spark, LOG_MD, tmp_path, "log.md"))
-    bugs = json.dumps({"version": 1, "bugs": [BUG, {**BUG, "id": "bug-002", "error_message": "Null access"}, {**BUG, "fix": "again"}, {}]})
+    bugs = json.dumps({"version": 1, "bugs": [BUG, {**BUG, "id": "b8", "error_message": "Rope frays"}, {**BUG, "fix": "again"}, {}]})
     source = M.normalize_bugs(D.read_bugs_json(store(spark, bugs, tmp_path, "bugs.json")), at("2026-09-01 00:00:00"))
     none = spark.createDataFrame([], BUGS)
     empty_lines, empty_rows = learned.filter("false"), rows.filter("false")
 
-    assert M.merge_learned(empty_lines, learned).count() == 3
+    assert M.merge_learned(empty_lines, learned).count() == 4
     assert M.merge_learned(learned, learned).count() == 0
-    assert {r.line for r in M.merge_learned(learned.filter("line like '%strict%'"), learned).collect()} == {
-        "- [2026-08-01] Prefer functions", "- never use `any`"}
+    assert {r.line for r in M.merge_learned(learned.filter("line like '%spring%'"), learned).collect()} == {
+        "- [2025-04-11] sand before paint", "- [2025-04-12] two coats", "- launching at low tide"}
     assert M.merge_log(empty_rows, rows).count() == 2 and M.merge_log(rows, rows).count() == 0
-    assert {r.action for r in D.split_log_rows(rows).collect()} == {"Edited src/app.ts", "Created a | b"}
+    assert {r.action for r in D.split_log_rows(rows).collect()} == {"Edited yard/slip.py", "Moved x | y"}
 
     merged = M.merge_bugs(none, source).cache()
     report = M.merge_bugs_report(none, source).first()
     assert (report.added, report.skipped) == (2, 2) and merged.count() == 2
-    row = merged.filter("error_message = 'Missing handling'").first()
-    assert row.extra["root_cause"] == "no try/catch" and json.loads(row.extra["tags"]) == ["auto", "ts"]
-    assert str(row["at"]) == "2026-08-01 10:00:00" and row.fix == "Added try" and row.id == "bug-001"
+    row = merged.filter("error_message = 'Winch jams'").first()
+    assert row.extra["root_cause"] == "rust" and json.loads(row.extra["tags"]) == ["metal"]
+    assert str(row["at"]) == "2025-05-04 07:15:30" and row.fix == "Greased the drum" and row.id == "b7"
     again = M.merge_bugs_report(merged, source).first()
     assert (again.added, again.skipped) == (0, 4) and M.merge_bugs(merged, source).count() == 2
 
