@@ -67,6 +67,40 @@ def search_bugs(bugs: DataFrame, term: str, limit: int = SEARCH_HITS) -> DataFra
     return latest_bugs(bugs.filter(hit), limit)
 
 
+def bug_grams(bugs: DataFrame) -> DataFrame:
+    """Postings (gram, repo, id): which records hold a run of three characters in error, fix or file, in lower case.
+
+    A run is a hash, so a posting may be one too many; searches look at the texts again.
+    """
+    fields = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in ("error_message", "fix", "file")])
+    chars = bugs.select("repo", "id", F.explode(fields).alias("_text")).filter(F.length("_text") > 2).select(
+        "repo", "id", F.split("_text", "").alias("_chars"))
+    three = lambda i: F.xxhash64(F.concat(F.get("_chars", i), F.get("_chars", i + 1), F.get("_chars", i + 2)))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_chars") - 3), three))
+    return chars.select("repo", "id", F.explode(runs).alias("gram")).select("gram", "repo", "id").distinct()
+
+
+def search_bug_index(
+    bugs: DataFrame, grams: DataFrame, counts: DataFrame, term: str, limit: int = SEARCH_HITS, used: int = 3,
+) -> DataFrame:
+    """The rows of `search_bugs`, from postings and their counts (gram, n): `used` of the term's rarest runs choose records.
+
+    Only the records that hold these runs are read through; terms of less than three characters have no run and take
+    the plain way.
+    """
+    needle = term.lower()
+    runs = {needle[i:i + 3] for i in range(len(needle) - 2)}
+    if not runs:
+        return search_bugs(bugs, term, limit)
+    wanted = bugs.sparkSession.createDataFrame([(r,) for r in sorted(runs)], "run string").select(F.xxhash64("run").alias("gram"))
+    hashes = [r["gram"] for r in wanted.collect()]  # as many as the term has characters
+    sizes = {r["gram"]: r["n"] for r in counts.filter(F.col("gram").isin(hashes)).collect()}
+    rarest = sorted(hashes, key=lambda h: sizes.get(h, 0))[:used]
+    held = grams.filter(F.col("gram").isin(rarest)).groupBy("repo", "id").agg(F.count_distinct("gram").alias("n"))
+    chosen = held.filter(F.col("n") == len(rarest)).select("repo", "id")
+    return search_bugs(bugs.join(chosen, ["repo", "id"], "left_semi"), term, limit)
+
+
 def recent_do_not_repeat(learned: DataFrame, n: int = RECENT_ENTRIES) -> DataFrame:
     """The newest entries of the section of mistakes, `rank` 1 being the newest."""
     return top_n(

@@ -14,6 +14,7 @@ from corpusmap.plans import sessions as PS
 from corpusmap.plans.changes import STALE_SQL
 from corpusmap.plans.registry import query, with_
 from corpusmap.sources import documents as D
+from corpusmap.sources import store
 
 # --- documents --------------------------------------------------------------------------------------------
 
@@ -163,14 +164,28 @@ def k2(spark, sf):
     return K.log_bugs(X.bugs(spark, sf), new).select("repo", "id", "error_message", "fix", "file")
 
 
-@query("k3_search_bugs", with_(X.BUGS_SQL) + """
+FOUND_SQL = with_(X.BUGS_SQL) + """
 SELECT repo, id, error_message, fix, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY repo ORDER BY "at" DESC, id DESC) AS rank FROM bugs
   WHERE contains(lower(error_message), 'the ') OR contains(lower(fix), 'the ') OR contains(lower(file), 'the '))
-WHERE rank <= 10""")
+WHERE rank <= 10"""
+
+
+def _found(df):
+    return df.select("repo", "id", "error_message", "fix", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("k3_search_bugs", FOUND_SQL)
 def k3(spark, sf):
-    return K.search_bugs(X.bugs(spark, sf), "The ").select(
-        "repo", "id", "error_message", "fix", F.col("rank").cast("bigint").alias("rank"))
+    return _found(K.search_bugs(X.bugs(spark, sf), "The "))
+
+
+@query("k3_search_bug_index", FOUND_SQL)
+def k3_index(spark, sf):
+    """The same search by stored postings of runs of three characters."""
+    path, bugs = X.work_dir(spark), X.bugs(spark, sf)
+    store.write_bug_index(bugs, path)
+    return _found(K.search_bug_index(bugs, *store.read_bug_index(spark, path), "The "))
 
 
 RECENT_SQL = """dnr AS (

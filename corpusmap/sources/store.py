@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmap.operators.knowledge import bug_grams
 from corpusmap.schemas import FILE_INDEX
 from corpusmap.sources.documents import INDEX_VERSION
 
@@ -102,6 +103,24 @@ def read_snapshot(spark: SparkSession, path: str, tag: str | None = None) -> Dat
     return rows.select(*[F.col(f"s.`{c}`").alias(c) for c in columns])
 
 
+def write_bug_index(bugs: DataFrame, path: str, append: bool = False) -> None:
+    """Store postings of the records, in order of their runs, and how many each run has.
+
+    A search for a few runs reads the row groups that hold them. With `append` the postings of new records join those
+    that are there; the counts are then sums over all parts.
+    """
+    mode = "append" if append else "overwrite"
+    bug_grams(bugs).repartitionByRange("gram").sortWithinPartitions("gram").write.mode(mode).parquet(f"{path}/grams")
+    counts = bugs.sparkSession.read.parquet(f"{path}/grams").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def read_bug_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings (gram, repo, id) and counts (gram, n)."""
+    grams = spark.read.schema("gram bigint, repo string, id string").parquet(f"{path}/grams")
+    return grams, spark.read.schema("gram bigint, n bigint").parquet(f"{path}/counts")
+
+
 def write_rendered(rows: DataFrame, path: str, order: str = "path") -> None:
     """Store rendered texts (repo, <order>, body) by repository, in order.
 

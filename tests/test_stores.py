@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from corpusmap.operators import schedule as T
 from corpusmap.operators import views as V
 from corpusmap.schemas import BUGS, HANDOFF, LEARNED, LEDGER, SCAN_STATE, TASKS, USAGE_EVENTS
 from corpusmap.sources import documents as D
+from corpusmap.sources import store as Store
 from corpusmap.streaming import usage as U
 
 DAY = dt.datetime(2026, 8, 15, 2, 30, 45)
@@ -92,6 +94,32 @@ def test_bugs(spark):
     assert [r["rank"] for r in V.bug_view(log).collect()] == [1, 2]
 
 
+TERMS = ["", "a", "ab", "abc", "rope", "ROPE  fr", "é", "ée😀", "😀😀", "winch.py", "not there", "xyzx", "aaaa", "fix 7"]
+
+
+def test_search_by_an_index(spark, tmp_path):
+    """The rows of the plain search, also for short terms, other scripts, null fields and records added later."""
+    rng = random.Random(3)
+    pieces = ["rope frays", "abcabc", "ée😀😀", "yard/Winch.PY", "aaaaa", "xyz", "xyx", "", "Rope  Frets", "fix 7", None]
+    rows = [(rng.choice("rq"), f"b{i}", rng.choice(pieces[:-1]), rng.choice(pieces), rng.choice(pieces), DAY + dt.timedelta(minutes=i), None)
+            for i in range(120)]
+    bugs = spark.createDataFrame(rows, BUGS).cache()
+    path = str(tmp_path / "grams")
+    Store.write_bug_index(bugs.filter("id < 'b5'"), path)
+    Store.write_bug_index(bugs.filter("id >= 'b5'"), path, append=True)
+    grams, counts = Store.read_bug_index(spark, path)
+    rows_of = lambda df: sorted((r["repo"], r["rank"], r["id"]) for r in df.collect())
+    for term in TERMS:
+        assert rows_of(K.search_bug_index(bugs, grams, counts, term)) == rows_of(K.search_bugs(bugs, term)), term
+    assert K.search_bug_index(bugs, grams, counts, "abc", limit=1).count() <= 2
+    assert counts.agg(F.sum("n")).first()[0] == grams.count() == grams.distinct().count()
+    plan = grams.filter(F.col("gram").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan
+    # What is read through is what holds the rarest runs, not the table.
+    held = grams.filter(F.col("gram") == F.xxhash64(F.lit("fix"))).count()
+    assert 0 < held < bugs.count() / 2
+
+
 def test_append_learned(spark):
     old = spark.createDataFrame([("r", "Preferences", 4, "old", DAY)], LEARNED)
     new = spark.createDataFrame(
