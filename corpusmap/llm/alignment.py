@@ -31,6 +31,8 @@ from corpusmap.llm.segments import Lookup, segments
 from corpusmap.llm.texts import one_array, per_text, slices
 
 BLOCK_BYTES = 2 << 20
+#: Characters of words whose tokens a task keeps at a time.
+WORD_CHARS = 6 << 20
 LOW = np.int64((1 << 32) - 1)
 Lengths = tuple[np.ndarray, np.ndarray]
 ROW = "id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_group_links bigint, n_best bigint, " \
@@ -77,7 +79,7 @@ class ByteLevel:
         return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
 
     def encode(self, found: list[str]) -> list[list[int]]:
-        rows: list[list[int] | None] = []
+        tokenize, rows = self.tokenizer.model.tokenize, []
         cores: dict[str, list[int]] = {}
         for w in found:
             m = self.SIMPLE.fullmatch(w)
@@ -86,7 +88,7 @@ class ByteLevel:
                 continue
             core, marks = m.groups()
             if core not in cores:
-                cores[core] = self._model(" " + core)
+                cores[core] = [t.id for t in tokenize("Ġ" + core)] if core.isascii() else self._model(" " + core)
             if marks not in self.marks:
                 if len(self.marks) > 10_000:
                     self.marks = {"": []}
@@ -198,7 +200,7 @@ class Both:
 
     def __init__(self, a: str, b: str):
         encoders = ByteLevel(a), Pieces(b)
-        self.lookup = Lookup([e.encode for e in encoders])
+        self.lookup = Lookup([e.encode for e in encoders], limit=WORD_CHARS)
         self.a, self.b = map(Spelling, encoders)
 
     @property
@@ -210,7 +212,8 @@ class Both:
         coded, sizes = segments(texts)
         spaced = pc.binary_join_element_wise("", coded.dictionary, " ")
         lengths = pc.binary_length(spaced).to_numpy(zero_copy_only=False).astype(np.int64)
-        wanted = np.frombuffer(b"".join(spaced.cast(pa.binary()).to_pylist()), np.uint8)
+        # The bytes of all segments stand in a row already.
+        wanted = np.frombuffer(spaced.buffers()[2] or b"", np.uint8)[:int(lengths.sum())]
         (a, sizes_a), (b, sizes_b) = self.lookup(coded.dictionary.to_pylist())
         good = self.a.good(a, sizes_a, wanted, lengths) & self.b.good(b, sizes_b, wanted, lengths)
         table = pa.table({
