@@ -63,8 +63,7 @@ def build_index(
 ) -> DataFrame:
     """The index of every repository: choose, drop ignored, analyse; cap where `max_files` is given.
 
-    `gitignore` holds the compiled rules of single repositories. They are one row per repository, and Spark decides
-    by their size how to join them. A capped index has the column `left_out`.
+    `gitignore` holds the compiled rules of single repositories. Texts meet them only as a list of ignored paths. A capped index has the column `left_out`.
     """
     chosen = choose_files(files, opts)
     if gitignore is not None:

@@ -348,6 +348,19 @@ def p3(spark, sf):
     return I.apply_ignore(X.files_docs(spark, sf).select("repo", "path"), rules)
 
 
+@query("p3_rules_by_path", with_(DOCS) + """
+SELECT repo, path FROM files_docs WHERE doc_id % 10 = 0 OR (doc_id % 5 <> 0 AND path NOT LIKE '%.log')""")
+def p3_by_path(spark, sf):
+    """As many rules as a fifth of the files, in every repository: every fifth path is ignored, every tenth taken back."""
+    docs = X.files_docs(spark, sf)
+    at = F.col("doc_id") * 2
+    named = docs.filter("doc_id % 5 = 0").select("repo", at.alias("rule_no"), F.concat(F.lit("/"), "path").alias("line"))
+    back = docs.filter("doc_id % 10 = 0").select("repo", (at + 1).alias("rule_no"), F.concat(F.lit("!/"), "path").alias("line"))
+    logs = docs.select("repo", F.lit(-1).cast("bigint").alias("rule_no"), F.lit("*.log").alias("line")).distinct()
+    lines = named.unionByName(back).unionByName(logs).withColumn("source", F.lit("gitignore"))
+    return I.apply_ignore(docs.select("repo", "path"), I.compile_rules(lines))
+
+
 @query("p4_drop_sensitive", with_(ODD_SQL) + f"SELECT doc_id, path FROM odd WHERE NOT {SENSITIVE_SQL}")
 def p4(spark, sf):
     return P.drop_sensitive(odd_docs(spark, sf)).select("doc_id", "path")

@@ -1,6 +1,7 @@
 """Choosing, describing and indexing files."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,60 @@ def test_negated_directory_rule_keeps_its_files(spark):
     assert [r.path for r in I.apply_ignore(paths, I.compile_rules(rules)).collect()] == ["logs/a.log"]
 
 
+RULE_LINES = "repo string, source string, rule_no int, line string"
+
+
+def test_rules_by_name_agree_with_patterns(spark):
+    """Rules that meet paths by equality decide like the same rules as regular expressions."""
+    rng = random.Random(11)
+    names = ["a", "b", "a.b", "log", "x.log", ".log", "c d", "$v"]
+    pool = [*names, "*.log", "*.b", "/a", "a/b", "a/*", "a/**", "b/a/**", "a/*/", "**/a", "*", "a?", "b*/", "/*.b", "a/**/b", "$v/**/"]
+    paths = sorted({"/".join(rng.choice(names) for _ in range(rng.randint(1, 4))) for _ in range(150)})
+    rows = [("r", p, d) for p in paths for d in (False, True)]
+    df = spark.createDataFrame(rows, "repo string, path string, is_dir boolean").cache()
+    for trial in range(3):
+        lines = [("!" if rng.random() < 0.3 else "") + rng.choice(pool) + rng.choice(["", "", "/"]) for _ in range(3 + 3 * trial)]
+        rules = spark.createDataFrame([("r", "gitignore", i, x) for i, x in enumerate(lines)], RULE_LINES)
+        got = {(r.path, r.is_dir) for r in I.apply_ignore(df, I.compile_rules(rules)).collect()}
+        want = df.filter(~I.ignored_by(F.col("path"), lines, F.col("is_dir"))).collect()
+        assert got == {(r.path, r.is_dir) for r in want}, lines
+
+
+def test_many_rules_of_one_repository(spark):
+    """10,000 rules that name paths, one hot repository; no regular expression is needed, and texts stay out of the lookup."""
+    lines = spark.range(10_000).selectExpr(
+        "'hot' AS repo", "'gitignore' AS source", "cast(id AS int) AS rule_no",
+        "CASE id % 4 WHEN 0 THEN concat('/src/f', id, '.py') WHEN 1 THEN concat('d', id, '/') "
+        "WHEN 2 THEN concat('*.e', id) ELSE concat('!src/f', id - 3, '.py') END AS line")
+    rules = I.compile_rules(lines.union(lines.filter("rule_no % 8 = 0").selectExpr("repo", "source", "rule_no + 20000", "line")))
+    assert {r.kind for r in rules.select("kind").distinct().collect()} == {"path", "name", "ending"}
+    made = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 10 = 9 THEN 'cold' ELSE 'hot' END AS repo", "id",
+        "CASE id % 3 WHEN 0 THEN concat('src/f', id, '.py') WHEN 1 THEN concat('x/d', id, '/y.txt') ELSE concat('z.e', id) END AS path",
+        "repeat('t', 50) AS text")
+    kept = I.apply_ignore(made, rules)
+
+    def dropped(n):
+        if n % 10 == 9 or n >= 10_000:
+            return False
+        # Every fourth path is named, taken back by the rule after it, and named again at the end for every eighth.
+        return (n % 3 == 0 and n % 8 == 0) or (n % 3 == 1 and n % 4 == 1) or (n % 3 == 2 and n % 4 == 2)
+
+    assert {r.id for r in kept.collect()} == {n for n in range(30_000) if not dropped(n)}
+    plan = I.ignored_paths(made, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "Cartesian" not in plan
+    assert {r.path for r in I.apply_ignore(made.limit(0), rules).collect()} == set()
+    assert I.apply_ignore(made, rules.filter("false")).count() == 30_000
+
+
+def test_odd_keys_of_ignored_files(spark):
+    """Null repositories and paths stay, repeated rows go or stay together, columns may bear the names of helpers."""
+    rules = I.compile_rules(spark.createDataFrame([("r", "gitignore", 0, "a"), ("r", "extra", 0, "b*")], RULE_LINES))
+    rows = [("r", "a", 1), ("r", "a", 2), (None, "a", 3), ("r", None, 4), ("r", "c", 5), ("r", "c", 5), ("r", "bb", 6), ("r", "", 7)]
+    odd = spark.createDataFrame(rows, "repo string, path string, level int").withColumn("key", F.lit("a")).withColumn("_repo", F.lit("r"))
+    assert sorted(r.level for r in I.apply_ignore(odd, rules).collect()) == [3, 4, 5, 5, 7]
+
+
 def test_sensitive_hidden_valid(spark):
     secret = [".env", ".env.local", "keys/id_rsa", "prod/credentials.json", "a/.npmrc", "b/.pem", "c/.key", "x.PEM"]
     safe = [".env.example", "keys/README.md", "src/app.ts", "ID_RSA"]
