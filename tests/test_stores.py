@@ -263,15 +263,64 @@ def test_ledger_stream_goes_on_with_a_new_checkpoint(spark, tmp_path):
     U.stream_ledger(events("one", ("a", "x", 100), ("b", None, 50)), ledger, f"{tmp_path}/c1", once=True).awaitTermination()
     U.stream_ledger(events("two", ("c", "y", 7)), ledger, f"{tmp_path}/c2", once=True).awaitTermination()
     U.stream_ledger(events("one", ("d", "y", 9)), ledger, f"{tmp_path}/c1", once=True).awaitTermination()
-    # A part that was not finished does not count.
+    # A part that no commit names does not count.
     U.fold_ledger(U.usage_rows(usage(spark, ("e", "z", 1)))).write.parquet(f"{ledger}/part-broken")
-    (tmp_path / "ledger" / "part-broken" / "_SUCCESS").unlink()
     got = {r.session_id: r.measured_tokens for r in U.read_ledger(spark, ledger).collect()}
     assert got == {"a": 100, "b": 50, "c": 7, "d": 9}
     U.compact_ledger(spark, ledger, f"{tmp_path}/next")
     assert {r.session_id: r.measured_tokens for r in U.read_ledger(spark, f"{tmp_path}/next").collect()} == got
 
 
+def test_ledger_parts_are_folded(spark, tmp_path):
+    """Some parts a level are left of many batches; a batch counts once; readers see the state before or after a fold."""
+    ledger = tmp_path / "ledger"
+    parts = U.LedgerParts(spark, str(ledger), fan=3)
+    sums = lambda df: {r.session_id: r.measured_tokens for r in df.collect()}
+    want, before = {}, None
+    for n in range(13):
+        if n == 8:
+            before = U.read_ledger(spark, str(ledger))
+        parts.add(usage(spark, (f"s{n}", "x", n + 1)), "run", n)
+        want[f"s{n}"] = n + 1
+        if n == 8:
+            # Two levels were folded at once; who began to read before still finds all parts.
+            assert list(parts.state()["parts"].values()) == [2]
+            assert sums(before) == {f"s{i}": i + 1 for i in range(8)}
+    assert sorted(parts.state()["parts"].values()) == [0, 1, 2]
+    assert sums(U.read_ledger(spark, str(ledger))) == want
+    # A batch that comes again, even after its part was folded, adds nothing.
+    for n in (3, 12):
+        parts.add(usage(spark, (f"s{n}", "x", 999)), "run", n)
+    assert sums(U.read_ledger(spark, str(ledger))) == want
+    assert len(list((ledger / "_commits").glob("[0-9]*"))) <= U.KEPT_COMMITS
+
+
+def test_killed_fold_of_a_ledger(spark, tmp_path, monkeypatch):
+    """A fold that dies before its commit changes nothing; the next one takes its place and what was left goes."""
+    ledger = tmp_path / "ledger"
+    parts = U.LedgerParts(spark, str(ledger), fan=2)
+    parts.add(usage(spark, ("a", "x", 1)), "run", 0)
+    state = parts.state()
+    real = U.LedgerParts.commit
+    monkeypatch.setattr(U.LedgerParts, "commit", lambda self, s: real(self, s) if "part-run-1" in s["parts"] else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        parts.add(usage(spark, ("b", "x", 2)), "run", 1)
+    assert parts.state()["number"] == state["number"] + 1 and (ledger / "fold-3").exists()
+    sums = lambda: {r.session_id: r.measured_tokens for r in U.read_ledger(spark, str(ledger)).collect()}
+    assert sums() == {"a": 1, "b": 2}
+    monkeypatch.undo()
+    parts.add(usage(spark, ("c", "x", 3)), "run", 2)
+    assert sums() == {"a": 1, "b": 2, "c": 3}
+    assert list(parts.state()["parts"]) == ["fold-4"] and not (ledger / "fold-3").exists()
+    # A part left by a killed batch is written again under its name.
+    U.fold_ledger(U.usage_rows(usage(spark, ("d", "x", 9)))).write.parquet(f"{ledger}/part-run-3")
+    assert "d" not in sums()
+    parts.add(usage(spark, ("d", "x", 4)), "run", 3)
+    assert sums() == {"a": 1, "b": 2, "c": 3, "d": 4}
+    with pytest.raises(RuntimeError, match="another writer"):
+        parts.commit(state)
+
+
 def test_log_row(spark):
     row = spark.range(1).select(E.log_row(
         at("2026-08-15 02:30:45"), F.lit("a|b"), F.array(*[F.lit(f"f{i}") for i in range(6)]), F.lit("ok"), F.lit(3)).alias("x"))
