@@ -8,10 +8,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmap.functions.binding import let
 from corpusmap.functions.paths import base_name
 from corpusmap.functions.text import split_lines, trim_space
 from corpusmap.operators.merge import fresh_bugs
 from corpusmap.operators.knowledge import number_bugs
+from corpusmap.operators.symbols import with_rules
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
@@ -116,6 +118,23 @@ def audit_listing(findings: DataFrame) -> DataFrame:
     )
 
 
+def audit_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings of rules given as a table (extension, rule, layer, severity, pattern), as `audit_lines` gives them.
+
+    The rules of an extension are one array, folded over the lines inside the row of each file of that extension. Rules
+    without extension or pattern are left out, files without text have no findings, equal rules count once.
+    """
+    table = rules.select("extension", "rule", "layer", "severity", "pattern")
+    ruled = with_rules(files.select("repo", "path", "text"), table, "rules").filter(F.col("rules").isNotNull())
+    hits = let(split_lines(F.col("text")), lambda lines: F.flatten(F.transform("rules", lambda r: F.filter(
+        F.transform(lines, lambda line, i: F.struct(
+            (i + 1).cast("int").alias("line_no"), r["rule"].alias("rule"), r["layer"].alias("layer"),
+            r["severity"].alias("severity"), F.when(F.regexp_instr(line, r["pattern"]) > 0, line).alias("line"))),
+        lambda h: h["line"].isNotNull()))))
+    found = ruled.select("repo", "path", F.explode_outer(hits).alias("h")).filter(F.col("h").isNotNull())
+    return found.select("repo", "path", "h.line_no", "h.rule", "h.layer", "h.severity", trim_space(F.col("h.line")).alias("line"))
+
+
 def audit_report(findings: DataFrame, repos: DataFrame, rules: Sequence[AuditRule] = AUDIT_RULES) -> DataFrame:
     """Per repository and check: number of findings, and passed when there are none."""
     checks = F.array(*[

@@ -16,7 +16,7 @@ from corpusmap.operators.filters import (
     BINARY, cap_files, classify_skipped, is_hidden, is_sensitive, is_valid_path,
 )
 from corpusmap.operators.ignore import apply_ignore, ignored_by
-from corpusmap.operators.symbols import _SPANS, has_symbols, with_symbols
+from corpusmap.operators.symbols import _SPANS, has_symbols, with_symbol_rules, with_symbols
 from corpusmap.options import ScanOptions
 
 
@@ -28,16 +28,25 @@ def choose_files(files: DataFrame, opts: ScanOptions = ScanOptions()) -> DataFra
     )
 
 
-def analyze_files(files: DataFrame, opts: ScanOptions = ScanOptions(), keep: Sequence[str] = ()) -> DataFrame:
+def analyze_files(
+    files: DataFrame, opts: ScanOptions = ScanOptions(), keep: Sequence[str] = (), symbol_rules: DataFrame | None = None,
+) -> DataFrame:
     """One index row per file, computed inside the row; `keep` names columns to carry along.
 
+    `symbol_rules` (extension, pass, pattern) say how names are declared in languages of the user's own, and replace
+    the built-in patterns of an extension.
+
     `files` has repo, path, size_bytes, mtime and text (null when it could not be read), and may come with a
     `skip_reason` set by the reader.
     """
     judged = classify_skipped(files, opts.max_file_bytes).withColumn("lang", detect_lang(F.col("path")))
     skipped, text, zero = F.col("skipped"), F.col("text"), F.lit(0).cast("bigint")
     if opts.symbols:
-        cut = F.when(~skipped & has_symbols(F.col("lang")), split_lines(text))
+        coded = has_symbols(F.col("lang"))
+        if symbol_rules is not None:
+            judged = with_symbol_rules(judged, symbol_rules)
+            coded |= F.col("symbol_rules").isNotNull()
+        cut = F.when(~skipped & coded, split_lines(text))
         judged = with_symbols(judged.withColumn("lines", cut), opts)
         spans = F.col("symbol_lines")
     else:
@@ -60,15 +69,17 @@ def analyze_files(files: DataFrame, opts: ScanOptions = ScanOptions(), keep: Seq
 
 def build_index(
     files: DataFrame, opts: ScanOptions = ScanOptions(), gitignore: DataFrame | None = None,
+    symbol_rules: DataFrame | None = None,
 ) -> DataFrame:
     """The index of every repository: choose, drop ignored, analyse; cap where `max_files` is given.
 
-    `gitignore` holds the compiled rules of single repositories. Texts meet them only as a list of ignored paths. A capped index has the column `left_out`.
+    `gitignore` holds the compiled rules of single repositories. Texts meet them only as a list of ignored paths.
+    `symbol_rules` are those of `analyze_files`. A capped index has the column `left_out`.
     """
     chosen = choose_files(files, opts)
     if gitignore is not None:
         chosen = apply_ignore(chosen, gitignore)
-    index = analyze_files(chosen, opts)
+    index = analyze_files(chosen, opts, symbol_rules=symbol_rules)
     return index if opts.max_files is None else cap_files(index, opts.max_files)
 
 

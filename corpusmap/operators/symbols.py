@@ -143,8 +143,11 @@ def _hits_sql(max_symbols: int | None) -> str:
         )
 
     found = ", ".join(hits(n) for n in range(passes))
-    every = f"transform(array({rows}), rows -> concat({found}))[0]"
-    # Each name where it is found first: equal names stand side by side once sorted, the first one in front.
+    return _once_sql(f"transform(array({rows}), rows -> concat({found}))[0]", max_symbols)
+
+
+def _once_sql(every: str, max_symbols: int | None) -> str:
+    """Each name where it is found first: equal names stand side by side once sorted, the first one in front."""
     firsts = (
         "sort_array(filter(transform(named, (r, j) -> IF(j > 0 AND get(named, j - 1).name = r.name, NULL, r.at)), "
         "a -> a IS NOT NULL))"
@@ -157,6 +160,13 @@ def _hits_sql(max_symbols: int | None) -> str:
     return f"CAST({_first_sql(once, max_symbols)} AS {_HITS})"
 
 
+def _rule_hits_sql(max_symbols: int | None) -> str:
+    """Names that the file's own rules, the array `symbol_rules`, find in `lines`, in the order of the rules."""
+    every = """flatten(transform(symbol_rules, r -> filter(transform(lines, (t, i) -> named_struct(
+      'name', regexp_extract(t, r.pattern, 1), 'line', i + 1, 'pass', r.pass)), h -> h.name <> '')))"""
+    return _once_sql(every, max_symbols)
+
+
 def _first_sql(array: str, n: int | None) -> str:
     return array if n is None else f"slice({array}, 1, {n})"
 
@@ -170,10 +180,10 @@ def _tokens_sql(chars: str) -> str:
     return f"greatest(1L, CAST(ceil(({chars}) / 4.0D) AS BIGINT))"
 
 
-def _spans_sql(max_symbols: int | None) -> str:
+def _spans_sql(hits: str) -> str:
     end = "greatest(h.line, coalesce(get(hits, i + 1).line - 1, size(lines) - 1))"
     return f"""transform(
-      array(array_sort(transform({_hits_sql(max_symbols)}, h -> named_struct('line', h.line, 'name', h.name)))),
+      array(array_sort(transform({hits}, h -> named_struct('line', h.line, 'name', h.name)))),
       hits -> transform(transform(hits, (h, i) -> named_struct('name', h.name, 'line', h.line, 'end_line', {end})),
         s -> named_struct('name', s.name, 'line', s.line, 'end_line', s.end_line, 'tokens',
           {_tokens_sql("length(array_join(slice(lines, s.line, s.end_line - s.line + 1), '\\n'))")})))[0]"""
@@ -184,7 +194,34 @@ def span_hits(max_symbols: int | None = None) -> Column:
 
     The spans do not overlap, so together they touch each line once.
     """
-    return F.expr(_spans_sql(max_symbols)).cast(_SPANS)
+    return F.expr(_spans_sql(_hits_sql(max_symbols))).cast(_SPANS)
+
+
+def by_extension(rules: DataFrame, out: str) -> DataFrame:
+    """Rules with an `extension` as one row per extension, the others of their columns as the sorted array `out`."""
+    columns = [c for c in rules.columns if c != "extension"]
+    return rules.filter(F.col("extension").isNotNull() & F.col("pattern").isNotNull()).groupBy("extension").agg(
+        F.array_sort(F.collect_set(F.struct(*columns))).alias(out))
+
+
+def with_rules(files: DataFrame, rules: DataFrame, out: str) -> DataFrame:
+    """Adds the rules of each file's extension as the array `out`, null where there are none.
+
+    Rules are few, one row per extension, so Spark sends them to the files.
+    """
+    own = by_extension(rules, out).withColumnRenamed("extension", "_extension")
+    extension = F.concat(F.lit("."), F.substring_index(files["path"], ".", -1))
+    return files.join(own, extension == own["_extension"], "left").drop("_extension")
+
+
+def with_symbol_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds `symbol_rules`, the rules (extension, pass, pattern) of each file's extension, in the order of passes."""
+    return with_rules(files, rules.select("extension", F.col("pass").cast("int").alias("pass"), "pattern"), "symbol_rules")
+
+
+def rule_spans(max_symbols: int | None = None) -> Column:
+    """Symbols by the file's own rules, with end line and tokens as `span_hits` gives them."""
+    return F.expr(_spans_sql(_rule_hits_sql(max_symbols))).cast(_SPANS)
 
 
 def _code_sql() -> str:
@@ -248,7 +285,8 @@ def with_symbols(files: DataFrame, opts: ScanOptions = ScanOptions()) -> DataFra
     """Adds `symbol_lines` by the chosen method to files with `text`, `lang` and `lines`.
 
     Spans serve the languages that have them, the patterns serve the others and files in which spans find
-    nothing. Files whose `lines` is null have no symbols.
+    nothing. Files whose `lines` is null have no symbols. Where a column `symbol_rules` holds rules for a file, they take
+    the place of the patterns of its language.
     """
     none = F.array().cast(_SPANS)
     if opts.symbol_backend == "regex":
@@ -256,9 +294,15 @@ def with_symbols(files: DataFrame, opts: ScanOptions = ScanOptions()) -> DataFra
     else:
         spans = F.when(F.col("lang").isin(*SPAN_PATTERNS), toplevel_hits(opts.max_symbols))
     known = F.col("lines").isNotNull()
+    ruled = "symbol_rules" in files.columns
+    if ruled:
+        spans = F.when(F.col("symbol_rules").isNull(), spans)
     # One column per step keeps Spark from computing the spans once for the test and once for the value.
     stepped = files.withColumn("_spans", F.when(known, spans))
-    chosen = F.when(F.size("_spans") > 0, F.col("_spans")).when(known, span_hits(opts.max_symbols)).otherwise(none)
+    chosen = F.when(F.size("_spans") > 0, F.col("_spans"))
+    if ruled:
+        chosen = chosen.when(known & F.col("symbol_rules").isNotNull(), rule_spans(opts.max_symbols))
+    chosen = chosen.when(known, span_hits(opts.max_symbols)).otherwise(none)
     return stepped.withColumn("symbol_lines", chosen).drop("_spans")
 
 
@@ -283,26 +327,19 @@ def extract_symbols(files: DataFrame, max_symbols: int | None = None) -> DataFra
     )
 
 
-def extract_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+def extract_by_rules(files: DataFrame, rules: DataFrame, max_symbols: int | None = None) -> DataFrame:
     """Names found by rules given as a table: (repo, path, name, line, pass, pos), as `extract_symbols` gives them.
 
     `rules` has (extension, pass, pattern); an extension starts with a dot, a pattern's first group is the name, and
-    passes are tried in order. Rules are few, so Spark sends them to the files; each rule works inside the row of its
-    file, and a name counts where it is found first.
+    passes are tried in order. The rules of an extension are one array, folded over the lines inside the row of each
+    file; a name counts where it is found first. Rules without extension or pattern are left out, files without text
+    have no names.
     """
-    extension = F.concat(F.lit("."), F.substring_index("path", ".", -1))
-    hit = """filter(transform(split(text, '\\\\n'), (t, i) -> named_struct(
-      'name', regexp_extract(t, pattern, 1), 'line', i + 1)), h -> h.name <> '')"""
-    found = (
-        files.withColumn("extension", extension).join(rules.select("extension", "pass", "pattern"), "extension")
-        .select("repo", "path", "pass", F.explode_outer(F.expr(hit)).alias("h")).filter(F.col("h").isNotNull())
-    )
-    first = found.groupBy("repo", "path", F.col("h.name").alias("name")).agg(
-        F.min(F.struct("pass", "h.line")).alias("first"))
-    listed = first.groupBy("repo", "path").agg(
-        F.array_sort(F.collect_list(F.struct("first.pass", "first.line", "name"))).alias("hits"))
-    return listed.select("repo", "path", F.posexplode("hits").alias("at", "h")).select(
-        "repo", "path", "h.name", "h.line", "h.pass", (F.col("at") + 1).alias("pos"))
+    ruled = with_symbol_rules(files.select("repo", "path", "text"), rules).filter(F.col("symbol_rules").isNotNull())
+    found = ruled.withColumn("lines", split_lines(F.col("text"))).select(
+        "repo", "path", F.posexplode_outer(F.expr(_rule_hits_sql(max_symbols))).alias("pos", "hit"))
+    return found.filter(F.col("hit").isNotNull()).select(
+        "repo", "path", "hit.name", "hit.line", "hit.pass", (F.col("pos") + 1).alias("pos"))
 
 
 def explode_symbols(files: DataFrame) -> DataFrame:

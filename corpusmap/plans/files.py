@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmap import ScanOptions
+from corpusmap.operators import audit as Q
 from corpusmap.operators import index as A
 from corpusmap.operators import render as R
 from corpusmap.operators import symbols as Y
@@ -173,6 +174,33 @@ def u2(spark, sf):
     return found.select("repo", "path", "name", *[F.col(c).cast("bigint").alias(c) for c in ("line", "pass", "pos")])
 
 
+@query("u2_symbol_index", with_(CODE, LINES_SQL) + f""", hits AS ({_user_rules_sql()}), firsts AS (
+  SELECT repo, path, name, min(pass * 1000000 + line_no) % 1000000 AS line FROM hits WHERE name <> '' GROUP BY repo, path, name)
+SELECT h.repo, h.path, name, line, greatest(line, coalesce(lead(line) OVER (PARTITION BY h.repo, h.path ORDER BY line) - 1,
+         CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT))) AS end_line
+FROM firsts h JOIN files_code f ON h.repo = f.repo AND h.path = f.path""")
+def u2_index(spark, sf):
+    """The symbols that an index holds when the user's rules stand for the built-in ones."""
+    rules = spark.createDataFrame(_USER_RULES, "extension string, pass int, pattern string")
+    index = A.build_index(X.files_code(spark, sf), symbol_rules=rules)
+    return Y.explode_symbols(index).select(
+        "repo", "path", "name", *[F.col(c).cast("bigint").alias(c) for c in ("line", "end_line")])
+
+
+_USER_CHECKS = (
+    (".py", "empty body", "style", "LOW", r"^\s+pass$"), (".py", "wide import", "dependencies", "MEDIUM", r"^import\s+os$"),
+    (".ts", "bare number", "style", "LOW", r"return\s+[0-9]+"), (".go", "short name", "style", "LOW", r"^func\s+F[0-9]\("),
+)
+
+
+@query("u2_audit_rules", with_(CODE, LINES_SQL) + " UNION ALL ".join(
+    f"""SELECT repo, path, line_no, '{rule}' AS rule, '{layer}' AS layer, '{severity}' AS severity, trim(line) AS line
+FROM code_lines WHERE path LIKE '%{ext}' AND regexp_matches(line, '{p}')""" for ext, rule, layer, severity, p in _USER_CHECKS))
+def u2_audit(spark, sf):
+    rules = spark.createDataFrame(_USER_CHECKS, "extension string, rule string, layer string, severity string, pattern string")
+    return Q.audit_by_rules(X.files_code(spark, sf), rules).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
 # --- index ----------------------------------------------------------------------------------------------
 
 # The index of all code-shaped files.

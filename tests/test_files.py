@@ -10,6 +10,7 @@ from corpusmap import ScanOptions
 from corpusmap.functions import describe as D
 from corpusmap.functions import paths as P
 from corpusmap.functions import text as T
+from corpusmap.operators import audit as Q
 from corpusmap.operators import drift as J
 from corpusmap.operators import filters as L
 from corpusmap.operators import ignore as I
@@ -168,6 +169,40 @@ def test_odd_keys_of_ignored_files(spark):
     assert sorted(r.level for r in I.apply_ignore(odd, rules).collect()) == [3, 4, 5, 5, 7]
 
 
+SYMBOL_RULES = "extension string, pass int, pattern string"
+
+
+def test_rules_of_a_user_in_the_index(spark):
+    """A language of the user's own has symbols; its rules replace built-in ones; other files stay as they are."""
+    rules = spark.createDataFrame(
+        [(".knot", 1, r"^tie\s+(\w+)"), (".knot", 2, r"^(?:tie|bend)\s+(\w+)"), (".py", 1, r"^([A-Z]+)\s*="), (None, 1, "(x)"), (".ts", 1, None)],
+        SYMBOL_RULES)
+    made = files(spark, ("a.knot", "bend sheet\ntie reef\n  over\ntie reef\n"), ("b.py", "DEPTH = 3\ndef dive():\n    pass\n"),
+                 ("c.ts", "export function sail() {\n}\n"), ("d.knot", ""), ("e.knot", None), ("f.txt", "tie x\n"))
+    found = {(r.path, r.name, r.line, r["pass"], r.pos) for r in Y.extract_by_rules(made, rules).collect()}
+    assert found == {("a.knot", "reef", 2, 1, 1), ("a.knot", "sheet", 1, 2, 2), ("b.py", "DEPTH", 1, 1, 1)}
+    index = A.build_index(made, symbol_rules=rules)
+    got = {r.path: [(s.name, s.line, s.end_line) for s in r.symbol_lines] for r in index.collect()}
+    assert got == {"a.knot": [("sheet", 1, 1), ("reef", 2, 4)], "b.py": [("DEPTH", 1, 3)], "c.ts": [("sail", 1, 2)],
+                   "d.knot": [], "e.knot": [], "f.txt": []}
+    assert A.build_index(made, symbol_rules=rules.filter("false")).select("symbol_lines").exceptAll(
+        A.build_index(made).select("symbol_lines")).count() == 0
+    # The rules are the only thing that is shuffled.
+    plan = Y.extract_by_rules(made, rules)._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_audit_rules_as_a_table(spark):
+    rules = spark.createDataFrame(
+        [(".sh", "remove all", "files", "HIGH", r"rm\s+-rf"), (".sh", "remove all", "files", "HIGH", r"rm\s+-rf"),
+         (".sh", "curl", "net", "LOW", "curl"), (None, "none", "x", "LOW", "."), (".py", "none", "x", "LOW", None)],
+        "extension string, rule string, layer string, severity string, pattern string")
+    made = files(spark, ("a.sh", "  rm  -rf x; curl y\nls\n"), ("b.py", "rm -rf\n"), ("c.sh", None), ("d.sh", ""))
+    found = {(r.path, r.line_no, r.rule, r.severity, r.line) for r in Q.audit_by_rules(made, rules).collect()}
+    assert found == {("a.sh", 1, "remove all", "HIGH", "rm  -rf x; curl y"), ("a.sh", 1, "curl", "LOW", "rm  -rf x; curl y")}
+    assert Q.audit_by_rules(made, rules).count() == 2 and Q.audit_by_rules(made, rules.filter("false")).count() == 0
+
+
 def test_sensitive_hidden_valid(spark):
     secret = [".env", ".env.local", "keys/id_rsa", "prod/credentials.json", "a/.npmrc", "b/.pem", "c/.key", "x.PEM"]
     safe = [".env.example", "keys/README.md", "src/app.ts", "ID_RSA"]
