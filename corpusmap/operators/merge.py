@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusmap.functions.text import bug_key, normalize_entry, trim_space
 from corpusmap.operators.knowledge import number_bugs
-from corpusmap.operators.ranking import spread_join
 
 # The line that marks a handoff nobody has written yet, and keys of imported records with a
 # column of their own.
@@ -15,10 +14,9 @@ TEMPLATE_LINE = "_Describe the next phase here; the session digest picks up this
 OWN_KEYS = ("error_message", "fix", "file", "timestamp", "last_seen")
 
 
-def _not_known(source: DataFrame, target: DataFrame, on: list[str], salt_by: list[str]) -> DataFrame:
-    """Source rows whose key the target does not hold; a key with very many source rows is spread."""
-    known = target.select(*on).distinct()
-    return spread_join(source, known, on, "left_anti", salt_by)
+def _not_known(source: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
+    """Source rows whose key the target does not hold; Spark splits a key with very many source rows."""
+    return source.join(target.select(*on).distinct(), on, "left_anti")
 
 
 def merge_learned(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -29,7 +27,7 @@ def merge_learned(target: DataFrame, source: DataFrame) -> DataFrame:
     on = ["repo", "heading", "entry_key"]
     lines = source.filter(trim_space(F.col("line")) != "").withColumn("entry_key", normalize_entry(F.col("line")))
     known = target.withColumn("entry_key", normalize_entry(F.col("line")))
-    return _not_known(lines, known, on, ["line_no"]).select("repo", "heading", "line_no", "line")
+    return _not_known(lines, known, on).select("repo", "heading", "line_no", "line")
 
 
 def merge_log(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -37,7 +35,7 @@ def merge_log(target: DataFrame, source: DataFrame) -> DataFrame:
     on = ["repo", "row_key"]
     rows = source.withColumn("row_key", trim_space(F.col("row")))
     known = target.withColumn("row_key", trim_space(F.col("row")))
-    return _not_known(rows, known, on, ["row_no"]).select("repo", "row_no", "row")
+    return _not_known(rows, known, on).select("repo", "row_no", "row")
 
 
 def merged_learned(target: DataFrame, source: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ranking, numbering and joining of groups that may hold a large share of all rows.
+"""Ranking and numbering of groups that may hold a large share of all rows.
 
 Each helper works in two steps: first inside (group, slice), where the slices spread a hot group over
 many tasks, then over the few rows or counts the first step leaves per group.
@@ -121,36 +121,3 @@ def running_count(
 def last_by(value: Column | str, *order: Column | str) -> Column:
     """Aggregate: the value of the row that is last in the order."""
     return F.max_by(value, F.struct(*order))
-
-
-def hot_keys(df: DataFrame, key: Column, most: int = 64, tracked: int = 4096) -> DataFrame:
-    """The most frequent keys, at most `most` rows; a sketch of fixed size per task."""
-    found = df.select(key.alias("_key")).agg(
-        F.call_function("approx_top_k", F.col("_key"), F.lit(most), F.lit(tracked)).alias("_top")
-    )
-    return found.select(F.explode("_top").alias("_top")).select(F.col("_top.item").alias("_key"))
-
-
-def spread_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, salt_by: Sequence[str], spread: int = SPREAD
-) -> DataFrame:
-    """Join a table that may be hot on some keys with one that has a single row per key.
-
-    The hottest keys of `left`, at most 64, are spread over `spread` tasks, and their single right rows are
-    copied to each of them. Which keys count as hot changes the speed only, never the result.
-    """
-    key = F.xxhash64(*on)
-    hot = F.broadcast(hot_keys(left, key))  # at most 64 rows
-    one = F.lit(1)
-
-    def mark(df: DataFrame) -> DataFrame:
-        flags = hot.withColumn("_hot", F.lit(True))
-        return df.withColumn("_key", key).join(flags, "_key", "left").drop("_key")
-
-    salted = mark(left).withColumn(
-        "_salt", F.when(F.col("_hot"), _salt(salt_by, spread) + one).otherwise(one).cast("int")
-    ).drop("_hot")
-    copies = mark(right).withColumn(
-        "_salt", F.explode(F.sequence(one, F.when(F.col("_hot"), F.lit(spread)).otherwise(one)))
-    ).drop("_hot")
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

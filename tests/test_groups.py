@@ -74,20 +74,6 @@ def test_one_time_spreads_evenly(spark):
         "a > lag(b) OVER (ORDER BY k) OR k = 0 AS rises").where("NOT rises").count() == 0
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join(spark, rows, how):
-    right = spark.createDataFrame([(g, f"v{g}") for g in range(0, 60, 2)], "g int, v string")
-    columns = ["g", "t", "i"] + (["v"] if how in ("inner", "left") else [])
-    mine = K.spread_join(rows, right, ["g"], how, ["i"])
-    assert as_set(mine.fillna("-"), *columns) == as_set(rows.join(right, "g", how).fillna("-"), *columns)
-
-
-def test_hot_keys_are_found_and_few(rows):
-    hot = K.hot_keys(rows, F.xxhash64("g"), most=4).collect()
-    zero = rows.filter("g = 0").select(F.xxhash64("g").alias("h")).first()["h"]
-    assert len(hot) == 4 and zero in {r["_key"] for r in hot}
-
-
 def test_spread_splits_the_hot_group(rows):
     salted = rows.filter("g = 0").withColumn("s", F.pmod(F.xxhash64("i"), F.lit(K.SPREAD)))
     largest = salted.groupBy("s").count().agg(F.max("count")).first()[0]
