@@ -401,7 +401,7 @@ def test_nothing_is_cut_by_default(spark):
 
 def test_repo_per_folder(spark, tree):
     listed = SF.list_files(spark, tree)
-    assert {r.path for r in listed.filter("repo = 'src'").collect()} == {"index.ts", "server.go"}
+    assert {r.path for r in listed.filter("repo = 'src'").collect()} == {"index.ts", "wave.go"}
 
 
 def test_dir_rollup(spark):
