@@ -10,6 +10,7 @@ from corpusmap.operators import ignore as I
 from corpusmap.operators.index import analyze_files, dir_rollup
 from corpusmap.plans import inputs as X
 from corpusmap.plans.registry import query, with_
+from corpusmap.sources import store
 
 ALL = ScanOptions(ignore=(), hidden=True, symbols=False)
 
@@ -60,6 +61,29 @@ def j3(spark, sf):
     return fresh.select("repo", "path", "reused", "sha256", "n_chars", "lines", "tokens")
 
 
+def stored(spark, **tables):
+    """The tables, stored in buckets by (repo, path) and read back."""
+    root = X.work_dir(spark)
+    for name, df in tables.items():
+        store.write_bucketed(df, f"{root}/{name}")
+    return [store.read_bucketed(spark, f"{root}/{name}") for name in tables]
+
+
+@query("s3_stored_drift", with_(DRIFT_SQL) + "SELECT * FROM drifted")
+def s3_drift(spark, sf):
+    """Drift between two stored tables; their buckets meet where they lie."""
+    return J.drift(*stored(spark, manifest=X.manifest_docs(spark, sf), listing=X.listing_docs(spark, sf)))
+
+
+@query("s3_stored_refresh", with_(_STATES_SQL) + f"SELECT repo, path, reused, {_MEASURES_SQL} FROM state")
+def s3_refresh(spark, sf):
+    """A refresh between stored tables: neither index rows nor texts are shuffled."""
+    index, listing, files = stored(
+        spark, index=old_index(spark, sf), listing=X.listing_docs(spark, sf), files=X.changed_docs(spark, sf))
+    return J.refresh_index(index, listing, files, ALL).select(
+        "repo", "path", "reused", "sha256", "n_chars", "lines", "tokens")
+
+
 # The rules of each repository stand in a `.gitignore` at its root; they differ by the number in its name.
 _RULES = "concat('# rules', chr(10), '*.log', chr(10), 'd', substr(repo, 4), '/', chr(10), '!d', substr(repo, 4), '/m1/', chr(10))"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,48 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return stored.filter(F.col("version") == INDEX_VERSION).drop("version")
 
 
+def _bucketed_name(path: str, keys: list[str], buckets: int, columns: str) -> str:
+    """The catalog's name of a stored table; another place, layout or schema is another table."""
+    return "corpusmap_" + hashlib.sha256(repr((path, keys, buckets, columns)).encode()).hexdigest()[:32]
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int | None = None, keys: tuple[str, ...] = ("repo", "path")) -> None:
+    """Store a table in buckets by a hash of its keys, one sorted file each; without a number as many as shuffles have.
+
+    Tables with the same keys and number of buckets meet on these keys without a shuffle: drift and refresh of stored
+    tables move no rows. The hash covers all keys, so a large repository spreads over all buckets and a million small
+    ones make no folders. A bucket is the share of one task: choose the number for the largest of the tables that meet.
+    A table cannot be written over while it is read: give each version a folder of its own. The layout is written last.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    name = _bucketed_name(path, list(keys), buckets, columns)
+    (
+        df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+        .bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{path}/rows").saveAsTable(name)
+    )
+    layout = spark.range(1).select(
+        F.lit(buckets).alias("buckets"), F.array(*[F.lit(k) for k in keys]).alias("keys"), F.lit(columns).alias("columns"))
+    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table stored by `write_bucketed`, also by another session: its buckets are known to joins and groupings."""
+    layout = spark.read.schema("buckets int, keys array<string>, columns string").parquet(f"{path}/layout").first()
+    columns = layout["columns"]
+    name = _bucketed_name(path, layout["keys"], layout["buckets"], columns)
+    if not spark.catalog.tableExists(name):
+        keys = ", ".join(f"`{k}`" for k in layout["keys"])
+        place = f"{path}/rows".replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) "
+            f"INTO {layout['buckets']} BUCKETS LOCATION '{place}'"
+        )
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def _row_key(columns: list[str]) -> Column:
     """A hash of the named values of a row, nulls included."""
     row = F.struct(*[F.col(f"`{c}`") for c in sorted(columns)])

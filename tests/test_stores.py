@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmap.operators import access as E
 from corpusmap.operators import digest as G
+from corpusmap.operators import drift as J
 from corpusmap.operators import fleet as R
 from corpusmap.operators import knowledge as K
 from corpusmap.operators import ledger as L
@@ -373,3 +374,63 @@ def test_register(spark):
         [("org/a", "register", DAY), ("org/a", "register", DAY + dt.timedelta(1)), ("org/b", "register", DAY),
          ("org/b", "unregister", DAY + dt.timedelta(1))], "repo string, action string, at timestamp_ntz")
     assert [(r.name, r.registered_at) for r in R.register_repos(none, changes).collect()] == [("a", DAY + dt.timedelta(1))]
+
+
+def bucketed_table(spark, rows, path, buckets=8):
+    Store.write_bucketed(spark.createDataFrame(rows, "repo string, path string, size_bytes bigint, mtime timestamp_ntz"), path, buckets)
+    return Store.read_bucketed(spark, path)
+
+
+def shuffles(df):
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return text.count("Exchange hashpartitioning"), text.count("Exchange ")
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path):
+    rows = [("hot", f"f{i}", i, DAY) for i in range(3000)] + [(f"r{i}", "a", 1, DAY) for i in range(1000)]
+    old = bucketed_table(spark, rows, str(tmp_path / "old"))
+    new = bucketed_table(spark, [*rows[1:-1], ("hot", "f1", 7, DAY), ("new", None, 2, DAY)], str(tmp_path / "new"))
+    files = [f for f in (tmp_path / "old" / "rows").iterdir() if f.name.endswith(".parquet")]
+    assert len(files) == 8  # one file a bucket, no folder a repository
+    parts = [r["n"] for r in old.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(parts) == 4000 and max(parts) < 2 * 4000 / 8
+    drifted = J.drift(old, new)
+    assert shuffles(drifted) == (0, 0)
+    assert sorted((r.repo, r.path or "", r.status) for r in drifted.collect()) == [
+        ("hot", "f0", "missing"), ("hot", "f1", "changed"), ("new", "", "added"), ("r999", "a", "missing")]
+
+
+def test_refresh_of_stored_tables_moves_no_rows(spark, tmp_path):
+    from corpusmap import ScanOptions
+    from corpusmap.plans import changes, inputs
+
+    opts, sf = ScanOptions(ignore=(), hidden=True, symbols=False), "/root/testdata/sf0.001"
+    tables = dict(index=changes.old_index(spark, sf), listing=inputs.listing_docs(spark, sf), files=inputs.changed_docs(spark, sf))
+    for name, df in tables.items():
+        Store.write_bucketed(df, str(tmp_path / name), 8)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large to send
+    try:
+        got = J.refresh_index(*[Store.read_bucketed(spark, str(tmp_path / name)) for name in tables], opts)
+        assert shuffles(got) == (0, 0)
+        plain = J.refresh_index(*tables.values(), opts)
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_bucketed_table_of_another_session(spark, tmp_path):
+    """A session whose catalog does not know the table finds its layout in the folder; an empty table is one too."""
+    path = str(tmp_path / "it's")
+    written = bucketed_table(spark, [("r", "a", 1, DAY)], path, 3)
+    for table in spark.catalog.listTables():
+        if table.name.startswith("corpusmap_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    again = Store.read_bucketed(spark, path)
+    assert again.collect() == [("r", "a", 1, DAY)] and again.schema == written.schema
+    Store.write_bucketed(again.limit(0), str(tmp_path / "none"), 3)
+    assert Store.read_bucketed(spark, str(tmp_path / "none")).count() == 0
+    # Written again with other buckets, the folder holds the new rows only.
+    assert bucketed_table(spark, [("q", "b", 2, DAY)], path, 5).collect() == [("q", "b", 2, DAY)]
+    assert shuffles(Store.read_bucketed(spark, path).groupBy("repo", "path").count()) == (0, 0)
