@@ -433,12 +433,8 @@ SELECT repo, path, CASE doc_id % 50 WHEN 2 THEN '[binary]' WHEN 3 THEN '[unreada
        CASE WHEN doc_id % 50 NOT IN (2, 3) THEN CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) END AS lines,
        CASE WHEN doc_id % 50 NOT IN (2, 3) THEN sha256(text) END AS sha256 FROM t""")
 def s2(spark, sf):
-    root = X.work_dir(spark)
     docs = X.files_docs(spark, sf)
-    raw = docs.filter("doc_id % 50 <> 3").select("repo", "path", F.expr(_FILE_BYTES).cast("string").alias("value"))
-    raw.write.partitionBy("repo", "path").option("lineSep", "\x01").text(root)
-    part = F.split("below", "/")
-    key = tuple(F.url_decode(F.regexp_replace(part[i], "^[a-z]+=", "")) for i in (0, 1))
+    root, key = _written(spark, docs.filter("doc_id % 50 <> 3"))
     files = SF.read_text_files(spark, root, docs.select("repo", "path", "size_bytes", "mtime"), key=key)
     text = F.regexp_replace("text", "\x01$", "")  # Spark's text files end their lines
     return files.select(
@@ -446,6 +442,33 @@ def s2(spark, sf):
         F.length(F.regexp_replace(text, "[^\n]", "")).cast("bigint").alias("lines"), F.sha2(text, 256).alias("sha256"))
 
 
+def _written(spark, docs):
+    """The files in a new folder, and how repository and path follow from their places."""
+    root = X.work_dir(spark)
+    raw = docs.select("repo", "path", F.expr(_FILE_BYTES).cast("string").alias("value"))
+    raw.write.partitionBy("repo", "path").option("lineSep", "\x01").text(root)
+    part = F.split("below", "/")
+    return root, tuple(F.url_decode(F.regexp_replace(part[i], "^[a-z]+=", "")) for i in (0, 1))
+
+
+@query("s2_index_tree", with_(DOCS) + f"""
+SELECT repo, path, CASE doc_id % 50 WHEN 2 THEN '[binary]' WHEN 3 THEN '[unreadable]' END AS skip_reason,
+       size_bytes, {X.sql_ts('mtime')} AS mtime,
+       CASE WHEN doc_id % 50 IN (2, 3) THEN 0 ELSE CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) END AS lines,
+       CASE WHEN doc_id % 50 NOT IN (2, 3) THEN CAST(length(text) + 1 AS BIGINT) END AS n_chars,
+       CASE WHEN doc_id % 50 NOT IN (1, 2, 3) THEN sha256(concat(text, chr(1))) END AS sha256
+FROM files_docs""")
+def s2_index(spark, sf):
+    """The index of a written tree by its inventory; the files hold Spark's line end (\\x01) behind each text."""
+    docs = X.files_docs(spark, sf)
+    root, key = _written(spark, docs.filter("doc_id % 50 <> 3"))
+    inventory = docs.select("repo", "path", "size_bytes", "mtime", (F.col("doc_id") % 50 == 1).alias("latin"))
+    index = SF.index_tree(spark, root, inventory, ALL, key=key)
+    return index.join(inventory.select("repo", "path", "latin"), ["repo", "path"]).select(
+        "repo", "path", "skip_reason", "size_bytes", X.show_ts("mtime").alias("mtime"), "lines",
+        F.when(~F.col("skipped"), F.col("n_chars")).alias("n_chars"), F.when(~F.col("latin"), F.col("sha256")).alias("sha256"))
+
+
 @query("s3_write_read_index", with_(CODE, INDEX_CODE_SQL) + f"SELECT {_INDEX_OUT} FROM full_index")
 def s3(spark, sf):
     path = X.work_dir(spark)

@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.operators.filters import BINARY, TOO_LARGE, UNREADABLE
+from corpusmap.operators.filters import BINARY, TOO_LARGE, UNREADABLE, cap_files
+from corpusmap.operators.ignore import apply_ignore
+from corpusmap.operators.index import analyze_files, choose_files
 from corpusmap.options import ScanOptions
 
+KEY = ["repo", "path"]
+
 
 def _tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below the root; `content` is read only where it is used."""
@@ -53,12 +57,16 @@ def read_text_files(
     Without an inventory all files below the root are taken. A NUL byte marks a binary file; files above
     `opts.max_file_bytes`, where it is given, are listed but not decoded; a file that is in the inventory only is
     unreadable. `key` gives repository and path from the column `below`, the path below the root.
+
+    What is unreadable follows from the names alone. Contents stay where they are read as long as the inventory is
+    small enough to be sent to them; a longer one costs one shuffle of the contents, which `index_tree` does without.
     """
     name, path = key or _key(F.col("below"), repo)
     found = _tree(spark, root).select(name.alias("repo"), path.alias("path"), "size_bytes", "mtime", "content")
     if inventory is not None:
         listed = inventory.select("repo", "path", "size_bytes", "mtime")
-        found = listed.join(found.select("repo", "path", "content"), ["repo", "path"], "left")
+        gone = listed.join(found.select("repo", "path"), KEY, "left_anti").withColumn("content", F.lit(None).cast("binary"))
+        found = found.select("repo", "path", "content").join(listed, KEY, "inner").unionByName(gone)
     large = F.lit(False) if opts.max_file_bytes is None else F.col("size_bytes") > opts.max_file_bytes
     reason = (
         F.when(large, F.lit(TOO_LARGE)).when(F.col("content").isNull(), F.lit(UNREADABLE))
@@ -68,3 +76,26 @@ def read_text_files(
         "repo", "path", "size_bytes", "mtime",
         F.when(F.col("skip_reason").isNull(), decoded(F.col("content"))).alias("text"), "skip_reason",
     )
+
+
+def index_tree(
+    spark: SparkSession, root: str, inventory: DataFrame, opts: ScanOptions = ScanOptions(), repo: str | None = None,
+    key: tuple[Column, Column] | None = None, gitignore: DataFrame | None = None, symbol_rules: DataFrame | None = None,
+) -> DataFrame:
+    """The index of the files of an inventory, as `build_index` gives it, without moving a file's text.
+
+    Files are analysed in the task that reads them, and only index rows meet the inventory, whatever its size. Sizes
+    and times are those of the inventory; what it names and the source does not deliver is unreadable, told from the
+    names alone. Files that the inventory does not name are read for nothing, so the root should hold few of them.
+    """
+    listed = choose_files(inventory.select("repo", "path", "size_bytes", "mtime"), opts)
+    if gitignore is not None:
+        listed = apply_ignore(listed, gitignore)
+    there = choose_files(read_text_files(spark, root, None, opts, repo, key), opts)
+    read = analyze_files(there, opts, symbol_rules=symbol_rules)
+    columns = read.columns
+    gone = listed.join(there.select(*KEY), KEY, "left_anti").select(
+        "*", F.lit(None).cast("string").alias("text"), F.lit(UNREADABLE).alias("skip_reason"))
+    index = read.drop("size_bytes", "mtime").join(listed, KEY, "inner").select(*columns).unionByName(
+        analyze_files(gone, opts, symbol_rules=symbol_rules))
+    return index if opts.max_files is None else cap_files(index, opts.max_files)

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -370,6 +371,44 @@ def test_inventory_tells_what_cannot_be_read(spark, tree):
                    "src/__init__.py": (None, "[unreadable]")}
 
 
+def moved_columns(df):
+    """The columns that a shuffle or a broadcast of the plan carries."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = df._jdf.queryExecution().explainString(mode)
+    inputs = re.findall(r"(?:Exchange|BroadcastExchange)\s*\nInput \[\d+\]: \[(.*)\]", text)
+    return len(inputs), {c.split("#")[0].strip() for i in inputs for c in i.split(",")}
+
+
+def test_index_of_an_inventory_moves_no_text(spark, tree):
+    inventory = SF.list_files(spark, tree, "r").filter("path <> 'README.md'").unionByName(
+        spark.createDataFrame([("r", "gone.ts", 5)], "repo string, path string, size_bytes bigint").withColumn("mtime", now()))
+    plain = A.build_index(SF.read_text_files(spark, tree, inventory, repo="r"))
+    index = SF.index_tree(spark, tree, inventory, repo="r")
+    assert index.columns == plain.columns
+    got = sorted(map(str, index.collect()))
+    assert got == sorted(map(str, plain.collect())) and any("gone.ts" in r for r in got) and not any("README" in r for r in got)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for an inventory too long to send
+    try:
+        n, columns = moved_columns(SF.index_tree(spark, tree, inventory, repo="r"))
+        assert n >= 4 and "path" in columns and not columns & {"content", "text"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert SF.index_tree(spark, tree, inventory.limit(0), repo="r").count() == 0
+
+
+def test_small_inventory_is_sent_to_the_files(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    for i in range(5):
+        (tmp_path / "tree" / f"f{i}.txt").write_text(f"{i}\n" * 100_000)
+    root = str(tmp_path / "tree")
+    SF.list_files(spark, root, "r").filter("path <> 'f3.txt'").write.parquet(str(tmp_path / "inventory"))
+    files = SF.read_text_files(spark, root, spark.read.parquet(str(tmp_path / "inventory")), repo="r")
+    n, columns = moved_columns(files)
+    assert n >= 1 and not columns & {"content", "text"}
+    assert {r.path: len(r.text) for r in files.collect()} == {f"f{i}.txt": 200_000 for i in (0, 1, 2, 4)}
+
+
 def test_nothing_drifts_between_two_listings(spark, tree):
     index = A.build_index(SF.read_text_files(spark, tree, repo="r"))
     # Nothing drifted between two listings, although a file holds more bytes than characters.
