@@ -445,10 +445,7 @@ def s2(spark, sf):
 def _written(spark, docs):
     """The files in a new folder, and how repository and path follow from their places."""
     root = X.work_dir(spark)
-    raw = docs.select("repo", "path", F.expr(_FILE_BYTES).cast("string").alias("value"))
-    raw.write.partitionBy("repo", "path").option("lineSep", "\x01").text(root)
-    part = F.split("below", "/")
-    return root, tuple(F.url_decode(F.regexp_replace(part[i], "^[a-z]+=", "")) for i in (0, 1))
+    return root, SF.write_files(docs.select("repo", "path", F.expr(_FILE_BYTES).alias("content")), root, "\x01")
 
 
 @query("s2_index_tree", with_(DOCS) + f"""

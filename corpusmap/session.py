@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more shuffle later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Folders are listed in shares: a task for each folder of a large tree costs more than its listing.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
     # Merge sessions inside each input partition before the shuffle of session windows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass":

@@ -7,6 +7,9 @@ deliver is reported as unreadable. Spark leaves out names that begin with `_` or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,58 @@ def list_files(spark: SparkSession, root: str, repo: str | None = None) -> DataF
     return _tree(spark, root).select(name.alias("repo"), path.alias("path"), "size_bytes", "mtime")
 
 
+def write_files(files: DataFrame, root: str, end: str) -> tuple[Column, Column]:
+    """Write `content` of every row (repo, path, content) to a file below a new root; gives the `key` to read them by.
+
+    Each content is followed by `end`, as Spark's writer of texts has it; null is empty, contents of the same (repo,
+    path) stand in one file. On a mounted file system tasks write the files themselves, under their final names in one
+    folder per repository: no folder is made, committed and listed for each file. Elsewhere Spark's writer does that.
+    """
+    spark = files.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = system.makeQualified(target).toUri()
+    raw = files.select("repo", "path", "content")
+    part = F.split("below", "/")
+    key = tuple(F.url_decode(F.regexp_replace(part[i], "^[a-z]+=", "")) for i in (0, 1))
+    if uri.getScheme() != "file":
+        text = raw.select("repo", "path", F.col("content").cast("string").alias("value"))
+        # Tasks commit their own files; the folder is new, so nothing reads a part of it.
+        text.write.partitionBy("repo", "path").option("lineSep", end).option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
+        return key
+    system.mkdirs(target)
+    base, tail = uri.getPath(), end.encode()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        import uuid
+        from urllib.parse import quote
+
+        name = lambda kind, v: f"{kind}={quote(v, safe='') if v else '__HIVE_DEFAULT_PARTITION__'}"
+        temporary, now, out, n = f".{uuid.uuid4().hex}", None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(f"{base}/{temporary}", f"{base}/{now[0]}/{now[1]}")
+
+        for batch in batches:
+            for repo, path, content in zip(*(column.to_pylist() for column in batch.columns)):
+                place = name("repo", repo), name("path", path)
+                if place != now:
+                    close()
+                    os.makedirs(f"{base}/{place[0]}", exist_ok=True)
+                    now, out, n = place, open(f"{base}/{temporary}", "wb"), n + 1
+                out.write((content or b"") + tail)
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    # All rows of a file meet in one task, side by side.
+    raw.repartition("repo", "path").sortWithinPartitions("repo", "path").mapInArrow(write, "n bigint").agg(F.sum("n")).first()
+    return key
+
+
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 text; bytes that are none become replacement characters."""
     return F.make_valid_utf8(content.cast("string"))

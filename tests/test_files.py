@@ -397,6 +397,23 @@ def test_index_of_an_inventory_moves_no_text(spark, tree):
     assert SF.index_tree(spark, tree, inventory.limit(0), repo="r").count() == 0
 
 
+def test_written_files_make_no_folder_each(spark, tmp_path):
+    """One folder per repository; a name that comes twice is one file, nulls have Spark's name, contents stay as they are."""
+    rows = [("r/1", f"a b/f{i}.txt", f"täxt {i}".encode()) for i in range(40)]
+    rows += [("r/1", "twice", b"x"), ("r/1", "twice", b"x"), ("q", "latin", b"caf\xe9"), ("q", "none", None), (None, "p", b"p")]
+    root = str(tmp_path / "out")
+    key = SF.write_files(spark.createDataFrame(rows, "repo string, path string, content binary"), root, "\x01")
+    folders = sorted(os.path.relpath(at, root) for at, _, _ in os.walk(root))
+    assert folders == [".", "repo=__HIVE_DEFAULT_PARTITION__", "repo=q", "repo=r%2F1"]
+    found = {(r.repo, r.path): (r.text, r.size_bytes) for r in SF.read_text_files(spark, root, key=key).collect()}
+    assert len(found) == 44 and found["r/1", "a b/f7.txt"] == ("täxt 7\x01", 8) and found["r/1", "twice"] == ("x\x01x\x01", 4)
+    assert found["q", "latin"] == ("caf\ufffd\x01", 5) and found["q", "none"] == ("\x01", 1)
+    assert ("__HIVE_DEFAULT_PARTITION__", "p") in found
+    empty = str(tmp_path / "empty")
+    key = SF.write_files(spark.createDataFrame([], "repo string, path string, content binary"), empty, "\x01")
+    assert SF.read_text_files(spark, empty, key=key).count() == 0
+
+
 def test_small_inventory_is_sent_to_the_files(spark, tmp_path):
     (tmp_path / "tree").mkdir()
     for i in range(5):
