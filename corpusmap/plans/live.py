@@ -12,15 +12,21 @@ from corpusmap.streaming import activity as W
 from corpusmap.streaming import usage as U
 
 
+# State rows over which a stream of many short sessions is spread.
+SHARES = 256
+
+
 def as_stream(df: DataFrame, root: str, batches: int = 4, files: int = 4) -> DataFrame:
     """The rows as a file stream of a few batches in order of time, with TIMESTAMP event times.
 
-    The rows are cut at quantiles of their time, and each part is written apart as an equal number of files,
-    which the stream takes up together.
+    The rows are computed once, cut at quantiles of their time, and each part is written apart as an equal number of
+    files, which the stream takes up together.
     """
     for name, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(name, F.col(name).cast("timestamp"))
+    df.write.parquet(f"{root}/rows")
+    df = df.sparkSession.read.schema(df.schema).parquet(f"{root}/rows")
     at = F.unix_micros("ts")
     cuts = df.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)])).first()[0]
     bounds = [None, *cuts, None]
@@ -76,7 +82,8 @@ def w1(spark, sf):
 SELECT session_id, repo, path, {X.sql_ts('ts')} AS ts, seq FROM r WHERE rn > 1""")
 def w2(spark, sf):
     root = X.work_dir(spark)
-    repeats = W.stream_repeated_reads(as_stream(X.odd_access_log(spark, sf), root))
+    # Sessions are many and short here: a state row for each would call Python nearly once a read.
+    repeats = W.stream_repeated_reads(as_stream(X.odd_access_log(spark, sf), root), shares=SHARES)
     return drain(repeats, root).withColumn("ts", X.show_ts("ts"))
 
 

@@ -34,56 +34,65 @@ def stream_change_bursts(changes: DataFrame, gap: str = "1 second", watermark: s
 REPEATS = "session_id string, repo string, path string, ts timestamp, seq bigint"
 
 
-FIRSTS = "paths array<string>, first_us array<bigint>"
+FIRSTS = "files array<string>, first_us array<bigint>"
 
 
 def _later_reads(hours: int):
-    """The state function of one bucket of files of a (session, repo): for each file the first read of its window."""
+    """The state function of one share of the files: for each `file` the first read of its window."""
     window = pd.Timedelta(hours=hours)
 
     def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        paths, times = state.get if state.exists else ((), ())
-        firsts = pd.Series(pd.to_datetime(list(times), unit="us"), index=pd.Index(list(paths), dtype=object))
-        if state.hasTimedOut:
-            mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-            firsts = firsts[firsts + window > mark]
-        else:
-            reads = pd.concat(batches, ignore_index=True).sort_values(["path", "ts", "seq"], ignore_index=True)
+        files, times = state.get if state.exists else ((), ())
+        firsts = pd.Series(pd.to_datetime(list(times), unit="us"), index=pd.Index(list(files), dtype=object))
+        if not state.hasTimedOut:
+            reads = pd.concat(batches, ignore_index=True).sort_values(["file", "ts", "seq"], ignore_index=True)
             repeats = []
             while len(reads):
                 # Files without a window begin one with their first read; what lies beyond a window begins the next.
-                opening = ~reads["path"].isin(firsts.index) & ~reads["path"].duplicated()
-                firsts = pd.concat([firsts, reads[opening].set_index("path")["ts"]])
-                near = reads["ts"] - reads["path"].map(firsts) < window
+                opening = ~reads["file"].isin(firsts.index) & ~reads["file"].duplicated()
+                firsts = pd.concat([firsts, reads[opening].set_index("file")["ts"]])
+                near = reads["ts"] - reads["file"].map(firsts) < window
                 repeats.append(reads[near & ~opening])
                 reads = reads[~near]
-                firsts = firsts.drop(reads["path"].unique())
+                firsts = firsts.drop(reads["file"].unique())
             yield pd.concat(repeats)[["session_id", "repo", "path", "ts", "seq"]]
+        # Rows behind the watermark are dropped, so no read meets a window that ended before it.
+        mark_ms = state.getCurrentWatermarkMs()
+        firsts = firsts[firsts + window > pd.Timestamp(mark_ms, unit="ms")]
         if not len(firsts):
-            state.remove()
+            if state.exists:
+                state.remove()
             return
         state.update((list(firsts.index), [int(t.value // 1000) for t in firsts]))
         end_ms = int((firsts.min() + window).value // 1_000_000)
-        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(end_ms, mark_ms + 1))
 
     return emit
 
 
 def stream_repeated_reads(
-    access: DataFrame, hours: int = FORGET_HOURS, watermark: str = WATERMARK, buckets: int = 16
+    access: DataFrame, hours: int = FORGET_HOURS, watermark: str = WATERMARK, buckets: int = 16, shares: int | None = None,
 ) -> DataFrame:
     """Reads of a file that its session has read before, unless that is longer ago than `hours`.
 
     A state row holds the first reads of one of `buckets` shares of the files of a (session, repo), so a busy session is
-    spread over tasks and Python is called once per share and batch, not per file. A file leaves the state when the
-    watermark has passed the end of its window. `buckets` must stay the same for the life of a checkpoint.
+    spread over tasks and Python is called once per share and batch, not per file. Where sessions are many and small, give
+    `shares`: the files of all sessions are dealt into as many state rows, and the calls do not grow with the sessions.
+    A file leaves the state when the watermark has passed the end of its window. `buckets` and `shares` must stay the
+    same for the life of a checkpoint.
     """
     reads = (
         loggable_events(access).withWatermark("ts", watermark).filter(F.col("op") == "read")
         .select("session_id", "repo", to_posix(F.col("path")).alias("path"), "ts", "seq")
     )
-    dealt = reads.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
-    return dealt.groupBy("session_id", "repo", "bucket").applyInPandasWithState(
+    if shares is None:
+        keys = ["session_id", "repo", "bucket"]
+        dealt = reads.withColumns({"file": F.col("path"), "bucket": F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")})
+    else:
+        keys, whole = ["share"], ["session_id", "repo", "path"]
+        dealt = reads.withColumns({
+            "file": F.to_json(F.struct(*whole)), "share": F.pmod(F.xxhash64(*whole), F.lit(shares)).cast("int")})
+    return dealt.groupBy(*keys).applyInPandasWithState(
         _later_reads(hours), REPEATS, FIRSTS, "append", GroupStateTimeout.EventTimeTimeout
     )
 

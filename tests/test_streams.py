@@ -100,6 +100,22 @@ def test_many_reads_over_days(feed):
     assert feed.seqs() == expected(rows)
 
 
+def test_short_sessions_share_state_rows(spark, tmp_path):
+    """With `shares` the state rows do not grow with the sessions; the reads that count are the same."""
+    feed = Feed(spark, tmp_path, lambda s: W.stream_repeated_reads(s, shares=4))
+    rng = random.Random(5)
+    rows = sorted((read(rng.choice(["s", "t", None, ""]) if i % 2 else f"s{i % 40}", f"f{rng.randrange(5)}", rng.uniform(0, 90), i)
+                   for i in range(600)), key=lambda r: r[4])
+    for part in range(3):
+        feed.put(rows[200 * part:200 * part + 200])
+        assert spark.read.format("statestore").load(f"{feed.root}/ckpt").count() <= 4
+    assert feed.seqs() == expected(rows)
+    feed.put([read("end", "x", 200, 1000)])
+    feed.put([read("end", "x", 201, 1001)])
+    held = spark.read.format("statestore").load(f"{feed.root}/ckpt").select("value").toJSON().collect()
+    assert "s1" not in "".join(held)
+
+
 def test_late_changes_of_bursts_and_counters(spark, tmp_path):
     """Rows behind the watermark change nothing; rows out of order before it count."""
     at = lambda minutes: START + dt.timedelta(minutes=minutes)
