@@ -47,10 +47,15 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback
 
 
+# What a task gets of a table that is spread, at most: its rows may stand for texts that take some milliseconds each.
+ROWS_A_TASK = 20_000
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of a table that comes in fewer parts than there are cores.
+    """Give every core a share of a table that comes in few files, and no task much more than `ROWS_A_TASK` rows.
 
-    A small table is one file, hence one task; a large one has many parts and is left as it is.
+    A small table is one file, hence one task. A large file is cut into many parts by its size, but the rows of a row
+    group stay in one of them, often millions. A table of files enough is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    return df.repartition(wanted, *keys) if len(df.inputFiles()) < wanted else df
