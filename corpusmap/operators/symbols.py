@@ -101,6 +101,9 @@ ASIDES: dict[str, str] = {
     "java": _JVM_ASIDE, "kt": _JVM_ASIDE,
 }
 
+# Stands for an aside between two stretches of code. A text that holds it itself is split by the pattern.
+_MARK = "\uffff"
+
 _HITS = "array<struct<name:string,line:int,pass:int>>"
 _SPANS = "array<struct<name:string,line:int,end_line:int,tokens:bigint>>"
 
@@ -231,7 +234,9 @@ def _code_sql() -> str:
     blank = lambda t: f"IF(instr({t}, '\n') = 0, repeat(' ', length({t})), regexp_replace({t}, r'[^\n]', ' '))"
     inside = blank("substring(t, 2, length(t) - 2)")
     shown = f"CASE WHEN t IS NULL THEN '' WHEN {comment} OR length(t) < 2 THEN {blank('t')} ELSE concat('(', {inside}, ')') END"
-    between = aside(lambda p: f"split(text, r'{p}', -1)")
+    # A split by a pattern compiles it anew for each text, a replacement does not; see `_MARK`.
+    between = f"""IF(instr(text, '{_MARK}') > 0, {aside(lambda p: f"split(text, r'{p}', -1)")},
+      split({aside(lambda p: f"regexp_replace(text, r'{p}', '{_MARK}')")}, '{_MARK}', -1))"""
     found = aside(lambda p: f"regexp_extract_all(text, r'{p}', 0)")
     return f"""transform(array(array_join(lines, '\n')), text ->
       array_join(zip_with({between}, {found}, (code, t) -> concat(code, {shown})), ''))[0]"""
