@@ -7,7 +7,8 @@ token-group matrices links the tokens that share a group. All matrices are in co
 Neither tokenizer joins what a blank separates, so a text's alignment is that of its segments one after the other. A
 block of documents is written once, as numbers of segments with a table of the tokens of its distinct segments; each
 segment is tokenized and multiplied once per block. A block hands Spark one row for each distinct pair of ids that it
-links; the sums over the corpus come back to the block by a join.
+links; the sums over the corpus come back to the block by a join. A task multiplies some segments of a block at a time,
+and a file holds few blocks, so that memory follows neither the blocks of a task nor the size of their matrices.
 """
 
 from __future__ import annotations
@@ -25,18 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.llm import work
-from corpusmap.llm.blocks import block_numbers, column, table_from_bytes, table_to_bytes
+from corpusmap.llm.blocks import block_numbers, column, from_bytes, table_from_bytes, table_to_bytes, to_bytes
 from corpusmap.llm.csr import Csr, ragged
 from corpusmap.llm.segments import Lookup, segments
 from corpusmap.llm.texts import one_array, per_text, slices
 
 BLOCK_BYTES = 2 << 20
+#: Blocks in a file: Spark reads the rows of a file in large batches, and a block is a large row.
+BLOCKS_A_FILE = 4
+#: Bytes of segments that are multiplied at a time; a longer segment is multiplied alone.
+PART_BYTES = 1 << 17
 #: Characters of words whose tokens a task keeps at a time.
 WORD_CHARS = 6 << 20
 LOW = np.int64((1 << 32) - 1)
 Lengths = tuple[np.ndarray, np.ndarray]
 ROW = "id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_group_links bigint, n_best bigint, " \
       "count_sum bigint, groups string"
+BLOCK = "block bigint, docs binary, codes binary, segments binary, a binary, b binary"
 LINKS = "id bigint, a_place bigint, b_place bigint, a int, b int, shared bigint"
 
 
@@ -143,23 +149,24 @@ class Aligned:
     b: np.ndarray
     sizes_a: np.ndarray
     sizes_b: np.ndarray
-    bytes_a: Csr
-    bytes_b: Csr
+    len_a: np.ndarray
+    len_b: np.ndarray
     groups_a: Csr
     groups_b: Csr
 
     @classmethod
     def of(cls, a: np.ndarray, sizes_a: np.ndarray, len_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray,
            len_b: np.ndarray) -> Aligned:
-        total, ends_a, ends_b = int(len_a.sum()), np.cumsum(len_a), np.cumsum(len_b)
+        ends_a, ends_b = np.cumsum(len_a), np.cumsum(len_b)
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group = lambda ends: Csr.incidence(np.ones(len(ends), np.int64), np.searchsorted(cuts, ends), len(cuts))
-        return cls(a, b, sizes_a, sizes_b, Csr.incidence(len_a, np.arange(total), total),
-                   Csr.incidence(len_b, np.arange(total), total), group(ends_a), group(ends_b))
+        return cls(a, b, sizes_a, sizes_b, len_a, len_b, group(ends_a), group(ends_b))
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(token of a, token of b, shared bytes) of tokens that overlap, some at a time."""
-        return self.bytes_a.product_parts(self.bytes_b.transposed())
+        total = int(self.len_a.sum())
+        bytes_a, bytes_b = (Csr.incidence(lengths, np.arange(total), total) for lengths in (self.len_a, self.len_b))
+        return bytes_a.product_parts(bytes_b.transposed())
 
     def group_links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(token of a, token of b, 1) of tokens in the same group, some at a time."""
@@ -229,49 +236,69 @@ def aligned(table: pa.Table, lengths: Lengths) -> Aligned:
     return Aligned.of(a, sizes_a, lengths[0][a], b, sizes_b, lengths[1][b])
 
 
+def aligned_parts(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray, lengths: Lengths,
+                  max_bytes: int = PART_BYTES) -> Iterator[Aligned]:
+    """The alignments of segments of some `max_bytes` bytes at a time, in order."""
+    part = (np.cumsum(per_text(lengths[0][a], sizes_a)) - 1).clip(0) // max_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes_a)]
+    at_a, at_b = (np.concatenate([[0], np.cumsum(sizes)]) for sizes in (sizes_a, sizes_b))
+    for x, y in zip(cuts, cuts[1:]):
+        if y > x:
+            ids = a[at_a[x]:at_a[y]], b[at_b[x]:at_b[y]]
+            yield Aligned.of(ids[0], sizes_a[x:y], lengths[0][ids[0]], ids[1], sizes_b[x:y], lengths[1][ids[1]])
+
+
 class Block:
-    """A written block: the documents as segment numbers, and the alignment of its segments."""
-
-    def __init__(self, docs: bytes, table: bytes, lengths: Lengths):
-        documents, found = table_from_bytes(docs), table_from_bytes(table)
-        self.ids, (self.codes, self.sizes) = column(documents, "id"), _flat(column(documents, "codes"))
-        good = column(found, "good").to_numpy(zero_copy_only=False)
-        self.good = (per_text(~good[self.codes], self.sizes) == 0) & (self.sizes > 0)
-        self.aligned = aligned(found, lengths)
-        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for row, col, _ in self.aligned.links():
-            rows.append(row)
-            cols.append(col)
-        row, col = np.concatenate(rows), np.concatenate(cols)
+    """The distinct segments of a written block: their alignment, and how often documents hold them."""
+
+    def __init__(self, segments: bytes, a: bytes, b: bytes, lengths: Lengths):
+        found = table_from_bytes(segments)
+        of = {name: column(found, name).to_numpy(zero_copy_only=False) for name in found.column_names}
+        self.good, self.times = of["good"], of["times"]
         # The segment, and the pair of ids, of each link.
-        self.segment = np.repeat(np.arange(len(good)), self.aligned.sizes_a)[row]
-        self.keys, self.pair = np.unique(self.aligned.a[row] << 32 | self.aligned.b[col], return_inverse=True)
-        self.times = np.bincount(self.codes[np.repeat(self.good, self.sizes)], minlength=len(good))
+        at, segment, keys = 0, [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        self.parts = []
+        ids = (from_bytes(x, np.int32).astype(np.int64) for x in (a, b))
+        for part in aligned_parts(next(ids), of["n_a"], next(ids), of["n_b"], lengths):
+            self.parts.append(part)
+            n = len(part.sizes_a)
+            of_token = np.repeat(np.arange(at, at + n, dtype=np.int32), part.sizes_a)
+            at += n
+            for row, col, _ in part.links():
+                segment.append(of_token[row])
+                keys.append(part.a[row] << 32 | part.b[col])
+        self.segment = np.concatenate(segment)
+        self.keys, self.pair = np.unique(np.concatenate(keys), return_inverse=True)
 
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
         counts = np.bincount(self.pair, weights=self.times[self.segment], minlength=len(self.keys)).astype(np.int64)
         return self.keys[counts > 0], counts[counts > 0]
 
-    def rows(self, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.Table:
+    def rows(self, docs: bytes, codes: bytes, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.Table:
         """The documents' rows, from the counts of all pairs that the block has sent."""
+        documents, codes = table_from_bytes(docs), from_bytes(codes, np.int32)
+        sizes = column(documents, "size").to_numpy(zero_copy_only=False)
+        good = (per_text(~self.good[codes], sizes) == 0) & (sizes > 0)
         count, top = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
         at = np.searchsorted(self.keys, keys)
         count[at], top[at] = counts, best
         n = len(self.times)
-        add = lambda values: np.bincount(self.segment, weights=values, minlength=n).astype(np.int64)
         exact = np.zeros(n, np.int64)
         np.add.at(exact, self.segment, count[self.pair])
+        every = lambda value: np.concatenate([np.zeros(0, np.int64), *map(value, self.parts)])
         of_segment = {
-            "n_a": self.aligned.sizes_a, "n_b": self.aligned.sizes_b, "n_groups": self.aligned.n_groups(),
-            "n_links": np.bincount(self.segment, minlength=n), "n_group_links": self.aligned.n_group_links(),
-            "n_best": add(top[self.pair]), "count_sum": exact,
+            "n_a": every(lambda p: p.sizes_a), "n_b": every(lambda p: p.sizes_b),
+            "n_groups": every(Aligned.n_groups), "n_links": np.bincount(self.segment, minlength=n),
+            "n_group_links": every(Aligned.n_group_links),
+            "n_best": np.bincount(self.segment, weights=top[self.pair], minlength=n).astype(np.int64),
+            "count_sum": exact,
         }
-        columns = {"id": self.ids} | {
-            name: pa.array(per_text(values[self.codes], self.sizes) * self.good, pa.int64())
-            for name, values in of_segment.items()
+        columns = {"id": column(documents, "id")} | {
+            name: pa.array(per_text(values[codes], sizes) * good, pa.int64()) for name, values in of_segment.items()
         }
-        used = self.codes[np.repeat(self.good, self.sizes)]
-        columns["groups"] = _joined(self.aligned.groups().take(pa.array(used)), self.sizes * self.good, ";")
+        used = pa.array(codes[np.repeat(good, sizes)])
+        groups = pa.chunked_array([p.groups() for p in self.parts], pa.string()).combine_chunks()
+        columns["groups"] = _joined(groups.take(used), sizes * good, ";")
         return pa.table(columns)
 
 
@@ -282,11 +309,17 @@ def _write_blocks(a: str, b: str, max_bytes: int):
             texts = one_array(batch.column(1))
             for x, y in slices(texts, max_bytes):
                 codes, sizes, table = both.tokenized(texts.slice(x, y - x))
-                docs = pa.table({"id": batch.column(0).slice(x, y - x), "codes": _lists(codes, sizes)})
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([next(numbers)], pa.int64()), "docs": pa.array([table_to_bytes(docs)], pa.binary()),
-                    "tokens": pa.array([table_to_bytes(table)], pa.binary()),
-                })
+                good = column(table, "good").to_numpy(zero_copy_only=False)
+                whole = per_text(~good[codes], sizes) == 0
+                (ids_a, sizes_a), (ids_b, sizes_b) = _flat(column(table, "a")), _flat(column(table, "b"))
+                docs = pa.table({"id": batch.column(0).slice(x, y - x), "size": sizes})
+                distinct = pa.table({"n_a": sizes_a, "n_b": sizes_b, "good": good, "times": np.bincount(
+                    codes[np.repeat(whole, sizes)], minlength=len(good))})
+                row = {"docs": table_to_bytes(docs), "codes": to_bytes(codes.astype(np.int32)),
+                       "segments": table_to_bytes(distinct), "a": to_bytes(ids_a.astype(np.int32)),
+                       "b": to_bytes(ids_b.astype(np.int32))}
+                yield pa.RecordBatch.from_pydict({"block": pa.array([next(numbers)], pa.int64())} | {
+                    name: pa.array([data], pa.binary()) for name, data in row.items()})
 
     return run
 
@@ -294,8 +327,8 @@ def _write_blocks(a: str, b: str, max_bytes: int):
 def _pairs(lengths: Lengths):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, docs, tokens in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "tokens"))):
-                keys, counts = Block(docs, tokens, lengths).pair_counts()
+            for number, *written in zip(*(batch.column(c).to_pylist() for c in ("block", "segments", "a", "b"))):
+                keys, counts = Block(*written, lengths).pair_counts()
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array(np.full(len(keys), number)), "pair": pa.array(keys), "n": pa.array(counts)})
 
@@ -304,10 +337,10 @@ def _pairs(lengths: Lengths):
 
 def _finish(lengths: Lengths):
     def finish(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, counts, best = (answers.column(c).to_numpy() for c in ("pair", "count", "best"))
-        parts = [Block(d, t, lengths).rows(keys, counts, best)
-                 for d, t in zip(blocks.column("docs").to_pylist(), blocks.column("tokens").to_pylist())]
-        return pa.concat_tables(parts)
+        found = [answers.column(c).to_numpy() for c in ("pair", "count", "best")]
+        written = zip(*(blocks.column(c).to_pylist() for c in ("docs", "codes", "segments", "a", "b")))
+        return pa.concat_tables(
+            [Block(*tokens, lengths).rows(docs, codes, *found) for docs, codes, *tokens in written])
 
     return finish
 
@@ -331,8 +364,9 @@ def align(
     lengths = Both(a, b).lengths  # a number for each id of both vocabularies goes to the tasks
     source = docs.select(F.col(id_col).cast("bigint"), F.col(text_col))
     blocks = work.save(
-        source.mapInArrow(_write_blocks(a, b, block_bytes), "block bigint, docs binary, tokens binary"), "aligned")
-    pairs = work.save(blocks.mapInArrow(_pairs(lengths), "block bigint, pair bigint, n bigint"), "pairs")
+        source.mapInArrow(_write_blocks(a, b, block_bytes), BLOCK), "aligned", rows_a_file=BLOCKS_A_FILE)
+    tokens = blocks.select("block", "segments", "a", "b")
+    pairs = work.save(tokens.mapInArrow(_pairs(lengths), "block bigint, pair bigint, n bigint"), "pairs")
     counts = work.save(pairs.groupBy("pair").agg(F.sum("n").alias("count")), "pair-counts")
     b_id = F.col("pair").bitwiseAND(F.lit(int(LOW)))
     # A row for each id of b: never more than its vocabulary holds.

@@ -67,15 +67,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/corpusmap-llm/{uuid.uuid4().hex}-{name}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it again: later steps survive lost executors."""
-    return load(df.sparkSession, write(df, name), df.schema)
+    return load(df.sparkSession, write(df, name, rows_a_file), df.schema)
 
 
-def write(df: DataFrame, name: str) -> str:
+def write(df: DataFrame, name: str, rows_a_file: int = 0) -> str:
+    """Where the table now is. A file holds `rows_a_file` rows at most, if that is not 0."""
     path = new_path(df.sparkSession, name)
     with tidy(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return path
 
 

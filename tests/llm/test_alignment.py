@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -7,11 +8,15 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusmap.llm import queries
-from corpusmap.llm.alignment import Both, ByteLevel, Pieces, align, byte_letters, links
+from pyspark.sql import functions as F
+
+from corpusmap.llm import queries, work
+from corpusmap.llm.alignment import (
+    BLOCKS_A_FILE, Both, ByteLevel, Pieces, _flat, align, aligned, aligned_parts, byte_letters, links,
+)
 from corpusmap.llm.csr import Csr
 from corpusmap.llm.segments import Lookup, segments
-from tests.llm.common import awkward, frame
+from tests.llm.common import awkward, frame, prose
 
 A, B = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
 MARKED = "a▁b"
@@ -186,6 +191,52 @@ def test_query(spark, plain, tmp_path):
     assert sorted((tuple(r)[:8] for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_files_hold_few_blocks(spark, monkeypatch):
+    written, save = {}, work.save
+    monkeypatch.setattr(work, "save", lambda df, name, **more: written.setdefault(name, save(df, name, **more)))
+    rows = [(i, f"lomi kaé {i}") for i in range(30)]
+    assert align(frame(spark, rows).coalesce(1), A, B, block_bytes=1).count() == 30
+    files = [r["count"] for r in written["aligned"].groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == 30 and max(files) <= BLOCKS_A_FILE
+
+
+def test_texts_without_segments(spark):
+    got = align(frame(spark, [(1, None), (2, "")]).coalesce(1), A, B).collect()
+    assert sorted(map(tuple, got)) == [(i, 0, 0, 0, 0, 0, 0, 0, "") for i in (1, 2)]
+
+
+@pytest.mark.parametrize("max_bytes", [1, 7, 40, 300, 1 << 20])
+def test_parts_are_the_whole(both, max_bytes):
+    _, _, table = both.tokenized(pa.array([*CASES, MARKED, "x" * 300, "lomi kaé tén"]))
+    lists = [table.column(c).to_pylist() for c in "ab"]
+    flat = [x for side in lists for x in (np.array(sum(side, []), np.int64), np.array(list(map(len, side)), np.int64))]
+    parts, whole = list(aligned_parts(*flat, both.lengths, max_bytes)), aligned(table, both.lengths)
+    assert len(parts) == 1 if max_bytes == 1 << 20 else len(parts) > 1
+    got = [[x for p in parts for x in value(p)] for value in PARTS]
+    assert got == [list(value(whole)) for value in PARTS]
+
+
+PARTS = [
+    lambda p: p.sizes_a.tolist(), lambda p: p.sizes_b.tolist(), lambda p: p.n_groups().tolist(), lambda p: p.n_group_links().tolist(),
+    lambda p: p.groups().to_pylist(),
+    lambda p: [x for row, col, shared in p.links() for x in zip(p.a[row].tolist(), p.b[col].tolist(), shared.tolist())],
+]
+
+
+def test_links_of_a_block_take_little_memory(both):
+    """Arrays that stand for bytes are for some segments at a time, not for the whole block."""
+    _, _, table = both.tokenized(pa.array([" ".join(f"{w}{i}" for i, w in enumerate(prose(120_000, 1).split()))]))
+    (a, n_a), (b, n_b) = (_flat(table.column(c).combine_chunks()) for c in "ab")
+    tracemalloc.start()
+    n = sum(len(row) for part in aligned_parts(a, n_a, b, n_b, both.lengths) for row, _, _ in part.links())
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.reset_peak()
+    assert n == sum(len(row) for row, _, _ in aligned(table, both.lengths).links())
+    _, whole = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert 3 * peak < whole
+
+
 def test_vocabularies():
     a, b = ByteLevel(A), Pieces(B)
     assert len(a.pieces) == 50_257 and a.pieces[50_256] == b"<|endoftext|>" and len(b.pieces) == 32_000
