@@ -7,7 +7,6 @@ next window of the task, then to a smaller number of tasks, until one window hol
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -46,11 +45,11 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallel work
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        model = json.loads(self.tokenizer.to_str())["model"]
-        if model["type"] != "BPE" or not model["end_of_word_suffix"]:
+        model = self.tokenizer.model
+        if not isinstance(model, models.BPE) or not model.end_of_word_suffix:
             raise ValueError("a BPE vocabulary with word ends is needed")
         # The letters that stand for the bytes of the letters above.
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)

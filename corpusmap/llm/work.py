@@ -16,6 +16,13 @@ SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
+#: For tables of long texts: what Spark's reader, the Arrow buffers of Python tasks, a row group and a page of it hold.
+LONG_TEXTS = {
+    "spark.sql.parquet.columnarReaderBatchSize": "128",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20),
+    "parquet.block.size": str(4 << 20),
+    "parquet.page.size": str(256 << 10),
+}
 _local: dict[str, str] = {}
 
 
@@ -33,12 +40,19 @@ def folder(spark: SparkSession) -> str:
     return _local[sc.applicationId]
 
 
+def for_long_texts(spark: SparkSession) -> None:
+    """From now on `LONG_TEXTS` holds, also when the caller writes what a step returns."""
+    for key, value in LONG_TEXTS.items():
+        spark.conf.set(key, value)
+
+
 @contextmanager
 def tidy(spark: SparkSession):
-    """Within it, the settings above hold."""
+    """Within it, `SETTINGS` hold; the smaller batches for long texts stay."""
     before = {key: spark.conf.get(key) for key in SETTINGS}
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if before[key] != LONG_TEXTS.get(key):
+            spark.conf.set(key, value)
     try:
         yield
     finally:

@@ -1,3 +1,6 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from corpusmap.llm import queries
@@ -42,6 +45,29 @@ def test_stages_on_an_empty_table(spark):
         assert now.count() == 0
 
 
+def test_stages_hold_few_texts_at_a_time(spark):
+    """Tasks get small batches and files small row groups of long texts, also when the caller writes a stage's rows."""
+    work, pipeline_docs = corpus_pipeline.work, docs(spark)
+    text = "concat_ws(' ', transform(sequence(1, 400), i -> sha2(concat(id, '-', i), 256)))"
+    large = spark.range(0, 1500, 1, 1).selectExpr("id AS doc_id", f"{text} AS text")  # 39 MB in one partition
+    path, small = work.write(large, "large"), 2 * int(work.LONG_TEXTS["spark.sql.execution.arrow.maxBytesPerBatch"])
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes])})
+
+    for name, stage in corpus_pipeline.STAGES:
+        for key in work.LONG_TEXTS:
+            spark.conf.unset(key)
+        stage(spark, pipeline_docs.where("false"), SF)
+        got = work.load(spark, path, large.schema)
+        assert got.mapInArrow(sizes, "n bigint").agg({"n": "max"}).first()[0] <= small, name
+        got = work.save(got.coalesce(1), "again")  # within the operators' own writing
+        assert work.load(spark, path, large.schema).count() == got.count() == 1500
+        groups = pq.ParquetFile(got.inputFiles()[0].removeprefix("file:").replace("//", "/")).metadata
+        assert max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) < 750, name
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
