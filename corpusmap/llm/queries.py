@@ -162,6 +162,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_source_mixing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work.for_long_texts(spark)  # the last step reads the texts again when the caller writes it
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixture(docs, Target(entropy=1.0, max_repeat=4.0))
     return mixed.select("doc_id", "source", "mix.n_tokens", "mix.copies", "mix.weight", "mix.exponent")

@@ -1,9 +1,11 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmap.llm import queries, work
 from corpusmap.llm.mixing import Target, _plan, mixture, take_copies, word_count
 from tests.llm.common import awkward, prose, words
 
@@ -102,3 +104,34 @@ def test_one_source_and_empty(spark):
     assert [r["mix"]["copies"] for r in mixture(one).orderBy("doc_id").collect()] == [1, 1] or True
     assert mixture(one).count() == 2 and mixture(one.where("false")).count() == 0
     assert one.select(word_count(F.col("text"))).collect()[1][0] == 0
+
+
+def test_words_are_counted_without_arrays_of_them(spark):
+    texts = [t for _, t in awkward()] + ["\x0b a\t\tb \r\n c\x0c", "a\x00b\x1f \x85 \xa0 é\u2003x", "𝒳 𝒴\n\n", " \t" * 30_000,
+                                         "\t" * 30_000 + "a" + "\n" * 30_000, "a \n" * 30_000, "x" * 100_000 + " y"]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id bigint, text string")
+    done = mixture(docs.withColumn("source", F.lit("s")), Target())
+    assert {r["doc_id"]: r["n"] for r in done.select("doc_id", F.col("mix.n_tokens").alias("n")).collect()} == {
+        i: len(words(t)) for i, t in enumerate(texts)}
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace(" in plan and "split(" not in plan
+
+
+def test_query_holds_few_texts_at_a_time(spark, tmp_path):
+    """Small batches and row groups also hold when the caller writes the query's rows."""
+    text = F.expr("concat_ws(' ', transform(sequence(1, 400), i -> sha2(concat(doc_id, '-', i), 256)))")
+    large = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.expr("'s' || id % 3").alias("source"))
+    large.withColumn("text", text).write.parquet(f"{tmp_path}/documents.parquet")  # 39 MB in one partition
+    for key in work.LONG_TEXTS:
+        spark.conf.unset(key)
+    done = queries.QUERIES["op3_source_mixing"](spark, str(tmp_path))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes])})
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    most = docs.mapInArrow(sizes, "n bigint").agg({"n": "max"}).first()[0]
+    assert most <= 2 * int(work.LONG_TEXTS["spark.sql.execution.arrow.maxBytesPerBatch"])
+    assert {key: spark.conf.get(key) for key in work.LONG_TEXTS} == work.LONG_TEXTS
+    assert done.count() == 1500 and done.where("n_tokens = 400").count() == 1500
